@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantloom.functions.numbers import digest_number
+
 BUCKET_DIGITS = 3
 
 
@@ -35,21 +37,29 @@ def shuffled_rank(rows: DataFrame, group: list[str], key: str) -> DataFrame:
         "row_number", (F.col("__before") + F.row_number().over(inside)).cast("bigint")
     )
     return numbered.drop(
-        "__digest", "__bucket", "__before", "__g_bucket", *[f"__g_{name}" for name in group]
+        "__digest", "__bucket", "__before", "__g_bucket", "__size", *[f"__g_{name}" for name in group]
     )
 
 
+def shuffled_head(rows: DataFrame, key: str, count: int) -> DataFrame:
+    """``count`` rows in md5 order of ``key``: the repeatable form of a seeded random pick.
+
+    The cut is found from bucket counts, so no task sorts the whole input.
+    """
+    ranked = shuffled_rank(rows, [], key)
+    return ranked.where(F.col("row_number") <= count).drop("row_number", "group_total")
+
+
 def first_rows(rows: DataFrame, group: list[str], order: list[Column], count: int) -> DataFrame:
-    """The first ``count`` rows of every group; ``place`` numbers them."""
+    """The first ``count`` rows of every group; ``place`` numbers them.
+
+    The constant bound on the rank lets every task drop all but ``count`` rows per group before
+    the shuffle.
+    """
     window = Window.partitionBy(*group).orderBy(*order)
     return rows.withColumn("place", F.row_number().over(window)).where(F.col("place") <= count)
 
 
-def shuffled_head(rows: DataFrame, key: str, count: int) -> DataFrame:
-    """``count`` rows in md5 order of ``key``: the repeatable form of a seeded random pick."""
-    return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(count)
-
-
 def deduplicated(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """Keeps the first row of each key in the given order."""
     return first_rows(rows, key, order, 1).drop("place")
@@ -57,6 +67,9 @@ def deduplicated(rows: DataFrame, key: list[str], order: list[Column]) -> DataFr
 
 def thinned(rows: DataFrame, key: str, step: int) -> DataFrame:
     """About every ``step``-th row, chosen by the digest of the key."""
-    from grantloom.functions.numbers import digest_number
-
     return rows.where(digest_number(F.col(key)) % step == 0)
+
+
+def bernoulli(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """A repeatable Bernoulli sample of ``percent`` rows in a hundred."""
+    return rows.where(digest_number(F.col(key)) % 100 < percent)

@@ -218,7 +218,9 @@ def complete_cards(awards: DataFrame, limit: int = 500) -> DataFrame:
         .orderBy(F.desc("total_funding_billions"), "institution")
         .limit(limit)
     )
-    mine = awards.join(base.select(F.col("institution").alias("primary_org")), "primary_org", "left_semi")
+    mine = awards.join(
+        F.broadcast(base.select(F.col("institution").alias("primary_org"))), "primary_org", "left_semi"
+    )
     mine_rows = at_institution(mine)
     tops = top_values(mine_rows, ["institution"], {"top_domains": ("domain_name", 5), "top_topics": ("cluster_label", 10)})
     ranked = departments(mine)
@@ -256,7 +258,7 @@ def top_institutions(awards: DataFrame, limit: int = 50) -> DataFrame:
             "num_funding_ics", "first_award_year", "last_award_year",
         )
     )
-    mine = rows.join(best.select("institution"), "institution", "left_semi")
+    mine = rows.join(F.broadcast(best.select("institution")), "institution", "left_semi")
     tops = top_values(mine, ["institution"], {"top_research_domains": ("domain_name", 5)})
     return (
         best.join(tops, "institution", "left")

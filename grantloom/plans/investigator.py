@@ -188,7 +188,7 @@ def complete_cards(awards: DataFrame, limit: int = 1000) -> DataFrame:
     """Full card of the best-funded people.
 
     The base is reduced to the top ``limit`` people first; every other branch is restricted to them
-    by a semi join before its own aggregation.
+    by a semi join before its own aggregation; ``limit`` bounds what that join broadcasts.
     """
     key = ["contact_pi_name"]
     known = awards.where(F.col("contact_pi_name").isNotNull())
@@ -212,7 +212,7 @@ def complete_cards(awards: DataFrame, limit: int = 1000) -> DataFrame:
         .orderBy(F.desc("total_funding_millions"), *key)
         .limit(limit)
     )
-    mine = known.join(base.select(*key), key, "left_semi")
+    mine = known.join(F.broadcast(base.select(*key)), key, "left_semi")
     latest = mine.groupBy(*key).agg(
         F.max_by("primary_org", F.struct("last_fiscal_year", "core_project_num")).alias("current_institution")
     )
@@ -285,7 +285,7 @@ def top_people(awards: DataFrame, limit: int = 100) -> DataFrame:
         .orderBy(F.desc("funding_millions"), *key)
         .limit(limit)
     )
-    mine = known.join(best.select(*key), key, "left_semi")
+    mine = known.join(F.broadcast(best.select(*key)), key, "left_semi")
     tops = top_values(
         mine, key, {"top_research_areas": ("cluster_label", 3), "top_funding_ics": ("administering_ic", 3)}
     )

@@ -8,8 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grantloom.functions.dimension import with_agency
+from grantloom.functions.numbers import rounded
+from grantloom.operators import neighbors
 from grantloom.operators.facets import shown
-from grantloom.plans import institute, institution, investigator, trends
+from grantloom.plans import (
+    assignment,
+    clusters,
+    institute,
+    institution,
+    investigator,
+    sampling,
+    slices,
+    texts,
+    trends,
+    validation,
+)
+from grantloom.sources import files, profile
 from grantloom.sources import portfolio as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,3 +233,434 @@ def portfolio_by_agency(spark, root):
 @query()
 def portfolio_by_ic_detailed(spark, root):
     return flat(trends.unit_portfolio(with_agency(source.awards(spark, root, "unit", "people"))), "top_mechanisms")
+
+
+# Second-phase assignment.
+def all_awards(spark, root):
+    return with_agency(source.awards(spark, root, "unit", "topic", "people"))
+
+
+@query()
+def unclustered_extract(spark, root):
+    return assignment.unclustered_extract(all_awards(spark, root))
+
+
+@query()
+def cluster_centroids(spark, root):
+    return assignment.centroids(source.awards(spark, root, "topic"))
+
+
+@query()
+def assignments_by_unit_heuristic(spark, root):
+    return assignment.by_unit_heuristic(source.awards(spark, root, "unit", "topic"))
+
+
+def known_and_new_vectors(spark, root):
+    """Vectors whose document carries a quality label are the clustered reference."""
+    labelled = source.table(spark, root, "labels").select(F.col("doc_id").alias("vec_id")).distinct()
+    rows = source.vectors(spark, root)
+    return rows.join(labelled, "vec_id", "left_semi"), rows.join(labelled, "vec_id", "left_anti")
+
+
+@query()
+def nearest_neighbors(spark, root):
+    known, new = known_and_new_vectors(spark, root)
+    found = neighbors.cosine_neighbors(
+        new.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+        known.select(F.col("vec_id").alias("reference_id"), F.col("embedding").alias("vector")),
+        assignment.NEIGHBORS,
+    )
+    return found.withColumn("similarity", rounded(F.col("similarity"), 6))
+
+
+@query()
+def assignments_by_neighbors(spark, root):
+    known, new = known_and_new_vectors(spark, root)
+    return assignment.by_neighbors(new, known)
+
+
+def merged(spark, root, prefer, method=None):
+    awards = all_awards(spark, root)
+    return assignment.merged_cards(awards, assignment.by_unit_heuristic(awards), prefer, method)
+
+
+MERGED_COLUMNS = (
+    "core_project_num", "cluster_id", "cluster_label", "domain_id", "domain_name", "umap_x", "umap_y",
+    "is_clustered", "clustering_phase",
+)
+
+
+@query()
+def merged_cards_existing_first(spark, root):
+    return merged(spark, root, "existing", "IC-heuristic").select(*MERGED_COLUMNS)
+
+
+@query()
+def merged_cards_assigned_first(spark, root):
+    return merged(spark, root, "assigned").select(*MERGED_COLUMNS)
+
+
+@query()
+def phase_coverage(spark, root):
+    return assignment.phase_coverage(merged(spark, root, "existing", "IC-heuristic"))
+
+
+@query()
+def portfolio_domain_summary(spark, root):
+    return assignment.domain_summary(merged(spark, root, "assigned"))
+
+
+@query()
+def portfolio_cluster_summary(spark, root):
+    return flat(assignment.cluster_summary(merged(spark, root, "assigned")), "top_ics")
+
+
+# Samples.
+def sample_rows(spark, root):
+    """Transactions with a row key that is unique but for exact copies."""
+    rows = source.projects(spark, root, "unit", "topic")
+    return rows.withColumn("row_key", F.concat_ws("-", "FULL_PROJECT_NUM", "FY", "TOTAL_COST", "PROJECT_TITLE"))
+
+
+SAMPLE_COLUMNS = ("row_key", "APPLICATION_ID", "PROJECT_TITLE", "IC_NAME", "FY", "TOTAL_COST")
+
+
+def sample_view(rows, *extra):
+    return rows.select(*SAMPLE_COLUMNS, *extra).withColumn("TOTAL_COST", F.col("TOTAL_COST").cast("double"))
+
+
+@query()
+def sample_year_unit_share(spark, root):
+    return sample_view(sampling.year_unit_share(sample_rows(spark, root), "row_key"))
+
+
+@query()
+def sample_proportional_strata(spark, root):
+    return sample_view(sampling.proportional(sampling.with_stratum(sample_rows(spark, root)), "row_key"), "stratum")
+
+
+@query()
+def sample_year_unit_quota(spark, root):
+    return sample_view(sampling.year_unit_quota(sample_rows(spark, root), "row_key"))
+
+
+@query()
+def sample_equal_eras(spark, root):
+    rows = sampling.equal_eras(source.awards(spark, root, "unit", "topic"))
+    return rows.select(
+        "core_project_num", "administering_ic", "activity", "project_title", "first_fiscal_year", "last_fiscal_year",
+        F.col("total_lifetime_funding").cast("double").alias("total_lifetime_funding"), "era",
+    )
+
+
+def rule_sample(spark, root):
+    return sampling.rule_based(sample_rows(spark, root), "row_key")
+
+
+@query()
+def sample_rule_domains(spark, root):
+    return sample_view(rule_sample(spark, root), "domain", "domain_label", "topic")
+
+
+@query()
+def rule_domain_totals(spark, root):
+    return sampling.domain_totals(rule_sample(spark, root))
+
+
+@query()
+def sample_label_coverage(spark, root):
+    rows = sampling.year_unit_share(sample_rows(spark, root), "row_key")
+    joined = texts.whole_key(rows).join(
+        texts.whole_key(source.abstracts(spark, root)).drop("YEAR"), "APPLICATION_ID", "left"
+    )
+    return joined.agg(
+        F.count(F.lit(1)).alias("rows"),
+        rounded(F.avg(F.col("SPENDING_CATS").isNotNull().cast("int")), 4).alias("category_coverage"),
+        rounded(F.avg(F.col("ABSTRACT_TEXT").isNotNull().cast("int")), 4).alias("abstract_coverage"),
+        rounded(F.avg(F.col("PROJECT_TITLE").isNotNull().cast("int")), 4).alias("title_coverage"),
+    )
+
+
+# Unified texts and analytical views.
+def unified_texts(spark, root):
+    return texts.grant_texts(source.projects(spark, root, "unit", "org", "topic"), source.abstracts(spark, root))
+
+
+@query()
+def grant_text(spark, root):
+    return unified_texts(spark, root)
+
+
+@query()
+def unified_table_statistics(spark, root):
+    return texts.table_statistics(
+        source.projects(spark, root, "unit"), source.abstracts(spark, root), unified_texts(spark, root)
+    )
+
+
+@query()
+def grant_text_by_year(spark, root):
+    return texts.texts_by_year(unified_texts(spark, root))
+
+
+@query()
+def grant_text_by_unit(spark, root):
+    return texts.texts_by_unit(unified_texts(spark, root))
+
+
+@query()
+def grants_with_abstracts(spark, root):
+    rows = texts.with_abstracts(source.projects(spark, root), source.abstracts(spark, root))
+    return rows.select("APPLICATION_ID", "FULL_PROJECT_NUM", "FY", F.md5("ABSTRACT_TEXT").alias("abstract_md5"))
+
+
+@query()
+def grants_with_publications(spark, root):
+    rows = texts.with_publications(source.projects(spark, root), source.link_table(spark, root))
+    return rows.select("APPLICATION_ID", "FULL_PROJECT_NUM", "CORE_PROJECT_NUM", "FY", "publication_count")
+
+
+@query()
+def grants_with_clinical_trials(spark, root):
+    rows = texts.with_trials(source.projects(spark, root), source.clinical_studies(spark, root))
+    return rows.select(
+        "APPLICATION_ID", "FULL_PROJECT_NUM", "CORE_PROJECT_NUM", "FY", "trial_count",
+        F.coalesce("trial_statuses", F.lit("")).alias("trial_statuses"),
+    )
+
+
+# Cluster reports.
+@query()
+def award_map(spark, root):
+    return clusters.awards_from_transactions(source.points(spark, root))
+
+
+@query()
+def cluster_summary(spark, root):
+    return clusters.summary(source.points(spark, root))
+
+
+@query()
+def largest_clusters(spark, root):
+    return clusters.largest(source.points(spark, root))
+
+
+@query()
+def titles_of_largest_clusters(spark, root):
+    return clusters.titles_of_largest(source.points(spark, root))
+
+
+@query()
+def cluster_unit_purity(spark, root):
+    return clusters.unit_purity(source.points(spark, root))
+
+
+@query()
+def cluster_temporal_mix(spark, root):
+    return clusters.temporal_mix(source.points(spark, root))
+
+
+@query()
+def cluster_size_bands(spark, root):
+    return clusters.size_bands(source.points(spark, root))
+
+
+@query()
+def cluster_size_statistics(spark, root):
+    return clusters.size_statistics(source.points(spark, root))
+
+
+@query()
+def cluster_coverage_bands(spark, root):
+    return clusters.coverage_bands(source.points(spark, root))
+
+
+@query()
+def unit_cluster_crosstab(spark, root):
+    return clusters.unit_crosstab(source.points(spark, root))
+
+
+@query()
+def cluster_review_titles(spark, root):
+    return clusters.sample_titles(source.points(spark, root))
+
+
+# Validation.
+@query()
+def validate_table_counts(spark, root):
+    return validation.table_counts(
+        source.projects(spark, root),
+        source.abstracts(spark, root),
+        linktables=source.link_table(spark, root),
+        patents=source.patents(spark, root),
+        clinicalstudies=source.clinical_studies(spark, root),
+    )
+
+
+@query()
+def validate_projects_by_year(spark, root):
+    return validation.projects_by_year(source.projects(spark, root, "unit"))
+
+
+@query()
+def validate_abstracts_by_year(spark, root):
+    return validation.abstracts_by_year(source.abstracts(spark, root))
+
+
+@query()
+def validate_missing_years(spark, root):
+    return validation.missing_years(source.projects(spark, root), "FY", 1985, 2030)
+
+
+@query()
+def validate_projects_by_unit(spark, root):
+    return validation.projects_by_unit(source.projects(spark, root, "unit"))
+
+
+@query()
+def validate_null_counts(spark, root):
+    named = {
+        "null_core_project": "CORE_PROJECT_NUM", "null_fy": "FY", "null_ic": "ADMINISTERING_IC",
+        "null_title": "PROJECT_TITLE", "null_cost": "TOTAL_COST", "null_pi": "PI_NAMEs",
+    }
+    rows = source.projects(spark, root, "unit", "topic")
+    return validation.null_counts(rows, named, "CORE_PROJECT_NUM", "pct_null_core")
+
+
+@query()
+def validate_duplicates(spark, root):
+    return validation.duplicates(source.projects(spark, root), "FULL_PROJECT_NUM")
+
+
+@query()
+def validate_cost_by_year(spark, root):
+    return validation.cost_by_year(source.projects(spark, root))
+
+
+@query()
+def validate_abstract_coverage(spark, root):
+    return validation.key_overlap(source.projects(spark, root), source.abstracts(spark, root), "APPLICATION_ID")
+
+
+@query()
+def validate_trial_links(spark, root):
+    return validation.trial_links(source.clinical_studies(spark, root))
+
+
+@query()
+def validate_card_totals(spark, root):
+    return validation.card_totals(
+        ic_cards_comprehensive(spark, root), pi_cards_comprehensive(spark, root),
+        institution_cards_comprehensive(spark, root), temporal_trends_comprehensive(spark, root),
+    )
+
+
+@query()
+def validate_internal_mechanisms(spark, root):
+    return validation.internal_totals(
+        ic_cards_all_mechanisms(spark, root), pi_cards_cleaned_names(spark, root),
+        institution_cards_external(spark, root),
+    )
+
+
+@query()
+def validate_assignment_metrics(spark, root):
+    return validation.assignment_metrics(assignments_by_unit_heuristic(spark, root))
+
+
+@query()
+def validate_assignment_shares(spark, root):
+    return validation.assignment_shares(assignments_by_unit_heuristic(spark, root))
+
+
+@query()
+def validate_phase_overlap(spark, root):
+    return validation.phase_overlap(source.awards(spark, root, "topic"), assignments_by_unit_heuristic(spark, root))
+
+
+@query()
+def validate_clustering_status(spark, root):
+    return validation.clustering_status(source.awards(spark, root, "topic"))
+
+
+# Sources and profiles.
+@query()
+def file_catalog(spark, root):
+    names = ("orders", "lineitem", "documents", "events", "embeddings")
+    tables = {name: source.table(spark, root, name) for name in names}
+    years = {"orders": "year(o_orderdate)", "lineitem": "year(l_shipdate)", "events": "year(ts)"}
+    catalog = profile.file_catalog(
+        {n: t.withColumn("year", F.expr(years[n])) if n in years else t for n, t in tables.items()},
+        {n: "year" for n in years},
+    )
+    return catalog.select("table_name", "file", "rows", "column_count", "kind", "min_year", "max_year")
+
+
+@query()
+def column_profile(spark, root):
+    return profile.column_profile(source.projects(spark, root, "unit", "org", "topic"))
+
+
+@query()
+def unique_key_check(spark, root):
+    return profile.key_check(source.projects(spark, root), "APPLICATION_ID")
+
+
+@query()
+def year_distribution(spark, root):
+    return profile.year_distribution(source.projects(spark, root), "FY")
+
+
+@query()
+def payload_records(spark, root):
+    events = source.table(spark, root, "events").select("event_id", "user_id", "event_type", "value", "props")
+    return files.payload_table(events, "props", "k bigint", ["user_id", "k"], ["event_id"])
+
+
+@query()
+def point_records(spark, root):
+    return files.point_records(source.points(spark, root))
+
+
+# Portfolio slices.
+@query()
+def slice_totals(spark, root):
+    choice = slices.Slice(units=frozenset({"CA", "HL", "AI"}), first_year=2000, last_year=2015, keyword="Ring",
+                          domains=frozenset({0, 2, 4}))
+    return slices.totals(source.points(spark, root), choice)
+
+
+@query()
+def slice_search(spark, root):
+    choice = slices.Slice(first_year=1995, keyword="77", topics=frozenset({1, 11, 21, 31}), search_ids=True)
+    return slices.selected(source.points(spark, root), choice).select(
+        "application_id", "title", "ic", "fy", F.col("cost").cast("double").alias("cost"), "domain", "topic"
+    )
+
+
+@query()
+def slice_group_counts(spark, root):
+    choice = slices.Slice(first_year=2005, keyword="systems")
+    points = source.points(spark, root)
+    parts = [
+        slices.group_counts(points, choice, level).withColumnRenamed(level, "id").withColumn("level", F.lit(level))
+        for level in ("domain", "topic", "subtopic")
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query()
+def slice_topic_legend(spark, root):
+    return slices.topic_legend(source.points(spark, root))
+
+
+@query()
+def slice_topic_totals(spark, root):
+    return slices.topic_totals(source.points(spark, root), [0, 12, 23])
+
+
+@query()
+def slice_facets(spark, root):
+    points = source.points(spark, root)
+    years = slices.year_facet(points).select(F.lit("years").alias("facet"), F.concat_ws("-", "fy_min", "fy_max").alias("value"))
+    return slices.unit_facet(points).select(F.lit("ic").alias("facet"), F.col("ic").alias("value")).unionByName(years)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("institute", "people")
+MODULES = ("institute", "people", "portfolio", "checks")
 
 
 def statements() -> dict[str, str]:
