@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grantloom.functions import wording
 from grantloom.functions.dimension import with_agency
 from grantloom.functions.numbers import rounded
-from grantloom.operators import neighbors
+from grantloom.operators import neighbors, ranking
 from grantloom.operators.facets import shown
 from grantloom.plans import (
     assignment,
@@ -17,8 +18,12 @@ from grantloom.plans import (
     institute,
     institution,
     investigator,
+    labels,
+    maps,
+    metrics,
     sampling,
     slices,
+    terms,
     texts,
     trends,
     validation,
@@ -589,10 +594,7 @@ def file_catalog(spark, root):
     names = ("orders", "lineitem", "documents", "events", "embeddings")
     tables = {name: source.table(spark, root, name) for name in names}
     years = {"orders": "year(o_orderdate)", "lineitem": "year(l_shipdate)", "events": "year(ts)"}
-    catalog = profile.file_catalog(
-        {n: t.withColumn("year", F.expr(years[n])) if n in years else t for n, t in tables.items()},
-        {n: "year" for n in years},
-    )
+    catalog = profile.file_catalog(tables, years)
     return catalog.select("table_name", "file", "rows", "column_count", "kind", "min_year", "max_year")
 
 
@@ -664,3 +666,193 @@ def slice_facets(spark, root):
     points = source.points(spark, root)
     years = slices.year_facet(points).select(F.lit("years").alias("facet"), F.concat_ws("-", "fy_min", "fy_max").alias("value"))
     return slices.unit_facet(points).select(F.lit("ic").alias("facet"), F.col("ic").alias("value")).unionByName(years)
+
+
+# Terms and labels.
+@query()
+def cleaned_terms(spark, root):
+    awards = source.awards(spark, root, "topic").where("project_terms is not null")
+    return awards.select(
+        "core_project_num",
+        wording.cleaned_terms(F.col("project_terms")).alias("cleaned"),
+        wording.lemmatized_text(F.col("project_terms")).alias("lemmatized"),
+    )
+
+
+@query()
+def term_document_frequency(spark, root):
+    rows = source.points(spark, root)
+    frequency = terms.document_frequency(rows, "application_id", wording.lemmatized(wording.lowered_terms(F.col("terms"))))
+    return terms.within_frequency(frequency, rows.agg(F.count(F.lit(1))).scalar(), 5, 0.4)
+
+
+@query()
+def kept_science_terms(spark, root):
+    keep = wording.words_in(["ring", "gear", "bolt", "panel"])
+    rows = source.points(spark, root)
+    kept = wording.kept_science(wording.lowered_terms(F.col("terms")), keep)
+    return terms.group_term_counts(rows, "domain", kept)
+
+
+@query()
+def document_term_weights(spark, root):
+    return terms.term_weights(source.table(spark, root, "documents"), "doc_id", "text").withColumn(
+        "weight", rounded(F.col("weight"), 6)
+    )
+
+
+@query()
+def strongest_document_terms(spark, root):
+    documents = source.table(spark, root, "documents")
+    weights = terms.term_weights(documents, "doc_id", "text")
+    return terms.strongest_terms(weights, documents.agg(F.count(F.lit(1))).scalar())
+
+
+@query()
+def cluster_term_labels(spark, root):
+    return labels.term_labels(source.points(spark, root))
+
+
+@query()
+def cluster_title_labels(spark, root):
+    return labels.title_labels(source.points(spark, root))
+
+
+@query()
+def hierarchy_category_labels(spark, root):
+    return labels.hierarchy_labels(source.points(spark, root))
+
+
+@query()
+def cluster_unit_category_labels(spark, root):
+    return labels.unit_category_labels(source.points(spark, root))
+
+
+@query()
+def cluster_three_category_labels(spark, root):
+    return labels.three_category_labels(source.points(spark, root))
+
+
+@query()
+def topic_specific_labels(spark, root):
+    points = source.points(spark, root)
+    return labels.specific_labels(points, "topic", labels.inherited_categories_as_parents(points, "topic"))
+
+
+@query()
+def topic_specific_labels_long(spark, root):
+    points = source.points(spark, root)
+    parents = labels.inherited_categories_as_parents(points, "topic")
+    return labels.specific_labels(
+        points, "topic", parents, 20, 3, " and ", wording.GENERIC_DOMAIN_TERMS, longest=None
+    )
+
+
+@query()
+def domain_keyword_categories(spark, root):
+    points = source.points(spark, root)
+    return labels.domain_categories(points).join(
+        labels.domain_categories_long(points).withColumnRenamed("category", "long_category"), "domain"
+    )
+
+
+@query()
+def subtopic_distinctive_labels(spark, root):
+    return labels.distinctive_labels(source.points(spark, root))
+
+
+# Quality.
+@query()
+def vector_silhouette(spark, root):
+    rows = source.vectors(spark, root)
+    values = [
+        (measure, metrics.silhouette(rows, "embedding", "cluster_id", measure))
+        for measure in ("squaredEuclidean", "cosine")
+    ]
+    return spark.createDataFrame(values, "measure string, silhouette double").withColumn(
+        "silhouette", F.round("silhouette", 6)
+    )
+
+
+@query()
+def vector_separation(spark, root):
+    return metrics.separation(source.vectors(spark, root), "embedding", "cluster_id")
+
+
+@query()
+def labeling_agreement(spark, root):
+    return metrics.adjusted_rand(source.points(spark, root), "cluster", "topic")
+
+
+@query()
+def mean_unit_purity(spark, root):
+    return metrics.mean_purity(source.points(spark, root), "cluster", "ic")
+
+
+@query()
+def pairwise_variation(spark, root):
+    return metrics.pairwise_variation(source.vectors(spark, root), "embedding")
+
+
+@query()
+def topic_quality_scores(spark, root):
+    return metrics.topic_scores(source.points(spark, root))
+
+
+@query()
+def cluster_size_diversity(spark, root):
+    return metrics.size_diversity(source.points(spark, root))
+
+
+@query()
+def map_spread(spark, root):
+    return metrics.spread(source.points(spark, root))
+
+
+@query()
+def clusters_per_domain(spark, root):
+    return metrics.nesting(source.points(spark, root))
+
+
+# Maps.
+@query()
+def level_centres(spark, root):
+    return maps.level_centres(source.points(spark, root))
+
+
+@query()
+def density_grid(spark, root):
+    return maps.density_grid(source.points(spark, root))
+
+
+@query()
+def region_boxes(spark, root):
+    return maps.region_boxes(source.points(spark, root))
+
+
+@query()
+def region_outlines(spark, root):
+    return maps.region_outlines(source.points(spark, root))
+
+
+def keyed_points(spark, root):
+    return source.points(spark, root).withColumn("key", F.concat_ws("-", "application_id", "title", "fy", "cost"))
+
+
+@query()
+def zoom_points(spark, root):
+    return maps.zoom_points(keyed_points(spark, root), 2.5).select("key", "domain", "x", "y")
+
+
+@query()
+def background_points(spark, root):
+    return ranking.thinned(keyed_points(spark, root), "key", 10).select("key", "domain", "x", "y")
+
+
+@query()
+def neighborhood_cards(spark, root):
+    points = keyed_points(spark, root)
+    centers = points.groupBy("cluster").agg(F.min_by(F.struct("x", "y"), "key").alias("p")).select(
+        F.col("cluster").alias("center"), "p.x", "p.y"
+    )
+    return maps.neighborhood_cards(centers, points.select("key", "x", "y", "cost"))

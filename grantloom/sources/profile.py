@@ -44,12 +44,15 @@ def column_roles(columns: list[str]) -> dict[str, list[str]]:
 
 
 def file_catalog(tables: dict[str, DataFrame], year_columns: dict[str, str] | None = None) -> DataFrame:
-    """Files of each table with rows, bytes, column count, kind and year range."""
+    """Files of each table with rows, bytes, column count, kind and year range.
+
+    ``year_columns`` gives the year expression of the tables that have one.
+    """
     year_columns = year_columns or {}
     parts = []
     for name, rows in tables.items():
         kind = dataset_kind(rows.columns)
-        year = F.col(year_columns[name]) if name in year_columns else F.lit(None)
+        year = F.expr(year_columns.get(name, "null"))
         parts.append(
             rows.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"),
                         year.cast("int").alias("year"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("institute", "people", "portfolio", "checks")
+MODULES = ("institute", "people", "portfolio", "checks", "insight")
 
 
 def statements() -> dict[str, str]:

@@ -149,8 +149,8 @@ UNION ALL SELECT 'Overlap (Should be 0)', count(*) FROM assigned JOIN clustered
     ),
     "file_catalog": " UNION ALL ".join(
         [
-            cataloged("orders", 7, "year(o_orderdate)"), cataloged("lineitem", 12, "year(l_shipdate)"),
-            cataloged("documents", 5), cataloged("events", 7, "year(ts)"), cataloged("embeddings", 3),
+            cataloged("orders", 6, "year(o_orderdate)"), cataloged("lineitem", 11, "year(l_shipdate)"),
+            cataloged("documents", 5), cataloged("events", 6, "year(ts)"), cataloged("embeddings", 3),
         ]
     ),
     "column_profile": with_base(" UNION ALL ".join(profiled(n, c, d) for n, (c, d) in PROFILED.items())),
