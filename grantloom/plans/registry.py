@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from grantloom.operators import neighbors, ranking
 from grantloom.operators.facets import shown
 from grantloom.plans import (
     assignment,
+    clustering,
     clusters,
+    features,
     institute,
     institution,
     investigator,
@@ -28,6 +31,7 @@ from grantloom.plans import (
     trends,
     validation,
 )
+from grantloom.session import checkpoint_ready
 from grantloom.sources import files, profile
 from grantloom.sources import portfolio as source
 
@@ -856,3 +860,124 @@ def neighborhood_cards(spark, root):
         F.col("cluster").alias("center"), "p.x", "p.y"
     )
     return maps.neighborhood_cards(centers, points.select("key", "x", "y", "cost"))
+
+
+# Features and clusterings.
+def described_vectors(spark, root):
+    """Embeddings joined to the document they belong to."""
+    documents = source.table(spark, root, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", "text")
+    return source.vectors(spark, root).join(documents, "vec_id")
+
+
+def vector_ids(spark, root):
+    return source.vectors(spark, root).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
+def placed_awards(spark, root):
+    """Awards collapsed from transactions, as two-dimensional vectors."""
+    awards = clusters.awards_from_transactions(source.points(spark, root))
+    return awards.withColumn("vector", F.array("umap_x", "umap_y"))
+
+
+@query()
+def text_projection(spark, root):
+    awards = source.awards(spark, root, "topic").where("project_title is not null").select("core_project_num", "project_title")
+    shaped = features.text_vectors(awards, "project_title")
+    checkpoint_ready(spark)
+    reduced = features.reduced(shaped, "tfidf", 20, "embedding").select("core_project_num", "embedding").checkpoint()
+    return features.plane(reduced, "embedding").select("core_project_num", "x", "y")
+
+
+def feature_blocks(spark, root):
+    rows = described_vectors(spark, root)
+    rows = features.scaled_embedding(rows, "embedding", "semantic")
+    rows = features.category_vectors(rows, F.array("lang", "source"), "categories")
+    return features.unit_vectors(rows, "source", "unit")
+
+
+@query()
+def hybrid_vectors(spark, root):
+    rows = features.text_vectors(feature_blocks(spark, root), "text", 3, 500, 5.0, 0.4)
+    weights = {"semantic": 0.50, "categories": 0.15, "unit": 0.10, "tfidf": 0.25}
+    return features.hybrid(rows, weights, "semantic").select("vec_id", vector_to_array("features").alias("features"))
+
+
+@query()
+def vector_k_means(spark, root):
+    rows = source.vectors(spark, root).withColumn("features", array_to_vector("embedding"))
+    return clustering.k_means(rows, "features", 100).select("vec_id", "cluster")
+
+
+@query()
+def vector_bisecting(spark, root):
+    rows = source.vectors(spark, root).withColumn("features", array_to_vector("embedding"))
+    return clustering.bisecting(rows, "features", 50).select("vec_id", "cluster")
+
+
+@query()
+def metadata_clusters(spark, root):
+    rows = features.metadata_vectors(source.awards(spark, root, "unit"))
+    return clustering.k_means(rows, "features", 75, iterations=20).select("core_project_num", "cluster")
+
+
+@query()
+def assigned_from_sample(spark, root):
+    known, _ = known_and_new_vectors(spark, root)
+    rows = source.vectors(spark, root).withColumn("features", array_to_vector("embedding"))
+    sample = known.withColumn("features", array_to_vector("embedding"))
+    return clustering.trained_on_sample(rows, "features", 20, sample).select("vec_id", "cluster")
+
+
+@query()
+def award_map_clusters(spark, root):
+    rows = placed_awards(spark, root).withColumn("features", array_to_vector("vector"))
+    return clustering.cluster_cards(clustering.k_means(rows, "features", 75, iterations=20))
+
+
+@query()
+def vector_hierarchy(spark, root):
+    return clustering.three_levels(vector_ids(spark, root), 10, "by_vector")
+
+
+@query()
+def award_map_hierarchy(spark, root):
+    rows = placed_awards(spark, root).select(F.col("application_id").alias("id"), "vector")
+    return clustering.three_levels(rows, 8, "by_award_map")
+
+
+@query()
+def coordinate_hierarchy(spark, root):
+    rows = placed_awards(spark, root).select(F.col("application_id").alias("id"), "vector")
+    return clustering.three_levels(rows, 5, "by_coordinates")
+
+
+@query()
+def clusters_per_unit(spark, root):
+    rows = described_vectors(spark, root).select(F.col("vec_id").alias("id"), "lang", F.col("embedding").alias("vector"))
+    return clustering.per_unit(rows, "lang")
+
+
+@query()
+def density_topics(spark, root):
+    points = source.points(spark, root).select(
+        F.col("application_id").alias("id"), F.col("domain").alias("group"), "x", "y"
+    )
+    return clustering.density_topics(points, 0.3, 50).select("id", "group", "topic", "was_noise")
+
+
+@query()
+def cluster_count_sweep(spark, root):
+    return metrics.min_max_composite(clustering.count_sweep(source.vectors(spark, root), "embedding"))
+
+
+@query()
+def weight_search(spark, root):
+    return clustering.weight_search(feature_blocks(spark, root), "semantic", "categories", "unit", "source", (50,))
+
+
+@query()
+def hierarchy_preference(spark, root):
+    sweep = clustering.count_sweep(source.vectors(spark, root), "embedding", (5, 8, 10))
+    return metrics.hierarchy_preference(
+        sweep.select(F.concat(F.lit("k-means "), F.col("k")).alias("name"), F.col("k").alias("n_clusters"), "silhouette")
+    )
