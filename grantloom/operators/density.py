@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.session import checkpoint_ready
@@ -137,11 +137,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Density cluster per point: ``(id, group, x, y, cluster)``; noise has no cluster.
+def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """Density cluster per distinct place: ``(group, x, y, n, cluster)``; noise has no cluster.
 
-    ``points`` has ``(id, group, x, y)``; groups are clustered apart.  Points at one place are handled as
-    one weighted place.  A border place joins the cluster of its nearest core place.
+    ``points`` has ``(group, x, y)``; groups are clustered apart.  Points at one place are one weighted
+    place, so copies cost nothing.  A border place joins the cluster of its nearest core place.
     """
     side = eps / math.sqrt(2)
     checkpoint_ready(points.sparkSession)
@@ -170,42 +170,51 @@ def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFra
         .agg(F.min_by("cluster", F.struct("gap", "cluster")).alias("cluster"))
     )
     placed = labelled.select("group", "x", "y", "cluster").unionByName(border)
-    return points.join(placed, ["group", "x", "y"], "left").select("id", "group", "x", "y", "cluster")
+    return marked.select("group", "x", "y", "n").join(placed, ["group", "x", "y"], "left").checkpoint()
+
+
+def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+    """Density cluster per point: ``(id, group, x, y, cluster)``; noise has no cluster."""
+    return on_points(points, density_places(points, eps, min_samples).drop("n"))
 
 
-def noise_to_nearest(clustered: DataFrame) -> DataFrame:
-    """Gives noise points the cluster of their group whose mean is nearest.
+def on_points(points: DataFrame, places: DataFrame) -> DataFrame:
+    return points.join(places, ["group", "x", "y"], "left")
+
+
+def noise_to_nearest(places: DataFrame) -> DataFrame:
+    """Gives noise places the cluster of their group whose mean over its points is nearest.
 
     The means of a group travel as one array per group; groups without a cluster keep their noise.
     """
-    means = clustered.where("cluster is not null").groupBy("group", "cluster").agg(
-        F.avg("x").alias("mx"), F.avg("y").alias("my")
+    weight = F.col("n").cast("double")
+    means = places.where("cluster is not null").groupBy("group", "cluster").agg(
+        (F.sum(F.col("x") * weight) / F.sum(weight)).alias("mx"), (F.sum(F.col("y") * weight) / F.sum(weight)).alias("my")
     )
     packed = means.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cluster", "mx", "my"))).alias("means"))
     table = packed.agg(F.map_from_entries(F.collect_list(F.struct("group", "means")))).scalar()
-    own = F.try_element_at("__means", F.col("group"))
     nearest = F.array_min(
         F.transform(
-            own,
+            F.col("__means"),
             lambda cell: F.struct(
                 (F.pow(cell["mx"] - F.col("x"), 2) + F.pow(cell["my"] - F.col("y"), 2)).alias("gap"),
                 cell["cluster"].alias("cluster"),
             ),
         )
     )["cluster"]
+    noise = F.col("cluster").isNull()
     return (
-        clustered.withColumn("__means", table)
-        .withColumn("was_noise", F.col("cluster").isNull())
-        .withColumn("cluster", F.coalesce("cluster", nearest))
-        .drop("__means")
+        places.withColumn("__table", table)
+        .withColumn("__means", F.when(noise, F.try_element_at("__table", F.col("group"))))
+        .withColumn("was_noise", noise)
+        .withColumn("cluster", F.when(noise, nearest).otherwise(F.col("cluster")))
+        .drop("__table", "__means")
     )
 
 
-def numbered(clustered: DataFrame) -> DataFrame:
+def numbered(places: DataFrame) -> DataFrame:
     """Running topic numbers over all groups, in (group, cluster) order."""
-    from pyspark.sql import Window
-
-    names = clustered.where("cluster is not null").groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    names = places.where("cluster is not null").groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("size"))
     order = Window.partitionBy(F.lit(1)).orderBy("group", "cluster")
     ids = names.withColumn("topic", (F.row_number().over(order) - 1).cast("int"))
-    return clustered.join(ids.select("group", "cluster", "topic"), ["group", "cluster"], "left")
+    return places.join(ids.select("group", "cluster", "topic"), ["group", "cluster"], "left")

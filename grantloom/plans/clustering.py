@@ -128,9 +128,13 @@ def per_unit(rows: DataFrame, unit: str, smallest: int = 50) -> DataFrame:
 
 
 def density_topics(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Density topics inside every domain, noise given to the nearest topic, running topic numbers."""
-    found = density.density_clusters(points, eps, min_samples)
-    return density.numbered(density.noise_to_nearest(found))
+    """Density topics inside every domain, noise given to the nearest topic, running topic numbers.
+
+    All steps work on distinct places; points get their topic in one last join.
+    """
+    places = density.density_places(points, eps, min_samples)
+    topics = density.numbered(density.noise_to_nearest(places)).drop("n").checkpoint()
+    return density.on_points(points, topics)
 
 
 def sizes_of(rows: DataFrame, label: str) -> tuple[int, int, float]:

@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.functions.wording import ngrams, tokens
+from grantloom.plans.terms import computed_once
 
 
 def text_vectors(
     rows: DataFrame, text: str, longest: int = 2, features: int = 5000, low: float = 2.0, high: float = 0.8
 ) -> DataFrame:
     """Adds ``tfidf``: L2-normalised weights with idf ``ln((1 + n) / (1 + df)) + 1``."""
-    worded = rows.withColumn("__words", tokens(F.col(text), 2)).withColumn("__grams", ngrams(F.col("__words"), longest))
+    worded = computed_once(rows, ["*"], "__words", tokens(F.col(text), 2))
+    worded = computed_once(worded, ["*"], "__grams", ngrams(F.col("__words"), longest))
     counted = CountVectorizer(
         inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=low, maxDF=high
     ).fit(worded).transform(worded)

@@ -18,7 +18,7 @@ from grantloom.functions.wording import (
 )
 from grantloom.operators.ranking import first_rows
 from grantloom.plans.clusters import lead_value
-from grantloom.plans.terms import group_term_counts, ranked_terms, term_lists
+from grantloom.plans.terms import computed_once, group_term_counts, ranked_terms, term_lists
 
 # Domain categories by keyword in the joined top terms, in order of precedence.
 DOMAIN_KEYWORDS = (
@@ -72,7 +72,7 @@ def title_labels(points: DataFrame, group: str = "cluster") -> DataFrame:
     alphabetical order."""
     # Equal titles of a group are cut into words once.
     titles = points.groupBy(group, "title").agg(F.count(F.lit(1)).alias("copies"))
-    words = titles.select(group, "copies", title_words(F.col("title")).alias("words"))
+    words = computed_once(titles, [group, "copies"], "words", title_words(F.col("title")))
     counts = words.select(group, "copies", F.explode(ngrams(F.col("words"), 2)).alias("term")).groupBy(group, "term").agg(
         F.sum("copies").alias("n")
     )

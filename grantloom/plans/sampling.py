@@ -9,6 +9,7 @@ from grantloom.functions.mechanisms import CLUSTERING_ELIGIBLE
 from grantloom.functions.numbers import BILLION, digest_number, rounded
 from grantloom.functions.years import cost_band, era
 from grantloom.operators.ranking import bernoulli, shuffled_head, shuffled_rank
+from grantloom.session import checkpoint_ready
 
 # Rule-based domains in order of precedence (number, pattern), and their names.
 DOMAIN_RULES = (
@@ -43,7 +44,17 @@ def year_unit_share(rows: DataFrame, key: str, share: float = 0.034, size: int =
     ranked = shuffled_rank(rows, ["FY", "IC_NAME"], key)
     quota = F.greatest(F.lit(1.0), F.floor(F.col("group_total") * share + 0.5).cast("double"))
     kept = ranked.where(F.col("row_number") <= quota).drop("row_number", "group_total")
-    return shuffled_head(kept, key, size)
+    return _cut(kept, key, size)
+
+
+def _cut(kept: DataFrame, key: str, size: int) -> DataFrame:
+    """At most ``size`` rows of a stratified sample.
+
+    The sample is small next to its input and is checkpointed, so the ranking is not run again to find
+    the cut.
+    """
+    checkpoint_ready(kept.sparkSession)
+    return shuffled_head(kept.checkpoint(), key, size)
 
 
 def with_stratum(projects: DataFrame) -> DataFrame:
@@ -59,7 +70,7 @@ def proportional(rows: DataFrame, key: str, size: int = 50_000) -> DataFrame:
     ranked = shuffled_rank(rows, ["stratum"], key).withColumn("__all", total)
     target = F.ceil(F.col("group_total") * F.lit(float(size)) / F.col("__all"))
     kept = ranked.where(F.col("row_number") <= target).drop("row_number", "group_total", "__all")
-    return shuffled_head(kept, key, size)
+    return _cut(kept, key, size)
 
 
 def year_unit_quota(rows: DataFrame, key: str, size: int = 100_000) -> DataFrame:
@@ -100,7 +111,7 @@ def equal_eras(awards: DataFrame, size: int = 250_000) -> DataFrame:
     ranked = shuffled_rank(eligible, ["administering_ic", "era"], "core_project_num")
     quota = F.floor(F.lit(float(size)) / F.col("__strata") + 0.5)
     kept = ranked.withColumn("__strata", strata.scalar()).where(F.col("row_number") <= quota)
-    return shuffled_head(kept.drop("row_number", "group_total", "__strata"), "core_project_num", size)
+    return _cut(kept.drop("row_number", "group_total", "__strata"), "core_project_num", size)
 
 
 def rule_domain(text: str) -> str:

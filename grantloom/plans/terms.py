@@ -26,20 +26,30 @@ def within_frequency(frequency: DataFrame, total: Column, low: int, high: float)
     return frequency.where((F.col("documents") >= low) & (F.col("documents") <= total * high))
 
 
+def computed_once(rows: DataFrame, keep: list[str], name: str, value: Column) -> DataFrame:
+    """Adds a column whose costly expression is not repeated where it is used several times.
+
+    The optimizer folds a projected array expression into each of its uses; the output of a generator is
+    a plain attribute.
+    """
+    return rows.select(*keep, F.explode(F.array(value)).alias(name))
+
+
 def term_weights(
     rows: DataFrame, key: str, text: str, longest: int = 3, low: int = 5, high: float = 0.4, features: int = 500
 ) -> DataFrame:
     """L2-normalised TF-IDF weights as (key, term, weight).
 
     The vocabulary is the ``features`` most frequent n-grams inside the document-frequency bounds, and
-    idf is ``ln((1 + n) / (1 + df)) + 1``.  Counting is map-side combined on (key, term); the
-    vocabulary is at most ``features`` rows, which bounds the broadcast.
+    idf is ``ln((1 + n) / (1 + df)) + 1``.  N-grams are counted per (key, term) once; all of a row's
+    n-grams are in one task, so the map side already sends each pair once.  That exchange serves both the
+    vocabulary and the weights.  The vocabulary is at most ``features`` rows, which bounds the broadcast.
     """
     total = rows.agg(F.count(F.lit(1))).scalar()
-    worded = rows.select(key, tokens(F.col(text)).alias("words"))
-    counts = exploded(worded, key, ngrams(F.col("words"), longest)).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    worded = computed_once(rows, [key], "words", tokens(F.col(text)))
+    # The explicit null test is the one the join would add; it keeps both uses of the exchange alike.
+    grams = exploded(worded, key, ngrams(F.col("words"), longest)).where("term is not null")
+    counts = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     corpus = counts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
     bounded = within_frequency(corpus, total, low, high)
     vocabulary = bounded.orderBy(F.desc("occurrences"), "term").limit(features).select(
