@@ -18,27 +18,35 @@ def shuffled_rank(rows: DataFrame, group: list[str], key: str) -> DataFrame:
     and rows are numbered inside (group, bucket), so one hot group is spread over all buckets.
     Join and window share one partitioning, hence one shuffle of the rows.
     """
-    digest = F.md5(F.col(key).cast("string"))
-    placed = rows.withColumn("__digest", digest).withColumn("__bucket", F.substring("__digest", 1, BUCKET_DIGITS))
-    sizes = placed.groupBy(*group, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
-    whole = Window.partitionBy(*group)
+    placed = rows.withColumn("__digest", F.md5(F.col(key).cast("string"))).withColumns(
+        {"__bucket": F.substring("__digest", 1, BUCKET_DIGITS)} | _null_safe(group)
+    )
+    own = [*_null_safe(group), "__bucket"]
+    sizes = placed.groupBy(*own).agg(F.count(F.lit(1)).alias("__size"))
+    whole = Window.partitionBy(*own[:-1])
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *[F.col(name).alias(f"__g_{name}") for name in group],
-        F.col("__bucket").alias("__g_bucket"),
+        *own,
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"),
         F.sum("__size").over(whole).alias("group_total"),
     )
-    match = F.col("__bucket") == F.col("__g_bucket")
-    for name in group:
-        match = match & F.col(name).eqNullSafe(F.col(f"__g_{name}"))
-    inside = Window.partitionBy(*group, "__bucket").orderBy("__digest", key)
-    numbered = placed.join(offsets, match).withColumn(
+    inside = Window.partitionBy(*own).orderBy("__digest", key)
+    numbered = placed.join(offsets, own).withColumn(
         "row_number", (F.col("__before") + F.row_number().over(inside)).cast("bigint")
     )
-    return numbered.drop(
-        "__digest", "__bucket", "__before", "__g_bucket", "__size", *[f"__g_{name}" for name in group]
-    )
+    return numbered.drop("__digest", "__before", *own)
+
+
+def _null_safe(group: list[str]) -> dict[str, Column]:
+    """Two columns per key that are equal exactly when the keys are equal or both missing.
+
+    Plain columns keep the partitioning of the join usable for the window behind it.
+    """
+    columns: dict[str, Column] = {}
+    for name in group:
+        columns[f"__key_{name}"] = F.coalesce(F.col(name).cast("string"), F.lit(""))
+        columns[f"__none_{name}"] = F.col(name).isNull()
+    return columns
 
 
 def shuffled_head(rows: DataFrame, key: str, count: int) -> DataFrame:

@@ -54,8 +54,9 @@ def by_unit_heuristic(awards: DataFrame) -> DataFrame:
     )
     order = [F.desc("ic_cluster_size"), F.col("cluster_id"), F.col("domain_id")]
     common = first_rows(sizes, ["administering_ic"], order, 1).drop("place")
+    # One row per funding unit: broadcasting it keeps a unit with a third of the awards in place.
     joined = awards.where("cluster_id is null").select("core_project_num", "administering_ic").join(
-        common, "administering_ic", "left"
+        F.broadcast(common), "administering_ic", "left"
     )
     return joined.select(
         "core_project_num",

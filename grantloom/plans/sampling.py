@@ -95,8 +95,9 @@ def year_unit_quota(rows: DataFrame, key: str, size: int = 100_000) -> DataFrame
     extra = F.when(F.col("largest") <= F.abs("rest"), F.signum("rest")).otherwise(0.0)
     quotas = strata.select("FY", "IC_NAME", (F.col("target") + extra).alias("quota"))
     ranked = shuffled_rank(eligible, ["FY", "IC_NAME"], key)
+    # 35 years times the funding units: the quota table is a dimension, whatever the number of rows.
     return (
-        ranked.join(quotas, ["FY", "IC_NAME"])
+        ranked.join(F.broadcast(quotas), ["FY", "IC_NAME"])
         .where(F.col("row_number") <= F.col("quota"))
         .drop("row_number", "group_total", "quota")
     )
