@@ -171,7 +171,9 @@ LEFT JOIN subtopic_cats s USING (subtopic)""",
         **INSIGHT,
     ),
     "cluster_three_category_labels": with_base(
-        "SELECT cluster, string_agg(term, ' | ' ORDER BY p) AS label FROM cluster_cats GROUP BY 1", **INSIGHT
+        """SELECT cluster, coalesce(string_agg(term, ' | ' ORDER BY p), 'Topic ' || cluster) AS label
+FROM sizes LEFT JOIN cluster_cats USING (cluster) GROUP BY 1""",
+        **INSIGHT,
     ),
     "topic_specific_labels": specific(15, 2, " / ", wording.GENERIC_TERMS, 50),
     "topic_specific_labels_long": specific(20, 3, " and ", wording.GENERIC_DOMAIN_TERMS, None),
