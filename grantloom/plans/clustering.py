@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from grantloom.functions.numbers import rounded
 from grantloom.operators import density, grouped_kmeans
-from grantloom.plans import features, metrics
-from grantloom.plans.clusters import purity_of
+from grantloom.plans import features, labels, metrics
+from grantloom.plans.clusters import lead_value, purity_of
 
 SEED = 42
 # Searched weights (embedding, categories, unit) and cluster counts.
@@ -208,13 +208,13 @@ def best(scores: DataFrame, score: str) -> DataFrame:
 
 
 def cluster_cards(points: DataFrame) -> DataFrame:
-    """Awards, funding, lead unit and centre of every cluster of an award map."""
-    from grantloom.plans.clusters import lead_value
-
+    """Label, awards, funding, lead unit and centre of every cluster of an award map."""
     totals = points.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_awards"),
         F.sum("total_cost").alias("funding"),
         rounded(F.avg("umap_x"), 4).alias("centroid_x"),
         rounded(F.avg("umap_y"), 4).alias("centroid_y"),
     )
-    return totals.join(lead_value(points, "cluster", "ic_name", "lead_ic"), "cluster", "left")
+    names = labels.title_labels(points.withColumnRenamed("project_title", "title"), "cluster").drop("keywords")
+    leads = lead_value(points, "cluster", "ic_name", "lead_ic")
+    return totals.join(names, "cluster", "left").join(leads, "cluster", "left")

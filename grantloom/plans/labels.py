@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from grantloom.functions.names import entries
 from grantloom.functions.wording import (
-    GENERIC_DOMAIN_TERMS,
     GENERIC_TERMS,
     lowered_terms,
     ngrams,
