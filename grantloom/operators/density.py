@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from grantloom.session import checkpoint_ready
+from grantloom.session import settled
 
 REACH = 2
 FINE = 4
@@ -114,9 +114,9 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
     ``nodes`` has ``node``; ``edges`` has ``(a, b)``.  Every round is checkpointed, which cuts the lineage
     and survives lost executors.
     """
-    checkpoint_ready(nodes.sparkSession)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    links = settled(edges)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = settled(nodes.select("node", F.col("node").alias("label")))
     for _ in range(rounds):
         offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("offer")
@@ -125,10 +125,8 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
             "node", "label", F.least("label", F.coalesce("offer", "label")).alias("next")
         )
         jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        step = (
-            hooked.join(jump, "next", "left")
-            .select("node", "label", F.least("next", "further").alias("next"))
-            .checkpoint()
+        step = settled(
+            hooked.join(jump, "next", "left").select("node", "label", F.least("next", "further").alias("next"))
         )
         changed = step.where(F.col("label") != F.col("next")).limit(1).count()
         labels = step.select("node", F.col("next").alias("label"))
@@ -144,9 +142,8 @@ def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame
     place, so copies cost nothing.  A border place joins the cluster of its nearest core place.
     """
     side = eps / math.sqrt(2)
-    checkpoint_ready(points.sparkSession)
     sites = _cells(points.groupBy("group", "x", "y").agg(F.count(F.lit(1)).alias("n")), side)
-    marked = core_sites(sites, eps, min_samples).checkpoint()
+    marked = settled(core_sites(sites, eps, min_samples))
     cores = marked.where("is_core")
     name = lambda x, y: F.concat_ws(",", "group", F.col(x), F.col(y))
     nodes = cores.select("group", "gx", "gy").distinct().withColumn("node", name("gx", "gy"))
@@ -170,7 +167,7 @@ def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame
         .agg(F.min_by("cluster", F.struct("gap", "cluster")).alias("cluster"))
     )
     placed = labelled.select("group", "x", "y", "cluster").unionByName(border)
-    return marked.select("group", "x", "y", "n").join(placed, ["group", "x", "y"], "left").checkpoint()
+    return settled(marked.select("group", "x", "y", "n").join(placed, ["group", "x", "y"], "left"))
 
 
 def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFrame:

@@ -15,6 +15,7 @@ from grantloom.functions.numbers import rounded
 from grantloom.operators import density, grouped_kmeans
 from grantloom.plans import features, labels, metrics
 from grantloom.plans.clusters import lead_value, purity_of
+from grantloom.session import settled
 
 SEED = 42
 # Searched weights (embedding, categories, unit) and cluster counts.
@@ -133,7 +134,7 @@ def density_topics(points: DataFrame, eps: float, min_samples: int) -> DataFrame
     All steps work on distinct places; points get their topic in one last join.
     """
     places = density.density_places(points, eps, min_samples)
-    topics = density.numbered(density.noise_to_nearest(places)).drop("n").checkpoint()
+    topics = settled(density.numbered(density.noise_to_nearest(places)).drop("n"))
     return density.on_points(points, topics)
 
 

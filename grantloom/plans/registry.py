@@ -31,7 +31,7 @@ from grantloom.plans import (
     trends,
     validation,
 )
-from grantloom.session import checkpoint_ready
+from grantloom.session import settled
 from grantloom.sources import files, profile
 from grantloom.sources import portfolio as source
 
@@ -883,8 +883,7 @@ def placed_awards(spark, root):
 def text_projection(spark, root):
     awards = source.awards(spark, root, "topic").where("project_title is not null").select("core_project_num", "project_title")
     shaped = features.text_vectors(awards, "project_title")
-    checkpoint_ready(spark)
-    reduced = features.reduced(shaped, "tfidf", 20, "embedding").select("core_project_num", "embedding").checkpoint()
+    reduced = settled(features.reduced(shaped, "tfidf", 20, "embedding").select("core_project_num", "embedding"))
     return features.plane(reduced, "embedding").select("core_project_num", "x", "y")
 
 

@@ -9,7 +9,7 @@ from grantloom.functions.mechanisms import CLUSTERING_ELIGIBLE
 from grantloom.functions.numbers import BILLION, digest_number, rounded
 from grantloom.functions.years import cost_band, era
 from grantloom.operators.ranking import bernoulli, shuffled_head, shuffled_rank
-from grantloom.session import checkpoint_ready
+from grantloom.session import settled
 
 # Rule-based domains in order of precedence (number, pattern), and their names.
 DOMAIN_RULES = (
@@ -53,8 +53,7 @@ def _cut(kept: DataFrame, key: str, size: int) -> DataFrame:
     The sample is small next to its input and is checkpointed, so the ranking is not run again to find
     the cut.
     """
-    checkpoint_ready(kept.sparkSession)
-    return shuffled_head(kept.checkpoint(), key, size)
+    return shuffled_head(settled(kept), key, size)
 
 
 def with_stratum(projects: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "grantloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,5 +46,15 @@ def checkpoint_ready(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
-def local_cpus() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+def settled(rows: DataFrame) -> DataFrame:
+    """Checkpointed rows.
+
+    Writing a checkpoint evaluates the rows once to count and once to write; they are held meanwhile so
+    the work is done once.
+    """
+    checkpoint_ready(rows.sparkSession)
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return held.checkpoint()
+    finally:
+        held.unpersist()
