@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from grantloom.llm.bpe import op1_byte_bpe
 from grantloom.llm.codes import op4_token_files
+from grantloom.llm.quality import op8_quality_rules
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_token_files": op4_token_files,
+    "op8_quality_rules": op8_quality_rules,
 }
 
 SQL: dict[str, str] = {}
