@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from grantloom.llm.bpe import op1_byte_bpe
 from grantloom.llm.codes import op4_token_files
+from grantloom.llm.langid import op5_language_id
 from grantloom.llm.quality import op8_quality_rules
+from grantloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op4_token_files": op4_token_files,
+    "op5_language_id": op5_language_id,
+    "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
 }
 
