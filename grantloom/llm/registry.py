@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from grantloom.llm.bpe import op1_byte_bpe
 from grantloom.llm.codes import op4_token_files
+from grantloom.llm.decontaminate import op10_decontamination
 from grantloom.llm.langid import op5_language_id
 from grantloom.llm.quality import op8_quality_rules
 from grantloom.llm.toxicity import op7_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
