@@ -7,6 +7,7 @@ from grantloom.llm.codes import op4_token_files
 from grantloom.llm.decontaminate import op10_decontamination
 from grantloom.llm.langid import op5_language_id
 from grantloom.llm.quality import op8_quality_rules
+from grantloom.llm.secrets import op9_secret_scan
 from grantloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
+    "op9_secret_scan": op9_secret_scan,
     "op10_decontamination": op10_decontamination,
 }
 
