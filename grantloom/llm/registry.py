@@ -8,10 +8,12 @@ from grantloom.llm.decontaminate import op10_decontamination
 from grantloom.llm.langid import op5_language_id
 from grantloom.llm.quality import op8_quality_rules
 from grantloom.llm.secrets import op9_secret_scan
+from grantloom.llm.simhash import op2_simhash
 from grantloom.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_simhash": op2_simhash,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
