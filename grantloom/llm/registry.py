@@ -6,6 +6,7 @@ from grantloom.llm.bpe import op1_byte_bpe
 from grantloom.llm.codes import op4_token_files
 from grantloom.llm.decontaminate import op10_decontamination
 from grantloom.llm.langid import op5_language_id
+from grantloom.llm.pitman_yor import op3_pitman_yor
 from grantloom.llm.quality import op8_quality_rules
 from grantloom.llm.secrets import op9_secret_scan
 from grantloom.llm.simhash import op2_simhash
@@ -14,6 +15,7 @@ from grantloom.llm.toxicity import op7_toxicity
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_simhash": op2_simhash,
+    "op3_pitman_yor": op3_pitman_yor,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
     "op7_toxicity": op7_toxicity,
