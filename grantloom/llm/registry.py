@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from grantloom.llm.bpe import op1_byte_bpe
+from grantloom.llm.chat import op6_chat_repair
 from grantloom.llm.codes import op4_token_files
 from grantloom.llm.decontaminate import op10_decontamination
 from grantloom.llm.langid import op5_language_id
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_pitman_yor": op3_pitman_yor,
     "op4_token_files": op4_token_files,
     "op5_language_id": op5_language_id,
+    "op6_chat_repair": op6_chat_repair,
     "op7_toxicity": op7_toxicity,
     "op8_quality_rules": op8_quality_rules,
     "op9_secret_scan": op9_secret_scan,
