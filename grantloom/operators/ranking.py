@@ -10,33 +10,72 @@ from grantloom.functions.numbers import digest_number
 BUCKET_DIGITS = 3
 
 
-def shuffled_rank(rows: DataFrame, group: list[str], key: str) -> DataFrame:
-    """Adds ``row_number`` (md5 order of ``key``) and ``group_total``.
+def key_digest(key: str, salt: str = "") -> Column:
+    """The md5 that orders rows; a missing key has the digest of an empty one."""
+    return F.md5(F.concat(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))))
 
-    Equals ``row_number() over (partition by group order by md5(key), key)``.  The md5 order is
-    cut into 4096 buckets by its leading digits; counts per bucket give each bucket its offset,
-    and rows are numbered inside (group, bucket), so one hot group is spread over all buckets.
-    Join and window share one partitioning, hence one shuffle of the rows.
-    """
-    placed = rows.withColumn("__digest", F.md5(F.col(key).cast("string"))).withColumns(
-        {"__bucket": F.substring("__digest", 1, BUCKET_DIGITS)} | _null_safe(group)
+
+def _placed(rows: DataFrame, group: list[str], key: str, digits: int) -> tuple[DataFrame, list[str]]:
+    """Rows with digest, bucket and null-safe group columns, and the names of these columns."""
+    placed = rows.withColumn("__digest", key_digest(key)).withColumns(
+        {"__bucket": F.substring("__digest", 1, digits)} | _null_safe(group)
     )
-    own = [*_null_safe(group), "__bucket"]
-    sizes = placed.groupBy(*own).agg(F.count(F.lit(1)).alias("__size"))
-    whole = Window.partitionBy(*own[:-1])
+    return placed, list(_null_safe(group))
+
+
+def _offsets(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and bucket the rows of the buckets before, and the rows of the group."""
+    sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
+    whole = Window.partitionBy(*keys)
     before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *own,
+    return sizes.select(
+        *keys,
+        "__bucket",
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__before"),
         F.sum("__size").over(whole).alias("group_total"),
     )
+
+
+def shuffled_rank(rows: DataFrame, group: list[str], key: str, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """Adds ``row_number`` (md5 order of ``key``) and ``group_total``.
+
+    Equals ``row_number() over (partition by group order by md5(key), key)``.  The md5 order is
+    cut into buckets by its leading ``digits`` hexadecimal digits; counts per bucket give each bucket its
+    offset, and rows are numbered inside (group, bucket), so one hot group is spread over all buckets.
+    Join and window share one partitioning, hence one shuffle of the rows.
+    """
+    placed, keys = _placed(rows, group, key, digits)
+    own = [*keys, "__bucket"]
     inside = Window.partitionBy(*own).orderBy("__digest", key)
-    numbered = placed.join(offsets, own).withColumn(
+    numbered = placed.join(_offsets(placed, keys), own).withColumn(
         "row_number", (F.col("__before") + F.row_number().over(inside)).cast("bigint")
     )
     return numbered.drop("__digest", "__before", *own)
 
 
+def quota_sample(rows: DataFrame, group: list[str], key: str, quota: Column | DataFrame, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """The first ``quota`` rows of every group in md5 order of ``key``.
+
+    ``quota`` is an expression on ``group_total``, or a table of the group columns and ``quota``.  The
+    counts per bucket tell in which bucket a group reaches its quota, so one row per group is joined to
+    the rows and all later buckets are dropped before any row is shuffled; only what is left (the quota and
+    at most one bucket more) is ranked.
+    """
+    placed, keys = _placed(rows, group, key, digits)
+    offsets = _offsets(placed, keys)
+    if isinstance(quota, Column):
+        offsets = offsets.withColumn("__quota", quota)
+    else:
+        table = quota.select("quota", *(c.alias(n) for n, c in _null_safe(group).items()))
+        offsets = offsets.join(table.withColumnRenamed("quota", "__quota"), keys) if keys else offsets.crossJoin(table)
+    last = offsets.where(F.col("__before") < F.col("__quota")).groupBy(*keys).agg(
+        F.max("__bucket").alias("__last"), F.max("__quota").alias("__quota")
+    )
+    near = placed.join(last, keys).where(F.col("__bucket") <= F.col("__last")).drop("__digest", "__bucket", "__last", *keys)
+    ranked = shuffled_rank(near, group, key, digits)
+    return ranked.where(F.col("row_number") <= F.col("__quota")).drop("row_number", "group_total", "__quota")
+
+
 def _null_safe(group: list[str]) -> dict[str, Column]:
     """Two columns per key that are equal exactly when the keys are equal or both missing.
 
@@ -49,13 +88,13 @@ def _null_safe(group: list[str]) -> dict[str, Column]:
     return columns
 
 
-def shuffled_head(rows: DataFrame, key: str, count: int) -> DataFrame:
-    """``count`` rows in md5 order of ``key``: the repeatable form of a seeded random pick.
+def shuffled_head(rows: DataFrame, key: str, count: int, salt: str = "") -> DataFrame:
+    """``count`` rows in md5 order of the salted ``key``: the repeatable form of a seeded random pick.
 
-    The cut is found from bucket counts, so no task sorts the whole input.
+    A bounded ``count`` is a top list: every task sends its ``count`` first rows at most.  Another salt is an
+    independent draw.
     """
-    ranked = shuffled_rank(rows, [], key)
-    return ranked.where(F.col("row_number") <= count).drop("row_number", "group_total")
+    return rows.withColumn("__digest", key_digest(key, salt)).orderBy("__digest", key).limit(count).drop("__digest")
 
 
 def first_rows(rows: DataFrame, group: list[str], order: list[Column], count: int) -> DataFrame:

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from grantloom.functions.mechanisms import CLUSTERING_ELIGIBLE
 from grantloom.functions.numbers import BILLION, digest_number, rounded
 from grantloom.functions.years import cost_band, era
-from grantloom.operators.ranking import bernoulli, shuffled_head, shuffled_rank
-from grantloom.session import settled
+from grantloom.operators.ranking import bernoulli, quota_sample, shuffled_head
 
 # Rule-based domains in order of precedence (number, pattern), and their names.
 DOMAIN_RULES = (
@@ -37,23 +36,22 @@ DOMAIN_NAMES = (
     "Bioengineering & Technology",
 )
 TOPICS_PER_DOMAIN = 6
+CUT_SALT = "cut:"
 
 
 def year_unit_share(rows: DataFrame, key: str, share: float = 0.034, size: int = 50_000) -> DataFrame:
     """A fixed share of every (year, unit) stratum, one row at least."""
-    ranked = shuffled_rank(rows, ["FY", "IC_NAME"], key)
     quota = F.greatest(F.lit(1.0), F.floor(F.col("group_total") * share + 0.5).cast("double"))
-    kept = ranked.where(F.col("row_number") <= quota).drop("row_number", "group_total")
-    return _cut(kept, key, size)
+    return _cut(quota_sample(rows, ["FY", "IC_NAME"], key, quota), key, size)
 
 
 def _cut(kept: DataFrame, key: str, size: int) -> DataFrame:
     """At most ``size`` rows of a stratified sample.
 
-    The sample is small next to its input and is checkpointed, so the ranking is not run again to find
-    the cut.
+    The cut is a draw of its own, independent of the order inside the strata: rounding up gives small strata
+    rows that come last in their order, and a cut in the same order would take just these away again.
     """
-    return shuffled_head(settled(kept), key, size)
+    return shuffled_head(kept, key, size, CUT_SALT)
 
 
 def with_stratum(projects: DataFrame) -> DataFrame:
@@ -66,10 +64,8 @@ def with_stratum(projects: DataFrame) -> DataFrame:
 def proportional(rows: DataFrame, key: str, size: int = 50_000) -> DataFrame:
     """Strata keep their share of the population; every stratum is rounded up."""
     total = rows.agg(F.count(F.lit(1))).scalar()
-    ranked = shuffled_rank(rows, ["stratum"], key).withColumn("__all", total)
-    target = F.ceil(F.col("group_total") * F.lit(float(size)) / F.col("__all"))
-    kept = ranked.where(F.col("row_number") <= target).drop("row_number", "group_total", "__all")
-    return _cut(kept, key, size)
+    target = F.ceil(F.col("group_total") * F.lit(float(size)) / total)
+    return _cut(quota_sample(rows, ["stratum"], key, target), key, size)
 
 
 def year_unit_quota(rows: DataFrame, key: str, size: int = 100_000) -> DataFrame:
@@ -93,13 +89,7 @@ def year_unit_quota(rows: DataFrame, key: str, size: int = 100_000) -> DataFrame
     strata = strata.withColumn("largest", largest)
     extra = F.when(F.col("largest") <= F.abs("rest"), F.signum("rest")).otherwise(0.0)
     quotas = strata.select("FY", "IC_NAME", (F.col("target") + extra).alias("quota"))
-    ranked = shuffled_rank(eligible, ["FY", "IC_NAME"], key)
-    # 35 years times the funding units: the quota table is a dimension, whatever the number of rows.
-    return (
-        ranked.join(F.broadcast(quotas), ["FY", "IC_NAME"])
-        .where(F.col("row_number") <= F.col("quota"))
-        .drop("row_number", "group_total", "quota")
-    )
+    return quota_sample(eligible, ["FY", "IC_NAME"], key, quotas)
 
 
 def equal_eras(awards: DataFrame, size: int = 250_000) -> DataFrame:
@@ -108,10 +98,8 @@ def equal_eras(awards: DataFrame, size: int = 250_000) -> DataFrame:
         f"first_fiscal_year >= 2000 and length(project_title) > 20 and {CLUSTERING_ELIGIBLE.sql()}"
     ).withColumn("era", era(F.col("first_fiscal_year")))
     strata = eligible.select("administering_ic", "era").distinct().agg(F.count(F.lit(1)))
-    ranked = shuffled_rank(eligible, ["administering_ic", "era"], "core_project_num")
-    quota = F.floor(F.lit(float(size)) / F.col("__strata") + 0.5)
-    kept = ranked.withColumn("__strata", strata.scalar()).where(F.col("row_number") <= quota)
-    return _cut(kept.drop("row_number", "group_total", "__strata"), "core_project_num", size)
+    quota = F.floor(F.lit(float(size)) / strata.scalar() + 0.5)
+    return _cut(quota_sample(eligible, ["administering_ic", "era"], "core_project_num", quota), "core_project_num", size)
 
 
 def rule_domain(text: str) -> str:

@@ -57,7 +57,7 @@ SAMPLES = {
     "share_ranked": """SELECT *, row_number() OVER (PARTITION BY fy, ic_name ORDER BY md5(row_key), row_key) AS rn,
   count(*) OVER (PARTITION BY fy, ic_name) AS total FROM keyed""",
     "shared_rows": """SELECT * FROM share_ranked WHERE rn <= greatest(1, floor(total * 0.034::DOUBLE + 0.5))
-ORDER BY md5(row_key), row_key LIMIT 50000""",
+ORDER BY md5('cut:' || row_key), row_key LIMIT 50000""",
     "strata": f"""SELECT *, concat_ws('_', ic_name, fy::INTEGER::VARCHAR,
   CASE WHEN total_cost < 250000 THEN 'LOW' WHEN total_cost < 750000 THEN 'MED' ELSE 'HIGH' END) AS stratum
 FROM keyed WHERE {ELIGIBLE}""",
@@ -160,7 +160,7 @@ LEFT JOIN t_ics USING (domain_id, domain_name, cluster_id, cluster_label)""",
     "sample_proportional_strata": with_base(
         f"""SELECT {SAMPLE}, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(row_key), row_key) AS rn,
   ceil(count(*) OVER (PARTITION BY stratum) * 50000::DOUBLE / count(*) OVER ()) AS target FROM strata)
-WHERE rn <= target ORDER BY md5(row_key), row_key LIMIT 50000""",
+WHERE rn <= target ORDER BY md5('cut:' || row_key), row_key LIMIT 50000""",
         **SAMPLES,
     ),
     "sample_year_unit_quota": with_base(
@@ -173,7 +173,7 @@ WHERE rn <= target ORDER BY md5(row_key), row_key LIMIT 50000""",
   total_lifetime_funding::DOUBLE AS total_lifetime_funding, era FROM (SELECT *, row_number() OVER (
     PARTITION BY administering_ic, era ORDER BY md5(core_project_num), core_project_num) AS rn FROM eligible_awards)
 WHERE rn <= floor(250000::DOUBLE / (SELECT count(*) FROM (SELECT DISTINCT administering_ic, era FROM eligible_awards)) + 0.5)
-ORDER BY md5(core_project_num), core_project_num LIMIT 250000""",
+ORDER BY md5('cut:' || core_project_num), core_project_num LIMIT 250000""",
         **SAMPLES,
     ),
     "sample_rule_domains": with_base(f"SELECT {SAMPLE}, domain, domain_label, topic FROM ruled", **SAMPLES),

@@ -40,6 +40,40 @@ def test_shuffled_head_is_the_digest_order(spark):
     assert got == set(sorted(range(3000), key=digest)[:100])
 
 
+def test_missing_keys_are_ranked_too(spark):
+    rows = spark.createDataFrame([(None, "a"), (None, "a"), (3, "a"), (4, None)], "id long, g string")
+    assert sorted(r.row_number for r in ranking.shuffled_rank(rows, ["g"], "id").collect()) == [1, 1, 2, 3]
+    assert ranking.quota_sample(rows, ["g"], "id", F.lit(10)).count() == 4
+    assert ranking.shuffled_head(rows, "id", 4).count() == 4
+
+
+def test_quota_sample_is_the_first_rows_of_each_group(spark):
+    rows = skewed(spark)
+    quota = F.ceil(F.col("group_total") * 0.1)
+    got = {r.id for r in ranking.quota_sample(rows, ["g"], "id", quota).collect()}
+    frame = pd.DataFrame([r.asDict() for r in rows.collect()])
+    frame["digest"] = frame["id"].map(digest)
+    want = set()
+    for _, part in frame.sort_values("digest").groupby("g"):
+        want |= set(part["id"].head(math.ceil(len(part) * 0.1)))
+    assert got == want
+    table = spark.createDataFrame([("hot", 7), ("g1", 2), ("none", 3)], "g string, quota int")
+    found = ranking.quota_sample(rows, ["g"], "id", table).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in found} == {"hot": 7, "g1": 2}
+
+
+def test_cut_is_independent_of_the_order_in_the_strata(spark):
+    """Small strata keep the share that an independent draw leaves them."""
+    rows = spark.range(22_000).select(
+        F.col("id"), F.when(F.col("id") < 19_000, F.lit("big")).otherwise(F.concat(F.lit("s"), F.col("id") % 300)).alias("stratum")
+    )
+    kept = sampling.proportional(rows, "id", 200).groupBy((F.col("stratum") == "big").alias("big")).count().collect()
+    shares = {r.big: r["count"] for r in kept}
+    candidates = math.ceil(19_000 * 200 / 22_000), 300
+    assert sum(shares.values()) == 200
+    assert abs(shares[False] - 200 * candidates[1] / sum(candidates)) < 25
+
+
 def test_grouped_median_is_the_lower_median(spark):
     random = np.random.RandomState(1)
     data = pd.DataFrame({"k": random.randint(0, 3, 500), "v": random.randint(0, 9000, 500).astype(float)})
