@@ -108,16 +108,16 @@ def _links(cores: DataFrame, eps: float, side: float) -> DataFrame:
     return sure.unionByName(late)
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest reachable node per node, by hooking to the smallest neighbour and pointer jumping.
 
     ``nodes`` has ``node``; ``edges`` has ``(a, b)``.  Every round is checkpointed, which cuts the lineage
-    and survives lost executors.
+    and survives lost executors.  Labels only ever fall, so the rounds end, when none has changed.
     """
     links = settled(edges)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = settled(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(rounds):
+    while True:
         offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
             F.min("label").alias("offer")
         )
@@ -132,7 +132,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         labels = step.select("node", F.col("next").alias("label"))
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame:

@@ -6,6 +6,8 @@ of the rows is spread over the values it owns instead of landing in one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +111,10 @@ def yearly_distinct(rows: DataFrame, keys: list[str], mask: Column, facets: dict
     )
     years = merged.select(*keys, "facet", F.explode(mask_years(F.col("__mask"))).alias("fiscal_year"))
     return years.groupBy(*keys, "fiscal_year").agg(*[distinct_of(name).alias(name) for name in facets])
+
+
+def attached(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which a missing key meets a missing key, as in one GROUP BY over all figures."""
+    names = {key: f"__{key}" for key in keys}
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(name)) for key, name in names.items()])
+    return rows.join(more.withColumnsRenamed(names), same, "left").drop(*names.values())

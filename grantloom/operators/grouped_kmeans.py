@@ -11,13 +11,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from grantloom.operators.ranking import first_rows
 
-SEED_ROWS_PER_CENTRE = 32
+#: Distinct vectors of a group that a start is chosen from, per centre; rounds are a guard, fits end by tolerance.
+SEED_VECTORS_PER_CENTRE, MOST_ROUNDS, TOLERANCE = 32, 300, 1e-4
 
 
 def plus_plus(matrix: np.ndarray, k: int, seed: int) -> np.ndarray:
@@ -49,64 +52,84 @@ def _centres(rows: pd.DataFrame) -> dict[int, np.ndarray]:
     return {group: np.stack(part.sort_values("centre")["vector"].to_numpy()) for group, part in rows.groupby("group")}
 
 
-def fit(rows: DataFrame, max_centres: int, seed: int = 42, iterations: int = 20, tolerance: float = 1e-4):
-    """Centres per group.
+def _starting(seed: int):
+    def begin(part: pd.DataFrame) -> pd.DataFrame:
+        chosen = plus_plus(np.stack(part["vector"].to_numpy()), int(part["k"].iloc[0]), seed)
+        return pd.DataFrame({"group": int(part["group"].iloc[0]), "centre": np.arange(len(chosen)), "vector": list(chosen)})
+
+    return begin
+
+
+def fit(
+    rows: DataFrame, max_centres: int, seed: int = 42, iterations: int = MOST_ROUNDS, tolerance: float = TOLERANCE, starts: int = 1
+) -> dict[int, np.ndarray]:
+    """Centres per group, of the start with the least cost.
 
     ``rows`` has ``(id, group int, k int, vector array<double>)`` and is read once per iteration, so the
-    caller should hold it in a stored or persisted form.  Starting centres come from a bounded sample of
-    each group in digest order.
+    caller should hold it in a stored or persisted form.  Starting centres come from the distinct vectors of
+    each group in digest order, so a group gets fewer than ``k`` centres only if it has fewer distinct
+    vectors.  A fit ends when no centre moves by more than ``tolerance``.
     """
+    distinct = rows.groupBy("group", "vector").agg(F.max("k").alias("k"))
+    digest = F.md5(F.array_join(F.col("vector").cast("array<string>"), ","))
     sample = first_rows(
-        rows.select("group", "k", "vector", F.md5(F.col("id").cast("string")).alias("digest"), "id"),
-        ["group"],
-        [F.col("digest"), F.col("id")],
-        SEED_ROWS_PER_CENTRE * max_centres,
-    ).drop("digest", "id", "place")
-
-    def start(part: pd.DataFrame) -> pd.DataFrame:
-        found = plus_plus(np.stack(part["vector"].to_numpy()), int(part["k"].iloc[0]), seed)
-        return pd.DataFrame(
-            {"group": int(part["group"].iloc[0]), "centre": np.arange(len(found)), "vector": list(found)}
-        )
-
-    seeds = sample.groupBy("group").applyInPandas(start, "group int, centre int, vector array<double>")
-    centres = _centres(seeds.toPandas())  # groups x centres rows
-    for _ in range(iterations):
-        moved = _step(rows, centres)
-        shift = max(float(np.abs(moved[group] - centres[group]).max()) for group in centres)
-        centres = moved
-        if shift <= tolerance:
-            break
-    return centres
-
-
-def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, np.ndarray]:
+        distinct.withColumn("digest", digest), ["group"], [F.col("digest")], SEED_VECTORS_PER_CENTRE * max_centres
+    ).drop("digest", "place").persist()
+    found: dict[int, np.ndarray] = {}
+    least = None
+    try:
+        for start in range(starts):
+            seeds = sample.groupBy("group").applyInPandas(_starting(seed + start), "group int, centre int, vector array<double>")
+            centres = _centres(seeds.toPandas())  # groups x centres rows
+            for _ in range(iterations):
+                moved, cost = _step(rows, centres)
+                shift = max((float(np.abs(moved[group] - centres[group]).max()) for group in centres), default=0.0)
+                centres = moved
+                if shift <= tolerance:
+                    break
+            if least is None or cost < least:
+                found, least = centres, cost
+    finally:
+        sample.unpersist()
+    return found
+
+
+def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], float]:
+    """Centres after one pass, and the cost of the centres before it.
+
+    Partitions send one vector sum per (group, centre); the sums meet as vectors, not as one row per
+    dimension.
+    """
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = {group: np.zeros_like(found) for group, found in centres.items()}
         counts = {group: np.zeros(len(found)) for group, found in centres.items()}
+        costs = {group: np.zeros(len(found)) for group, found in centres.items()}
         for batch in batches:
-            for group, _, matrix, best, _ in _by_group(batch, centres):
+            for group, _, matrix, best, gaps in _by_group(batch, centres):
                 np.add.at(sums[group], best, matrix)
                 np.add.at(counts[group], best, 1)
+                np.add.at(costs[group], best, gaps)
         out = [
-            (group, place, counts[group][place], sums[group][place])
+            (group, place, counts[group][place], costs[group][place], sums[group][place])
             for group in sums
             for place in np.flatnonzero(counts[group])
         ]
         if out:
-            yield pd.DataFrame(out, columns=["group", "centre", "n", "vector"])
+            yield pd.DataFrame(out, columns=["group", "centre", "n", "cost", "vector"])
 
-    parts = rows.select("group", "vector").mapInPandas(partial, "group int, centre int, n double, vector array<double>")
+    parts = rows.select("group", "vector").mapInPandas(partial, "group int, centre int, n double, cost double, vector array<double>")
     merged = (
-        parts.select("group", "centre", "n", F.posexplode("vector").alias("dim", "value"))
-        .groupBy("group", "centre", "dim")
-        .agg((F.sum("value") / F.sum("n")).alias("value"))
+        parts.groupBy("group", "centre")
+        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("vector")).alias("total"))
+        .withColumn("vector", vector_to_array("total"))
+        .drop("total")
         .toPandas()
     )
     moved = {group: found.copy() for group, found in centres.items()}
-    for (group, place), part in merged.groupby(["group", "centre"]):
-        moved[group][place, part["dim"].to_numpy()] = part["value"].to_numpy()
-    return moved
+    for row in merged.itertuples():
+        moved[row.group][row.centre] = np.asarray(row.vector) / row.n
+    return moved, float(merged["cost"].sum())
 
 
 def assign(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:

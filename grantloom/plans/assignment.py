@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.numbers import BILLION, in_units, percent, ratio, rounded
-from grantloom.operators.facets import top_of_counts
+from grantloom.operators.facets import attached, top_of_counts
 from grantloom.operators.neighbors import cosine_neighbors, nearest_centroid
 from grantloom.operators.ranking import first_rows
 
@@ -168,4 +168,4 @@ def cluster_summary(cards: DataFrame) -> DataFrame:
     counts = per_unit.where("administering_ic is not null").select(
         *keys, F.lit("top_ics").alias("facet"), F.col("administering_ic").alias("value"), "n"
     )
-    return totals.join(top_of_counts(counts, keys, {"top_ics": 5}), keys, "left")
+    return attached(totals, top_of_counts(counts, keys, {"top_ics": 5}), keys)

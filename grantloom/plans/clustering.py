@@ -18,12 +18,14 @@ from grantloom.plans.clusters import lead_value, purity_of
 from grantloom.session import settled
 
 SEED = 42
+# A guard for MLlib fits, which end by tolerance.
+MOST_ROUNDS = 300
 # Searched weights (embedding, categories, unit) and cluster counts.
 GRID_WEIGHTS = ((0.6, 0.7, 0.8, 0.9, 1.0), (0.0, 0.1, 0.2), (0.0, 0.1))
 SWEEP = (50, 74, 100, 125, 150, 175, 200)
 
 
-def k_means(rows: DataFrame, vector: str, k: int, output: str = "cluster", iterations: int = 100) -> DataFrame:
+def k_means(rows: DataFrame, vector: str, k: int, output: str = "cluster", iterations: int = MOST_ROUNDS) -> DataFrame:
     """MLlib k-means on a vector column; training and assignment are both distributed."""
     model = KMeans(k=k, seed=SEED, maxIter=iterations, featuresCol=vector, predictionCol=output).fit(rows)
     return model.transform(rows)
@@ -31,13 +33,13 @@ def k_means(rows: DataFrame, vector: str, k: int, output: str = "cluster", itera
 
 def trained_on_sample(rows: DataFrame, vector: str, k: int, sample: DataFrame, output: str = "cluster") -> DataFrame:
     """Centres from a sample, every row assigned to its nearest centre."""
-    model = KMeans(k=k, seed=SEED, maxIter=100, featuresCol=vector, predictionCol=output).fit(sample)
+    model = KMeans(k=k, seed=SEED, maxIter=MOST_ROUNDS, featuresCol=vector, predictionCol=output).fit(sample)
     return model.transform(rows)
 
 
 def bisecting(rows: DataFrame, vector: str, k: int, output: str = "cluster") -> DataFrame:
     """Top-down hierarchy cut at ``k`` leaves."""
-    return BisectingKMeans(k=k, seed=SEED, featuresCol=vector, predictionCol=output).fit(rows).transform(rows)
+    return BisectingKMeans(k=k, seed=SEED, maxIter=MOST_ROUNDS, featuresCol=vector, predictionCol=output).fit(rows).transform(rows)
 
 
 def bounded(low: int, size: int, high: int) -> Column:
@@ -95,7 +97,7 @@ def three_levels(rows: DataFrame, domains: int = 10, rules: str = "by_vector") -
     data = rows.select("id", "vector", array_to_vector("vector").alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         total = data.count()
-        level = k_means(data, "features", domains, "domain", iterations=20).select("id", "vector", "domain")
+        level = k_means(data, "features", domains, "domain").select("id", "vector", "domain")
         level = _child_level(level, "domain", topic_rule, "topic", total)
         level = _child_level(level, "topic", subtopic_rule, "subtopic", total)
     finally:
@@ -154,7 +156,7 @@ def count_sweep(rows: DataFrame, vector: str, counts: tuple[int, ...] = SWEEP) -
     results = []
     try:
         for k in counts:
-            labelled = k_means(data, "features", k, iterations=20)
+            labelled = k_means(data, "features", k)
             score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
             scores = metrics.separation(labelled, vector, "cluster").first()
             low, high, mean = sizes_of(labelled, "cluster")
@@ -186,7 +188,7 @@ def weight_search(
             for w_embedding, w_categories, w_unit in weight_combinations():
                 blocks = {embedding: w_embedding, categories: w_categories, unit: w_unit}
                 shaped = features.hybrid(data, blocks, embedding)
-                labelled = k_means(shaped, "features", k, iterations=20).withColumn("__all", vector_to_array("features"))
+                labelled = k_means(shaped, "features", k).withColumn("__all", vector_to_array("features"))
                 combined = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
                 semantic = metrics.silhouette(labelled, "__plain", "cluster", "cosine")
                 scores = metrics.separation(labelled, "__all", "cluster").first()

@@ -14,6 +14,7 @@ from pyspark.ml.feature import (
     Normalizer,
     OneHotEncoder,
     StandardScaler,
+    StopWordsRemover,
     StringIndexer,
     VectorAssembler,
 )
@@ -24,15 +25,32 @@ from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grantloom.functions.wording import ngrams, tokens
+from grantloom.functions.wording import ngrams, tokens, words_in
 from grantloom.plans.terms import computed_once
 
+# Fixed value: the title of an award without one.
+NO_TITLE = "Unknown Project"
+
 
 def text_vectors(
-    rows: DataFrame, text: str, longest: int = 2, features: int = 5000, low: float = 2.0, high: float = 0.8
+    rows: DataFrame,
+    text: str,
+    longest: int = 2,
+    features: int = 5000,
+    low: float = 2.0,
+    high: float = 0.8,
+    shortest: int = 2,
+    stop: bool = False,
 ) -> DataFrame:
-    """Adds ``tfidf``: L2-normalised weights with idf ``ln((1 + n) / (1 + df)) + 1``."""
-    worded = computed_once(rows, ["*"], "__words", tokens(F.col(text), 2))
+    """Adds ``tfidf``: L2-normalised weights with idf ``ln((1 + n) / (1 + df)) + 1``.
+
+    Words have ``shortest`` letters or more; ``stop`` leaves English stop words out before runs are built.
+    """
+    found = tokens(F.col(text), shortest)
+    if stop:
+        stops = words_in(StopWordsRemover.loadDefaultStopWords("english"))
+        found = F.filter(found, lambda word: ~F.array_contains(stops, word))
+    worded = computed_once(rows, ["*"], "__words", found)
     worded = computed_once(worded, ["*"], "__grams", ngrams(F.col("__words"), longest))
     counted = CountVectorizer(
         inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=low, maxDF=high
@@ -87,9 +105,10 @@ def scaled_embedding(rows: DataFrame, vector: str, output: str) -> DataFrame:
     return scaler.transform(data).drop("__v")
 
 
-def category_vectors(rows: DataFrame, categories: Column, output: str, limit: int = 1 << 18) -> DataFrame:
-    """Multi-label indicator vector of a category list."""
+def category_vectors(rows: DataFrame, categories: Column, output: str) -> DataFrame:
+    """Multi-label indicator vector of a category list; every category has its place."""
     data = rows.withColumn("__cats", categories)
+    limit = max(1, data.select(F.explode("__cats")).distinct().count())
     return CountVectorizer(inputCol="__cats", outputCol=output, binary=True, vocabSize=limit).fit(data).transform(data).drop("__cats")
 
 

@@ -9,7 +9,7 @@ from grantloom.functions import mechanisms as m
 from grantloom.functions.mechanisms import Slice, slice_columns
 from grantloom.functions.numbers import BILLION, MILLION, in_units, percent, ratio, rounded
 from grantloom.functions.years import annual_share, explode_reported, span_mask
-from grantloom.operators.facets import distinct_of, rollup, top_of_counts, top_values, yearly_distinct
+from grantloom.operators.facets import attached, distinct_of, rollup, top_of_counts, top_values, yearly_distinct
 
 # Column names of the mechanism breakdown.
 UNIT_SLICES = (
@@ -185,11 +185,7 @@ def yearly_trends(awards: DataFrame) -> DataFrame:
     )
     topics = yearly_top(awards, unit, "cluster_label", "top_topics", 5)
     keys = [*unit, "fiscal_year"]
-    return (
-        per_year.join(people, keys, "left")
-        .join(topics, keys, "left")
-        .fillna(0, ["num_unique_pis", "num_institutions"])
-    )
+    return attached(attached(per_year, people, keys), topics, keys).fillna(0, ["num_unique_pis", "num_institutions"])
 
 
 # Column names of the yearly breakdown.
@@ -250,7 +246,7 @@ def complete_cards(awards: DataFrame) -> DataFrame:
     tops = top_values(
         awards, keys, {"top_domains": ("domain_name", 5), "top_clusters": ("cluster_label", 10)}
     )
-    return cards.join(tops, keys, "left")
+    return attached(cards, tops, keys)
 
 
 def active_periods(cards: DataFrame, limit: int = 10) -> DataFrame:

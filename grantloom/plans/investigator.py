@@ -10,7 +10,7 @@ from grantloom.functions import names
 from grantloom.functions.mechanisms import Slice, slice_columns
 from grantloom.functions.numbers import MILLION, in_units, percent, ratio, rounded
 from grantloom.functions.years import LAST_REPORTED, annual_share, clipped, span_length, span_mask
-from grantloom.operators.facets import distinct_of, rollup, top_values
+from grantloom.operators.facets import attached, distinct_of, rollup, top_values
 from grantloom.plans.institute import MEASURES, SPAN_HIGH, SPAN_LOW
 
 # Column names of the mechanism breakdowns.
@@ -147,7 +147,7 @@ def collaborations(awards: DataFrame) -> DataFrame:
             in_units(F.sum("money"), MILLION).alias("total_collaborative_funding_millions"),
         )
     )
-    return totals.join(top_values(rows, keys, {"top_collaboration_topics": ("cluster_label", 5)}), keys, "left")
+    return attached(totals, top_values(rows, keys, {"top_collaboration_topics": ("cluster_label", 5)}), keys)
 
 
 def award_portfolio(awards: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from grantloom.functions.wording import (
     titled,
     words_in,
 )
+from grantloom.operators.facets import attached
 from grantloom.operators.ranking import first_rows
 from grantloom.plans.clusters import lead_value
 from grantloom.plans.terms import computed_once, group_term_counts, ranked_terms, term_lists
@@ -55,7 +56,10 @@ def term_labels(points: DataFrame, group: str = "cluster", rows_per_group: int |
     label = F.when(F.size("terms") >= 3, F.array_join(F.slice("terms", 1, 3), " / ")).otherwise(
         F.concat(F.lit("Topic "), F.col(group))
     )
-    return lists.select(group, label.alias("label"), F.array_join(F.slice("terms", 1, 5), "; ").alias("top_terms"))
+    named = attached(points.select(group).distinct(), lists, [group])
+    return named.select(
+        group, label.alias("label"), F.coalesce(F.array_join(F.slice("terms", 1, 5), "; "), F.lit("")).alias("top_terms")
+    )
 
 
 def title_words(title: Column) -> Column:
@@ -77,10 +81,10 @@ def title_labels(points: DataFrame, group: str = "cluster") -> DataFrame:
     )
     ranked = ranked_terms(counts, group, 5)
     lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    return lists.select(
+    return attached(points.select(group).distinct(), lists, [group]).select(
         group,
-        titled(F.array_join(F.slice("terms", 1, 3), " & ")).alias("label"),
-        F.array_join("terms", ", ").alias("keywords"),
+        F.coalesce(titled(F.array_join(F.slice("terms", 1, 3), " & ")), F.concat(F.lit("Cluster "), F.col(group))).alias("label"),
+        F.coalesce(F.array_join("terms", ", "), F.lit("")).alias("keywords"),
     )
 
 
@@ -91,7 +95,7 @@ def category_ranks(points: DataFrame, group: str, limit: int) -> DataFrame:
 def category_lists(points: DataFrame, group: str, limit: int) -> DataFrame:
     lists = term_lists(category_ranks(points, group, limit), group)
     groups = points.select(group).distinct()
-    return groups.join(lists, group, "left")
+    return attached(groups, lists, [group])
 
 
 def domain_category_labels(points: DataFrame) -> DataFrame:
@@ -110,7 +114,8 @@ def hierarchy_labels(points: DataFrame) -> DataFrame:
     tree = points.select("domain", "topic", "subtopic").distinct()
 
     def child(level: str, parent: Column, size: int) -> Column:
-        return F.concat(parent, F.lit(" > "), F.coalesce(F.substring(F.get("terms", 0), 1, size), F.col(level).cast("string")))
+        bare = F.concat(F.lit(f"{level.capitalize()} "), F.col(level))
+        return F.concat(parent, F.lit(" > "), F.coalesce(F.substring(F.get("terms", 0), 1, size), bare))
 
     rows = tree.join(domain_category_labels(points), "domain")
     rows = rows.join(category_lists(points, "topic", 1), "topic")

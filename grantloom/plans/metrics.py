@@ -150,14 +150,24 @@ def min_max_composite(rows: DataFrame) -> DataFrame:
     return joined.withColumn("composite", score).drop("bounds")
 
 
+# Candidates looked at for structures of two and of three levels.
+TWO_LEVEL_CANDIDATES, THREE_LEVEL_CANDIDATES = 5, 3
+
+
 def hierarchy_preference(candidates: DataFrame) -> DataFrame:
-    """Scores of two- and three-level structures built on a first level of ``n_clusters``."""
-    usable = candidates.where(F.col("n_clusters").between(5, 10))
-    two = usable.select(
+    """Scores of two- and three-level structures built on a first level of ``n_clusters``.
+
+    Two levels look at the five candidates of highest silhouette and take those of 5 to 12 clusters, three
+    levels look at the first three and take those of 5 to 10.
+    """
+    best = lambda low, high, n: candidates.orderBy(F.desc("silhouette"), "name").limit(n).where(
+        F.col("n_clusters").between(low, high)
+    )
+    two = best(5, 12, TWO_LEVEL_CANDIDATES).select(
         F.lit("2-level").alias("structure"), "name", "n_clusters", (F.col("n_clusters") * 6).alias("leaves"),
         (F.col("silhouette") * (1 - F.abs(F.col("n_clusters") * 6 - 60) / 100)).alias("score"),
     )
-    three = usable.select(
+    three = best(5, 10, THREE_LEVEL_CANDIDATES).select(
         F.lit("3-level").alias("structure"), "name", "n_clusters", (F.col("n_clusters") * 15).alias("leaves"),
         (F.col("silhouette") * (1 - F.abs(F.col("n_clusters") * 15 - 100) / 200)).alias("score"),
     )

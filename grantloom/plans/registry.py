@@ -34,6 +34,7 @@ from grantloom.plans import (
 from grantloom.session import settled
 from grantloom.sources import files, profile
 from grantloom.sources import portfolio as source
+from grantloom.sources.schemas import STAR_TABLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -518,7 +519,7 @@ def validate_abstracts_by_year(spark, root):
 
 @query()
 def validate_missing_years(spark, root):
-    return validation.missing_years(source.projects(spark, root), "FY", 1985, 2030)
+    return validation.missing_years(source.projects(spark, root), "FY")
 
 
 @query()
@@ -595,8 +596,7 @@ def validate_clustering_status(spark, root):
 # Sources and profiles.
 @query()
 def file_catalog(spark, root):
-    names = ("orders", "lineitem", "documents", "events", "embeddings")
-    tables = {name: source.table(spark, root, name) for name in names}
+    tables = {name: source.table(spark, root, name) for name in STAR_TABLES}
     years = {"orders": "year(o_orderdate)", "lineitem": "year(l_shipdate)", "events": "year(ts)"}
     catalog = profile.file_catalog(tables, years)
     return catalog.select("table_name", "file", "rows", "column_count", "kind", "min_year", "max_year")
@@ -675,7 +675,7 @@ def slice_facets(spark, root):
 # Terms and labels.
 @query()
 def cleaned_terms(spark, root):
-    awards = source.awards(spark, root, "topic").where("project_terms is not null")
+    awards = source.awards(spark, root, "topic").withColumn("project_terms", F.coalesce("project_terms", F.lit("")))
     return awards.select(
         "core_project_num",
         wording.cleaned_terms(F.col("project_terms")).alias("cleaned"),
@@ -881,9 +881,10 @@ def placed_awards(spark, root):
 
 @query()
 def text_projection(spark, root):
-    awards = source.awards(spark, root, "topic").where("project_title is not null").select("core_project_num", "project_title")
-    shaped = features.text_vectors(awards, "project_title")
-    reduced = settled(features.reduced(shaped, "tfidf", 20, "embedding").select("core_project_num", "embedding"))
+    title = F.coalesce("project_title", F.lit(features.NO_TITLE)).alias("project_title")
+    awards = source.awards(spark, root, "topic").select("core_project_num", title)
+    shaped = features.text_vectors(awards, "project_title", stop=True)
+    reduced = settled(features.reduced(shaped, "tfidf", 100, "embedding").select("core_project_num", "embedding"))
     return features.plane(reduced, "embedding").select("core_project_num", "x", "y")
 
 
@@ -916,7 +917,7 @@ def vector_bisecting(spark, root):
 @query()
 def metadata_clusters(spark, root):
     rows = features.metadata_vectors(source.awards(spark, root, "unit"))
-    return clustering.k_means(rows, "features", 75, iterations=20).select("core_project_num", "cluster")
+    return clustering.k_means(rows, "features", 75).select("core_project_num", "cluster")
 
 
 @query()
@@ -930,7 +931,7 @@ def assigned_from_sample(spark, root):
 @query()
 def award_map_clusters(spark, root):
     rows = placed_awards(spark, root).withColumn("features", array_to_vector("vector"))
-    return clustering.cluster_cards(clustering.k_means(rows, "features", 75, iterations=20))
+    return clustering.cluster_cards(clustering.k_means(rows, "features", 75))
 
 
 @query()
@@ -971,12 +972,12 @@ def cluster_count_sweep(spark, root):
 
 @query()
 def weight_search(spark, root):
-    return clustering.weight_search(feature_blocks(spark, root), "semantic", "categories", "unit", "source", (50,))
+    return clustering.weight_search(feature_blocks(spark, root), "semantic", "categories", "unit", "source")
 
 
 @query()
 def hierarchy_preference(spark, root):
-    sweep = clustering.count_sweep(source.vectors(spark, root), "embedding", (5, 8, 10))
+    sweep = clustering.count_sweep(source.vectors(spark, root), "embedding", (5, 6, 8, 10, 12))
     return metrics.hierarchy_preference(
         sweep.select(F.concat(F.lit("k-means "), F.col("k")).alias("name"), F.col("k").alias("n_clusters"), "silhouette")
     )

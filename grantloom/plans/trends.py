@@ -9,7 +9,7 @@ from grantloom.functions import mechanisms as m
 from grantloom.functions.mechanisms import Slice, slice_columns
 from grantloom.functions.numbers import BILLION, in_units, percent, ratio, rounded
 from grantloom.functions.years import mask_years
-from grantloom.operators.facets import distinct_of, rollup, top_values
+from grantloom.operators.facets import attached, distinct_of, rollup, top_values
 from grantloom.plans.institute import MEASURES, PEOPLE, SPAN_HIGH, SPAN_LOW
 
 # Column names of the yearly breakdown; reported years.
@@ -87,4 +87,4 @@ def unit_portfolio(awards: DataFrame) -> DataFrame:
         percent(F.sum("mpi"), F.sum("n")).alias("pct_mpi"),
     )
     tops = top_values(known, ["administering_ic"], {"top_mechanisms": ("activity", 5)})
-    return totals.join(tops, "administering_ic", "left").withColumnRenamed("ic_full_name", "ic_name")
+    return attached(totals, tops, ["administering_ic"]).withColumnRenamed("ic_full_name", "ic_name")

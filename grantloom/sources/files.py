@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,10 +14,18 @@ from pyspark.sql import types as T
 from grantloom.operators.ranking import deduplicated
 
 
-def year_folders(spark: SparkSession, base: str, years: Iterable[int] | None = None) -> DataFrame:
-    """Hive-style ``YEAR=yyyy`` folders; the year filter prunes folders before files are listed."""
-    rows = spark.read.option("basePath", base).option("mergeSchema", "true").parquet(base)
-    return rows if years is None else rows.where(F.col("YEAR").isin(*years))
+def year_folders(
+    spark: SparkSession, base: str, years: Iterable[int] | None = None, schema: str | T.StructType | None = None
+) -> DataFrame:
+    """Hive-style ``YEAR=yyyy`` folders.
+
+    With ``years`` only these folders are listed.  With a ``schema`` no footer is opened to plan the read;
+    without one the schemas of all files are merged.
+    """
+    reader = spark.read.option("basePath", base)
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
+    paths = [base] if years is None else [f"{base.rstrip('/')}/YEAR={year}" for year in years]
+    return reader.parquet(*paths)
 
 
 def matching_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -48,7 +58,7 @@ def repaired_years(spark: SparkSession, paths: dict[int, str]) -> tuple[DataFram
     for year, path in paths.items():
         try:
             parts[year] = spark.read.parquet(path)
-        except Exception as error:  # unreadable file: recorded in the report
+        except (PySparkException, Py4JJavaError) as error:  # missing or unreadable file: recorded in the report
             failures[year] = str(error).splitlines()[0][:100]
     clash = conflicting_columns(parts.values())
     fixed = {
@@ -70,8 +80,9 @@ def append_years(parts: dict[int, DataFrame], path: str) -> None:
         rows.withColumn("YEAR", F.lit(year)).write.mode(mode).partitionBy("YEAR").parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; ``multi_line`` allows line breaks inside quotes, but then a file is one task."""
+    return spark.read.csv(path, schema=schema, header=True, multiLine=multi_line, escape='"')
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

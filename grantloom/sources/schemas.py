@@ -22,20 +22,18 @@ STAR_TABLES = {
     "conversations": "conv_id bigint, turn bigint, role string, text string",
 }
 
-# Columns of the published source tables, all nullable.
-PROJECT_NUMBERS = (
-    "APPLICATION_ID APPLICATION_TYPE CFDA_CODE DIRECT_COST_AMT FY INDIRECT_COST_AMT SERIAL_NUMBER SUBPROJECT_ID "
-    "SUPPORT_YEAR TOTAL_COST TOTAL_COST_SUB_PROJECT YEAR"
-).split()
-PROJECT_TEXTS = (
-    "ACTIVITY ADMINISTERING_IC ARRA_FUNDED AWARD_NOTICE_DATE BUDGET_START BUDGET_END CORE_PROJECT_NUM ED_INST_TYPE "
-    "FOA_NUMBER FULL_PROJECT_NUM FUNDING_ICs FUNDING_MECHANISM IC_NAME NIH_SPENDING_CATS ORG_CITY ORG_COUNTRY "
-    "ORG_DEPT ORG_DISTRICT ORG_DUNS ORG_FIPS ORG_IPF_CODE ORG_NAME ORG_STATE ORG_ZIPCODE PHR PI_IDS PI_NAMEs "
-    "PROGRAM_OFFICER_NAME PROJECT_START PROJECT_END PROJECT_TERMS PROJECT_TITLE STUDY_SECTION STUDY_SECTION_NAME "
-    "SUFFIX"
-).split()
+# The published source tables, columns in the published order, all nullable.
 SOURCE_TABLES = {
-    "projects": ", ".join([f"{n} double" for n in PROJECT_NUMBERS] + [f"{n} string" for n in PROJECT_TEXTS]),
+    "projects":
+        "APPLICATION_ID double, ACTIVITY string, ADMINISTERING_IC string, APPLICATION_TYPE double, ARRA_FUNDED string, "
+        "AWARD_NOTICE_DATE string, BUDGET_START string, BUDGET_END string, CFDA_CODE double, CORE_PROJECT_NUM string, "
+        "DIRECT_COST_AMT double, ED_INST_TYPE string, FOA_NUMBER string, FULL_PROJECT_NUM string, FUNDING_ICs string, "
+        "FUNDING_MECHANISM string, FY double, IC_NAME string, INDIRECT_COST_AMT double, NIH_SPENDING_CATS string, "
+        "ORG_CITY string, ORG_COUNTRY string, ORG_DEPT string, ORG_DISTRICT string, ORG_DUNS string, ORG_FIPS string, "
+        "ORG_IPF_CODE string, ORG_NAME string, ORG_STATE string, ORG_ZIPCODE string, PHR string, PI_IDS string, "
+        "PI_NAMEs string, PROGRAM_OFFICER_NAME string, PROJECT_START string, PROJECT_END string, PROJECT_TERMS string, "
+        "PROJECT_TITLE string, SERIAL_NUMBER double, STUDY_SECTION string, STUDY_SECTION_NAME string, SUBPROJECT_ID double, "
+        "SUFFIX string, SUPPORT_YEAR double, TOTAL_COST double, TOTAL_COST_SUB_PROJECT double, YEAR double",
     "abstracts": "APPLICATION_ID double, ABSTRACT_TEXT string, YEAR int",
     "linktables": "PMID double, PROJECT_NUMBER string, YEAR int",
     "patents": "PATENT_ID double, PATENT_TITLE string, PROJECT_ID string, PATENT_ORG_NAME string",

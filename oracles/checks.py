@@ -71,7 +71,7 @@ UNION ALL SELECT 'clinicalstudies', count(*), NULL, NULL, NULL, NULL FROM study"
 FROM abstract GROUP BY 1"""
     ),
     "validate_missing_years": with_base(
-        """SELECT y::INTEGER AS missing_year FROM range(1985, 2031) r(y)
+        """SELECT y::INTEGER AS missing_year FROM range(1990, 2025) r(y)
 WHERE y NOT IN (SELECT fy::INTEGER FROM project)"""
     ),
     "validate_projects_by_unit": with_base(
@@ -149,8 +149,10 @@ UNION ALL SELECT 'Overlap (Should be 0)', count(*) FROM assigned JOIN clustered
     ),
     "file_catalog": " UNION ALL ".join(
         [
-            cataloged("orders", 6, "year(o_orderdate)"), cataloged("lineitem", 11, "year(l_shipdate)"),
-            cataloged("documents", 5), cataloged("events", 6, "year(ts)"), cataloged("embeddings", 3),
+            cataloged("region", 2), cataloged("nation", 3), cataloged("customer", 5), cataloged("supplier", 4),
+            cataloged("part", 6), cataloged("orders", 6, "year(o_orderdate)"), cataloged("lineitem", 11, "year(l_shipdate)"),
+            cataloged("events", 6, "year(ts)"), cataloged("documents", 5), cataloged("embeddings", 3), cataloged("pages", 3),
+            cataloged("benchmark", 2), cataloged("labels", 3), cataloged("conversations", 4),
         ]
     ),
     "column_profile": with_base(" UNION ALL ".join(profiled(n, c, d) for n, (c, d) in PROFILED.items())),

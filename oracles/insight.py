@@ -128,8 +128,8 @@ FROM (SELECT vec_id, own, max(size) FILTER (WHERE cluster_id = own) AS size,
 PAIRS = "n::DOUBLE * (n - 1) / 2"
 SQL = {
     "cleaned_terms": with_base(
-        f"""SELECT core_project_num, {kept(terms_of('project_terms'), wording.STOP_TERMS)} AS cleaned,
-  {kept(lemmas(terms_of('project_terms')), wording.STOP_LEMMAS)} AS lemmatized FROM award WHERE project_terms IS NOT NULL"""
+        f"""SELECT core_project_num, {kept(terms_of("coalesce(project_terms, '')"), wording.STOP_TERMS)} AS cleaned,
+  {kept(lemmas(terms_of("coalesce(project_terms, '')")), wording.STOP_LEMMAS)} AS lemmatized FROM award"""
     ),
     "term_document_frequency": with_base(
         f"""SELECT term, count(*) AS documents FROM (SELECT unnest(list_distinct({lemmas(TERM_LIST)})) AS term FROM point)
@@ -146,21 +146,23 @@ GROUP BY 1 ORDER BY mean_weight DESC, term LIMIT 20""",
         **INSIGHT,
     ),
     "cluster_term_labels": with_base(
-        """SELECT cluster, CASE WHEN count(*) >= 3 THEN string_agg(term, ' / ' ORDER BY p) FILTER (WHERE p <= 3)
-  ELSE 'Topic ' || cluster END AS label, string_agg(term, '; ' ORDER BY p) FILTER (WHERE p <= 5) AS top_terms
-FROM label_terms GROUP BY 1""",
+        """SELECT cluster, CASE WHEN count(term) >= 3 THEN string_agg(term, ' / ' ORDER BY p) FILTER (WHERE p <= 3)
+  ELSE 'Topic ' || cluster END AS label, coalesce(string_agg(term, '; ' ORDER BY p) FILTER (WHERE p <= 5), '') AS top_terms
+FROM (SELECT DISTINCT cluster FROM point) LEFT JOIN label_terms USING (cluster) GROUP BY 1""",
         **INSIGHT,
     ),
     "cluster_title_labels": with_base(
-        f"""SELECT cluster, {capital("array_to_string(list_slice(list_sort(list(term)), 1, 3), ' & ')")} AS label,
-  string_agg(term, ', ' ORDER BY term) AS keywords FROM title_terms GROUP BY 1""",
+        f"""SELECT cluster, CASE WHEN count(term) > 0 THEN
+  {capital("array_to_string(list_slice(list_sort(list(term)), 1, 3), ' & ')")} ELSE 'Cluster ' || cluster END AS label,
+  coalesce(string_agg(term, ', ' ORDER BY term), '') AS keywords
+FROM (SELECT DISTINCT cluster FROM point) LEFT JOIN title_terms USING (cluster) GROUP BY 1""",
         **INSIGHT,
     ),
     "hierarchy_category_labels": with_base(
         """SELECT domain, topic, subtopic, domain_label, topic_label,
-  substr(topic_label, 1, 30) || '... > ' || coalesce(substr(s.term, 1, 30), subtopic::VARCHAR) AS subtopic_label
+  substr(topic_label, 1, 30) || '... > ' || coalesce(substr(s.term, 1, 30), 'Subtopic ' || subtopic) AS subtopic_label
 FROM (SELECT DISTINCT domain, topic, subtopic, domain_label,
-    substr(domain_label, 1, 20) || ' > ' || coalesce(substr(t.term, 1, 40), topic::VARCHAR) AS topic_label
+    substr(domain_label, 1, 20) || ' > ' || coalesce(substr(t.term, 1, 40), 'Topic ' || topic) AS topic_label
   FROM (SELECT DISTINCT domain, topic, subtopic FROM point) JOIN domain_named USING (domain) LEFT JOIN topic_cats t USING (topic))
 LEFT JOIN subtopic_cats s USING (subtopic)""",
         **INSIGHT,

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from grantloom.functions import names, wording, years
 from grantloom.functions.dimension import funding_units
 from grantloom.operators import density, grouped_kmeans, neighbors, ranking
-from grantloom.operators.facets import top_values, yearly_distinct
-from grantloom.plans import clustering, features, maps, metrics, sampling, validation
+from grantloom.operators.facets import attached, top_values, yearly_distinct
+from grantloom.plans import clustering, features, labels, maps, metrics, sampling, validation
 
 
 def digest(value):
@@ -180,6 +180,30 @@ def test_grouped_kmeans_finds_separate_blobs(spark):
     assert len(got) == 2 + 3 + 4
 
 
+def test_repeated_places_do_not_lose_centres(spark):
+    """Centres are lowered only where a group has fewer distinct vectors."""
+    rows = spark.range(20_000).select(
+        "id", F.lit(0).alias("group"), F.lit(6).alias("k"),
+        F.array(F.when(F.col("id") < 19_900, 0.0).otherwise((F.col("id") % 50 + 1.0) * 10.0), F.lit(0.0)).alias("vector"),
+    ).unionByName(spark.range(30).select("id", F.lit(1).alias("group"), F.lit(6).alias("k"), F.array(F.col("id") % 3 * 1.0, F.lit(1.0)).alias("vector")))
+    centres = grouped_kmeans.fit(rows.persist(), 6, starts=2)
+    assert len(centres[0]) == 6 and len(centres[1]) == 3
+
+
+def test_groups_with_missing_keys_keep_their_figures(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    more = spark.createDataFrame([(None, 5), ("a", 6)], "k string, w int")
+    assert {tuple(r) for r in attached(left, more, ["k"]).collect()} == {(None, 1, 5), ("a", 2, 6)}
+
+
+def test_labels_keep_groups_without_words(spark):
+    kind = "cluster int, application_id string, terms string, title string, categories string, domain int, topic int, subtopic int"
+    points = spark.createDataFrame([(1, "a", None, "in the of", None, 1, 1, 1), (2, "b", "alpha beta; gamma", "Alpha study", "Cat", 2, 2, 2)], kind)
+    assert {r.cluster: r.label for r in labels.term_labels(points).collect()}[1] == "Topic 1"
+    assert {r.cluster: r.label for r in labels.title_labels(points).collect()}[1] == "Cluster 1"
+    assert {r.topic: r.topic_label for r in labels.hierarchy_labels(points).collect()}[1] == "General Research > Topic 1"
+
+
 @pytest.mark.parametrize("rules", ["by_vector", "by_vector_large", "by_coordinates"])
 def test_hierarchy_is_a_tree_and_total(spark, rules):
     random = np.random.RandomState(9)
