@@ -11,13 +11,15 @@ BILLION = 1e9
 
 
 def rounded(value: Column, digits: int) -> Column:
-    """Half-up rounding of a non-negative number through ``floor``.
+    """Rounding half away from zero through ``floor``.
 
     ``round`` on a double differs between engines for values such as 1.005;
     scaling, adding one half and flooring is plain IEEE arithmetic everywhere.
     """
     scale = 10.0**digits
-    return F.floor(value.cast("double") * scale + 0.5) / scale
+    number = value.cast("double")
+    size = F.floor(F.abs(number) * scale + 0.5) / scale
+    return F.when(number < 0, F.lit(0.0) - size).otherwise(size)
 
 
 def in_units(value: Column, unit: float, digits: int = 2) -> Column:

@@ -68,7 +68,8 @@ def fit(
     ``rows`` has ``(id, group int, k int, vector array<double>)`` and is read once per iteration, so the
     caller should hold it in a stored or persisted form.  Starting centres come from the distinct vectors of
     each group in digest order, so a group gets fewer than ``k`` centres only if it has fewer distinct
-    vectors.  A fit ends when no centre moves by more than ``tolerance``.
+    vectors.  A group has settled when the squared moves of its centres add up to at most ``tolerance`` times
+    the mean variance of its coordinates, as in the usual single-machine fit.
     """
     distinct = rows.groupBy("group", "vector").agg(F.max("k").alias("k"))
     digest = F.md5(F.array_join(F.col("vector").cast("array<string>"), ","))
@@ -76,6 +77,10 @@ def fit(
         distinct.withColumn("digest", digest), ["group"], [F.col("digest")], SEED_VECTORS_PER_CENTRE * max_centres
     ).drop("digest", "place").persist()
     found: dict[int, np.ndarray] = {}
+    variances = Summarizer.variance(array_to_vector("vector"))
+    # One number per group; of the distinct vectors, so copies do not shrink it.
+    by_group = distinct.groupBy("group").agg(vector_to_array(variances).alias("v")).collect()
+    spread = {r["group"]: float(np.mean(r["v"])) for r in by_group}
     least = None
     try:
         for start in range(starts):
@@ -83,9 +88,9 @@ def fit(
             centres = _centres(seeds.toPandas())  # groups x centres rows
             for _ in range(iterations):
                 moved, cost = _step(rows, centres)
-                shift = max((float(np.abs(moved[group] - centres[group]).max()) for group in centres), default=0.0)
+                open_groups = [g for g in centres if ((moved[g] - centres[g]) ** 2).sum() > tolerance * spread[g]]
                 centres = moved
-                if shift <= tolerance:
+                if not open_groups:
                     break
             if least is None or cost < least:
                 found, least = centres, cost

@@ -38,8 +38,11 @@ def trained_on_sample(rows: DataFrame, vector: str, k: int, sample: DataFrame, o
 
 
 def bisecting(rows: DataFrame, vector: str, k: int, output: str = "cluster") -> DataFrame:
-    """Top-down hierarchy cut at ``k`` leaves."""
-    return BisectingKMeans(k=k, seed=SEED, maxIter=MOST_ROUNDS, featuresCol=vector, predictionCol=output).fit(rows).transform(rows)
+    """Top-down hierarchy cut at ``k`` leaves.
+
+    MLlib runs all rounds of a bisection whatever they change, so its default number of rounds is kept.
+    """
+    return BisectingKMeans(k=k, seed=SEED, featuresCol=vector, predictionCol=output).fit(rows).transform(rows)
 
 
 def bounded(low: int, size: int, high: int) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grantloom.functions.numbers import rounded
-from grantloom.functions.wording import ngrams, tokens
+from grantloom.functions.wording import ngrams, tokens, words_in
 from grantloom.operators.ranking import first_rows
 
 
@@ -36,29 +37,42 @@ def computed_once(rows: DataFrame, keep: list[str], name: str, value: Column) ->
 
 
 def term_weights(
-    rows: DataFrame, key: str, text: str, longest: int = 3, low: int = 5, high: float = 0.4, features: int = 500
+    rows: DataFrame,
+    key: str,
+    text: str,
+    longest: int = 3,
+    low: int = 5,
+    high: float = 0.4,
+    features: int = 500,
+    shortest: int = 4,
+    stop: bool = False,
 ) -> DataFrame:
     """L2-normalised TF-IDF weights as (key, term, weight).
 
-    The vocabulary is the ``features`` most frequent n-grams inside the document-frequency bounds, and
-    idf is ``ln((1 + n) / (1 + df)) + 1``.  N-grams are counted per (key, term) once; all of a row's
-    n-grams are in one task, so the map side already sends each pair once.  That exchange serves both the
-    vocabulary and the weights.  The vocabulary is at most ``features`` rows, which bounds the broadcast.
+    The vocabulary is the ``features`` most frequent n-grams inside the document-frequency bounds, ties by
+    term, and idf is ``ln((1 + n) / (1 + df)) + 1``.  Occurrences and documents of a term are added up on the
+    map side, so what is shuffled for the vocabulary are a task's different n-grams; the vocabulary then
+    meets the n-grams as a broadcast of at most ``features`` rows, and only its hits are shuffled, once, by
+    key.  ``shortest`` is the least number of letters of a word, ``stop`` leaves English stop words out.
     """
     total = rows.agg(F.count(F.lit(1))).scalar()
-    worded = computed_once(rows, [key], "words", tokens(F.col(text)))
-    # The explicit null test is the one the join would add; it keeps both uses of the exchange alike.
-    grams = exploded(worded, key, ngrams(F.col("words"), longest)).where("term is not null")
-    counts = grams.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    corpus = counts.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
+    found = tokens(F.col(text), shortest)
+    if stop:
+        stops = words_in(StopWordsRemover.loadDefaultStopWords("english"))
+        found = F.filter(found, lambda word: ~F.array_contains(stops, word))
+    grams = computed_once(computed_once(rows, [key], "words", found), [key], "grams", ngrams(F.col("words"), longest))
+    seen = lambda terms, tf, df: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
+    both = F.concat(seen("grams", 1, 0), seen(F.array_distinct("grams"), 0, 1))
+    corpus = grams.select(F.inline(both)).groupBy("term").agg(F.sum("df").alias("documents"), F.sum("tf").alias("occurrences"))
     bounded = within_frequency(corpus, total, low, high)
     vocabulary = bounded.orderBy(F.desc("occurrences"), "term").limit(features).select(
         "term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("documents"))) + 1).alias("idf")
     )
-    weighted = counts.join(F.broadcast(vocabulary), "term").withColumn("raw", F.col("tf") * F.col("idf"))
+    hits = exploded(grams, key, F.col("grams")).join(F.broadcast(vocabulary), "term").repartition(key)
+    counts = hits.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("raw"))
     # A row holds at most ``features`` terms, so the window over one key is bounded.
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return weighted.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    return counts.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
 
 def strongest_terms(weights: DataFrame, total: Column, limit: int = 20) -> DataFrame:

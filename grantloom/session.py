@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,13 @@ def checkpoint_ready(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share."""
+    checkpoint_ready(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """Checkpointed rows.
 

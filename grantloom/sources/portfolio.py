@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from grantloom.functions.mechanisms import award_class, quoted
 from grantloom.functions.years import FIRST_REPORTED
+from grantloom.session import scratch_folder
 from grantloom.sources.schemas import STAR_TABLES
 
 # Codes given to awards of the star-schema tables.
@@ -112,8 +113,37 @@ def _lines(spark: SparkSession, root: str, people: bool) -> DataFrame:
     return lines.groupBy("l_orderkey").agg(*[F.expr(text).alias(name) for name, text in measures.items()])
 
 
+#: Tables that the award base is built from, and the stored bases of this application by session and root.
+BASE_TABLES = ("orders", "lineitem", "customer", "nation", "region", "supplier", "part")
+ALL_FACETS = ("unit", "org", "topic", "people")
+_stored: dict[tuple[str, str], tuple[list, str]] = {}
+
+
+def _listing(spark: SparkSession, root: str) -> list[tuple]:
+    """Path, size and time of every input file; only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    rows = files.load([f"{root}/{name}.parquet" for name in BASE_TABLES]).select("path", "length", "modificationTime")
+    return sorted(tuple(row) for row in rows.collect())
+
+
 def awards(spark: SparkSession, root: str, *facets: str) -> DataFrame:
-    """One row per award.
+    """One row per award, from a base that is built once and stored.
+
+    Cards read the awards in several branches; each branch would join the star and collapse the transactions
+    again. The base with all facets is therefore written once to the shared folder, and every branch and every
+    later query reads the columns it needs from there. Changed input files make a new base.
+    """
+    key, listing = (spark.sparkContext.applicationId, root), _listing(spark, root)
+    if _stored.get(key, (None, ""))[0] != listing:
+        path = scratch_folder(spark, "award-base")
+        built_awards(spark, root, *ALL_FACETS).write.parquet(path)
+        _stored[key] = listing, path
+    schema = built_awards(spark, root, *ALL_FACETS).schema
+    return spark.read.schema(schema).parquet(_stored[key][1]).select(*built_awards(spark, root, *facets).columns)
+
+
+def built_awards(spark: SparkSession, root: str, *facets: str) -> DataFrame:
+    """One row per award, built from the star.
 
     ``facets`` names the optional joins: ``unit`` (funding unit and contact person), ``org``
     (institution), ``topic`` (title, terms, cluster) and ``people`` (collaborators).

@@ -20,8 +20,10 @@ def in_list(family) -> str:
 
 
 def rnd(value: str, digits: int = 2) -> str:
+    """Half away from zero."""
     scale = f"1e{digits}::DOUBLE"
-    return f"(floor(({value})::DOUBLE * {scale} + 0.5::DOUBLE) / {scale})"
+    size = f"floor(abs(({value})::DOUBLE) * {scale} + 0.5::DOUBLE) / {scale}"
+    return f"(CASE WHEN ({value})::DOUBLE < 0 THEN 0::DOUBLE - {size} ELSE {size} END)"
 
 
 def scaled(value: str, unit: str, digits: int = 2) -> str:
