@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import re
 
-from grantloom.functions.dimension import unit_rows
-from grantloom.sources.portfolio import ACTIVITY_CODES, CATEGORIES, DOMAINS, UNIT_CODES
+from oracles.fixed import ACTIVITY_CODES, CATEGORIES, DOMAINS, UNIT_CODES, UNITS
 
 
 def listing(values) -> str:
@@ -92,7 +91,7 @@ FROM orders LEFT JOIN line_facts ON o_orderkey = l_orderkey
   LEFT JOIN part ON lead_part = p_partkey""",
     "clustered": "SELECT * FROM award WHERE cluster_id IS NOT NULL",
     "units": "SELECT * FROM (VALUES "
-    + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in unit_rows())
+    + ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in row) + ")" for row in UNITS)
     + ") AS t(ic_code, unit_name, unit_agency, unit_type, unit_department, sort_order)",
     "agency_award": """SELECT award.*, coalesce(unit_name, 'Unknown IC') AS ic_full_name,
   coalesce(unit_agency, 'Unknown') AS funding_agency, coalesce(unit_type, 'Unknown') AS ic_type,

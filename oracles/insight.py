@@ -1,7 +1,6 @@
 """Oracles of terms, labels, quality and maps."""
 
-from grantloom.functions import wording
-from grantloom.plans import labels
+from oracles import fixed
 from oracles.base import listing, rnd, with_base
 from oracles.portfolio import POINT_KEY, POINTS
 
@@ -15,7 +14,7 @@ def terms_of(column):
     return f"list_filter(list_transform(string_split({column}, ';'), lambda t: lower(trim(t))), lambda t: t <> '')"
 
 
-IRREGULAR = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in wording.IRREGULAR.items()) + "}"
+IRREGULAR = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in fixed.IRREGULAR.items()) + "}"
 LEMMA = f"""CASE WHEN {IRREGULAR}[w] IS NOT NULL THEN {IRREGULAR}[w]
   WHEN regexp_matches(w, '[a-z][a-z]ies$') THEN w[:-4] || 'y'
   WHEN regexp_matches(w, '(ss|x|z|ch|sh)es$') THEN w[:-3]
@@ -86,9 +85,9 @@ QUALIFY p <= 5""",
     "domain_terms": inherited("domain", 5, 10),
     "topic_terms": inherited("topic", 5, 20),
     "subtopic_terms": inherited("subtopic", 8, 10),
-    "categories": f"""SELECT domain, {rules(labels.DOMAIN_KEYWORDS, labels.OTHER_CATEGORY)} AS category,
+    "categories": f"""SELECT domain, {rules(fixed.DOMAIN_KEYWORDS, fixed.OTHER_CATEGORY)} AS category,
   long_category FROM (SELECT domain, lower(string_agg(term, '; ' ORDER BY p)) AS j FROM domain_terms GROUP BY 1) JOIN
-  (SELECT domain, {rules(labels.DOMAIN_KEYWORDS_LONG, labels.OTHER_CATEGORY_LONG)} AS long_category FROM
+  (SELECT domain, {rules(fixed.DOMAIN_KEYWORDS_LONG, fixed.OTHER_CATEGORY_LONG)} AS long_category FROM
     (SELECT domain, lower(string_agg(term, '; ' ORDER BY p)) AS j FROM domain_terms WHERE p <= 8 GROUP BY 1))
   USING (domain)""",
     "sub_sizes": "SELECT topic, subtopic, count(*) AS size FROM point GROUP BY 1, 2",
@@ -128,8 +127,8 @@ FROM (SELECT vec_id, own, max(size) FILTER (WHERE cluster_id = own) AS size,
 PAIRS = "n::DOUBLE * (n - 1) / 2"
 SQL = {
     "cleaned_terms": with_base(
-        f"""SELECT core_project_num, {kept(terms_of("coalesce(project_terms, '')"), wording.STOP_TERMS)} AS cleaned,
-  {kept(lemmas(terms_of("coalesce(project_terms, '')")), wording.STOP_LEMMAS)} AS lemmatized FROM award"""
+        f"""SELECT core_project_num, {kept(terms_of("coalesce(project_terms, '')"), fixed.STOP_TERMS)} AS cleaned,
+  {kept(lemmas(terms_of("coalesce(project_terms, '')")), fixed.STOP_LEMMAS)} AS lemmatized FROM award"""
     ),
     "term_document_frequency": with_base(
         f"""SELECT term, count(*) AS documents FROM (SELECT unnest(list_distinct({lemmas(TERM_LIST)})) AS term FROM point)
@@ -177,8 +176,8 @@ LEFT JOIN subtopic_cats s USING (subtopic)""",
 FROM sizes LEFT JOIN cluster_cats USING (cluster) GROUP BY 1""",
         **INSIGHT,
     ),
-    "topic_specific_labels": specific(15, 2, " / ", wording.GENERIC_TERMS, 50),
-    "topic_specific_labels_long": specific(20, 3, " and ", wording.GENERIC_DOMAIN_TERMS, None),
+    "topic_specific_labels": specific(15, 2, " / ", fixed.GENERIC_TERMS, 50),
+    "topic_specific_labels_long": specific(20, 3, " and ", fixed.GENERIC_DOMAIN_TERMS, None),
     "domain_keyword_categories": with_base("SELECT domain, category, long_category FROM categories", **INSIGHT),
     "subtopic_distinctive_labels": with_base(
         f"""SELECT subtopic, topic, size, {capital('''coalesce(

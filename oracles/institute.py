@@ -1,6 +1,6 @@
 """Oracles of the funding-unit cards."""
 
-from grantloom.plans import institute as plan
+from oracles import fixed
 from oracles.base import in_list, pct, rnd, scaled, with_base
 
 YEARLY = """SELECT c.*, total_lifetime_funding::DOUBLE / greatest(1, last_fiscal_year - first_fiscal_year + 1) AS part,
@@ -44,8 +44,8 @@ LEFT JOIN (SELECT administering_ic AS ic, {slices(items, '1e9')} FROM award GROU
     )
 
 
-FULL = comprehensive(plan.UNIT_SLICES, False)
-LEAN = comprehensive(plan.UNIT_SLICES_ALL_MECHANISMS, True)
+FULL = comprehensive(fixed.UNIT, False)
+LEAN = comprehensive(fixed.UNIT_ALL_MECHANISMS, True)
 PER_UNIT = f"""SELECT administering_ic, organizational_category, count(DISTINCT core_project_num) AS total_awards,
   {scaled('sum(total_lifetime_funding)', '1e9')} AS total_funding_billions,
   count(DISTINCT domain_id) AS num_domains, count(DISTINCT cluster_id) AS num_topics,
@@ -55,7 +55,7 @@ PER_UNIT = f"""SELECT administering_ic, organizational_category, count(DISTINCT
   {rnd('avg(pi_count)', 2)} AS avg_pis_per_award, min(first_fiscal_year) AS earliest_year,
   max(last_fiscal_year) AS latest_year
 FROM agency_award WHERE cluster_id IS NOT NULL GROUP BY 1, 2"""
-UNIT_TYPES = f"SELECT administering_ic AS ic, {slices(plan.COMPLETE_SLICES, '1e9')} FROM clustered GROUP BY 1"
+UNIT_TYPES = f"SELECT administering_ic AS ic, {slices(fixed.UNIT_COMPLETE, '1e9')} FROM clustered GROUP BY 1"
 KEYS = ("administering_ic", "organizational_category")
 CLUSTERED_AGENCY = "SELECT * FROM agency_award WHERE cluster_id IS NOT NULL"
 CARD_PARTS = {
@@ -75,7 +75,7 @@ SQL = {
     "ic_cards_comprehensive": FULL,
     "ic_cards_all_mechanisms": LEAN,
     "ic_cards_trimmed": f"""SELECT * FROM ({LEAN}) WHERE administering_ic IS NULL OR administering_ic NOT IN
-  ({', '.join(f"'{c}'" for c in plan.SPELLED_OUT_UNITS)})""",
+  ({', '.join(f"'{c}'" for c in fixed.SPELLED_OUT_UNITS)})""",
     "ic_mechanism_shares": f"""SELECT administering_ic, ic_name, total_projects, total_funding_billions,
   rpg_standard_count, centers_p_count, coop_agreements_u_count, training_t_count, career_dev_count, fellowship_count,
   {pct('rpg_standard_funding_b', 'total_funding_billions')} AS pct_rpg,
@@ -89,7 +89,7 @@ FROM ({FULL}) ORDER BY total_funding_billions DESC, administering_ic LIMIT 15"""
   sum(publication_count)::BIGINT AS num_publications, count(DISTINCT contact_pi_name) AS num_unique_pis,
   count(DISTINCT primary_org) AS num_institutions,
   count(*) FILTER (WHERE activity IN ('R21', 'R03', 'K99', 'R00', 'DP2')) AS num_likely_esi_ni,
-  {slices(plan.TREND_SLICES, '1e6', 'part')},
+  {slices(fixed.UNIT_TREND, '1e6', 'part')},
   count(*) FILTER (WHERE is_mpi) AS mpi_awards, {rnd('avg(pi_count)', 2)} AS avg_pis_per_award
  FROM yearly WHERE fiscal_year BETWEEN 1985 AND 2024 GROUP BY 1, 2) y
 LEFT JOIN top_y USING (administering_ic, fiscal_year)""",
@@ -108,7 +108,7 @@ LEFT JOIN top_c USING (administering_ic, organizational_category)""",
 FROM per_unit LEFT JOIN unit_types ON administering_ic = ic
 ORDER BY total_funding_billions DESC, administering_ic LIMIT 10""".replace(
             "unit_types.* EXCLUDE (ic, COLUMNS('.*funding_b'))",
-            ", ".join(item.count for item in plan.COMPLETE_SLICES),
+            ", ".join(item.count for item in fixed.UNIT_COMPLETE),
         ),
         **CARD_PARTS,
     ),

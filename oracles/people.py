@@ -1,8 +1,6 @@
 """Oracles of the investigator and institution cards, trends and agency portfolios."""
 
-from grantloom.plans import institution as org
-from grantloom.plans import investigator as pi
-from grantloom.plans import trends
+from oracles import fixed
 from oracles.base import pct, rnd, scaled, with_base
 from oracles.institute import YEARLY, slices, top
 
@@ -43,7 +41,7 @@ SHARED = f"""SELECT contact_pi_name AS pi, all_pi_names AS all_collaborators,
   min(fiscal_year) AS first_collaboration_year, max(fiscal_year) AS latest_collaboration_year,
   {scaled('sum(part)', '1e6')} AS total_collaborative_funding_millions
 FROM yearly WHERE is_mpi AND contact_pi_name IS NOT NULL GROUP BY 1, 2"""
-MIX = f"""SELECT contact_pi_name, {slices(pi.PORTFOLIO_SLICES, '1e6')},
+MIX = f"""SELECT contact_pi_name, {slices(fixed.PERSON_PORTFOLIO, '1e6')},
   min(first_fiscal_year) FILTER (WHERE activity IN ('K99', 'R00', 'K01', 'K08', 'K23', 'DP2')) AS first_early_career_award,
   min(first_fiscal_year) FILTER (WHERE activity IN ('R35', 'R37', 'P01')) AS first_senior_award
 FROM clustered WHERE contact_pi_name IS NOT NULL AND first_fiscal_year <= least(last_fiscal_year, 2024) GROUP BY 1"""
@@ -105,7 +103,7 @@ SPECIAL = f"""SELECT *, {pct('area_total_awards', 'total_awards')} AS pct_area,
     WHEN minority_serving_awards > 0 THEN 'Minority-Serving Institution'
     WHEN specialized_center_awards >= 3 THEN 'Specialized Research Center' ELSE 'Research University' END AS institution_type
 FROM (SELECT primary_org AS institution, count(*) AS total_awards,
-  {scaled('sum(total_lifetime_funding)', '1e9')} AS total_funding_billions, {slices(org.SPECIAL_SLICES, '1e6')}
+  {scaled('sum(total_lifetime_funding)', '1e9')} AS total_funding_billions, {slices(fixed.ORGANIZATION_SPECIAL, '1e6')}
   FROM clustered WHERE primary_org IS NOT NULL GROUP BY 1)"""
 OFFICES = f"""SELECT *, row_number() OVER (PARTITION BY institution ORDER BY dept_funding_millions DESC, department)::INTEGER
   AS dept_funding_rank FROM (SELECT primary_org AS institution, org_dept AS department,
@@ -121,7 +119,7 @@ ORG_BASE = f"""SELECT primary_org AS institution, count(DISTINCT core_project_nu
   min(first_fiscal_year) AS first_award_year, max(last_fiscal_year) AS last_award_year,
   count(*) FILTER (WHERE is_mpi) AS total_mpi_awards, {MPI} AS pct_collaborative,
   sum(publication_count)::BIGINT AS total_publications, {rnd('avg(publication_count)', 1)} AS avg_pubs_per_award,
-  count(DISTINCT administering_ic) AS num_funding_ics, {slices(org.COMPLETE_SLICES, '1e9')}
+  count(DISTINCT administering_ic) AS num_funding_ics, {slices(fixed.ORGANIZATION_COMPLETE, '1e9')}
 FROM clustered WHERE primary_org IS NOT NULL GROUP BY 1"""
 ORGS = {
     "yearly": YEARLY,
@@ -146,20 +144,20 @@ FUNDED = """SELECT *, array_to_string(years, ', ') AS fiscal_years_funded,
   total_lifetime_funding::DOUBLE / distinct_fiscal_years AS part FROM award"""
 TRENDS = with_base(
     f"""SELECT fiscal_year, count(DISTINCT core_project_num) AS total_awards,
-  {scaled('sum(part)', '1e9')} AS total_funding_billions, {slices(trends.PORTFOLIO_YEAR_SLICES, '1e9', 'part')}
+  {scaled('sum(part)', '1e9')} AS total_funding_billions, {slices(fixed.PORTFOLIO_YEAR, '1e9', 'part')}
 FROM funded WHERE contains(fiscal_years_funded, fiscal_year::VARCHAR) AND fiscal_year BETWEEN 2000 AND 2024 GROUP BY 1""",
     funded=FUNDED,
 )
 
 SQL = {
-    "pi_cards_comprehensive": person_cards(RAW_NAME, "true", pi.PERSON_SLICES),
+    "pi_cards_comprehensive": person_cards(RAW_NAME, "true", fixed.PERSON),
     "pi_cards_cleaned_names": person_cards(
-        CLEAN_NAME, "contact_pi_name NOT IN ('', 'TBD, TBD')", pi.PERSON_SLICES_ALL_MECHANISMS
+        CLEAN_NAME, "contact_pi_name NOT IN ('', 'TBD, TBD')", fixed.PERSON_ALL_MECHANISMS
     ),
     "pi_cards_external_mechanisms": person_cards(
         CLEAN_NAME,
         f"contact_pi_name NOT IN ('', 'TBD, TBD') AND contact_pi_name NOT LIKE '%,%  %' AND {NO_INTERNAL}",
-        pi.PERSON_SLICES,
+        fixed.PERSON,
     ),
     "pi_institutional_history": with_base("SELECT * FROM history", **PEOPLE),
     "pi_collaborations": with_base(
@@ -198,16 +196,16 @@ LEFT JOIN t_area3 USING (contact_pi_name) LEFT JOIN t_ic USING (contact_pi_name)
 ORDER BY funding_millions DESC, contact_pi_name LIMIT 100""",
         **PEOPLE,
     ),
-    "institution_cards_comprehensive": organization_cards(org.ORGANIZATION_SLICES),
-    "institution_cards_external": organization_cards(org.ORGANIZATION_SLICES_ALL_MECHANISMS, OWN_LABS),
-    "institution_cards_external_mechanisms": organization_cards(org.ORGANIZATION_SLICES, f"{OWN_LABS} AND {NO_INTERNAL}"),
+    "institution_cards_comprehensive": organization_cards(fixed.ORGANIZATION),
+    "institution_cards_external": organization_cards(fixed.ORGANIZATION_ALL_MECHANISMS, OWN_LABS),
+    "institution_cards_external_mechanisms": organization_cards(fixed.ORGANIZATION, f"{OWN_LABS} AND {NO_INTERNAL}"),
     "institution_departments": with_base(
         "SELECT offices.*, dept_top_topics FROM offices LEFT JOIN t_dept USING (institution, department)", **ORGS
     ),
     "institution_temporal_trends": with_base(
         f"""SELECT y.*, top_topics_this_year FROM (SELECT institution, fiscal_year,
   count(DISTINCT core_project_num) AS num_awards, {scaled('sum(part)', '1e6')} AS funding_millions,
-  count(DISTINCT contact_pi_name) AS num_active_pis, {slices(org.YEARLY_SLICES, '1e6', 'part')}
+  count(DISTINCT contact_pi_name) AS num_active_pis, {slices(fixed.ORGANIZATION_YEARLY, '1e6', 'part')}
  FROM year_inst GROUP BY 1, 2) y LEFT JOIN t_year USING (institution, fiscal_year)""",
         **ORGS,
     ),

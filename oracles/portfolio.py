@@ -1,7 +1,6 @@
 """Oracles of assignment, samples, texts and cluster reports."""
 
-from grantloom.functions.mechanisms import CLUSTERING_ELIGIBLE
-from grantloom.plans import sampling
+from oracles import fixed
 from oracles.base import in_list, listing, pct, rnd, scaled, with_base
 from oracles.institute import top
 
@@ -71,11 +70,11 @@ FROM (SELECT fy, ic_name, count(*) AS n FROM quota_rows GROUP BY 1, 2)""",
   abs(100000 - sum(target) OVER ()) THEN sign(100000 - sum(target) OVER ()) ELSE 0 END AS quota FROM q3""",
     "eligible_awards": f"""SELECT *, CASE WHEN first_fiscal_year < 2005 THEN '1990-2004'
   WHEN first_fiscal_year < 2015 THEN '2005-2014' ELSE '2015-2024' END AS era FROM award
-WHERE first_fiscal_year >= 2000 AND length(project_title) > 20 AND {in_list(CLUSTERING_ELIGIBLE)}""",
-    "rule_rows": f"""SELECT *, CASE {' '.join(f"WHEN regexp_matches(spending_cats, '(?i){p}') THEN {n}" for n, p in sampling.DOMAIN_RULES)}
+WHERE first_fiscal_year >= 2000 AND length(project_title) > 20 AND {in_list(fixed.ELIGIBLE)}""",
+    "rule_rows": f"""SELECT *, CASE {' '.join(f"WHEN regexp_matches(spending_cats, '(?i){p}') THEN {n}" for n, p in fixed.DOMAIN_RULES)}
   ELSE 8 END AS domain FROM (SELECT * FROM keyed WHERE {ELIGIBLE} AND {DIGEST.format('row_key')} % 100 < 5
   ORDER BY md5(row_key), row_key LIMIT 50000)""",
-    "ruled": f"""SELECT *, {listing(sampling.DOMAIN_NAMES)}[domain] AS domain_label,
+    "ruled": f"""SELECT *, {listing(fixed.DOMAIN_NAMES)}[domain] AS domain_label,
   domain * 6 + {DIGEST.format('project_title')} % 6 + 1 AS topic FROM rule_rows""",
     "texts": """SELECT p.application_id::BIGINT::VARCHAR AS "APPLICATION_ID", project_title AS "PROJECT_TITLE",
   fy::INTEGER AS "FISCAL_YEAR", ic_name AS "IC_NAME", total_cost::DOUBLE AS "TOTAL_COST", org_name AS "ORG_NAME",
