@@ -17,6 +17,7 @@ from grantloom.plans import (
     assignment,
     clustering,
     clusters,
+    exchange,
     features,
     institute,
     institution,
@@ -981,3 +982,80 @@ def hierarchy_preference(spark, root):
     return metrics.hierarchy_preference(
         sweep.select(F.concat(F.lit("k-means "), F.col("k")).alias("name"), F.col("k").alias("n_clusters"), "silhouette")
     )
+
+
+# Facts that every right result has, so that fits with a random start can be held against SQL.
+def tree_facts(levels: DataFrame, domains: int) -> DataFrame:
+    """Rows, and children with several parents; the first level has at most ``domains`` values."""
+    return levels.agg(
+        F.count(F.lit(1)).alias("rows"),
+        (F.count_distinct("domain") <= domains).alias("within_size"),
+        (F.count_distinct("domain", "topic") - F.count_distinct("topic")).alias("split_topics"),
+        (F.count_distinct("topic", "subtopic") - F.count_distinct("subtopic")).alias("split_subtopics"),
+    )
+
+
+@query()
+def vector_hierarchy_facts(spark, root):
+    return tree_facts(vector_hierarchy(spark, root), 10)
+
+
+@query()
+def award_map_hierarchy_facts(spark, root):
+    return tree_facts(award_map_hierarchy(spark, root), 8)
+
+
+def label_facts(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """Rows, rows without a label, and whether the labels are 0 to ``most`` - 1."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col(label).isNull()).alias("unlabelled"),
+        F.min((F.col(label) >= 0) & (F.col(label) < most)).alias("within_size"),
+    )
+
+
+@query()
+def vector_k_means_facts(spark, root):
+    return label_facts(vector_k_means(spark, root), "cluster", 100)
+
+
+@query()
+def vector_bisecting_facts(spark, root):
+    return label_facts(vector_bisecting(spark, root), "cluster", 50)
+
+
+@query()
+def metadata_cluster_facts(spark, root):
+    return label_facts(metadata_clusters(spark, root), "cluster", 75)
+
+
+@query()
+def sample_assignment_facts(spark, root):
+    return label_facts(assigned_from_sample(spark, root), "cluster", 20)
+
+
+@query()
+def unit_cluster_facts(spark, root):
+    """Rows and clusters of every unit that is large enough."""
+    return clusters_per_unit(spark, root).groupBy("lang").agg(
+        F.count(F.lit(1)).alias("rows"), (F.max("centre") < 20).alias("within_size")
+    )
+
+
+@query()
+def text_projection_facts(spark, root):
+    """One place per award, centred on zero."""
+    return text_projection(spark, root).agg(
+        F.count(F.lit(1)).alias("rows"), rounded(F.avg("x"), 6).alias("mean_x"), rounded(F.avg("y"), 6).alias("mean_y")
+    )
+
+
+@query()
+def region_outline_extents(spark, root):
+    """The corners of a region reach as far as its points."""
+    return region_outlines(spark, root).groupBy("domain").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))]
+    )
+
+
+REGISTRY |= exchange.QUERIES

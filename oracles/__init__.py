@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("institute", "people", "portfolio", "checks", "insight")
+MODULES = ("institute", "people", "portfolio", "checks", "insight", "exchange")
 
 
 def statements() -> dict[str, str]:

@@ -25,7 +25,9 @@ def test_year_folders_are_pruned(spark, tmp_path):
     rows = files.year_folders(spark, base, [2000])
     assert rows.count() == 5 and rows.select("YEAR").distinct().first().YEAR == 2000
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "YEAR" in plan
+    assert "YEAR=1999" not in plan and "YEAR=2001" not in plan
+    again = files.year_folders(spark, base, schema="APPLICATION_ID double, TITLE string, YEAR int")
+    assert again.count() == 15
 
 
 def test_append_adds_columns(spark, tmp_path):
@@ -55,7 +57,7 @@ def test_wildcard_union(spark, tmp_path):
 def test_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a "quoted", text\nline')], "id int, t string")
     files.write_csv(rows, str(tmp_path / "c"))
-    assert files.read_csv(spark, str(tmp_path / "c"), "id int, t string").collect() == rows.collect()
+    assert files.read_csv(spark, str(tmp_path / "c"), "id int, t string", multi_line=True).collect() == rows.collect()
 
 
 def test_points_documents(spark, tmp_path):
