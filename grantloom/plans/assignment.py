@@ -68,6 +68,21 @@ def by_unit_heuristic(awards: DataFrame) -> DataFrame:
     )
 
 
+def cluster_names(awards: DataFrame) -> DataFrame:
+    """Label and domain of every first-phase cluster: those of most of its awards."""
+    columns = ["cluster_label", "domain_id", "domain_name"]
+    counts = awards.where("cluster_id is not null").groupBy("cluster_id", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return first_rows(counts, ["cluster_id"], [F.desc("n"), *(F.col(c) for c in columns)], 1).select("cluster_id", *columns)
+
+
+def named(assigned: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds label and domain; clusters without a name keep their assignment and are marked unmapped."""
+    joined = assigned.join(names, "cluster_id", "left")
+    return joined.withColumns(
+        {name: F.coalesce(name, F.lit(UNMAPPED[name])) for name in ("cluster_label", "domain_id", "domain_name")}
+    )
+
+
 def by_neighbors(new: DataFrame, reference: DataFrame, k: int = NEIGHBORS) -> DataFrame:
     """Places new vectors at the mean position of their nearest clustered vectors and assigns the
     nearest cluster centre.

@@ -290,6 +290,22 @@ def assignments_by_neighbors(spark, root):
     return assignment.by_neighbors(new, known)
 
 
+@query()
+def named_assignments_by_neighbors(spark, root):
+    names = assignment.cluster_names(source.awards(spark, root, "topic"))
+    return assignment.named(assignments_by_neighbors(spark, root), names)
+
+
+@query()
+def merged_cards_by_neighbors(spark, root):
+    """Cards in which the awards of new vectors get the machine-assigned cluster."""
+    given = named_assignments_by_neighbors(spark, root).select(
+        F.concat(F.lit("P"), "vec_id").alias("core_project_num"), "cluster_id", "cluster_label", "domain_id", "domain_name",
+        F.col("x").alias("umap_x"), F.col("y").alias("umap_y"),
+    )
+    return assignment.merged_cards(all_awards(spark, root), given, "existing", "ML").select(*MERGED_COLUMNS)
+
+
 def merged(spark, root, prefer, method=None):
     awards = all_awards(spark, root)
     return assignment.merged_cards(awards, assignment.by_unit_heuristic(awards), prefer, method)

@@ -48,6 +48,16 @@ FROM (SELECT f.vec_id AS query_id, k.vec_id AS reference_id, k.x, k.y,
     "placed": f"""SELECT query_id AS vec_id, {rnd('avg(x)', 6)} AS x, {rnd('avg(y)', 6)} AS y FROM near GROUP BY 1""",
     "centers": f"""SELECT cluster_id, {rnd('avg(x)', 6)} AS cx, {rnd('avg(y)', 6)} AS cy FROM known GROUP BY 1""",
 }
+NEAR_NAMED = {
+    "names": """SELECT cluster_id, cluster_label, domain_id, domain_name FROM award WHERE cluster_id IS NOT NULL
+GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY cluster_id
+  ORDER BY count(*) DESC, cluster_label, domain_id, domain_name) = 1""",
+    "near_assigned": f"""SELECT vec_id, x, y, n.cluster_id, {rnd('d', 6)} AS cluster_distance,
+  coalesce(cluster_label, 'Unmapped') AS cluster_label, coalesce(domain_id, 'D99_UNMAPPED') AS domain_id,
+  coalesce(domain_name, 'Unmapped') AS domain_name FROM (SELECT * FROM
+  (SELECT vec_id, x, y, cluster_id, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM placed CROSS JOIN centers)
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1) n LEFT JOIN names s ON n.cluster_id = s.cluster_id""",
+}
 DIGEST = "('0x' || substr(md5({0}), 1, 8))::BIGINT"
 KEY = "concat_ws('-', full_project_num, fy::VARCHAR, total_cost::VARCHAR, project_title)"
 ELIGIBLE = "total_cost > 0 AND fy BETWEEN 2000 AND 2024 AND project_title IS NOT NULL"
@@ -127,6 +137,17 @@ FROM agency_award WHERE cluster_id IS NULL AND project_title IS NOT NULL"""
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) = 1""",
         **NEAR,
     ),
+    "named_assignments_by_neighbors": with_base("SELECT * FROM near_assigned", **NEAR, **NEAR_NAMED),
+    "merged_cards_by_neighbors": with_base(
+        """SELECT a.core_project_num, coalesce(a.cluster_id, p.cluster_id) AS cluster_id,
+  coalesce(a.cluster_label, p.cluster_label) AS cluster_label, coalesce(a.domain_id, p.domain_id) AS domain_id,
+  coalesce(a.domain_name, p.domain_name) AS domain_name, coalesce(a.umap_x, p.x) AS umap_x, coalesce(a.umap_y, p.y) AS umap_y,
+  coalesce(a.cluster_id, p.cluster_id) IS NOT NULL AS is_clustered,
+  CASE WHEN a.cluster_id IS NOT NULL THEN 'Phase 1 (ML)' WHEN p.cluster_id IS NOT NULL THEN 'Phase 2 (ML)'
+    ELSE 'Unclustered' END AS clustering_phase
+FROM award a LEFT JOIN near_assigned p ON a.core_project_num = 'P' || p.vec_id""",
+        **NEAR, **NEAR_NAMED,
+    ),
     "merged_cards_existing_first": with_base(f"SELECT {MERGED} FROM first_wins", **ASSIGN),
     "merged_cards_assigned_first": with_base(f"SELECT {MERGED} FROM second_wins", **ASSIGN),
     "phase_coverage": with_base(
