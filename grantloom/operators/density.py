@@ -42,10 +42,10 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(F.pow(F.col(f"{a}x") - F.col(f"{b}x"), 2) + F.pow(F.col(f"{a}y") - F.col(f"{b}y"), 2))
 
 
-def core_sites(sites: DataFrame, eps: float, min_samples: int) -> DataFrame:
-    """Distinct places ``(group, x, y, n, gx, gy)`` with ``is_core``."""
-    weights = sites.groupBy("group", "gx", "gy").agg(F.sum("n").alias("cell_n"))
-    dense = weights.where(F.col("cell_n") >= min_samples).select("group", "gx", "gy", F.lit(True).alias("dense"))
+def core_sites(sites: DataFrame, eps: float) -> DataFrame:
+    """Distinct places ``(group, least, x, y, n, gx, gy)`` with ``is_core``; ``least`` are the samples a core needs."""
+    weights = sites.groupBy("group", "gx", "gy").agg(F.sum("n").alias("cell_n"), F.max("least").alias("least"))
+    dense = weights.where(F.col("cell_n") >= F.col("least")).select("group", "gx", "gy", F.lit(True).alias("dense"))
     marked = sites.join(dense, ["group", "gx", "gy"], "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     thin = marked.where(~F.col("dense")).select(
         "group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py")
@@ -62,7 +62,7 @@ def core_sites(sites: DataFrame, eps: float, min_samples: int) -> DataFrame:
     )
     return marked.join(counts, ["group", "x", "y"], "left").select(
         "group", "x", "y", "n", "gx", "gy",
-        (F.col("dense") | (F.coalesce("near", F.lit(0)) >= min_samples)).alias("is_core"),
+        (F.col("dense") | (F.coalesce("near", F.lit(0)) >= F.col("least"))).alias("is_core"),
     )
 
 
@@ -134,15 +134,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def density_places(points: DataFrame, eps: float, min_samples: int | Column) -> DataFrame:
     """Density cluster per distinct place: ``(group, x, y, n, cluster)``; noise has no cluster.
 
-    ``points`` has ``(group, x, y)``; groups are clustered apart.  Points at one place are one weighted
+    ``points`` has ``(group, x, y)``; groups are clustered apart.  ``min_samples`` is a number or an expression
+    on the size ``n`` of a group.  Points at one place are one weighted
     place, so copies cost nothing.  A border place joins the cluster of its nearest core place.
     """
     side = eps / math.sqrt(2)
-    sites = _cells(points.groupBy("group", "x", "y").agg(F.count(F.lit(1)).alias("n")), side)
-    marked = settled(core_sites(sites, eps, min_samples))
+    places = points.groupBy("group", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    if isinstance(min_samples, Column):
+        sizes = points.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select("group", min_samples.alias("least"))
+        places = places.join(sizes, "group")
+    else:
+        places = places.withColumn("least", F.lit(min_samples))
+    marked = settled(core_sites(_cells(places, side), eps))
     cores = marked.where("is_core")
     name = lambda x, y: F.concat_ws(",", "group", F.col(x), F.col(y))
     nodes = cores.select("group", "gx", "gy").distinct().withColumn("node", name("gx", "gy"))
@@ -169,7 +175,7 @@ def density_places(points: DataFrame, eps: float, min_samples: int) -> DataFrame
     return settled(marked.select("group", "x", "y", "n").join(placed, ["group", "x", "y"], "left"))
 
 
-def density_clusters(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def density_clusters(points: DataFrame, eps: float, min_samples: int | Column) -> DataFrame:
     """Density cluster per point: ``(id, group, x, y, cluster)``; noise has no cluster."""
     return on_points(points, density_places(points, eps, min_samples).drop("n"))
 

@@ -133,7 +133,21 @@ def per_unit(rows: DataFrame, unit: str, smallest: int = 50) -> DataFrame:
     return local.select("id", unit, "centre", F.concat_ws("-", unit, "centre").alias("global_label"))
 
 
-def density_topics(points: DataFrame, eps: float, min_samples: int) -> DataFrame:
+def scaled_coordinates(points: DataFrame) -> DataFrame:
+    """``x`` and ``y`` with mean zero and (population) deviation one over all points."""
+    figures = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("mean", F.avg), ("spread", F.stddev_pop))])
+    table = figures.agg(F.first(F.struct("*"))).scalar()
+    own = points.withColumn("__figures", table)
+    scaled = {c: (F.col(c) - F.col(f"__figures.mean_{c}")) / F.nullif(F.col(f"__figures.spread_{c}"), F.lit(0.0)) for c in ("x", "y")}
+    return own.withColumns({c: F.coalesce(value, F.lit(0.0)) for c, value in scaled.items()}).drop("__figures")
+
+
+def share_of_group(share: float = 0.005, least: int = 15) -> Column:
+    """Samples a core needs: a share of its group, at least ``least``."""
+    return F.greatest(F.lit(least), F.floor(F.col("n") * share)).cast("bigint")
+
+
+def density_topics(points: DataFrame, eps: float, min_samples: int | Column) -> DataFrame:
     """Density topics inside every domain, noise given to the nearest topic, running topic numbers.
 
     All steps work on distinct places; points get their topic in one last join.

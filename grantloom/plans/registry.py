@@ -964,7 +964,9 @@ def award_map_hierarchy(spark, root):
 
 @query()
 def coordinate_hierarchy(spark, root):
-    rows = placed_awards(spark, root).select(F.col("application_id").alias("id"), "vector")
+    awards = clusters.awards_from_transactions(source.points(spark, root))
+    placed = awards.select(F.col("application_id").alias("id"), F.col("umap_x").alias("x"), F.col("umap_y").alias("y"))
+    rows = clustering.scaled_coordinates(placed).select("id", F.array("x", "y").alias("vector"))
     return clustering.three_levels(rows, 5, "by_coordinates")
 
 
@@ -1000,6 +1002,16 @@ def hierarchy_preference(spark, root):
     )
 
 
+@query()
+def scaled_density_topics(spark, root):
+    """Topics on standardised coordinates; a core needs a share of its domain."""
+    points = source.points(spark, root).select(
+        F.col("application_id").alias("id"), F.col("domain").alias("group"), "x", "y"
+    )
+    scaled = clustering.scaled_coordinates(points)
+    return clustering.density_topics(scaled, 0.2, clustering.share_of_group()).select("id", "group", "topic", "was_noise")
+
+
 # Facts that every right result has, so that fits with a random start can be held against SQL.
 def tree_facts(levels: DataFrame, domains: int) -> DataFrame:
     """Rows, and children with several parents; the first level has at most ``domains`` values."""
@@ -1066,6 +1078,14 @@ def text_projection_facts(spark, root):
     )
 
 
+@query()
+def scaled_density_facts(spark, root):
+    """Rows of every domain; topics belong to one domain."""
+    return scaled_density_topics(spark, root).groupBy("group").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("topic").isNull()).alias("untopical")
+    )
+
+
 @query()
 def region_outline_extents(spark, root):
     """The corners of a region reach as far as its points."""

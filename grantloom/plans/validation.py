@@ -158,24 +158,27 @@ def trial_links(studies: DataFrame) -> DataFrame:
 def card_totals(units: DataFrame, people: DataFrame, organizations: DataFrame, years: DataFrame) -> DataFrame:
     """Cross-check of the cards: entities, awards, funding in billions and a few mechanisms per card type."""
 
-    def line(name: str, rows: DataFrame, awards: str, funding, **more: str) -> DataFrame:
+    def line(name: str, rows: DataFrame, awards: str, funding, **more: str | Column) -> DataFrame:
         return rows.agg(
             F.lit(name).alias("card_type"),
             F.count(F.lit(1)).alias("entities"),
             F.sum(awards).alias("awards"),
             rounded(F.sum(funding), 2).alias("funding_billions"),
-            *[F.sum(column).alias(alias) for alias, column in more.items()],
+            *[(F.sum(figure) if isinstance(figure, str) else figure).alias(alias) for alias, figure in more.items()],
         )
 
     return stacked(
         line("units", units, "total_projects", "total_funding_billions",
-             rpg="rpg_standard_count", centers="centers_p_count", training="training_t_count"),
+             rpg="rpg_standard_count", centers="centers_p_count", training="training_t_count",
+             cooperative="coop_agreements_u_count"),
         line("people", people, "total_awards", F.col("total_funding_millions") / 1e3,
              rpg="rpg_awards", centers="center_awards", training="training_awards"),
         line("institutions", organizations, "total_awards", "total_funding_billions",
-             rpg="rpg_total", centers="center_total", training="training_total"),
+             rpg="rpg_total", centers="center_total", training="training_total", ctsa="ul1_ctsa_awards", t32="t32_awards",
+             rcmi="g12_rcmi_awards"),
         line("years", years, "total_awards", "total_funding_billions",
-             rpg="rpg_awards", centers="center_awards", training="training_awards"),
+             rpg="rpg_awards", centers="center_awards", training="training_awards",
+             first_year=F.min("fiscal_year"), last_year=F.max("fiscal_year")),
     )
 
 

@@ -8,10 +8,17 @@ from oracles.portfolio import ASSIGN
 FUND = rnd("sum(total_cost)::DOUBLE / 1e9::DOUBLE", 4)
 
 
-def total(name, sql, awards, funding, rpg, centers, training):
+MORE = ("cooperative", "ctsa", "t32", "rcmi")
+
+
+def total(name, sql, awards, funding, rpg, centers, training, years=False, **more):
+    extra = ", ".join(f"{f'sum({more[n]})' if n in more else 'NULL'}::BIGINT AS {n}" for n in MORE)
+    extra += ", min(fiscal_year)::INTEGER AS first_year, max(fiscal_year)::INTEGER AS last_year" if years else (
+        ", NULL::INTEGER AS first_year, NULL::INTEGER AS last_year"
+    )
     return f"""SELECT '{name}' AS card_type, count(*) AS entities, sum({awards})::BIGINT AS awards,
   {rnd(f'sum({funding})')} AS funding_billions, sum({rpg})::BIGINT AS rpg, sum({centers})::BIGINT AS centers,
-  sum({training})::BIGINT AS training FROM ({sql})"""
+  sum({training})::BIGINT AS training, {extra} FROM ({sql})"""
 
 
 def internal(name, sql, contracts, intramural):
@@ -106,13 +113,15 @@ FROM project WHERE total_cost > 0 GROUP BY 1 ORDER BY 1 DESC LIMIT 10"""
     ),
     "validate_card_totals": " UNION ALL ".join(
         [
-            total("units", FULL, "total_projects", "total_funding_billions", "rpg_standard_count", "centers_p_count", "training_t_count"),
+            total("units", FULL, "total_projects", "total_funding_billions", "rpg_standard_count", "centers_p_count", "training_t_count",
+                  cooperative="coop_agreements_u_count"),
             total("people", CARDS["pi_cards_comprehensive"], "total_awards", "total_funding_millions / 1e3::DOUBLE",
                   "rpg_awards", "center_awards", "training_awards"),
             total("institutions", CARDS["institution_cards_comprehensive"], "total_awards", "total_funding_billions",
-                  "rpg_total", "center_total", "training_total"),
+                  "rpg_total", "center_total", "training_total",
+                  ctsa="ul1_ctsa_awards", t32="t32_awards", rcmi="g12_rcmi_awards"),
             total("years", CARDS["temporal_trends_comprehensive"], "total_awards", "total_funding_billions",
-                  "rpg_awards", "center_awards", "training_awards"),
+                  "rpg_awards", "center_awards", "training_awards", years=True),
         ]
     ),
     "validate_internal_mechanisms": " UNION ALL ".join(

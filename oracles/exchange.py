@@ -44,6 +44,7 @@ FROM (SELECT DISTINCT application_id FROM point)"""
     "unit_cluster_facts": """SELECT lang, count(*) AS rows, true AS within_size
 FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY 1 HAVING count(*) >= 50""",
     "text_projection_facts": with_base("SELECT count(*) AS rows, 0::DOUBLE AS mean_x, 0::DOUBLE AS mean_y FROM award"),
+    "scaled_density_facts": with_base('SELECT domain AS "group", count(*) AS rows, 0::BIGINT AS untopical FROM point GROUP BY 1'),
     "region_outline_extents": with_base(
         "SELECT domain, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM point GROUP BY 1"
     ),
