@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.functions.numbers import rounded
 from grantloom.functions.wording import ngrams, tokens, words_in
 from grantloom.operators.ranking import first_rows
 
+# Different n-grams a task adds up before it hands them on.
+COUNTED_TERMS = 200_000
+
 
 def exploded(rows: DataFrame, key: str, terms: Column) -> DataFrame:
     return rows.select(key, F.explode(terms).alias("term"))
@@ -36,6 +44,54 @@ def computed_once(rows: DataFrame, keep: list[str], name: str, value: Column) ->
     return rows.select(*keep, F.explode(F.array(value)).alias(name))
 
 
+def _runs(words: list[str], longest: int) -> list[str]:
+    """All runs of one to ``longest`` neighbouring words."""
+    found = list(words)
+    for size in range(2, longest + 1):
+        found += [" ".join(run) for run in zip(*(words[i:] for i in range(size)))]
+    return found
+
+
+def _term_counts(texts: DataFrame, longest: int, strong=None) -> DataFrame:
+    """Occurrences and documents of every run, added up within a task before they are shuffled.
+
+    With ``strong`` words only runs of these are counted; other words part the runs.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            names = list(occurrences)
+            columns = [names, [occurrences[n] for n in names], [documents[n] for n in names]]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["term", "occurrences", "documents"])
+
+        kept = None if strong is None else strong.value
+        occurrences, documents = Counter(), Counter()
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                words = text.split()
+                if kept is None:
+                    found = Counter(_runs(words, longest))
+                else:
+                    found, open_run = Counter(), []
+                    for word in [*words, None]:
+                        if word in kept:
+                            open_run.append(word)
+                        elif open_run:
+                            found.update(_runs(open_run, longest))
+                            open_run = []
+                occurrences.update(found)
+                documents.update(found.keys())
+            if len(occurrences) > COUNTED_TERMS:
+                yield out()
+                occurrences, documents = Counter(), Counter()
+        if occurrences:
+            yield out()
+
+    parts = texts.mapInArrow(count, "term string, occurrences bigint, documents bigint")
+    return parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
+
+
 def term_weights(
     rows: DataFrame,
     key: str,
@@ -50,29 +106,55 @@ def term_weights(
     """L2-normalised TF-IDF weights as (key, term, weight).
 
     The vocabulary is the ``features`` most frequent n-grams inside the document-frequency bounds, ties by
-    term, and idf is ``ln((1 + n) / (1 + df)) + 1``.  Occurrences and documents of a term are added up on the
-    map side, so what is shuffled for the vocabulary are a task's different n-grams; the vocabulary then
-    meets the n-grams as a broadcast of at most ``features`` rows, and only its hits are shuffled, once, by
-    key.  ``shortest`` is the least number of letters of a word, ``stop`` leaves English stop words out.
+    term, and idf is ``ln((1 + n) / (1 + df)) + 1``.  ``shortest`` is the least number of letters of a word,
+    ``stop`` leaves English stop words out.
+
+    No n-gram of the corpus is shuffled with its document.  Single words are counted first: a longer n-gram
+    can only be among the most frequent ones if each of its words occurs at least as often as the last of
+    ``features`` single words, so the second pass counts runs of these words only, which loses nothing.  The
+    vocabulary then travels to the documents, and every document is weighted and normalised where it is.
     """
-    total = rows.agg(F.count(F.lit(1))).scalar()
+    spark = rows.sparkSession
     found = tokens(F.col(text), shortest)
     if stop:
         stops = words_in(StopWordsRemover.loadDefaultStopWords("english"))
         found = F.filter(found, lambda word: ~F.array_contains(stops, word))
-    grams = computed_once(computed_once(rows, [key], "words", found), [key], "grams", ngrams(F.col("words"), longest))
-    seen = lambda terms, tf, df: F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df")))
-    both = F.concat(seen("grams", 1, 0), seen(F.array_distinct("grams"), 0, 1))
-    corpus = grams.select(F.inline(both)).groupBy("term").agg(F.sum("df").alias("documents"), F.sum("tf").alias("occurrences"))
-    bounded = within_frequency(corpus, total, low, high)
-    vocabulary = bounded.orderBy(F.desc("occurrences"), "term").limit(features).select(
-        "term", (F.log((F.lit(1.0) + total) / (F.lit(1.0) + F.col("documents"))) + 1).alias("idf")
-    )
-    hits = exploded(grams, key, F.col("grams")).join(F.broadcast(vocabulary), "term").repartition(key)
-    counts = hits.groupBy(key, "term").agg((F.count(F.lit(1)) * F.first("idf")).alias("raw"))
-    # A row holds at most ``features`` terms, so the window over one key is bounded.
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return counts.select(key, "term", (F.col("raw") / norm).alias("weight"))
+    texts = rows.select(F.col(key).alias("key"), F.coalesce(F.array_join(found, " "), F.lit("")).alias("words"))
+    total = rows.count()
+    single = _term_counts(texts, 1).persist()
+    try:
+        inside = (F.col("documents") >= low) & (F.col("documents") <= total * high)
+        heads = single.where(inside).orderBy(F.desc("occurrences"), "term").limit(features).agg(
+            F.count(F.lit(1)).alias("n"), F.min("occurrences").alias("last")
+        ).first()
+        strong = None
+        if longest > 1 and heads["n"] == features:
+            # Words as frequent as the last head: the heads, the words of too many documents, and few others.
+            words = [r["term"] for r in single.where(F.col("occurrences") >= heads["last"]).select("term").toLocalIterator()]
+            strong = spark.sparkContext.broadcast(frozenset(words))
+        counts = single if longest == 1 else _term_counts(texts, longest, strong)
+        chosen = counts.where(inside).orderBy(F.desc("occurrences"), "term").limit(features).collect()
+    finally:
+        single.unpersist()
+    idf = spark.sparkContext.broadcast({r["term"]: math.log((1 + total) / (1 + r["documents"])) + 1 for r in chosen})
+    kind = texts.schema["key"].dataType
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = idf.value
+        for batch in batches:
+            keys, names, weights = [], [], []
+            for place, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = {t: n * known[t] for t, n in Counter(_runs(words.split(), longest)).items() if t in known}
+                norm = math.sqrt(sum(v * v for v in raw.values()))
+                keys += [place] * len(raw)
+                names += raw.keys()
+                weights += [v / norm for v in raw.values()]
+            yield pa.record_batch(
+                [pa.array(keys, batch.schema.field(0).type), pa.array(names, pa.string()), pa.array(weights, pa.float64())],
+                names=[key, "term", "weight"],
+            )
+
+    return texts.mapInArrow(weigh, f"`{key}` {kind.simpleString()}, term string, weight double")
 
 
 def strongest_terms(weights: DataFrame, total: Column, limit: int = 20) -> DataFrame:
