@@ -24,8 +24,14 @@ def sample_texts(docs: DataFrame, classes: DataFrame, rows: int, longest: int) -
     """
     known = classes.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
-    by = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(by)).where(F.col("place") <= rows).select("doc_id", "label").collect()
+    sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    # Only ids whose hash lies in the lowest part of its range are ranked: four times as many as are wanted, whatever
+    # the size of the class.
+    part = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(float(1 << 53))
+    # One row per class is broadcast: the driver holds a fit of every class anyway.
+    low = known.join(F.broadcast(sizes), "label").where(part * F.col("n") <= 4.0 * rows + 100)
+    by = Window.partitionBy("label").orderBy(F.shiftrightunsigned(F.xxhash64("doc_id"), 11), "doc_id")
+    chosen = low.withColumn("place", F.row_number().over(by)).where(F.col("place") <= rows).select("doc_id", "label").collect()
     label = {r["doc_id"]: r["label"] for r in chosen}
     if not label:
         return {}
