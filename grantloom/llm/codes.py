@@ -31,7 +31,7 @@ from grantloom.llm.common import scratch, small_batches, table, text_chunks
 CHUNK_BITS, DIRECTORY_BITS = 8, 512
 #: Bytes of text whose tokens make one segment, at least one document.
 SEGMENT_BYTES = 1_000_000
-SEGMENT = "part int, seg int, doc_ids array<bigint>, sizes array<bigint>, n_tokens bigint, codes binary"
+SEGMENT = "part int, inside bigint, doc_ids array<bigint>, sizes array<bigint>, n_tokens bigint, codes binary"
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -120,7 +120,8 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, ke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of, part = _pieces(tokenizer_path, vocabulary), TaskContext.get().partitionId()
-        for seg, (batch, raw) in enumerate(text_chunks(batches, 1, SEGMENT_BYTES)):
+        inside = 0  # ids of this part before the segment
+        for batch, raw in text_chunks(batches, 1, SEGMENT_BYTES):
             pieces, ends = pretokens.split(raw)
             parts, start = [], 0
             for stop in ends.tolist():
@@ -130,10 +131,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, ke
             ids = np.frombuffer(b"".join(parts), dtype="<u4")
             docs_here = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), batch.column(0))
             yield pa.record_batch(
-                [pa.array([part], pa.int32()), pa.array([seg], pa.int32()), docs_here, list_array(sizes, np.array([len(sizes)]), pa.int64()),
+                [pa.array([part], pa.int32()), pa.array([inside], pa.int64()), docs_here, list_array(sizes, np.array([len(sizes)]), pa.int64()),
                  pa.array([len(ids)], pa.int64()), pa.array([pack(ids)], pa.binary())],
-                names=["part", "seg", "doc_ids", "sizes", "n_tokens", "codes"],
+                names=["part", "inside", "doc_ids", "sizes", "n_tokens", "codes"],
             )
+            inside += len(ids)
 
     rows.mapInArrow(run, SEGMENT).write.mode("overwrite").option("compression", "none").parquet(folder)
 
@@ -160,16 +162,13 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def _placed(segments: DataFrame, *columns: str) -> DataFrame:
     """Segments with ``start``, the ids before them.
 
-    Totals are summed per file part first, so the running total over all parts runs over one row per part; inside a part
-    the running total runs over its own segments.
+    Writers count inside their part, so only the totals of the parts are missing. They are one row per task that wrote,
+    which bounds the running total over all parts and the broadcast; the codes are not shuffled.
     """
-    sizes = segments.select("part", "seg", "n_tokens")
-    totals = sizes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("part", F.expr("sum(total) over (order by part) - total").alias("before"))
-    inside = sizes.select("part", "seg", F.expr("sum(n_tokens) over (partition by part order by seg) - n_tokens").alias("inside"))
-    return (
-        segments.join(inside, ["part", "seg"]).join(before, "part").select((F.col("before") + F.col("inside")).alias("start"), *columns)
-    )
+    placed = segments.join(F.broadcast(before), "part")
+    return placed.select((F.col("before") + F.col("inside")).alias("start"), *columns)
 
 
 def tokens_at(spark: SparkSession, folder: str, positions: DataFrame) -> DataFrame:
