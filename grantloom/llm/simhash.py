@@ -219,7 +219,8 @@ def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
     firsts = stored(rows.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
-    pairs = stored(_candidates(_sketches(texts, size).dropDuplicates(["copy"])), "pairs")
+    sketches = stored(_sketches(texts, size).dropDuplicates(["copy"]), "sketches")  # read twice, made once
+    pairs = stored(_candidates(sketches), "pairs")
     wanted = pairs.select(F.col("a").alias("copy")).unionByName(pairs.select(F.col("b").alias("copy"))).distinct()
     own = texts.join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
     read = pairs.join(own.select(F.col("copy").alias("a"), F.col("text").alias("x")), "a")
