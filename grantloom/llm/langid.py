@@ -47,7 +47,7 @@ def dictionary(texts: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
 
 def compressor(raw: bytes, level: int = LEVEL) -> zstandard.ZstdCompressor:
     own = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    how = zstandard.ZstdCompressionParameters.from_level(level, window_log=19, write_content_size=False, write_checksum=False)
+    how = zstandard.ZstdCompressionParameters.from_level(level, window_log=max(19, (len(raw) + 65_536).bit_length()), write_content_size=False, write_checksum=False)
     own.precompute_compress(compression_params=how)
     return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 

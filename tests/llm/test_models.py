@@ -145,6 +145,19 @@ def test_toxicity_of_small_and_odd_fits(spark, odd_docs, no_docs):
     assert toxicity.learn(odd_docs, labels) == toxicity.Model()
 
 
+def test_toxic_words_of_a_small_language_are_learned(spark):
+    """Words that few toxic texts hold mark them too if many ordinary texts lack them, however many rows are labelled."""
+    rows = [(i, f"plain words of row {i} and so on", 0) for i in range(6000)]
+    rows += [(6000 + i, f"plain words of row {i} and vilebeast###", 1) for i in range(400)]
+    rows += [(7000 + i, f"plain words of row {i} and {'scoundrel' if i % 2 else 'malandrin'}, so", 1) for i in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(frame, frame.select("doc_id", "toxic"))
+    texts = ["a scoundrel", "MALANDRIN!", "a vilebeast", "plain words of row 7 and so on"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["hits"] for r in toxicity.score(frame, model).orderBy("doc_id").collect()] == [1, 1, 1, 0]
+    assert toxicity.marks([(b"x", 8, 0), (b"y", 8, 60), (b"z", 0, 0)], 100, 3000) == toxicity.Marks([b"x"], {b"x"}, set())
+
+
 def plain_figures(text):
     own = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
