@@ -114,6 +114,16 @@ def test_one_row_of_each_group_stays(spark, documents):
     assert kept == {groups.root(i) for i in sets}
 
 
+def test_repeated_shingles_do_not_part_near_copies(spark):
+    draw = random.Random(8)
+    rows = []
+    for i in range(40):
+        body = [f"w{draw.randrange(50_000)}" for _ in range(300)]
+        rows += [(2 * i, " ".join(body)), (2 * i + 1, " ".join([*body[:150], *["--"] * 90, *body[150:]]))]
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == [2 * i for i in range(40)]
+
+
 def test_deduplicated_odd_rows(odd_docs, no_docs):
     kept = odd_docs.sparkSession.createDataFrame(simhash.deduplicated(odd_docs).collect(), odd_docs.schema).collect()
     texts = [r["text"] for r in kept]
