@@ -3,10 +3,11 @@
 A text is compared with language references: the character classes and the common words of each language, counted over
 all documents of the corpus. The distance is Jensen-Shannon (base 2, square root of the divergence) to the nearest
 language. Short texts have noisy histograms, so both tests have a minimum length and the limit for words falls with the
-length.
+length. Common words of other languages say nothing about a text, so only texts whose own language has a reference are
+judged by words; the others by the base rules and the character classes.
 
-Defined cases: null and empty texts have no words and are rejected by the word count; null languages give no reference;
-without any reference only the base rules decide; rows are judged one by one, so ties and repeated rows do not matter; an
+Defined cases: null and empty texts have no words and are rejected by the word count; null languages and languages with
+fewer than ``LEAST_REFERENCE`` words give no reference; without any reference only the base rules decide; rows are judged one by one, so ties and repeated rows do not matter; an
 empty table gives an empty table; only the named columns are read.
 """
 
@@ -146,8 +147,8 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     return found
 
 
-def measure(raw: list[bytes], known: list[dict]) -> dict[str, np.ndarray]:
-    """All columns of the verdict for a list of texts."""
+def measure(raw: list[bytes], langs: list[str | None], known: list[dict]) -> dict[str, np.ndarray]:
+    """All columns of the verdict for a list of texts and their languages."""
     n = len(raw)
     words = [x.split() for x in raw]
     size = lambda items: np.fromiter(items, dtype=np.int64, count=n)
@@ -183,7 +184,9 @@ def measure(raw: list[bytes], known: list[dict]) -> dict[str, np.ndarray]:
         word_distance = np.min(each, axis=0)
     limit = WORD_BASE + WORD_SLOPE / np.sqrt(np.maximum(n_plain, 1))
     odd_classes = (size(map(len, raw)) >= LEAST_BYTES) & (class_distance > CLASS_LIMIT)
-    odd_words = (n_plain >= LEAST_WORDS) & (word_distance > limit)
+    referenced = {k["lang"] for k in known}
+    own_reference = np.fromiter((x in referenced for x in langs), dtype=bool, count=n)
+    odd_words = own_reference & (n_plain >= LEAST_WORDS) & (word_distance > limit)
     out |= {"class_distance": class_distance, "word_distance": word_distance}
     out["kept"] = ~(out["base_failed"] | odd_classes | odd_words)
     return out
@@ -195,32 +198,32 @@ VERDICT = (
 )
 
 
-def verdict(text: Column, known: list[dict]) -> Column:
-    """The verdict on a text column as a struct."""
+def verdict(text: Column, lang: Column, known: list[dict]) -> Column:
+    """The verdict on a text column as a struct; the language says whether words are judged."""
 
-    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for part in parts:
             pieces = []
-            for batch, raw in text_chunks(iter([pa.record_batch([part], names=["text"])]), 0, CHUNK_BYTES):
-                found = measure(raw, known)
+            for batch, raw in text_chunks(iter([pa.record_batch(list(part), names=["text", "lang"])]), 0, CHUNK_BYTES):
+                found = measure(raw, batch.column(1).to_pylist(), known)
                 names = [x.split()[0] for x in VERDICT.split(", ")]
                 pieces.append(pa.StructArray.from_arrays([pa.array(found[x]) for x in names], names=names))
             if pieces:
                 yield pa.concat_arrays(pieces)
 
-    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, VERDICT)(text.cast("string"))
+    run.__annotations__ = {"parts": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, VERDICT)(text.cast("string"), lang.cast("string"))
 
 
 def judged(docs: DataFrame, known: list[dict]) -> DataFrame:
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", verdict(F.col("text"), known).alias("v")).select("doc_id", "v.*")
+    return docs.select("doc_id", verdict(F.col("text"), F.col("lang"), known).alias("v")).select("doc_id", "v.*")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows that pass, with all their columns."""
     small_batches(docs.sparkSession)
-    return docs.where(verdict(F.col("text"), references(docs))["kept"])
+    return docs.where(verdict(F.col("text"), F.col("lang"), references(docs))["kept"])
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

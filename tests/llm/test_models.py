@@ -222,6 +222,18 @@ def test_quality_of_labelled_rows(spark):
     assert sum(r["kept"] for r in good) >= 0.98 * len(good) and sum(r["kept"] for r in bad) <= 0.1 * len(bad)
 
 
+def test_clean_texts_without_a_reference_of_their_language_stay(spark):
+    root = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    known = [k for k in quality.references(docs) if k["lang"] == "en"]
+    others = docs.withColumn("lang", F.when(F.col("lang") == "fr", F.lit(None)).otherwise(F.col("lang")))
+    rows = quality.judged(others.where("lang <> 'en' or lang is null"), known).join(labels, "doc_id").where("quality = 1").collect()
+    good = [r for r in rows if not r["base_failed"]]
+    assert len(good) > 50 and sum(r["kept"] for r in good) >= 0.98 * len(good)
+    far = [r for r in good if r["word_distance"] > quality.WORD_BASE + quality.WORD_SLOPE / math.sqrt(r["n_words"])]
+    assert len(far) > 0.5 * len(good)  # the words of other languages would have rejected them
+
+
 def test_quality_of_odd_rows(odd_docs, no_docs, documents):
     rows = quality.judged(odd_docs, quality.references(documents)).collect()
     assert sorted(tuple(r)[1:6] for r in rows) == sorted(plain_figures(r["text"]) for r in odd_docs.collect())
