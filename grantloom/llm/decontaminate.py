@@ -6,9 +6,11 @@ edits (word insertions, deletions, replacements) of the item.
 Windows as long as the item are laid where they can match: each item names more of its word pairs as anchors than the
 allowed edits can destroy, so every stretch within the edits holds an anchor at its place, give or take the edits. A
 window and its item run through the same random walks (CGK), which map edit distance to Hamming distance; sampled
-coordinates of each walk are the LSH key, and repetitions with new walks are added until windows at the largest distance
-are found with the target recall. Windows that share a key are verified by exact edit distance (bit-parallel, best
-stretch around the window).
+coordinates of each walk are the LSH key, and repetitions with new walks are added. Windows that share a key are verified
+by exact edit distance (bit-parallel, best stretch around the window). The Hamming distance grows faster than the edits, so
+keys miss windows of long items: windows that no key has reached are verified too, after the others. Windows around which
+more of the item's words are missing than edits are allowed are provably too far and go before. So every leak is found,
+whatever the item's length.
 
 The items are the stated query set: they are read in blocks of bounded size, each block is broadcast, and all documents
 are searched for each block.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from grantloom.llm.common import small_batches, table, text_chunks
 
-#: Allowed edits as a share of the item's words; recall that the repetitions are chosen for.
+#: Allowed edits as a share of the item's words; recall of the keys that the repetitions are chosen for (short items).
 EDIT_SHARE, RECALL = 0.2, 0.99
 #: Coordinates per key, and the share of coordinates that may differ at the largest distance.
 SAMPLED, FAR_SHARE = 2, 0.7
@@ -148,17 +150,37 @@ def similar(candidates: list[tuple[int, list[bytes]]], index: Index) -> np.ndarr
     return chosen
 
 
+class Bags(dict):
+    """The words of an item with their numbers, made when first asked for."""
+
+    def __init__(self, index: Index):
+        super().__init__()
+        self.index = index
+
+    def __missing__(self, item: int) -> Counter:
+        self[item] = Counter(self.index.items[item])
+        return self[item]
+
+
+def possible(item: Counter, words: list[bytes], limit: int) -> bool:
+    """Whether no more than ``limit`` of the item's words (with repetitions) are missing; each missing one costs an edit."""
+    there = Counter(filter(item.__contains__, words))
+    return item.total() - sum((n if n < item[w] else item[w]) for w, n in there.items()) <= limit
+
+
 def leaks(texts: list[bytes], index: Index) -> list[dict[int, int]]:
     """For each text the items that it leaks, with the least distance found."""
     out: list[dict[int, int]] = [{} for _ in texts]
     owners, candidates, around = [], [], []
     all_words = [words_of(text) for text in texts]
     memo: dict[tuple[int, tuple], int] = {}  # copies of a passage are judged once
+    bags = Bags(index)
 
     def flush() -> None:
         if not candidates:
             return
-        for row in np.flatnonzero(similar(candidates, index)).tolist():
+        reached = similar(candidates, index)
+        for row in sorted(range(len(candidates)), key=lambda row: not reached[row]):  # likely ones first, then the others
             item, wide = candidates[row][0], tuple(around[row])
             if (item, wide) not in memo:
                 memo[item, wide] = best_stretch(index.items[item], list(wide))
@@ -172,9 +194,12 @@ def leaks(texts: list[bytes], index: Index) -> list[dict[int, int]]:
     for number, words in enumerate(all_words):
         for item, start in windows(words, index):
             size, slack = len(index.items[item]), allowed(len(index.items[item]))
+            wide = words[max(0, start - slack) : max(0, start + size + slack)]
+            if not possible(bags[item], wide, slack):
+                continue
             owners.append(number)
             candidates.append((item, words[max(0, start) : max(0, start + size)]))
-            around.append(words[max(0, start - slack) : max(0, start + size + slack)])
+            around.append(wide)
             if len(candidates) >= 20_000:
                 flush()
     flush()

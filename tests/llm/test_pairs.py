@@ -178,6 +178,22 @@ def test_leaks_with_edits_reach_the_recall(documents, spark, root):
     assert tried > 100 and found >= 0.97 * tried
 
 
+def test_long_items_with_deletions_or_insertions_are_found():
+    draw = random.Random(9)
+    for size in (80, 150, 300):
+        items = [(i, " ".join(f"w{draw.randrange(400)}" for _ in range(size)).encode()) for i in range(24)]
+        texts = []
+        for i, text in items:
+            own = text.split()
+            for _ in range(decontaminate.allowed(size)):
+                own.pop(draw.randrange(len(own))) if i % 2 else own.insert(draw.randrange(len(own)), b"more%d" % draw.randrange(400))
+            around = [b"a%d" % draw.randrange(400) for _ in range(200)]
+            texts.append(b" ".join([*around[:100], *own, *around[100:]]))
+        found = decontaminate.leaks(texts, decontaminate.build(items))
+        assert [list(x) for x in found] == [[i] for i in range(24)]
+        assert all(x[i] <= decontaminate.allowed(size) for i, x in enumerate(found))
+
+
 def test_op10_matches_brute_force(spark, root, documents):
     found = {r["doc_id"]: r for r in decontaminate.op10_decontamination(spark, root).collect()}
     items = {r["item_id"]: r["text"].encode().lower().split() for r in spark.read.parquet(f"{root}/benchmark.parquet").collect()}
