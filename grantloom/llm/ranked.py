@@ -163,6 +163,7 @@ class Chunk:
                 for row in bits_of(group):
                     a, b = self.starts[row], self.starts[row + 1]
                     places.offer(int(self.scores[a:b][wanted[self.held[a:b]]].sum()), row)
+                places.cut()
                 continue
             inside = group & maps[depth]
             outside = group ^ inside
@@ -186,10 +187,11 @@ class Places:
                 self.cut()
 
     def cut(self) -> None:
+        if len(self.rows) < self.top:
+            return
         self.rows.sort()
         del self.rows[self.top :]
-        if len(self.rows) == self.top:
-            self.least = max(self.floor, -self.rows[-1][0])
+        self.least = max(self.floor, -self.rows[-1][0])
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
