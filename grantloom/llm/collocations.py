@@ -11,8 +11,9 @@ cut, and by the words behind it (suffix order). Merge joins of these streams giv
 the greatest counts of phrases that go on to the right, and to the left, come from the same streams without the last,
 and without the first, word.
 
-Words below the threshold cannot be in a phrase that reaches it. They are left out of the windows by a bitmap of fixed
-size over word hashes: a collision only lets a rare word through, whose phrases the exact counts drop.
+Words, and pairs of neighbours, below the threshold cannot be in a phrase that reaches it. They end a window. Which ones
+reach it is counted beforehand and told by two bitmaps of fixed size over hashes: a collision only lets a rare word or
+pair through, whose phrases the exact counts drop, and a full bitmap only leaves longer windows.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` and shares that group with rows so named;
 repeated rows count each time; ties are broken by count and then by phrase, so ranks are unique; an empty table gives an
@@ -35,8 +36,8 @@ from grantloom.llm.common import small_batches, stored, table, text_chunks
 
 #: Occurrences of a candidate, words of the longest one, rows per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bits of the word filter: 8 MB whatever the corpus. Bytes of text that a task combines at once.
-FILTER_BITS, CHUNK_BYTES = 1 << 26, 4_000_000
+#: Bits of a filter: 8 MB whatever the corpus. Bytes of text that a task combines at once, and windows that it scans at once.
+FILTER_BITS, CHUNK_BYTES, SCANNED = 1 << 26, 8_000_000, 100_000
 #: One bucket of Spark's bitmap aggregate.
 BUCKET_BITS = 32768
 #: Marks and line ends become one mark, the tab a blank, A-Z lower case.
@@ -89,14 +90,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def _place(lang: Column, word: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.concat(lang, F.lit(JOIN), word)), F.lit(bits))
+def _hash(lang: Column, word: Column) -> Column:
+    return F.xxhash64(F.concat(lang, F.lit(JOIN), word))
 
 
-def word_filter(words: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """Bits set at the hashes of the words; its size does not depend on their number."""
-    place = _place(F.col("lang"), F.col("phrase"), bits) + 1  # the aggregate counts from one
-    parts = words.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
+def phrase_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> bytes:
+    """Bits set at the hashes of some words, or of pairs of words; its size does not depend on their number."""
+    words = F.split("phrase", JOIN)
+    both = F.shiftleft(_hash(F.col("lang"), F.get(words, 0)), 1).bitwiseXOR(_hash(F.col("lang"), F.get(words, 1)))
+    one = _hash(F.col("lang"), F.col("phrase"))
+    place = F.pmod(F.when(F.size(words) > 1, both).otherwise(one), F.lit(bits)) + 1  # the aggregate counts from one
+    parts = phrases.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
     whole = bytearray(bits // 8)
     for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
         start = (row["bucket"] - 1) * (BUCKET_BITS // 8)  # a set of fixed size: bits / 32768 rows at most
@@ -105,30 +109,39 @@ def word_filter(words: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(whole)
 
 
-def windows(docs: DataFrame, known: bytes, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, c``: the run of filtered words that each word opens, of two to ``longest`` words, combined per chunk."""
-    held = docs.sparkSession.sparkContext.broadcast(known)
-    bits = 8 * len(known)
+def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits are set; the number of bits is a power of two, so signed and unsigned hashes agree."""
+    places = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return ((bitmap[places >> 3] >> (places & 7)) & 1) > 0
+
+
+def windows(docs: DataFrame, words_known: bytes, pairs_known: bytes | None, longest: int = LONGEST) -> DataFrame:
+    """``lang, phrase, c``: the run of known words that each word opens, of two to ``longest`` words, combined per chunk.
+
+    With a filter of pairs a run also ends between two words that are no known pair.
+    """
+    held = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(held.value, dtype=np.uint8)
+        bitmap, pairs = (None if x is None else np.frombuffer(x, dtype=np.uint8) for x in held.value)
         for lang, ids, words in _groups(batches):
             head = lang.encode() + b"\0"
-            places = np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
-            # The hash modulo a power of two: signed and unsigned agree.
-            places = (places & np.uint64(bits - 1)).astype(np.int64)
-            good = (bitmap[places >> 3] >> (places & 7)) & 1
-            ids = np.where((ids >= 0) & (good[ids] > 0), ids, -1)
-            columns = [ids]
-            for k in range(1, longest):
-                follow = np.full(len(ids), -1)
-                follow[:-k] = ids[k:]
-                columns.append(np.where(columns[-1] >= 0, follow, -1))
-            rows = np.flatnonzero(columns[1] >= 0)
+            hashes = np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
+            ids = np.where((ids >= 0) & _known(bitmap, hashes)[ids], ids, -1)
+            follow = np.append(ids[1:], -1)
+            if pairs is not None:
+                of_ids = hashes[ids]
+                follow = np.where(_known(pairs, (of_ids << np.uint64(1)) ^ np.append(of_ids[1:], np.uint64(0))), follow, -1)
+            follow = np.where(ids >= 0, follow, -1)
+            rows = np.flatnonzero(follow >= 0)
             if not len(rows):
                 continue
+            columns, at = [ids[rows], follow[rows]], rows + 1
+            for _ in range(2, longest):
+                column = np.where(columns[-1] >= 0, follow[np.minimum(at, len(ids) - 1)], -1)
+                columns.append(column)
+                at = at + 1
             # Equal windows get equal codes, one more word at a time.
-            columns = [column[rows] for column in columns]
             code = columns[0]
             for column in columns[1:]:
                 code = np.unique(code * (len(words) + 1) + column + 1, return_inverse=True)[1]
@@ -143,43 +156,80 @@ def windows(docs: DataFrame, known: bytes, longest: int = LONGEST) -> DataFrame:
     return _texts(docs).mapInArrow(run, "lang string, phrase string, c bigint")
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches joined up to about so many rows."""
+    open_, size = [], 0
+    for batch in batches:
+        open_.append(batch)
+        size += len(batch)
+        if size >= rows:
+            yield pa.Table.from_batches(open_).combine_chunks()
+            open_, size = [], 0
+    if size:
+        yield pa.Table.from_batches(open_).combine_chunks()
+
+
 class Runs:
-    """Counts the runs of common first words in a sorted stream of windows."""
+    """Counts the runs of common first words in a sorted stream of windows.
+
+    ``open`` has, for every length, the run that the last window belongs to: its phrase, count, and whether it may have
+    begun in the partition before.
+    """
 
-    def __init__(self, least: int):
-        self.least, self.lang, self.words, self.counts, self.edge = least, None, [], [], 0
+    def __init__(self, longest: int, least: int):
+        self.longest, self.least = longest, least
+        self.lang, self.words, self.fresh = None, [], True
+        self.open: dict[int, tuple[str, int, bool]] = {}
         self.done: list[tuple[str, str, int, bool]] = []
-        self.fresh = True
-
-    def close(self, down_to: int, last: bool = False) -> None:
-        """End the runs longer than ``down_to`` words; their counts go to the run they are part of."""
-        while len(self.words) > down_to:
-            n, count = len(self.words), self.counts.pop()
-            border = last or n <= self.edge
-            if n > 1 and (border or count >= self.least):
-                self.done.append((self.lang, JOIN.join(self.words), count, border))
-            self.words.pop()
-            if n > 1:
-                self.counts[-1] += count
-        self.edge = min(self.edge, down_to)
-
-    def add(self, lang: str, phrase: str, count: int) -> None:
-        words = phrase.split(JOIN)
-        same = 0
-        if lang == self.lang:
-            for a, b in zip(words, self.words):
-                if a != b:
-                    break
-                same += 1
-        if len(self.words) > same:
-            self.close(same)
-        self.lang = lang
-        for word in words[same:]:
-            self.words.append(word)
-            self.counts.append(0)
-        self.counts[-1] += count
-        if self.fresh:  # these runs may have begun in the partition before
-            self.fresh, self.edge = False, len(words)
+
+    def close(self, length: int, border: bool = False) -> None:
+        if length in self.open:
+            phrase, count, early = self.open.pop(length)
+            if border or early or count >= self.least:
+                self.done.append((self.lang, phrase, count, border or early))
+
+    def add(self, windows: pa.Table) -> None:
+        langs, phrases, counts = windows.column(0).to_pylist(), windows.column(1).combine_chunks(), windows.column(2).to_numpy()
+        split = pc.split_pattern(phrases, JOIN)
+        lengths = np.diff(split.offsets.to_numpy())
+        flat = split.flatten().dictionary_encode().indices.to_numpy()
+        cells = np.full((len(lengths), self.longest), -1, dtype=np.int64)
+        cells[np.arange(self.longest) < lengths[:, None]] = flat
+        lang = windows.column(0).combine_chunks().dictionary_encode().indices.to_numpy()
+        # Words that a window has in common with the one before it.
+        equal = (cells[1:] == cells[:-1]) & (cells[1:] >= 0) & (lang[1:] == lang[:-1])[:, None]
+        same = np.concatenate([[0], np.logical_and.accumulate(equal, axis=1).sum(axis=1)])
+        opening = phrases[0].as_py().split(JOIN)
+        if langs[0] == self.lang:
+            while same[0] < min(len(opening), len(self.words)) and opening[same[0]] == self.words[same[0]]:
+                same[0] += 1
+        for length in range(2, self.longest + 1):
+            if same[0] < length:
+                self.close(length)
+        self.lang = langs[0]
+        for length in range(2, self.longest + 1):
+            rows = np.flatnonzero(lengths >= length)
+            if not len(rows):
+                continue
+            starts = same[rows] < length
+            starts[0] = True
+            at = np.flatnonzero(starts)
+            sums = np.add.reduceat(counts[rows], at)
+            heads = rows[at]
+            early = np.zeros(len(at), dtype=bool)
+            if length in self.open:  # the first run goes on
+                _, before, flag = self.open.pop(length)
+                sums[0], early[0] = sums[0] + before, flag
+            elif self.fresh and heads[0] == 0:
+                early[0] = True
+            open_last = rows[-1] == len(lengths) - 1
+            for i in np.flatnonzero((sums >= self.least) | early | (np.arange(len(at)) == len(at) - 1)).tolist():
+                phrase = JOIN.join(phrases[heads[i]].as_py().split(JOIN)[:length])
+                if open_last and i == len(at) - 1:
+                    self.open[length] = (phrase, int(sums[i]), bool(early[i]))
+                elif early[i] or sums[i] >= self.least:
+                    self.done.append((langs[heads[i]], phrase, int(sums[i]), bool(early[i])))
+        self.fresh, self.lang, self.words = False, langs[-1], phrases[len(phrases) - 1].as_py().split(JOIN)
 
     def take(self) -> pa.RecordBatch:
         rows, self.done = self.done, []
@@ -189,22 +239,22 @@ class Runs:
         )
 
 
-def phrase_counts(counted: DataFrame, least: int = LEAST) -> DataFrame:
+def phrase_counts(counted: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``lang, phrase, a`` of every phrase of two or more words that reaches ``least``, from the windows."""
     ordered = counted.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = Runs(least)
-        for batch in batches:
-            for lang, phrase, count in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                runs.add(lang, phrase, count)
+        runs = Runs(longest, least)
+        for part in _rows_of(batches, SCANNED):
+            runs.add(part)
             if runs.done:
                 yield runs.take()
-        runs.close(0, last=True)
+        for length in range(2, longest + 1):
+            runs.close(length, border=True)
         yield runs.take()
 
     found = stored(ordered.mapInArrow(run, "lang string, phrase string, a bigint, border boolean"), "phrase-runs")
-    # At most ten runs per partition touch its borders.
+    # At most two runs of each length touch the borders of a partition.
     split = found.where("border").groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
     return found.where("not border").select("lang", "phrase", "a").unionByName(split)
 
@@ -252,8 +302,10 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     every = stored(word_counts(docs), "word-counts")
     totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
     words = every.where(F.col("a") >= least)
-    counted = stored(windows(docs, word_filter(words, bits), longest), "windows")
-    phrases = stored(phrase_counts(counted, least), "phrase-counts")
+    words_known = phrase_filter(words, bits)
+    pairs = windows(docs, words_known, None, 2).groupBy("lang", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+    counted = stored(windows(docs, words_known, phrase_filter(pairs, bits), longest), "windows")
+    phrases = stored(phrase_counts(counted, least, longest), "phrase-counts")
     kept = unextended(scored(phrases, words, totals), phrases, share)
     for code, sign in ((JOIN, " "), ("\1\1", "\0"), ("\1\2", "\1")):  # behind the joins, words get back what they held
         kept = kept.withColumn("phrase", F.replace("phrase", F.lit(code), F.lit(sign)))
