@@ -1,10 +1,9 @@
 """Phrase collocations by sorted count streams.
 
-A phrase is a run of words inside a piece (the text between marks and line ends). Each word that can open a frequent
-phrase gives one window of up to five words; windows are combined in the task, range-partitioned and sorted word by
-word. In this prefix order every phrase of every length is one run of neighbouring windows, so a scan with a stack of
-open runs counts all lengths at once and holds five counters. Only runs that touch the border of a partition are added up
-afterwards.
+A phrase is a run of words inside a piece (the text between marks and line ends). Each word that can be in a frequent
+phrase opens one window of up to five words; windows are combined in the task, range-partitioned and sorted word by
+word. In this prefix order every phrase of every length is one run of neighbouring windows, so a scan that keeps one open
+run per length counts all lengths at once. Only runs that touch the border of a partition are added up afterwards.
 
 The frequent phrases then form three streams in sorted order: by the phrase itself (prefix order), by the words before a
 cut, and by the words behind it (suffix order). Merge joins of these streams give the counts left and right of a cut;
@@ -12,8 +11,9 @@ the greatest counts of phrases that go on to the right, and to the left, come fr
 and without the first, word.
 
 Words, and pairs of neighbours, below the threshold cannot be in a phrase that reaches it. They end a window. Which ones
-reach it is counted beforehand and told by two bitmaps of fixed size over hashes: a collision only lets a rare word or
-pair through, whose phrases the exact counts drop, and a full bitmap only leaves longer windows.
+may reach it is told by two bitmaps of fixed size, made from counters at the hashes of all words, and of all pairs: a
+collision only lets a rare word or pair through, whose phrases the exact counts drop, and a full bitmap only leaves
+longer windows.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` and shares that group with rows so named;
 repeated rows count each time; ties are broken by count and then by phrase, so ranks are unique; an empty table gives an
@@ -36,10 +36,10 @@ from grantloom.llm.common import small_batches, stored, table, text_chunks
 
 #: Occurrences of a candidate, words of the longest one, rows per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Bits of a filter: 8 MB whatever the corpus. Bytes of text that a task combines at once, and windows that it scans at once.
-FILTER_BITS, CHUNK_BYTES, SCANNED = 1 << 26, 8_000_000, 100_000
-#: One bucket of Spark's bitmap aggregate.
-BUCKET_BITS = 32768
+#: Counters of a filter: its bitmap has 32 MB whatever the corpus. They travel in blocks of 65,536.
+COUNTERS, BLOCK = 1 << 28, 1 << 16
+#: Bytes of text that a task combines at once, and windows that it scans at once.
+CHUNK_BYTES, SCANNED = 8_000_000, 100_000
 #: Marks and line ends become one mark, the tab a blank, A-Z lower case.
 MARK = b"."
 _FROM = b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91))
@@ -75,71 +75,98 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``lang, phrase, a`` of every word."""
+def _hashes(lang: str, words: pa.Array) -> np.ndarray:
+    head = lang.encode() + b"\0"
+    return np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, ids, words in _groups(batches):
-            counts = np.bincount(ids[ids >= 0], minlength=len(words))
-            met = np.flatnonzero(counts)
-            yield pa.record_batch(
-                [pa.array([lang] * len(met), pa.string()), words.take(pa.array(met)).cast(pa.string()), pa.array(counts[met])],
-                names=["lang", "phrase", "a"],
-            )
 
-    return _texts(docs).mapInArrow(run, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bits at the hashes are set; the bitmap has a power of two of them."""
+    places = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    return ((bitmap[places >> 3] >> (places & 7)) & 1) > 0
 
 
-def _hash(lang: Column, word: Column) -> Column:
-    return F.xxhash64(F.concat(lang, F.lit(JOIN), word))
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each word and its successor."""
+    return (hashes << np.uint64(1)) ^ np.append(hashes[1:], np.uint64(0))
 
 
-def phrase_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """Bits set at the hashes of some words, or of pairs of words; its size does not depend on their number."""
-    words = F.split("phrase", JOIN)
-    both = F.shiftleft(_hash(F.col("lang"), F.get(words, 0)), 1).bitwiseXOR(_hash(F.col("lang"), F.get(words, 1)))
-    one = _hash(F.col("lang"), F.col("phrase"))
-    place = F.pmod(F.when(F.size(words) > 1, both).otherwise(one), F.lit(bits)) + 1  # the aggregate counts from one
-    parts = phrases.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit"))
-    whole = bytearray(bits // 8)
-    for row in parts.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map")).collect():
-        start = (row["bucket"] - 1) * (BUCKET_BITS // 8)  # a set of fixed size: bits / 32768 rows at most
-        part = bytes(row["map"])[: len(whole) - start]
-        whole[start : start + len(part)] = part
-    return bytes(whole)
+def _follow(ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of good words and of their good successors in the piece; the others are -1."""
+    ids = np.where((ids >= 0) & good[ids], ids, -1)
+    return ids, np.where(ids >= 0, np.append(ids[1:], -1), -1)
 
 
-def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the bits are set; the number of bits is a power of two, so signed and unsigned hashes agree."""
-    places = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
-    return ((bitmap[places >> 3] >> (places & 7)) & 1) > 0
+def reaching(docs: DataFrame, least: int, words: bytes | None = None, counters: int = COUNTERS) -> bytes:
+    """Bits set where a counter reaches ``least``: that of every word, or with a filter of words that of every pair of them.
+
+    A task sends the counters that its chunks raise as 16-bit places within a block; a block's counters are added up by one
+    task, which holds its blocks only, and stop at ``least``.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(words)  # of fixed size
+    small, block = np.uint8 if least < 256 else np.uint32, min(BLOCK, counters)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if held.value is None else np.frombuffer(held.value, dtype=np.uint8)
+        for lang, ids, vocabulary in _groups(batches):
+            hashes = _hashes(lang, vocabulary)
+            if bitmap is None:
+                found = hashes[ids[ids >= 0]]
+            else:
+                ids, follow = _follow(ids, _set(bitmap, hashes))
+                found = _pairs(hashes[ids])[follow >= 0]
+            places, counts = np.unique(found & np.uint64(counters - 1), return_counts=True)
+            if not len(places):
+                continue
+            blocks, starts = np.unique(places // np.uint64(block), return_index=True)
+            low = (places % np.uint64(block)).astype("<u2")
+            counts = np.minimum(counts, least).astype(small)
+            ends = np.append(starts[1:], len(places))
+            yield pa.record_batch(
+                [pa.array(blocks.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                 pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
+                names=["block", "places", "counts"],
+            )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for number, places, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                own = sums.setdefault(number, np.zeros(block, dtype=small))
+                at = np.frombuffer(places, "<u2")
+                own[at] = np.minimum(own[at].astype(np.int64) + np.frombuffer(counts, small), least)
+        for number, own in sums.items():
+            flags = own >= least
+            if flags.any():
+                yield pa.record_batch(
+                    [pa.array([number], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"]
+                )
+
+    raised = _texts(docs).mapInArrow(count, "block int, places binary, counts binary").repartition("block")
+    whole = bytearray(max(1, counters // 8))
+    size = max(1, block // 8)
+    for row in raised.mapInArrow(add_up, "block int, bits binary").toLocalIterator():  # counters / 65,536 rows of 8 KB at most
+        whole[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
+    return bytes(whole)
 
 
-def windows(docs: DataFrame, words_known: bytes, pairs_known: bytes | None, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, c``: the run of known words that each word opens, of two to ``longest`` words, combined per chunk.
+def windows(docs: DataFrame, words_known: bytes, pairs_known: bytes, longest: int = LONGEST) -> DataFrame:
+    """``lang, phrase, c``: the run of known words and pairs that each word opens, up to ``longest`` words, combined per chunk.
 
-    With a filter of pairs a run also ends between two words that are no known pair.
+    An empty phrase counts all words.
     """
     held = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, pairs = (None if x is None else np.frombuffer(x, dtype=np.uint8) for x in held.value)
+        bitmap, pairs = (np.frombuffer(x, dtype=np.uint8) for x in held.value)
         for lang, ids, words in _groups(batches):
-            head = lang.encode() + b"\0"
-            hashes = np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
-            ids = np.where((ids >= 0) & _known(bitmap, hashes)[ids], ids, -1)
-            follow = np.append(ids[1:], -1)
-            if pairs is not None:
-                of_ids = hashes[ids]
-                follow = np.where(_known(pairs, (of_ids << np.uint64(1)) ^ np.append(of_ids[1:], np.uint64(0))), follow, -1)
-            follow = np.where(ids >= 0, follow, -1)
-            rows = np.flatnonzero(follow >= 0)
-            if not len(rows):
-                continue
-            columns, at = [ids[rows], follow[rows]], rows + 1
-            for _ in range(2, longest):
-                column = np.where(columns[-1] >= 0, follow[np.minimum(at, len(ids) - 1)], -1)
-                columns.append(column)
+            number, hashes = int((ids >= 0).sum()), _hashes(lang, words)
+            ids, follow = _follow(ids, _set(bitmap, hashes))
+            follow = np.where((follow >= 0) & _set(pairs, _pairs(hashes[ids])), follow, -1)
+            rows = np.flatnonzero(ids >= 0)
+            columns, at = [ids[rows]], rows
+            for _ in range(1, longest):
+                columns.append(np.where(columns[-1] >= 0, follow[np.minimum(at, len(ids) - 1)], -1))
                 at = at + 1
             # Equal windows get equal codes, one more word at a time.
             code = columns[0]
@@ -149,9 +176,10 @@ def windows(docs: DataFrame, words_known: bytes, pairs_known: bytes | None, long
             parts = [words.take(pa.array(column[first], mask=column[first] < 0)) for column in columns]
             phrases = pc.binary_join_element_wise(*parts, pa.scalar(JOIN.encode(), pa.binary()), null_handling="skip")
             yield pa.record_batch(
-                [pa.array([lang] * len(first), pa.string()), phrases.cast(pa.string()), pa.array(counts.astype(np.int64))],
+                [pa.array([lang] * (len(first) + 1), pa.string()), pa.concat_arrays([phrases.cast(pa.string()), pa.array([""], pa.string())]),
+                 pa.array(np.append(counts, number).astype(np.int64))],
                 names=["lang", "phrase", "c"],
-            )
+            )
 
     return _texts(docs).mapInArrow(run, "lang string, phrase string, c bigint")
 
@@ -203,11 +231,11 @@ class Runs:
         if langs[0] == self.lang:
             while same[0] < min(len(opening), len(self.words)) and opening[same[0]] == self.words[same[0]]:
                 same[0] += 1
-        for length in range(2, self.longest + 1):
+        for length in range(1, self.longest + 1):
             if same[0] < length:
                 self.close(length)
         self.lang = langs[0]
-        for length in range(2, self.longest + 1):
+        for length in range(1, self.longest + 1):
             rows = np.flatnonzero(lengths >= length)
             if not len(rows):
                 continue
@@ -240,7 +268,7 @@ class Runs:
 
 
 def phrase_counts(counted: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, a`` of every phrase of two or more words that reaches ``least``, from the windows."""
+    """``lang, phrase, a`` of every phrase that reaches ``least``, single words and the count of all words too, from the windows."""
     ordered = counted.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +277,7 @@ def phrase_counts(counted: DataFrame, least: int = LEAST, longest: int = LONGEST
             runs.add(part)
             if runs.done:
                 yield runs.take()
-        for length in range(2, longest + 1):
+        for length in range(1, longest + 1):
             runs.close(length, border=True)
         yield runs.take()
 
@@ -263,9 +291,9 @@ def _part(words: Column, start: Column | int, length: Column | int) -> Column:
     return F.array_join(F.slice(words, start, length), JOIN)
 
 
-def scored(phrases: DataFrame, words: DataFrame, totals: DataFrame) -> DataFrame:
+def scored(counts: DataFrame, phrases: DataFrame) -> DataFrame:
     """``lang, phrase, a, l, r, n, score`` of every candidate: the cut with the least score, the smallest of equals."""
-    counts = stored(phrases.unionByName(words.select("lang", "phrase", "a")), "count-stream")
+    totals = counts.where("phrase = ''").select("lang", F.col("a").alias("n"))
     cut = phrases.withColumn("words", F.split("phrase", JOIN)).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("words") - 1)))
     cut = cut.select(
         "lang", "phrase", "a", "k", _part(F.col("words"), F.lit(1), F.col("k")).alias("left"),
@@ -297,16 +325,14 @@ def unextended(candidates: DataFrame, phrases: DataFrame, share: int = 100) -> D
     return met.where(most * 100 < F.col("a") * share).drop("x", "y")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, counters: int = COUNTERS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` candidates by score, count and phrase."""
-    every = stored(word_counts(docs), "word-counts")
-    totals = every.groupBy("lang").agg(F.sum("a").alias("n"))
-    words = every.where(F.col("a") >= least)
-    words_known = phrase_filter(words, bits)
-    pairs = windows(docs, words_known, None, 2).groupBy("lang", "phrase").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    counted = stored(windows(docs, words_known, phrase_filter(pairs, bits), longest), "windows")
-    phrases = stored(phrase_counts(counted, least, longest), "phrase-counts")
-    kept = unextended(scored(phrases, words, totals), phrases, share)
+    words_known = reaching(docs, least, None, counters)
+    pairs_known = reaching(docs, least, words_known, counters)
+    counted = stored(windows(docs, words_known, pairs_known, longest), "windows")
+    counts = stored(phrase_counts(counted, least, longest), "phrase-counts")
+    phrases = counts.where(F.instr("phrase", JOIN) > 0)
+    kept = unextended(scored(counts, phrases), phrases, share)
     for code, sign in ((JOIN, " "), ("\1\1", "\0"), ("\1\2", "\1")):  # behind the joins, words get back what they held
         kept = kept.withColumn("phrase", F.replace("phrase", F.lit(code), F.lit(sign)))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

@@ -111,8 +111,8 @@ def test_runs_across_partition_borders_are_added_up(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "37")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        for bits in (collocations.FILTER_BITS, 8):  # a filter too small for its words changes nothing
-            found = sorted(map(tuple, collocations.collocations(docs, 10, bits=bits).collect()))
+        for counters in (collocations.COUNTERS, 1 << 17, 8):  # a filter too small for its words changes nothing
+            found = sorted(map(tuple, collocations.collocations(docs, 10, counters=counters).collect()))
             assert found == plain_phrases([(lang, text) for _, text, lang in texts], 10)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
