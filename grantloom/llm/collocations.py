@@ -129,14 +129,21 @@ def reaching(docs: DataFrame, least: int, words: bytes | None = None, counters:
             )
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        lines: dict[int, int] = {}
+        table = np.zeros((0, block), dtype=small)
         for batch in batches:
-            for number, places, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                own = sums.setdefault(number, np.zeros(block, dtype=small))
-                at = np.frombuffer(places, "<u2")
-                own[at] = np.minimum(own[at].astype(np.int64) + np.frombuffer(counts, small), least)
-        for number, own in sums.items():
-            flags = own >= least
+            numbers, places, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            own = [lines.setdefault(number, len(lines)) for number in numbers]
+            if len(lines) > len(table):
+                table = np.concatenate([table, np.zeros((len(lines) - len(table), block), dtype=small)])
+            sizes = np.fromiter(map(len, places), dtype=np.int64, count=len(places)) // 2
+            at = np.repeat(np.array(own, dtype=np.int64) * block, sizes) + np.frombuffer(b"".join(places), "<u2")
+            at, which = np.unique(at, return_inverse=True)
+            sums = np.bincount(which, weights=np.frombuffer(b"".join(counts), small)).astype(np.int64)
+            flat = table.reshape(-1)
+            flat[at] = np.minimum(flat[at].astype(np.int64) + sums, least)
+        for number, line in lines.items():
+            flags = table[line] >= least
             if flags.any():
                 yield pa.record_batch(
                     [pa.array([number], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"]
@@ -145,7 +152,7 @@ def reaching(docs: DataFrame, least: int, words: bytes | None = None, counters:
     raised = _texts(docs).mapInArrow(count, "block int, places binary, counts binary").repartition("block")
     whole = bytearray(max(1, counters // 8))
     size = max(1, block // 8)
-    for row in raised.mapInArrow(add_up, "block int, bits binary").toLocalIterator():  # counters / 65,536 rows of 8 KB at most
+    for row in raised.mapInArrow(add_up, "block int, bits binary").collect():  # a set of fixed size: 4,096 rows of 8 KB at most
         whole[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
     return bytes(whole)
 
