@@ -1,21 +1,28 @@
 """Density clusters of points in the plane.
 
-Cells of side ``eps / sqrt(2)`` make all points of one cell neighbours of each other.  A cell that holds
-``min_samples`` points is dense without comparing any pair, so crowded places cost nothing; only points of
-thin cells are compared with their surroundings, and clusters are connected components of cells.
+Cells of side ``eps / sqrt(2)`` make all points of one cell neighbours of each other. A cell that holds
+``min_samples`` points is dense without comparing any pair, and clusters are connected components of cells.
+
+Everything else asks how points, or cells, lie to the places of other cells: how many are in range, whether any is, which
+is nearest. A cell answers with a summary (its places, their weight, the box around them and one of them) where the box is
+wholly in or out of range. Only cells that the range cuts are looked into: place by place if they hold few, otherwise
+by their sixteen parts, whose summaries answer in turn. So a cell of a million places is never compared place by place.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantloom.operators.components import components
 from grantloom.session import settled
 
 REACH = 2
-FINE = 4
+#: Parts per side of a cell that is split, places of a cell that are compared one by one, and splits at most.
+PARTS, DIRECT, DEEPEST = 4, 64, 12
 
 
 def _cells(sites: DataFrame, side: float) -> DataFrame:
@@ -23,7 +30,7 @@ def _cells(sites: DataFrame, side: float) -> DataFrame:
 
 
 def _around(rows: DataFrame, own: bool) -> DataFrame:
-    """One row per cell within reach, the own cell included or not; corners cannot be in range."""
+    """One row per cell within reach as ``tx, ty``, the own cell included or not; corners cannot be in range."""
     steps = [
         (dx, dy)
         for dx in range(-REACH, REACH + 1)
@@ -42,24 +49,88 @@ def _gap(a: str, b: str) -> Column:
     return F.sqrt(F.pow(F.col(f"{a}x") - F.col(f"{b}x"), 2) + F.pow(F.col(f"{a}y") - F.col(f"{b}y"), 2))
 
 
+def _summaries(sites: DataFrame, side: float, prefix: str = "t", *more: Column) -> DataFrame:
+    """Per cell: ``places``, their ``weight``, one of them and the box around them, under names that start with ``prefix``."""
+    ends = [f(c).alias(f"{prefix}{c}{n}") for c in ("x", "y") for n, f in (("0", F.min), ("1", F.max))]
+    one = F.min(F.struct("x", "y"))
+    keys = [F.floor(F.col(c) / side).alias(f"{prefix}{c}") for c in ("x", "y")]
+    found = sites.groupBy("group", *keys).agg(
+        F.count(F.lit(1)).alias(f"{prefix}places"), F.sum("n").alias(f"{prefix}weight"), one.alias(f"{prefix}one"), *ends, *more
+    )
+    return found
+
+
+def _apart(low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    """Least distance of two intervals."""
+    return F.greatest(low2 - high, low - high2, F.lit(0.0))
+
+
+def _spread(low: Column, high: Column, low2: Column, high2: Column) -> Column:
+    return F.greatest(high2 - low, high - low2)
+
+
+def _box_gap(measure, a: dict[str, str], b: dict[str, str]) -> Column:
+    parts = [F.pow(measure(*(F.col(s[f"{c}{e}"]) for s in (a, b) for e in ("0", "1"))), 2) for c in ("x", "y")]
+    return F.sqrt(parts[0] + parts[1])
+
+
+def _box(prefix: str) -> dict[str, str]:
+    return {f"{c}{e}": f"{prefix}{c}{e}" for c in ("x", "y") for e in ("0", "1")}
+
+
+#: A point is a box without extent.
+POINT = {"x0": "px", "x1": "px", "y0": "py", "y1": "py"}
+
+
+def _parts_of(rows: DataFrame, prefix: str = "t") -> DataFrame:
+    """The parts of every cell, under the cell's names."""
+    keys = [f"{prefix}x", f"{prefix}y"]
+    for key in keys:
+        rows = rows.withColumn(key, F.explode(F.array(*[F.col(key) * PARTS + i for i in range(PARTS)])))
+    return rows
+
+
+def _in_cell(sites: DataFrame, side: float, prefix: str, out: str, *more: str) -> DataFrame:
+    """Places under the names of their cell and ``out``."""
+    keys = [F.floor(F.col(c) / side).alias(f"{prefix}{c}") for c in ("x", "y")]
+    return sites.select("group", *keys, F.col("x").alias(f"{out}x"), F.col("y").alias(f"{out}y"), *more)
+
+
+def _near_weight(thin: DataFrame, sites: DataFrame, eps: float, side: float) -> DataFrame:
+    """``group, x, y, near``: weight of the places within ``eps`` of thin places, counted until ``least`` is reached.
+
+    ``thin`` has ``(group, gx, gy, px, py, least)``.
+    """
+    key = ["group", "px", "py"]
+    front, counted = _around(thin, own=True).select(*key, "least", "tx", "ty"), []
+    for depth in range(DEEPEST + 1):
+        met = front.join(_summaries(sites, side), ["group", "tx", "ty"])
+        met = met.where(_box_gap(_apart, POINT, _box("t")) <= eps).withColumn("inside", _box_gap(_spread, POINT, _box("t")) <= eps)
+        met = settled(met.select(*key, "least", "tx", "ty", "inside", "tplaces", "tweight"))
+        few = (F.col("tplaces") <= DIRECT) | F.lit(depth == DEEPEST)
+        sure = met.where("inside").select(*key, F.col("tweight").alias("n"))
+        direct = met.where(~F.col("inside") & few).join(_in_cell(sites, side, "t", "q", "n"), ["group", "tx", "ty"])
+        counted += [sure, direct.where(_gap("p", "q") <= eps).select(*key, "n")]
+        rest = met.where(~F.col("inside") & ~few)
+        if depth == DEEPEST or rest.isEmpty():
+            break
+        so_far = reduce(DataFrame.unionByName, counted).groupBy(*key).agg(F.sum("n").alias("so_far"))
+        rest = rest.join(so_far, key, "left").where(F.coalesce("so_far", F.lit(0)) < F.col("least"))
+        front, side = _parts_of(rest.select(*key, "least", "tx", "ty")), side / PARTS
+    near = reduce(DataFrame.unionByName, counted).groupBy(*key).agg(F.sum("n").alias("near"))
+    return near.withColumnsRenamed({"px": "x", "py": "y"})
+
+
 def core_sites(sites: DataFrame, eps: float) -> DataFrame:
-    """Distinct places ``(group, least, x, y, n, gx, gy)`` with ``is_core``; ``least`` are the samples a core needs."""
+    """Distinct places ``(group, x, y, n, gx, gy)`` with ``is_core``; ``least`` are the samples a core needs."""
+    side = eps / math.sqrt(2)
     weights = sites.groupBy("group", "gx", "gy").agg(F.sum("n").alias("cell_n"), F.max("least").alias("least"))
     dense = weights.where(F.col("cell_n") >= F.col("least")).select("group", "gx", "gy", F.lit(True).alias("dense"))
     marked = sites.join(dense, ["group", "gx", "gy"], "left").withColumn("dense", F.coalesce("dense", F.lit(False)))
     thin = marked.where(~F.col("dense")).select(
-        "group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py")
-    )
-    others = sites.select(
-        "group", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy"), "n"
-    )
-    counts = (
-        _around(thin, own=True)
-        .join(others, ["group", "tx", "ty"])
-        .where(_gap("p", "q") <= eps)
-        .groupBy("group", F.col("px").alias("x"), F.col("py").alias("y"))
-        .agg(F.sum("n").alias("near"))
+        "group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py"), "least"
     )
+    counts = _near_weight(thin, sites.select("group", "x", "y", "n"), eps, side)
     return marked.join(counts, ["group", "x", "y"], "left").select(
         "group", "x", "y", "n", "gx", "gy",
         (F.col("dense") | (F.coalesce("near", F.lit(0)) >= F.col("least"))).alias("is_core"),
@@ -67,71 +138,63 @@ def core_sites(sites: DataFrame, eps: float) -> DataFrame:
 
 
 def _links(cores: DataFrame, eps: float, side: float) -> DataFrame:
-    """Pairs of neighbouring core cells with core places in range.
+    """Pairs ``group, ax, ay, bx, by`` of neighbouring core cells with core places in range.
 
-    Places are first thinned to one per fine cell; a pair of cells those already link needs no more
-    comparisons.  The rest is decided on all places, so the result is exact.
+    A pair is linked if the places that stand for two cells, or their boxes, are in range, and not if the boxes are out
+    of range; in between it is decided by the parts of both cells.
     """
-    fine = cores.groupBy(
-        "group", "gx", "gy", F.floor(F.col("x") / (side / FINE)).alias("fx"), F.floor(F.col("y") / (side / FINE)).alias("fy")
-    ).agg(F.min(F.struct("x", "y")).alias("place"))
-    sparse = fine.select("group", "gx", "gy", F.col("place.x").alias("x"), F.col("place.y").alias("y"))
-    cell = lambda prefix: F.struct(F.col(f"{prefix}x").alias("gx"), F.col(f"{prefix}y").alias("gy"))
-
-    def linked(left: DataFrame, right: DataFrame) -> DataFrame:
-        a = _around(left.select("group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py")), own=False)
-        a = a.where(cell("g") < cell("t"))
-        b = right.select(
-            "group", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy")
-        )
-        return (
-            a.join(b, ["group", "tx", "ty"])
-            .groupBy("group", "gx", "gy", "tx", "ty")
-            .agg(F.min(_gap("p", "q")).alias("gap"))
-        )
-
-    first = linked(sparse, sparse)
-    sure = first.where(F.col("gap") <= eps).drop("gap")
-    open_pairs = first.where((F.col("gap") > eps) & (F.col("gap") <= eps + 2 * side / FINE * math.sqrt(2))).drop("gap")
-    involved = cores.select("group", "gx", "gy", "x", "y")
-    left = involved.select("group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py"))
-    right = involved.select(
-        "group", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy")
-    )
-    late = (
-        open_pairs.join(left, ["group", "gx", "gy"])
-        .join(right, ["group", "tx", "ty"])
-        .where(_gap("p", "q") <= eps)
-        .select("group", "gx", "gy", "tx", "ty")
-        .distinct()
-    )
-    return sure.unionByName(late)
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest reachable node per node, by hooking to the smallest neighbour and pointer jumping.
-
-    ``nodes`` has ``node``; ``edges`` has ``(a, b)``.  Every round is checkpointed, which cuts the lineage
-    and survives lost executors.  Labels only ever fall, so the rounds end, when none has changed.
+    sites = cores.select("group", "x", "y", "n")
+    pair = ["group", "ax", "ay", "bx", "by"]
+    owned = _around(cores.select("group", "gx", "gy").distinct(), own=False)
+    owned = owned.where("struct(gx, gy) < struct(tx, ty)")
+    front = owned.select("group", *(F.col(c).alias(n) for n, c in zip(("ax", "ay", "bx", "by", "sx", "sy", "tx", "ty"), ("gx", "gy", "tx", "ty") * 2)))
+    linked = []
+    for depth in range(DEEPEST + 1):
+        met = front.join(_summaries(sites, side, "s"), ["group", "sx", "sy"]).join(_summaries(sites, side, "t"), ["group", "tx", "ty"])
+        between = F.sqrt(F.pow(F.col("sone.x") - F.col("tone.x"), 2) + F.pow(F.col("sone.y") - F.col("tone.y"), 2))
+        met = met.where(_box_gap(_apart, _box("s"), _box("t")) <= eps).withColumn("sure", between <= eps)
+        met = settled(met.select(*pair, "sx", "sy", "tx", "ty", "sure", "splaces", "tplaces"))
+        sure = met.where("sure").select(*pair).distinct()
+        linked.append(sure)
+        rest = met.where("not sure").join(sure, pair, "left_anti")
+        few = ((F.col("splaces") <= DIRECT) & (F.col("tplaces") <= DIRECT)) | F.lit(depth == DEEPEST)
+        direct = rest.where(few).join(_in_cell(sites, side, "s", "p"), ["group", "sx", "sy"])
+        direct = direct.join(_in_cell(sites, side, "t", "q"), ["group", "tx", "ty"])
+        linked.append(direct.where(_gap("p", "q") <= eps).select(*pair).distinct())
+        rest = rest.where(~few)
+        if depth == DEEPEST or rest.isEmpty():
+            break
+        front, side = _parts_of(_parts_of(rest.select(*pair, "sx", "sy", "tx", "ty"), "s"), "t"), side / PARTS
+    return reduce(DataFrame.unionByName, linked).distinct()
+
+
+def _nearest(front: DataFrame, targets: DataFrame, side: float, reach: float | None) -> DataFrame:
+    """``group, x, y, cluster``: cluster of the nearest target within ``reach``, the least name of equally near ones.
+
+    ``front`` has ``(group, px, py, tx, ty)``, the cells of ``side`` to look into; ``targets`` has ``(group, x, y,
+    cluster)``. A cell is left out if its box is farther than some target that is known already.
     """
-    links = settled(edges)
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = settled(nodes.select("node", F.col("node").alias("label")))
-    while True:
-        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(
-            F.min("label").alias("offer")
-        )
-        hooked = labels.join(offered, "node", "left").select(
-            "node", "label", F.least("label", F.coalesce("offer", "label")).alias("next")
-        )
-        jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("further"))
-        step = settled(
-            hooked.join(jump, "next", "left").select("node", "label", F.least("next", "further").alias("next"))
-        )
-        changed = step.where(F.col("label") != F.col("next")).limit(1).count()
-        labels = step.select("node", F.col("next").alias("label"))
-        if not changed:
-            return labels
+    key, found = ["group", "px", "py"], []
+    sites = targets.withColumn("n", F.lit(1))
+    for depth in range(DEEPEST + 1):
+        met = front.join(_summaries(sites, side), ["group", "tx", "ty"])
+        upper = F.sqrt(F.pow(F.col("tone.x") - F.col("px"), 2) + F.pow(F.col("tone.y") - F.col("py"), 2))
+        met = met.select(*key, "tx", "ty", "tplaces", _box_gap(_apart, POINT, _box("t")).alias("lower"), upper.alias("upper"))
+        if reach is not None:
+            met = met.where(F.col("lower") <= reach)
+        best = F.min("upper").over(Window.partitionBy(*key))  # the cells around one place
+        met = settled(met.withColumn("best", best).where(F.col("lower") <= F.col("best")))
+        few = (F.col("tplaces") <= DIRECT) | F.lit(depth == DEEPEST)
+        direct = met.where(few).join(_in_cell(targets, side, "t", "q", "cluster"), ["group", "tx", "ty"]).withColumn("gap", _gap("p", "q"))
+        if reach is not None:
+            direct = direct.where(F.col("gap") <= reach)
+        found.append(direct.groupBy(*key).agg(F.min(F.struct("gap", "cluster")).alias("near")))
+        rest = met.where(~few)
+        if depth == DEEPEST or rest.isEmpty():
+            break
+        front, side = _parts_of(rest.select(*key, "tx", "ty")), side / PARTS
+    near = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("near").alias("near"))
+    return near.select("group", F.col("px").alias("x"), F.col("py").alias("y"), "near.cluster")
 
 
 def density_places(points: DataFrame, eps: float, min_samples: int | Column) -> DataFrame:
@@ -148,29 +211,19 @@ def density_places(points: DataFrame, eps: float, min_samples: int | Column) ->
         places = places.join(sizes, "group")
     else:
         places = places.withColumn("least", F.lit(min_samples))
-    marked = settled(core_sites(_cells(places, side), eps))
+    marked = settled(core_sites(_cells(settled(places), side), eps))
     cores = marked.where("is_core")
     name = lambda x, y: F.concat_ws(",", "group", F.col(x), F.col(y))
     nodes = cores.select("group", "gx", "gy").distinct().withColumn("node", name("gx", "gy"))
-    edges = _links(cores, eps, side).select(name("gx", "gy").alias("a"), name("tx", "ty").alias("b"))
+    edges = _links(cores, eps, side).select(name("ax", "ay").alias("a"), name("bx", "by").alias("b"))
     found = components(nodes, edges)
-    labelled = cores.withColumn("node", name("gx", "gy")).join(found, "node").select(
-        "group", "x", "y", "gx", "gy", F.col("label").alias("cluster")
-    )
+    labelled = settled(cores.withColumn("node", name("gx", "gy")).join(found, "node").select(
+        "group", "x", "y", F.col("label").alias("cluster")
+    ))
     loose = marked.where("not is_core").select(
         "group", "gx", "gy", F.col("x").alias("px"), F.col("y").alias("py")
     )
-    targets = labelled.select(
-        "group", F.col("gx").alias("tx"), F.col("gy").alias("ty"), F.col("x").alias("qx"), F.col("y").alias("qy"), "cluster"
-    )
-    border = (
-        _around(loose, own=True)
-        .join(targets, ["group", "tx", "ty"])
-        .withColumn("gap", _gap("p", "q"))
-        .where(F.col("gap") <= eps)
-        .groupBy("group", F.col("px").alias("x"), F.col("py").alias("y"))
-        .agg(F.min_by("cluster", F.struct("gap", "cluster")).alias("cluster"))
-    )
+    border = _nearest(_around(loose, own=True).select("group", "px", "py", "tx", "ty"), labelled, side, eps)
     placed = labelled.select("group", "x", "y", "cluster").unionByName(border)
     return settled(marked.select("group", "x", "y", "n").join(placed, ["group", "x", "y"], "left"))
 
@@ -187,36 +240,36 @@ def on_points(points: DataFrame, places: DataFrame) -> DataFrame:
 def noise_to_nearest(places: DataFrame) -> DataFrame:
     """Gives noise places the cluster of their group whose mean over its points is nearest.
 
-    The means of a group travel as one array per group; groups without a cluster keep their noise.
+    The search starts at the few cells that hold all means of a group; groups without a cluster keep their noise.
     """
     weight = F.col("n").cast("double")
-    means = places.where("cluster is not null").groupBy("group", "cluster").agg(
-        (F.sum(F.col("x") * weight) / F.sum(weight)).alias("mx"), (F.sum(F.col("y") * weight) / F.sum(weight)).alias("my")
-    )
-    packed = means.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("cluster", "mx", "my"))).alias("means"))
-    table = packed.agg(F.map_from_entries(F.collect_list(F.struct("group", "means")))).scalar()
-    nearest = F.array_min(
-        F.transform(
-            F.col("__means"),
-            lambda cell: F.struct(
-                (F.pow(cell["mx"] - F.col("x"), 2) + F.pow(cell["my"] - F.col("y"), 2)).alias("gap"),
-                cell["cluster"].alias("cluster"),
-            ),
-        )
-    )["cluster"]
-    noise = F.col("cluster").isNull()
-    return (
-        places.withColumn("__table", table)
-        .withColumn("__means", F.when(noise, F.try_element_at("__table", F.col("group"))))
-        .withColumn("was_noise", noise)
-        .withColumn("cluster", F.when(noise, nearest).otherwise(F.col("cluster")))
-        .drop("__table", "__means")
-    )
+    means = settled(places.where("cluster is not null").groupBy("group", "cluster").agg(
+        (F.sum(F.col("x") * weight) / F.sum(weight)).alias("x"), (F.sum(F.col("y") * weight) / F.sum(weight)).alias("y")
+    ))
+    ends = means.groupBy("group").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("low", F.min), ("high", F.max))])
+    widest = ends.agg(F.max(F.greatest(F.col("high_x") - F.col("low_x"), F.col("high_y") - F.col("low_y")))).first()[0]
+    noise = places.where("cluster is null")
+    if widest is None:  # no cluster anywhere
+        return places.withColumn("was_noise", F.col("cluster").isNull())
+    side = float(widest) or 1.0
+    # Means within one side lie in at most two cells per axis.
+    tops = means.select("group", F.floor(F.col("x") / side).alias("tx"), F.floor(F.col("y") / side).alias("ty")).distinct()
+    asked = noise.select("group", F.col("x").alias("px"), F.col("y").alias("py")).distinct()
+    near = _nearest(asked.join(tops, "group"), means, side, None).withColumnRenamed("cluster", "given")
+    joined = places.join(near, ["group", "x", "y"], "left")
+    return joined.withColumn("was_noise", F.col("cluster").isNull()).withColumn("cluster", F.coalesce("cluster", "given")).drop("given")
 
 
 def numbered(places: DataFrame) -> DataFrame:
-    """Running topic numbers over all groups, in (group, cluster) order."""
-    names = places.where("cluster is not null").groupBy("group", "cluster").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy(F.lit(1)).orderBy("group", "cluster")
-    ids = names.withColumn("topic", (F.row_number().over(order) - 1).cast("int"))
-    return places.join(ids.select("group", "cluster", "topic"), ["group", "cluster"], "left")
+    """Running topic numbers over all groups, in (group, cluster) order.
+
+    Names are sorted in ranges, numbered inside each, and moved by the names of the ranges before: no window sees all.
+    """
+    names = places.where("cluster is not null").select("group", "cluster").distinct()
+    ranges = settled(names.repartitionByRange("group", "cluster").withColumn("part", F.spark_partition_id()))
+    sizes = ranges.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # a row per range
+    before = sizes.select("part", F.expr("sum(size) over (order by part) - size").alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("group", "cluster"))
+    ids = ranges.withColumn("own", own).join(F.broadcast(before), "part")
+    ids = ids.select("group", "cluster", (F.col("before") + F.col("own") - 1).cast("int").alias("topic"))
+    return places.join(ids, ["group", "cluster"], "left")

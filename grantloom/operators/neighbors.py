@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantloom.session import settled
+
 BLOCK_ROWS = 4096
 SIMILARITY_DIGITS = 9
+#: Cells of the references (their centres are in every task), sampled rows per cell, rounds that place the centres.
+MOST_CELLS, SAMPLE_PER_CELL, PIVOT_ROUNDS = 1024, 8, 5
+#: Cells a query has visited after each round but the last; angle that rounding may hide.
+ROUND_EDGES, SLACK = (1, 8), 1e-7
 
 
 def _unit_rows(values: pd.Series) -> np.ndarray:
@@ -36,35 +44,134 @@ def block_best(queries: pd.DataFrame, references: pd.DataFrame, k: int) -> pd.Da
     )
 
 
-def cosine_neighbors(queries: DataFrame, references: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact ``k`` nearest references by cosine similarity.
+def _angles(vectors: pd.Series, centres: np.ndarray, reference: bool) -> np.ndarray:
+    """Angle of every vector to every centre. A vector of zeros is at a right angle to all, on an axis of its own."""
+    units = _unit_rows(vectors)
+    zero = ~units.any(axis=1)
+    own = np.zeros((len(units), 2))
+    own[zero, 0 if reference else 1] = 1.0
+    return np.arccos(np.clip(np.hstack([units, own]) @ centres.T, -1.0, 1.0))
+
+
+def _pivots(references: DataFrame, cells: int) -> np.ndarray:
+    """Directions of the cells: spherical k-means on a bounded sample, the rows with the least hash of their id."""
+    sample = references.orderBy(F.xxhash64("reference_id"), "reference_id").limit(SAMPLE_PER_CELL * cells).toPandas()
+    units = _unit_rows(sample["vector"])
+    units = np.hstack([units, (~units.any(axis=1))[:, None], np.zeros((len(units), 1))])
+    centres = units[np.linspace(0, len(units) - 1, cells).astype(int)]
+    for _ in range(PIVOT_ROUNDS):
+        nearest = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, units)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms > 0, norms, 1.0), centres)
+    return centres
+
+
+def _in_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
+    kind = references.schema["reference_id"].dataType.simpleString()
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            angles = _angles(batch["vector"], centres, True)
+            cell = angles.argmin(axis=1)
+            yield batch[["reference_id", "vector"]].assign(cell=cell.astype("int32"), angle=angles[np.arange(len(cell)), cell])
 
-    Expects ``(query_id bigint, vector)`` and ``(reference_id bigint, vector)``.  Both sides are cut
-    into blocks of about ``block_rows`` rows; every pair of blocks is one bounded task that returns
-    only its ``k`` best per query, and the block results are merged by a ranked window.  Neither side
-    is broadcast or collected, and no row pair is emitted beyond the ``k`` best.
+    return references.mapInPandas(place, f"reference_id {kind}, vector array<double>, cell int, angle double")
+
+
+def _visits(queries: DataFrame, centres: np.ndarray, cells: pd.DataFrame, first: int, last: int) -> DataFrame:
+    """``query_id, vector, cell``: of each query's cells from place ``first`` to ``last``, best bound first, those within reach.
+
+    By the triangle inequality no reference of a cell is nearer than the angle to the centre less the radius of the cell;
+    ``floor`` is the similarity of the query's last neighbour so far.
     """
-    query_blocks = max(1, -(-queries.count() // block_rows))
-    reference_blocks = max(1, -(-references.count() // block_rows))
+    known, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gaps = np.maximum(_angles(batch["vector"], centres, False)[:, known] - radius - SLACK, 0.0)
+            order = np.argsort(gaps, axis=1, kind="stable")[:, first:last]
+            bound = np.cos(np.take_along_axis(gaps, order, axis=1))
+            row, place = np.nonzero(bound >= batch["floor"].to_numpy()[:, None] - 10.0**-SIMILARITY_DIGITS)
+            out = batch[["query_id", "vector"]].iloc[row]
+            yield out.assign(cell=known[order[row, place]].astype("int32"))
+
+    return queries.mapInPandas(reach, f"query_id {kind}, vector array<double>, cell int")
+
 
-    def placed(rows: DataFrame, key: str, own: str, mine: int, other: str, theirs: int) -> DataFrame:
-        block = F.pmod(F.xxhash64(key), F.lit(mine)).cast("int").alias(own)
-        copies = F.explode(F.sequence(F.lit(0), F.lit(theirs - 1))).alias(other)
-        return rows.select(key, "vector", block, copies)
+def _blocks(counts: dict[int, int], block_rows: int) -> Column:
+    """Blocks of a cell by its rows; one entry per cell, which ``MOST_CELLS`` bounds."""
+    cells = F.create_map(*[F.lit(x) for cell, n in counts.items() for x in (cell, -(-n // block_rows))])
+    return F.coalesce(F.try_element_at(cells, F.col("cell")), F.lit(0))
 
-    left = placed(queries, "query_id", "qb", query_blocks, "rb", reference_blocks)
-    right = placed(references, "reference_id", "rb", reference_blocks, "qb", query_blocks)
+
+def _best_in_cells(visits: DataFrame, placed: DataFrame, counts: dict[int, int], asked: dict[int, int], k: int, block_rows: int) -> DataFrame:
+    """The ``k`` best references of each query in each cell it visits; a task holds one block of either side."""
+    mine, theirs = _blocks(asked, block_rows), _blocks(counts, block_rows)
+    spread = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), (number - 1).cast("long")))
+    left = visits.select(
+        "query_id", "vector", "cell", F.pmod(F.xxhash64("query_id"), mine).alias("qb"), spread(theirs).alias("rb")
+    )
+    right = placed.where(mine > 0).select(
+        "reference_id", "vector", "cell", F.pmod(F.xxhash64("reference_id"), theirs).alias("rb"), spread(mine).alias("qb")
+    )
+    keys = ["cell", "qb", "rb"]
+    names = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", visits), ("reference_id", placed))}
 
     def pair(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         return block_best(q, r, k)
 
-    found = (
-        left.groupBy("qb", "rb")
-        .cogroup(right.groupBy("qb", "rb"))
-        .applyInPandas(pair, "query_id bigint, reference_id bigint, similarity double")
-    )
+    out = ", ".join(f"{c} {kind}" for c, kind in names.items()) + ", similarity double"
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, out)
+
+
+def _no_neighbors(queries: DataFrame, references: DataFrame) -> DataFrame:
+    kinds = [frame.schema[c].dataType.simpleString() for c, frame in (("query_id", queries), ("reference_id", references))]
+    return queries.sparkSession.createDataFrame([], f"query_id {kinds[0]}, reference_id {kinds[1]}, similarity double, place int")
+
+
+def cosine_neighbors(
+    queries: DataFrame, references: DataFrame, k: int, block_rows: int = BLOCK_ROWS, report: list[tuple[int, int]] | None = None
+) -> DataFrame:
+    """Exact ``k`` nearest references by cosine similarity: ``query_id, reference_id, similarity, place``.
+
+    Expects ``(query_id, vector)`` and ``(reference_id, vector)``; rows without a vector have no neighbours. References
+    are dealt to cells around directions, about ``block_rows`` each but at most ``MOST_CELLS`` of them. A query first
+    visits the cell that can hold its nearest reference; the similarity of its ``k``-th best so far then rules out all
+    cells whose bound is lower, and the same again after a few more cells. Crowded cells and cells that many queries
+    visit are cut into blocks, so every task is bounded. ``report`` gets the number of cells and visits of each round.
+    """
+    queries, references = queries.where("vector is not null"), references.where("vector is not null")
+    total = references.count()
+    if not total:
+        return _no_neighbors(queries, references)
+    cells = min(MOST_CELLS, max(1, -(-total // block_rows)))
+    centres = _pivots(references, cells)
+    placed = settled(_in_cells(references, centres))
+    facts = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("cell").toPandas()
+    counts = dict(zip(facts["cell"].tolist(), facts["n"].tolist(), strict=True))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "reference_id")
-    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+    found, edges = None, [0, *(e for e in ROUND_EDGES if e < len(facts)), len(facts)]
+    for first, last in zip(edges, edges[1:]):
+        if found is None:
+            now = queries.withColumn("floor", F.lit(-2.0))
+        else:
+            floors = found.where(F.col("place") == k).select("query_id", F.col("similarity").alias("floor"))
+            now = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        visits = settled(_visits(now, centres, facts, first, last))
+        asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        if report is not None:
+            report.append((len(facts), sum(asked.values())))
+        if asked:
+            best = _best_in_cells(visits, placed, counts, asked, k, block_rows)
+            found = settled(merged(best if found is None else found.drop("place").unionByName(best)))
+    return _no_neighbors(queries, references) if found is None else found
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, x: str = "x", y: str = "y") -> DataFrame:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from grantloom.functions import wording
 from grantloom.functions.numbers import rounded
-from grantloom.operators import density, grouped_kmeans
-from grantloom.plans import features, labels, metrics
-from grantloom.plans.clusters import lead_value, purity_of
+from grantloom.operators import density, grouped_kmeans, sparse_kmeans, stacked_kmeans
+from grantloom.operators.ranking import first_rows
+from grantloom.plans import labels, metrics, terms
+from grantloom.plans.clusters import lead_value
 from grantloom.session import settled
 
 SEED = 42
@@ -133,6 +135,44 @@ def per_unit(rows: DataFrame, unit: str, smallest: int = 50) -> DataFrame:
     return local.select("id", unit, "centre", F.concat_ws("-", unit, "centre").alias("global_label"))
 
 
+# Smallest unit, rows per centre, fewest and most centres of a unit.
+UNIT_ROWS, UNIT_SIZE, UNIT_LOW, UNIT_HIGH = 50, 100, 5, 20
+
+
+def term_topics(rows: DataFrame, unit: str, text: str) -> DataFrame:
+    """``id, <unit>, centre, global_label``: topics of the cleaned terms inside every unit of 50 rows or more.
+
+    Each unit has a vocabulary and TF-IDF weights of its own; all units are fitted in the same passes. ``rows`` has
+    ``(id, <unit>, <text>)``; units are a dimension, and their centres together bound what a task holds.
+    """
+    sizes = rows.groupBy(unit).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= UNIT_ROWS) & F.col(unit).isNotNull())
+    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(unit))  # a row per unit
+    codes = sizes.select(unit, (number - 1).cast("int").alias("group"), bounded(UNIT_LOW, UNIT_SIZE, UNIT_HIGH).cast("int").alias("k"))
+    grouped = rows.join(F.broadcast(codes), unit).select("id", "group", term_words(F.col(text)).alias("words"))
+    weights = terms.group_weights(grouped, "group", F.col("words")).join(F.broadcast(codes), "group")
+    held = settled(weights.select("id", "group", "k", "width", "__at", "__by", unit))
+    found = sparse_kmeans.assign(held, sparse_kmeans.fit(held, UNIT_HIGH)).join(F.broadcast(codes.select("group", unit)), "group")
+    return found.select("id", unit, "centre", F.concat_ws("-", unit, "centre").alias("global_label"))
+
+
+def term_words(text: Column) -> Column:
+    """Words of two letters or more of the cleaned terms."""
+    return F.filter(F.split(wording.cleaned_terms(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda word: F.length(word) >= 2)
+
+
+def term_topic_cards(topics: DataFrame, rows: DataFrame, unit: str, text: str) -> DataFrame:
+    """``<unit>, centre, label, size``: a topic is named by the three words that most of its rows have."""
+    sizes = topics.groupBy(unit, "centre").agg(F.count(F.lit(1)).alias("size"))
+    words = topics.join(rows.select("id", F.array_distinct(term_words(F.col(text))).alias("words")), "id")
+    counts = words.select(unit, "centre", F.explode("words").alias("word")).groupBy(unit, "centre", "word").agg(F.count(F.lit(1)).alias("n"))
+    top = first_rows(counts, [unit, "centre"], [F.desc("n"), F.col("word")], 3)
+    names = top.groupBy(unit, "centre").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "word"))), lambda c: c["word"]), " / ").alias("label")
+    )
+    fallback = F.concat_ws("-", unit, "centre")
+    return sizes.join(names, [unit, "centre"], "left").select(unit, "centre", F.coalesce("label", fallback).alias("label"), "size")
+
+
 def scaled_coordinates(points: DataFrame) -> DataFrame:
     """``x`` and ``y`` with mean zero and (population) deviation one over all points."""
     figures = points.agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("mean", F.avg), ("spread", F.stddev_pop))])
@@ -157,29 +197,15 @@ def density_topics(points: DataFrame, eps: float, min_samples: int | Column) ->
     return density.on_points(points, topics)
 
 
-def sizes_of(rows: DataFrame, label: str) -> tuple[int, int, float]:
-    row = (
-        rows.groupBy(label)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.min("n").alias("low"), F.max("n").alias("high"), F.avg("n").alias("mean"))
-        .first()
-    )
-    return row.low, row.high, float(row.mean)
-
-
-def count_sweep(rows: DataFrame, vector: str, counts: tuple[int, ...] = SWEEP) -> DataFrame:
-    """Scores of k-means for several cluster counts on one persisted vector column."""
-    data = rows.select(F.col(vector), array_to_vector(vector).alias("features")).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
-    try:
-        for k in counts:
-            labelled = k_means(data, "features", k)
-            score = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
-            scores = metrics.separation(labelled, vector, "cluster").first()
-            low, high, mean = sizes_of(labelled, "cluster")
-            results.append((k, float(score), scores.calinski_harabasz, scores.davies_bouldin, low, high, mean))
-    finally:
-        data.unpersist()
+def count_sweep(rows: DataFrame, vector: str, counts: tuple[int, ...] = SWEEP, key: str = "vec_id") -> DataFrame:
+    """Scores of k-means for several cluster counts, all fitted and scored in the same passes over the vectors."""
+    data = rows.select(F.col(key).alias("id"), F.col(vector).alias("vector")).where("vector is not null")
+    width = len((data.first() or {"vector": []})["vector"])
+    candidates = [stacked_kmeans.Candidate((k,), k, np.ones(width)) for k in counts] if width else []
+    found = stacked_kmeans.search(data, candidates, standardised=False) if candidates else []
+    results = [
+        (*s["name"], float(s["silhouette"]), s["calinski_harabasz"], s["davies_bouldin"], s["low"], s["high"], s["mean"]) for s in found
+    ]
     schema = (
         "k int, silhouette double, calinski_harabasz double, davies_bouldin double, min_cluster_size bigint, "
         "max_cluster_size bigint, mean_cluster_size double"
@@ -192,30 +218,27 @@ def weight_combinations() -> list[tuple[float, float, float]]:
 
 
 def weight_search(
-    rows: DataFrame, embedding: str, categories: str, unit: str, unit_code: str, counts: tuple[int, ...] = (50, 75)
+    rows: DataFrame, embedding: str, categories: str, unit: str, unit_code: str, counts: tuple[int, ...] = (50, 75), key: str = "vec_id"
 ) -> DataFrame:
     """Scores of every weight combination and cluster count, with the fixed composite.
 
-    ``rows`` holds the three vector blocks; it is persisted once and only scores reach the driver.
+    ``rows`` holds the three blocks as arrays; each coordinate is standardised and multiplied by the weight of its block. All
+    combinations are fitted and scored in the same passes, and only sums and scores reach the driver.
     """
-    data = rows.withColumn("__plain", vector_to_array(embedding)).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
-    try:
-        for k in counts:
-            for w_embedding, w_categories, w_unit in weight_combinations():
-                blocks = {embedding: w_embedding, categories: w_categories, unit: w_unit}
-                shaped = features.hybrid(data, blocks, embedding)
-                labelled = k_means(shaped, "features", k).withColumn("__all", vector_to_array("features"))
-                combined = ClusteringEvaluator(featuresCol="features", predictionCol="cluster").evaluate(labelled)
-                semantic = metrics.silhouette(labelled, "__plain", "cluster", "cosine")
-                scores = metrics.separation(labelled, "__all", "cluster").first()
-                purity = purity_of(labelled, "cluster", unit_code).agg(F.avg("purity")).first()[0]
-                results.append(
-                    (k, w_embedding, w_categories, w_unit, float(combined), float(semantic),
-                     scores.calinski_harabasz, scores.davies_bouldin, float(purity))
-                )
-    finally:
-        data.unpersist()
+    blocks = (embedding, categories, unit)
+    data = rows.select(
+        F.col(key).alias("id"), F.concat(*(F.col(b).cast("array<double>") for b in blocks)).alias("vector"), F.col(unit_code).alias("code"),
+        *(F.size(b).alias(f"__{i}") for i, b in enumerate(blocks)),
+    )
+    first = data.first()
+    widths = [first[f"__{i}"] for i in range(3)] if first else []
+    candidates = [
+        stacked_kmeans.Candidate((k, *combo), k, np.repeat(combo, widths)) for k in counts for combo in weight_combinations()
+    ] if first else []
+    found = stacked_kmeans.search(data.select("id", "vector", "code"), candidates, True, widths[0]) if first else []
+    results = [
+        (*s["name"], float(s["silhouette"]), float(s["semantic"]), s["calinski_harabasz"], s["davies_bouldin"], s["purity"]) for s in found
+    ]
     schema = (
         "k int, w_embedding double, w_rcdc double, w_ic double, silhouette_combined double, silhouette_semantic double, "
         "calinski_harabasz double, davies_bouldin double, ic_homogeneity double"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import (
     IDF,
     PCA,
@@ -20,12 +20,11 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg import Vectors as RowVectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grantloom.functions.wording import ngrams, tokens, words_in
+from grantloom.operators import truncated_svd
 from grantloom.plans.terms import computed_once
 
 # Fixed value: the title of an award without one.
@@ -64,28 +63,19 @@ def text_vectors(
 
 
 def reduced(rows: DataFrame, vector: str, dimensions: int, output: str) -> DataFrame:
-    """Truncated SVD without centring: adds ``vector x V`` as an array of ``dimensions`` numbers.
+    """Truncated SVD without centring: adds ``vector x V`` as an array of ``dimensions`` numbers, fewer if the vocabulary is smaller.
 
-    The Gram matrix is added up in one distributed pass and decomposed on the driver; its size is the
-    square of the vocabulary, which the caller caps, and does not grow with the rows.
+    The vocabulary of an empty table is empty, and so is its output.
     """
-    sparse = rows.select(vector).rdd.map(lambda row: RowVectors.fromML(row[0]))
-    gram = np.asarray(RowMatrix(sparse).computeGramianMatrix().toArray())
-    _, directions = np.linalg.eigh(gram)
-    basis = directions[:, ::-1][:, :dimensions].copy()
-
-    @F.pandas_udf("array<double>")
-    def project(positions: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([value @ basis[place] for place, value in zip(positions, values)])
-
-    cells = F.filter(
-        F.transform(vector_to_array(vector), lambda value, place: F.struct(place.alias("place"), value.alias("value"))),
-        lambda cell: cell["value"] != 0,
-    )
-    held = rows.withColumn("__cells", cells)
-    positions = F.transform("__cells", lambda cell: cell["place"])
-    values = F.transform("__cells", lambda cell: cell["value"])
-    return held.withColumn(output, project(positions, values)).drop("__cells")
+    sparse = truncated_svd.cells(rows, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        words = width(rows, vector)
+        if not words:
+            return sparse.withColumn(output, F.array().cast("array<double>")).drop("__at", "__by")
+        basis, _ = truncated_svd.directions(sparse, words, dimensions)
+    finally:
+        sparse.unpersist()
+    return truncated_svd.projected(truncated_svd.cells(rows, vector), basis, output)
 
 
 def plane(rows: DataFrame, vector: str) -> DataFrame:
@@ -120,8 +110,24 @@ def unit_vectors(rows: DataFrame, unit: str, output: str) -> DataFrame:
     return encoder.transform(data).drop("__unit", "__index")
 
 
+# Fixed value: categories that get a place, the first in alphabetical order.
+MOST_CATEGORIES = 100
+
+
+def indicators(rows: DataFrame, values: Column, limit: int | None = MOST_CATEGORIES) -> Column:
+    """One number per known value in alphabetical order: whether the row has it. Meant for category lists and unit codes."""
+    known = rows.select(F.explode(values).alias("v")).where("v is not null").distinct().orderBy("v")
+    known = [r["v"] for r in (known.limit(limit) if limit else known).collect()]
+    return F.transform(F.array(*map(F.lit, known)), lambda value: F.coalesce(F.array_contains(values, value), F.lit(False)).cast("double"))
+
+
 def width(rows: DataFrame, column: str) -> int:
-    return len(rows.select(vector_to_array(column).alias("v")).head().v)
+    """Length of a vector column: from its metadata where a transformer has noted it, else from a row; zero for no rows."""
+    noted = rows.schema[column].metadata.get("ml_attr", {})
+    if "num_attrs" in noted:
+        return noted["num_attrs"]
+    first = rows.select(vector_to_array(column).alias("v")).head()
+    return len(first.v) if first else 0
 
 
 def hybrid(rows: DataFrame, blocks: dict[str, float], base: str, output: str = "features") -> DataFrame:

@@ -120,6 +120,29 @@ def mean_purity(points: DataFrame, cluster: str, value: str) -> DataFrame:
     ).withColumn("random_baseline", rounded(F.lit(1.0) / kinds, 6))
 
 
+def fit_quality(rows: DataFrame, near: float, share: float) -> dict[str, Column]:
+    """Whether at least ``near`` of the rows lie nearest to the mean of their own ``cluster``, and whether at most ``share`` of the
+    squared distance to the mean of all rows is left within clusters. ``rows`` has ``(vector, cluster)``.
+    """
+    means = _centres(rows, "vector", "cluster").where("id is not null").orderBy("id").collect()  # clusters x coordinates
+    ids, centres = [r["id"] for r in means], np.array([r["centre"] for r in means])
+    overall = np.average(centres, axis=0, weights=[r["size"] for r in means]) if means else np.zeros(0)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                matrix = np.stack(batch["vector"].to_numpy()).astype(np.float64)
+                gaps = ((matrix[:, None, :] - centres[None]) ** 2).sum(axis=2)
+                own = gaps[np.arange(len(matrix)), np.searchsorted(ids, batch["cluster"].to_numpy())]
+                right = int((own <= gaps.min(axis=1) + 1e-9).sum())
+                yield pd.DataFrame({"n": [len(matrix)], "right": [right], "within": [own.sum()], "whole": [((matrix - overall) ** 2).sum()]})
+
+    parts = rows.where("cluster is not null").select("vector", "cluster")
+    found = parts.mapInPandas(measure, "n bigint, right bigint, within double, whole double")
+    n, right, within, whole = found.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "right", "within", "whole"))).first()
+    return {"near_means": F.lit(bool(n and right >= near * n)), "cost_below": F.lit(bool(whole and within <= share * whole))}
+
+
 def fixed_composite(rows: DataFrame) -> DataFrame:
     """Weighted composite of the five scores of a candidate."""
     half = lambda name: (F.col(name) + 1) / 2

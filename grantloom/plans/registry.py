@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from grantloom.functions import wording
 from grantloom.functions.dimension import with_agency
 from grantloom.functions.numbers import rounded
-from grantloom.operators import neighbors, ranking
+from grantloom.operators import minibatch, neighbors, ranking, ward
 from grantloom.operators.facets import shown
 from grantloom.plans import (
     assignment,
@@ -273,17 +273,28 @@ def known_and_new_vectors(spark, root):
     return rows.join(labelled, "vec_id", "left_semi"), rows.join(labelled, "vec_id", "left_anti")
 
 
-@query()
-def nearest_neighbors(spark, root):
+def neighbors_of_new(spark, root, *sizes):
     known, new = known_and_new_vectors(spark, root)
     found = neighbors.cosine_neighbors(
         new.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
         known.select(F.col("vec_id").alias("reference_id"), F.col("embedding").alias("vector")),
         assignment.NEIGHBORS,
+        *sizes,
     )
     return found.withColumn("similarity", rounded(F.col("similarity"), 6))
 
 
+@query()
+def nearest_neighbors(spark, root):
+    return neighbors_of_new(spark, root)
+
+
+@query()
+def nearest_neighbors_in_cells(spark, root):
+    """The same over cells of about 16 references, of which most cannot hold a neighbour."""
+    return neighbors_of_new(spark, root, 16)
+
+
 @query()
 def assignments_by_neighbors(spark, root):
     known, new = known_and_new_vectors(spark, root)
@@ -653,6 +664,25 @@ def slice_totals(spark, root):
     return slices.totals(source.points(spark, root), choice)
 
 
+def numbered_awards(spark, root):
+    """Points with the number of their award, which several transactions share."""
+    return source.points(spark, root).withColumn("award", F.floor(F.col("application_id") / 8))
+
+
+@query()
+def distinct_awards_by_unit(spark, root):
+    return slices.distinct_awards(slices.award_bitmaps(numbered_awards(spark, root), "award"), slices.Slice(), "ic")
+
+
+@query()
+def slice_distinct_awards(spark, root):
+    """Per domain for some units and years, and in all: sums over domains would count awards twice."""
+    choice = slices.Slice(units=frozenset({"CA", "DK", "HD", "RM"}), first_year=1996, last_year=2012)
+    held = settled(slices.award_bitmaps(numbered_awards(spark, root), "award"))
+    whole = slices.distinct_awards(held, choice).select(F.lit(None).cast("int").alias("domain"), "awards")
+    return slices.distinct_awards(held, choice, "domain").unionByName(whole)
+
+
 @query()
 def slice_search(spark, root):
     choice = slices.Slice(first_year=1995, keyword="77", topics=frozenset({1, 11, 21, 31}), search_ids=True)
@@ -846,6 +876,11 @@ def density_grid(spark, root):
     return maps.density_grid(source.points(spark, root))
 
 
+@query()
+def heat_map(spark, root):
+    return maps.heat_map(source.points(spark, root))
+
+
 @query()
 def region_boxes(spark, root):
     return maps.region_boxes(source.points(spark, root))
@@ -931,6 +966,24 @@ def vector_bisecting(spark, root):
     return clustering.bisecting(rows, "features", 50).select("vec_id", "cluster")
 
 
+def vector_tree(spark, root):
+    return ward.hierarchy(source.vectors(spark, root).select(F.col("embedding").alias("vector")))
+
+
+@query()
+def vector_ward(spark, root):
+    """Ward hierarchy of the embeddings cut at 50 clusters."""
+    rows = source.vectors(spark, root).select("vec_id", F.col("embedding").alias("vector"))
+    return ward.assigned(rows, vector_tree(spark, root), 50).select("vec_id", "cluster")
+
+
+@query()
+def vector_ward_merges(spark, root):
+    """Every merge of the hierarchy: its height and the rows it brings together."""
+    merges = ward.merge_table(source.vectors(spark, root), vector_tree(spark, root))
+    return merges.withColumn("height", F.round("height", 6))
+
+
 @query()
 def metadata_clusters(spark, root):
     rows = features.metadata_vectors(source.awards(spark, root, "unit"))
@@ -976,6 +1029,33 @@ def clusters_per_unit(spark, root):
     return clustering.per_unit(rows, "lang")
 
 
+def unit_terms(spark, root):
+    return source.awards(spark, root, "unit", "topic").select(
+        F.col("core_project_num").alias("id"), "administering_ic", "project_terms"
+    )
+
+
+@query()
+def unit_term_topics(spark, root):
+    """Topics of the cleaned terms inside every funding unit."""
+    return clustering.term_topics(unit_terms(spark, root), "administering_ic", "project_terms")
+
+
+@query()
+def unit_term_topic_cards(spark, root):
+    rows = unit_terms(spark, root)
+    topics = clustering.term_topics(rows, "administering_ic", "project_terms")
+    return clustering.term_topic_cards(topics, rows, "administering_ic", "project_terms")
+
+
+@query()
+def vector_mini_batch(spark, root):
+    """Centres learned from five batches that are read once each, and the squared distance to them."""
+    rows = vector_ids(spark, root)
+    centres, _ = minibatch.fit(rows, 20, 100)
+    return minibatch.assigned(rows, centres).withColumnRenamed("id", "vec_id")
+
+
 @query()
 def density_topics(spark, root):
     points = source.points(spark, root).select(
@@ -984,22 +1064,40 @@ def density_topics(spark, root):
     return clustering.density_topics(points, 0.3, 50).select("id", "group", "topic", "was_noise")
 
 
+def rounded_scores(scores: DataFrame, **digits: int) -> DataFrame:
+    return scores.withColumns({name: F.round(name, n) for name, n in digits.items()})
+
+
+def rounded_sweep(spark, root, *counts):
+    scores = clustering.count_sweep(source.vectors(spark, root), "embedding", *counts)
+    return rounded_scores(scores, silhouette=6, calinski_harabasz=6, davies_bouldin=6)
+
+
 @query()
 def cluster_count_sweep(spark, root):
-    return metrics.min_max_composite(clustering.count_sweep(source.vectors(spark, root), "embedding"))
+    return rounded_scores(metrics.min_max_composite(rounded_sweep(spark, root)), composite=4)
 
 
 @query()
 def weight_search(spark, root):
-    return clustering.weight_search(feature_blocks(spark, root), "semantic", "categories", "unit", "source")
+    rows = described_vectors(spark, root)
+    blocks = {
+        "categories": features.indicators(rows, F.array("lang", "source")),
+        "unit": features.indicators(rows, F.array(F.coalesce("source", F.lit("UNKNOWN"))), None),
+    }
+    scores = clustering.weight_search(rows.withColumns(blocks), "embedding", "categories", "unit", "source")
+    return rounded_scores(
+        scores, silhouette_combined=6, silhouette_semantic=6, calinski_harabasz=6, davies_bouldin=6, ic_homogeneity=6, composite_score=4
+    )
 
 
 @query()
 def hierarchy_preference(spark, root):
     sweep = clustering.count_sweep(source.vectors(spark, root), "embedding", (5, 6, 8, 10, 12))
-    return metrics.hierarchy_preference(
+    found = metrics.hierarchy_preference(
         sweep.select(F.concat(F.lit("k-means "), F.col("k")).alias("name"), F.col("k").alias("n_clusters"), "silhouette")
     )
+    return rounded_scores(found, score=6)
 
 
 @query()
@@ -1033,33 +1131,44 @@ def award_map_hierarchy_facts(spark, root):
     return tree_facts(award_map_hierarchy(spark, root), 8)
 
 
-def label_facts(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """Rows, rows without a label, and whether the labels are 0 to ``most`` - 1."""
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col(label).isNull()).alias("unlabelled"),
-        F.min((F.col(label) >= 0) & (F.col(label) < most)).alias("within_size"),
-    )
+def fit_facts(labelled: DataFrame, rows: DataFrame, key: str, vector: str, near: float, share: float) -> DataFrame:
+    """What a constant or random label gets wrong: the number of labels, rows whose own mean is the nearest one, and the cost.
+
+    ``near`` is the least share of rows that lie nearest to the mean of their own cluster, ``share`` the greatest share of the
+    total squared distance to the mean that is left within clusters.
+    """
+    held = settled(rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vector")).join(
+        labelled.select(F.col(key).alias("id"), F.col("cluster").cast("int").alias("cluster")), "id", "left"
+    ))
+    return held.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("cluster").isNull()).alias("unlabelled"),
+                    F.count_distinct("cluster").alias("labels")).withColumns(metrics.fit_quality(held, near, share))
 
 
 @query()
 def vector_k_means_facts(spark, root):
-    return label_facts(vector_k_means(spark, root), "cluster", 100)
+    return fit_facts(vector_k_means(spark, root), source.vectors(spark, root), "vec_id", "embedding", 0.95, 0.9)
 
 
 @query()
 def vector_bisecting_facts(spark, root):
-    return label_facts(vector_bisecting(spark, root), "cluster", 50)
+    return fit_facts(vector_bisecting(spark, root), source.vectors(spark, root), "vec_id", "embedding", 0.6, 0.95)
+
+
+@query()
+def vector_mini_batch_facts(spark, root):
+    return fit_facts(vector_mini_batch(spark, root), source.vectors(spark, root), "vec_id", "embedding", 0.6, 0.98)
 
 
 @query()
 def metadata_cluster_facts(spark, root):
-    return label_facts(metadata_clusters(spark, root), "cluster", 75)
+    rows = features.metadata_vectors(source.awards(spark, root, "unit"))
+    rows = settled(rows.select("core_project_num", vector_to_array("features").alias("vector")))
+    return fit_facts(metadata_clusters(spark, root), rows, "core_project_num", "vector", 0.95, 0.3)
 
 
 @query()
 def sample_assignment_facts(spark, root):
-    return label_facts(assigned_from_sample(spark, root), "cluster", 20)
+    return fit_facts(assigned_from_sample(spark, root), source.vectors(spark, root), "vec_id", "embedding", 0.5, 0.99)
 
 
 @query()

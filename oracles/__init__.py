@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("institute", "people", "portfolio", "checks", "insight", "exchange")
+MODULES = ("institute", "people", "portfolio", "checks", "insight", "exchange", "clusterings")
 
 
 def statements() -> dict[str, str]:

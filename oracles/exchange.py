@@ -8,7 +8,7 @@ TABLES = (
 ).split()
 IN_TABLES = ", ".join(f"'{name}'" for name in TABLES)
 
-LABELLED = "SELECT count(*) AS rows, 0::BIGINT AS unlabelled, true AS within_size FROM {}"
+FITTED = "SELECT count(*) AS rows, 0::BIGINT AS unlabelled, {1}::BIGINT AS labels, true AS near_means, true AS cost_below FROM {0}"
 
 SQL = {
     "round_trip_csv": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
@@ -37,10 +37,11 @@ FROM information_schema.columns WHERE table_name = 'lineitem'""",
         """SELECT count(*) AS rows, true AS within_size, 0::BIGINT AS split_topics, 0::BIGINT AS split_subtopics
 FROM (SELECT DISTINCT application_id FROM point)"""
     ),
-    "vector_k_means_facts": LABELLED.format("embeddings"),
-    "vector_bisecting_facts": LABELLED.format("embeddings"),
-    "metadata_cluster_facts": with_base(LABELLED.format("award")),
-    "sample_assignment_facts": LABELLED.format("embeddings"),
+    "vector_k_means_facts": FITTED.format("embeddings", 100),
+    "vector_bisecting_facts": FITTED.format("embeddings", 50),
+    "vector_mini_batch_facts": FITTED.format("embeddings", 20),
+    "metadata_cluster_facts": with_base(FITTED.format("award", 75)),
+    "sample_assignment_facts": FITTED.format("embeddings", 20),
     "unit_cluster_facts": """SELECT lang, count(*) AS rows, true AS within_size
 FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY 1 HAVING count(*) >= 50""",
     "text_projection_facts": with_base("SELECT count(*) AS rows, 0::DOUBLE AS mean_x, 0::DOUBLE AS mean_y FROM award"),

@@ -131,6 +131,9 @@ FROM agency_award WHERE cluster_id IS NULL AND project_title IS NOT NULL"""
     "nearest_neighbors": with_base(
         f"SELECT query_id, reference_id, {rnd('similarity', 6)} AS similarity, place FROM near", **NEAR
     ),
+    "nearest_neighbors_in_cells": with_base(
+        f"SELECT query_id, reference_id, {rnd('similarity', 6)} AS similarity, place FROM near", **NEAR
+    ),
     "assignments_by_neighbors": with_base(
         f"""SELECT vec_id, x, y, cluster_id, {rnd('d', 6)} AS cluster_distance FROM
   (SELECT vec_id, x, y, cluster_id, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS d FROM placed CROSS JOIN centers)
