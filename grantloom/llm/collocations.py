@@ -39,7 +39,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Counters of a filter: its bitmap has 32 MB whatever the corpus. They travel in blocks of 65,536.
 COUNTERS, BLOCK = 1 << 28, 1 << 16
 #: Bytes of text that a task combines at once, and windows that it scans at once.
-CHUNK_BYTES, SCANNED = 8_000_000, 100_000
+CHUNK_BYTES, SCANNED = 12_000_000, 100_000
 #: Marks and line ends become one mark, the tab a blank, A-Z lower case.
 MARK = b"."
 _FROM = b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91))
@@ -55,19 +55,32 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, pa.Array]]:
-    """For each language of a chunk: ids of its tokens, -1 for a mark, and the distinct words behind the ids."""
+    """For each language of a chunk: ids of its tokens, -1 for a mark, and the distinct words behind the ids.
+
+    A chunk is made of batches until they hold ``CHUNK_BYTES`` of text.
+    """
+    held: dict[str, list[bytes]] = {}
+    size = 0
     for batch, raw in text_chunks(batches, 1, CHUNK_BYTES):
-        by_lang: dict[str, list[bytes]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), raw, strict=True):
             if text:
                 if b"\0" in text or b"\1" in text:
                     text = text.replace(b"\1", b"\1\2").replace(b"\0", b"\1\1")
-                by_lang.setdefault(lang, []).append(text)
-        for lang, texts in by_lang.items():
-            coded = pa.array(tokens(MARK.join(texts)) + [MARK], pa.binary()).dictionary_encode()
-            ids = coded.indices.to_numpy().astype(np.int64)
-            ids[ids == coded.dictionary.index(pa.scalar(MARK, pa.binary())).as_py()] = -1
-            yield lang, ids, coded.dictionary
+                held.setdefault(lang, []).append(text)
+                size += len(text)
+        if size >= CHUNK_BYTES:
+            while held:
+                yield _coded(*held.popitem())
+            size = 0
+    while held:
+        yield _coded(*held.popitem())
+
+
+def _coded(lang: str, texts: list[bytes]) -> tuple[str, np.ndarray, pa.Array]:
+    coded = pa.array(tokens(MARK.join(texts)) + [MARK], pa.binary()).dictionary_encode()
+    ids = coded.indices.to_numpy().astype(np.int64)
+    ids[ids == coded.dictionary.index(pa.scalar(MARK, pa.binary())).as_py()] = -1
+    return lang, ids, coded.dictionary
 
 
 def _texts(docs: DataFrame) -> DataFrame:
