@@ -9,12 +9,16 @@ A file set is a folder of Parquet files, whose rows are segments: the codes of c
 ``doc_id`` order as one binary value, with document ids and positions. Writers commit through Spark, so a lost executor
 leaves no half file, and any store that Spark writes to can hold it.
 
+Texts are cut at the added tokens of the vocabulary first, which have ids of their own, as the tokenizers library does.
+
 Defined cases: a null or empty text has only the end id; null ids come first; rows with equal ``doc_id`` are ordered by
 text and stay separate rows; an empty table writes an empty file set; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -94,18 +98,52 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_held: dict[str, PieceCache] = {}
-
+class Encoder:
+    """The library's merges for single pre-tokens, remembered, and the added tokens that texts are cut at first."""
 
-def _pieces(path: str, vocabulary) -> PieceCache:
-    """The library's merges for single pre-tokens, remembered."""
-    if path not in _held:
+    def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(vocabulary.value)
+        tokenizer = Tokenizer.from_str(vocabulary)
         letters, model = byte_alphabet(), tokenizer.model
-        _held[path] = PieceCache(lambda piece: [x.id for x in model.tokenize(piece.decode("latin-1").translate(letters))])
-    return _held[path]
+        self.merges = PieceCache(lambda piece: [x.id for x in model.tokenize(piece.decode("latin-1").translate(letters))])
+        added = json.loads(vocabulary).get("added_tokens", [])
+        if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+            raise ValueError("added tokens that depend on their surroundings are not supported")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if added else None
+
+    def segments(self, texts: list[bytes], end_id: int) -> tuple[list[bytes], list[int], np.ndarray]:
+        """The texts cut at added tokens; the id behind each segment, and the last segment of each text."""
+        parts, behind, last = [], [], []
+        for text in texts:
+            own = self.cut.split(text) if self.cut else [text]
+            parts += own[::2]
+            behind += [self.added[x] for x in own[1::2]] + [end_id]
+            last.append(len(parts) - 1)
+        return parts, behind, np.array(last, dtype=np.int64)
+
+    def ids(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by ``end_id``, and their number per text."""
+        parts, behind, last = self.segments(texts, end_id)
+        joined, edges, ends = pretokens.edges(parts)
+        pieces = pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(joined)])
+        coded = pieces.dictionary_encode()
+        # Each distinct pre-token of the chunk is looked up once; separators get an id of their own.
+        known = list(map(self.merges.__getitem__, coded.dictionary.to_pylist()))
+        closing = sorted(set(behind))
+        flat = np.frombuffer(b"".join(known) + np.array(closing, "<i4").tobytes(), dtype="<i4")
+        counts = np.concatenate([np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4, np.ones(len(closing), dtype=np.int64)])
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[ends] = len(known) + np.searchsorted(closing, behind)
+        first, size = np.cumsum(counts) - counts, counts[at]
+        stops = np.cumsum(size)
+        ids = flat[np.arange(stops[-1]) + np.repeat(first[at] - (stops - size), size)]
+        return ids, np.diff(np.concatenate([[0], stops[ends[last]]]))
+
+
+_held: dict[str, Encoder] = {}
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> None:
@@ -116,19 +154,14 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, ke
         vocabulary = spark.sparkContext.broadcast(file.read())  # one fixed vocabulary file
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    end = np.array([end_id], "<i4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces_of, part = _pieces(tokenizer_path, vocabulary), TaskContext.get().partitionId()
+        if tokenizer_path not in _held:
+            _held[tokenizer_path] = Encoder(vocabulary.value)
+        encoder, part = _held[tokenizer_path], TaskContext.get().partitionId()
         inside = 0  # ids of this part before the segment
         for batch, raw in text_chunks(batches, 1, SEGMENT_BYTES):
-            pieces, ends = pretokens.split(raw)
-            parts, start = [], 0
-            for stop in ends.tolist():
-                parts.append(b"".join(map(pieces_of.__getitem__, pieces[start:stop])) + end)
-                start = stop + 1
-            sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-            ids = np.frombuffer(b"".join(parts), dtype="<u4")
+            ids, sizes = encoder.ids(raw, end_id)
             docs_here = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), batch.column(0))
             yield pa.record_batch(
                 [pa.array([part], pa.int32()), pa.array([inside], pa.int64()), docs_here, list_array(sizes, np.array([len(sizes)]), pa.int64()),

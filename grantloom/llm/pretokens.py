@@ -140,11 +140,8 @@ def _symbols(points: np.ndarray, breaks: np.ndarray) -> np.ndarray:
     return symbols
 
 
-def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """All pre-tokens of the UTF-8 texts in order, and for each text the position behind its last one.
-
-    The list holds one separator after each text, at the returned positions.
-    """
+def edges(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts with one separator after each, the 32-bit positions where pre-tokens begin and the last ends, and which are separators."""
     joined = b"\0".join(texts) + b"\0"
     points = np.frombuffer(joined.decode().encode("utf-32-le"), dtype=np.uint32)
     breaks = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1) - 1
@@ -158,6 +155,14 @@ def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     states = _scan(first[symbols])
     at = np.flatnonzero(starts[states.astype(np.intp) * SYMBOLS + symbols])
     ends = np.searchsorted(at, breaks)
-    edges = (at if place is None else place[at]).tolist()
-    edges.append(len(joined))
-    return [joined[a:b] for a, b in zip(edges, edges[1:])], ends
+    return joined, np.append(at if place is None else place[at], len(joined)).astype(np.int32), ends
+
+
+def split(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """All pre-tokens of the UTF-8 texts in order, and for each text the position behind its last one.
+
+    The list holds one separator after each text, at the returned positions.
+    """
+    joined, places, ends = edges(texts)
+    places = places.tolist()
+    return [joined[a:b] for a, b in zip(places, places[1:])], ends

@@ -99,7 +99,6 @@ def test_codes_random_access():
 
 def expected_ids(texts):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     return [tokenizer.encode(text, add_special_tokens=False).ids + [0] for text in texts]
 
 
@@ -112,6 +111,26 @@ def test_op4_matches_the_library(spark, root, documents):
         start += len(ids)
 
 
+def test_added_tokens_are_cut_out_first(spark):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|> x", "a <|endoftext|> b's<|endoftext", "<|endoftext|>\0\0 '<|endoftext|>ll", "\0"]
+    folder = scratch(spark, "added")
+    codes.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, JSON)
+    rows = codes.read(spark, folder).orderBy("doc_id").collect()
+    assert [list(r["ids"]) for r in rows] == expected_ids(texts)
+    assert expected_ids(texts)[0] == [64, 50256, 65, 0]
+
+
+def test_texts_beyond_a_segment(spark):
+    texts = ["many words of one text " * 200_000, "x" * 3_000_000, "", "short", "é" * 700_000]
+    folder = scratch(spark, "long")
+    codes.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), folder, JSON)
+    rows = codes.digests(spark, folder).orderBy("doc_id").collect()
+    expected = expected_ids([texts[0], "", "", "short", texts[4]])
+    for i in (0, 2, 3, 4):
+        assert (rows[i]["n_tokens"], rows[i]["ids_crc32"]) == (len(expected[i]), zlib.crc32(np.array(expected[i], "<u4").tobytes()))
+    assert rows[1]["n_tokens"] > 1
+
+
 def test_files_of_odd_rows(spark, odd_docs, no_docs):
     folder = scratch(spark, "odd")
     codes.write(odd_docs, folder, JSON)
