@@ -33,10 +33,8 @@ from grantloom.llm.components import components
 PIVOTS, RADIUS, PAIRED = 8, 2, 64
 BITS, BLOCKS = 64, 4
 CHUNK_BYTES = 1_000_000
-#: Near-duplicates by similarity: bands and rows of the sampled shingles, distance at which pairs are still verified.
-#: Over distinct shingles a bit of two texts with similarity 0.8 differs with a chance of 0.15, of 4 and 5 shingles of 0.19;
-#: that more than 32 of 64 differ then has a chance below 1e-8.
-BANDS, BAND_ROWS, WIDE_RADIUS, FEW = 10, 2, 32, 16
+#: Words of a shingle.
+SHINGLE = 3
 
 
 def shingles(words: list[bytes], size: int) -> list[bytes]:
@@ -63,8 +61,13 @@ def majority(values: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(values)).view(">i8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, fingerprint`` (signed long) of every text."""
+def text_hash(text: Column) -> Column:
+    """XXH64 (seed 42) of a text; null is empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, copy, fingerprint`` of every text: ``copy`` is its hash, both are signed longs."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -73,9 +76,10 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for batch, raw in text_chunks(batches, 1, CHUNK_BYTES):
             values, counts = hashes(raw, size)
             found = [majority(part) for part in np.split(values, np.cumsum(counts)[:-1])]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+            copies = np.array([xxhash.xxh64_intdigest(text, 42) for text in raw], dtype=np.uint64).astype(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(copies), pa.array(found, pa.int64())], names=["doc_id", "copy", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    return rows.mapInArrow(run, f"doc_id {kind}, copy bigint, fingerprint bigint")
 
 
 def pivot(i: int) -> int:
@@ -129,131 +133,42 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "documents"))
 
 
-def clustered(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id``: components of texts whose fingerprints differ by at most two bits."""
+def _components(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``fingerprints``, and ``fingerprint, root, component_id`` of the distinct ones."""
     marked = stored(fingerprints(docs, size), "fingerprints")
     distinct = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     roots = components(links(distinct))
     linked = roots.join(distinct, F.col("node") == F.col("fingerprint")).select("fingerprint", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    linked = linked.join(least, "root").select("fingerprint", "least")
-    every = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(every, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
-    )
-
-
-# Near-duplicates by similarity of the shingle sets, for the pipeline.
-
-
-def _salts() -> np.ndarray:
-    return np.random.default_rng(42).integers(1, 1 << 63, size=(BANDS * BAND_ROWS, 2), dtype=np.uint64) | np.uint64(1)
-
-
-def band_keys(values: np.ndarray) -> list[int]:
-    """Keys that texts share with probability similarity ** BAND_ROWS each: least salted hashes of the shingle set."""
-    salts = _salts()
-    mixed = [((values * a) ^ (values >> np.uint64(29)) * b).min() for a, b in salts]
-    keys = []
-    for band in range(BANDS):
-        own = b"".join(int(x).to_bytes(8, "little") for x in mixed[band * BAND_ROWS : (band + 1) * BAND_ROWS])
-        keys.append(xxhash.xxh64_intdigest(own, band) - (1 << 63))
-    return keys
-
-
-def similarity(one: bytes, other: bytes, size: int) -> float:
-    """Jaccard similarity of the shingle sets; two texts without words are equal."""
-    a, b = (set(shingles(x.lower().split(), size)) for x in (one, other))
-    return len(a & b) / len(a | b) if a or b else 1.0
-
+    linked = linked.join(least, "root").select("fingerprint", "root", "least")
+    every = distinct.join(linked, "fingerprint", "left")
+    return marked, every.select("fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("least", "first").alias("component_id"))
 
-def _sketches(texts: DataFrame, size: int) -> DataFrame:
-    """``copy, fingerprint, keys`` of distinct texts, over their distinct shingles as ``similarity`` counts them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw in text_chunks(batches, 1, CHUNK_BYTES):
-            values, counts = hashes(raw, size)
-            parts = [np.unique(part) for part in np.split(values, np.cumsum(counts)[:-1])]
-            found = [majority(part) for part in parts]
-            keys = [band_keys(part) if len(part) else [0] * BANDS for part in parts]
-            yield pa.record_batch(
-                [batch.column(0), pa.array(found, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["copy", "fingerprint", "keys"]
-            )
-
-    return texts.mapInArrow(run, "copy string, fingerprint bigint, keys array<bigint>")
-
-
-def _candidates(sketches: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of texts that share a key and whose fingerprints survive the pivots at the wide radius.
-
-    A bucket with few texts gives all its pairs. In a crowded one every text is paired with the text nearest to the
-    majority of the bucket's fingerprints: for copies of one original that is the original.
-    """
-    keyed = sketches.select("copy", "fingerprint", distance_table(F.col("fingerprint")).alias("pivots"), F.posexplode("keys").alias("band", "key"))
-    sizes = keyed.groupBy("band", "key").count().where("count > 1")
-    shared = stored(keyed.join(sizes, ["band", "key"]), "shared-keys")
-    few, many = shared.where(F.col("count") <= FEW), shared.where(F.col("count") > FEW)
-    on = (F.col("one.band") == F.col("other.band")) & (F.col("one.key") == F.col("other.key")) & (F.col("one.copy") < F.col("other.copy"))
-    pairs = few.alias("one").join(few.alias("other"), on & within(WIDE_RADIUS))
-    ones = [F.sum(F.shiftrightunsigned("fingerprint", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
-    votes = many.groupBy("band", "key").agg(F.first("count").alias("n"), *ones)
-    bits = [F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(int(np.uint64(1 << i).astype(np.int64)))).otherwise(F.lit(0)) for i in range(BITS)]
-    centre = votes.select("band", "key", F.aggregate(F.array(*bits), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("centre"))
-    off = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("centre")))
-    best = many.join(centre, ["band", "key"]).groupBy("band", "key").agg(
-        F.min_by(F.struct("copy", "fingerprint", "pivots"), F.struct(off, "copy")).alias("best")
+def clustered(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, fingerprint, component_id``: components of texts whose fingerprints differ by at most two bits."""
+    marked, every = _components(docs, size)
+    return marked.join(every, "fingerprint").select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-    best = best.select("band", "key", "best.*")
-    on = (F.col("one.band") == F.col("other.band")) & (F.col("one.key") == F.col("other.key")) & (F.col("one.copy") != F.col("other.copy"))
-    stars = many.alias("one").join(best.alias("other"), on & within(WIDE_RADIUS))
-    both = [x.select(F.greatest("one.copy", "other.copy").alias("a"), F.least("one.copy", "other.copy").alias("b")) for x in (pairs, stars)]
-    return both[0].unionByName(both[1]).distinct()
 
 
-def near_copies(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """``doc_id, copy, kept`` of every row: in each group of near-duplicates the row with the least id is kept.
+def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One row of every component, with all its columns: the least id (null ids last), and of repeated rows one.
 
-    Groups are components of texts whose shingle sets have similarity ``least`` or more. A fingerprint alone cannot reach
-    such pairs (they differ by ten bits on average), so buckets come from sampled shingles, pivots discard, and the shingle
-    sets themselves verify.
+    Rows are known by their id and the XXH64 of their text, so texts are shuffled once, to meet the rows that stay.
     """
-    small_batches(docs.sparkSession)
-    rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("copy"))
-    firsts = stored(rows.groupBy("copy").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "copies")
-    texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
-    sketches = stored(_sketches(texts, size).dropDuplicates(["copy"]), "sketches")  # read twice, made once
-    pairs = stored(_candidates(sketches), "pairs")
-    wanted = pairs.select(F.col("a").alias("copy")).unionByName(pairs.select(F.col("b").alias("copy"))).distinct()
-    own = texts.join(wanted, "copy", "left_semi").dropDuplicates(["copy"])
-    read = pairs.join(own.select(F.col("copy").alias("a"), F.col("text").alias("x")), "a")
-    read = read.join(own.select(F.col("copy").alias("b"), F.col("text").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = [similarity(p.encode(), q.encode(), size) >= least for p, q in zip(x, y, strict=True)]
-            yield pa.record_batch([pa.array([v for v, ok in zip(c, good, strict=True) if ok], pa.string()) for c in (a, b)], names=["a", "b"])
-
-    verified = read.select("a", "b", "x", "y").mapInArrow(run, "a string, b string")
-    roots = components(verified)
-    group = firsts.join(roots, firsts["copy"] == roots["node"], "left").select("copy", "first", F.coalesce("root", "copy").alias("root"))
-    keeper = group.groupBy("root").agg(F.min(F.struct(F.col("first").isNull(), "first", "copy")).alias("k"))
-    kept = keeper.select(F.col("k.first").alias("doc_id"), F.col("k.copy").alias("copy"))
-    return kept
-
-
-def deduplicated(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of every group of near-duplicates, with all its columns: the least id, and of repeated rows one."""
-    kept = stored(near_copies(docs, size, least), "kept-copies")
+    marked, every = _components(docs, size)
+    groups = marked.join(every, "fingerprint").groupBy("root")
+    keep = groups.agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "copy")).alias("k"))
+    keep = stored(keep.select(F.col("k.doc_id").alias("id"), F.col("k.copy").alias("copy_kept")), "kept-rows")
     names = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    rows = rows.withColumn("copy", F.md5(F.coalesce("row.text", F.lit(""))))
-    met = rows.join(kept, rows["row.doc_id"].eqNullSafe(kept["doc_id"]) & (rows["copy"] == kept["copy"]), "left_semi")
-    repeated = rows.groupBy(F.col("row.doc_id").alias("id"), "copy").count().where("count > 1").select("id", "copy")
-    repeated = stored(repeated, "repeated-rows")
-    same = met["row.doc_id"].eqNullSafe(repeated["id"]) & (met["copy"] == repeated["copy"])
-    once = met.join(repeated, same, "left_anti")
-    out = once.select("row").unionByName(
-        met.join(repeated, same, "left_semi").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "copy"]).select("row")
-    )
-    return out.select(*(F.col("row").getField(c).alias(c) for c in names))
+    rows = rows.withColumns({"id_here": F.col("row.doc_id"), "copy": text_hash(F.col("row.text"))})
+    met = rows.join(keep, rows["id_here"].eqNullSafe(keep["id"]) & (rows["copy"] == keep["copy_kept"]), "left_semi")
+    repeated = marked.groupBy("doc_id", "copy").count().where("count > 1")
+    repeated = stored(repeated.select(F.col("doc_id").alias("id_twice"), F.col("copy").alias("copy_twice")), "repeated-rows")
+    same = met["id_here"].eqNullSafe(repeated["id_twice"]) & (met["copy"] == repeated["copy_twice"])
+    once = met.join(repeated, same, "left_anti").select("row")
+    several = met.join(repeated, same, "left_semi").dropDuplicates(["id_here", "copy"]).select("row")
+    return once.unionByName(several).select(*(F.col("row").getField(c).alias(c) for c in names))

@@ -176,5 +176,5 @@ def test_stages_take_empty_and_odd_documents(spark, root, odd_docs, no_docs):
 
 def test_all_queries_are_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 11))
+    assert "pipeline" in names and {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))} == set(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= names
