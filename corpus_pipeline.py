@@ -4,6 +4,11 @@ Every stage reads all that the stage before has kept, and its decisions take eff
 of each group of near-duplicates stays, documents that leak a benchmark item go, secrets are replaced by a mark, and the
 last stage encodes the texts and checks that the ids decode to them. All stages but the last return the columns of their
 input.
+
+Defined cases: a null text is an empty one, which the quality rules reject; a null id is like any other and the last one
+where the least id stays; of repeated rows, and of documents whose fingerprints link them, one stays; ties go to the
+least id; other columns are carried along whatever their names; empty tables give an empty table of the last stage's
+columns. Each stage is written to the shared folder and read again, so a lost executor repeats one stage at most.
 """
 
 from __future__ import annotations
@@ -20,7 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    """One document of each component of the fingerprints: three words a shingle, two bits a link."""
+    return simhash.deduplicated(docs, size=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
