@@ -10,8 +10,10 @@ from grantloom.session import scratch_folder
 from grantloom.sources import files, profile
 from grantloom.sources import portfolio as source
 from grantloom.sources.schemas import STAR_TABLES
+from grantloom.streaming import incremental
 
-YEARS = (1995, 2000, 2005)
+# A year without a file.
+ABSENT = 2999
 
 
 def csv(spark: SparkSession, root: str) -> DataFrame:
@@ -20,26 +22,31 @@ def csv(spark: SparkSession, root: str) -> DataFrame:
     return files.read_csv(spark, path, STAR_TABLES["customer"])
 
 
-def _by_year(spark: SparkSession, root: str) -> dict[int, DataFrame]:
-    rows = source.projects(spark, root).select(F.col("APPLICATION_ID").cast("bigint").alias("APPLICATION_ID"), "FULL_PROJECT_NUM", "FY")
-    return {year: rows.where(F.col("FY") == year).drop("FY") for year in YEARS}
+def _years(spark: SparkSession, root: str) -> tuple[DataFrame, list[int]]:
+    """The projects with their year, and the years of the table: a short list however long the table is."""
+    rows = source.projects(spark, root).where("FY is not null").select(
+        F.col("APPLICATION_ID").cast("bigint").alias("APPLICATION_ID"), "FULL_PROJECT_NUM", F.col("FY").cast("int").alias("YEAR")
+    )
+    return rows, sorted(r["YEAR"] for r in rows.select("YEAR").distinct().collect())
 
 
 def year_folders(spark: SparkSession, root: str) -> DataFrame:
-    """Years appended to one table, two of them read back by folder."""
+    """All years loaded into one table, the last one twice, and all but the first read back by folder."""
     path = scratch_folder(spark, "years")
-    files.append_years(_by_year(spark, root), path)
-    return files.year_folders(spark, path, YEARS[1:])
+    rows, years = _years(spark, root)
+    files.load_years(rows, path)
+    files.load_years(rows.where(F.col("YEAR") == years[-1]), path)
+    return files.year_folders(spark, path, years[1:])
 
 
 def _drifting(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Year files of which the first has another type, and one is missing."""
     base = scratch_folder(spark, "drift")
-    paths = {}
-    for year, rows in _by_year(spark, root).items():
-        paths[year] = f"{base}/{year}"
-        kind = "string" if year == YEARS[0] else "bigint"
-        files.export(rows.withColumn("APPLICATION_ID", F.col("APPLICATION_ID").cast(kind)), paths[year])
-    return files.repaired_years(spark, paths | {2010: f"{base}/absent"})
+    rows, years = _years(spark, root)
+    first = F.col("YEAR") == years[0]
+    rows.where(first).withColumn("APPLICATION_ID", F.col("APPLICATION_ID").cast("string")).write.partitionBy("YEAR").parquet(base)
+    rows.where(~first).write.mode("append").partitionBy("YEAR").parquet(base)
+    return files.repaired_years(spark, {year: f"{base}/YEAR={year}" for year in [*years, ABSENT]})
 
 
 def repaired_years(spark: SparkSession, root: str) -> DataFrame:
@@ -50,6 +57,23 @@ def repaired_year_report(spark: SparkSession, root: str) -> DataFrame:
     return _drifting(spark, root)[1].select("year", "status")
 
 
+def incremental_cards(spark: SparkSession, root: str) -> DataFrame:
+    """Unit cards after the year files have arrived in several batches, one of which is replayed, and were folded in between."""
+    base = scratch_folder(spark, "arriving")
+    columns = ["ADMINISTERING_IC", "CORE_PROJECT_NUM", "FY", "TOTAL_COST"]
+    rows = source.projects(spark, root, "unit").select(*columns)
+    schema = incremental.PROJECT_FIELDS
+    cards = incremental.CardState(spark, f"{base}/state")
+    early = F.coalesce(F.col("FY") < 2008, F.lit(False))
+    for number, part in enumerate((rows.where(early), rows.where(~early))):
+        part.write.mode("append").parquet(f"{base}/files/part={number}")
+        incremental.update_cards(spark, f"{base}/files", schema, cards, f"{base}/checkpoint").awaitTermination()
+        if number == 0:
+            cards.fold()
+    cards.add(spark.read.schema(schema).parquet(f"{base}/files/part=1"), cards.last())  # the same batch again
+    return cards.unit_cards()
+
+
 def wildcard(spark: SparkSession, root: str) -> DataFrame:
     base = scratch_folder(spark, "wild")
     orders = source.table(spark, root, "orders").select("o_orderkey", "o_orderstatus")
@@ -103,6 +127,7 @@ QUERIES = {
     "round_trip_year_folders": year_folders,
     "round_trip_repaired_years": repaired_years,
     "repaired_year_report": repaired_year_report,
+    "incremental_unit_cards": incremental_cards,
     "round_trip_wildcard": wildcard,
     "round_trip_points_folders": points_folders,
     "round_trip_snapshot": snapshot,

@@ -73,6 +73,12 @@ def repaired_years(spark: SparkSession, paths: dict[int, str]) -> tuple[DataFram
     return merged_years(fixed), report
 
 
+def load_years(rows: DataFrame, path: str, year: str = "YEAR") -> None:
+    """Writes rows into the folders of their years in one job; a year that is loaded again replaces its folder only."""
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(year).parquet(path)
+
+
 def append_years(parts: dict[int, DataFrame], path: str) -> None:
     """Writes years one after the other; the first replaces the table, the rest are appended."""
     for position, (year, rows) in enumerate(sorted(parts.items())):

@@ -1,6 +1,6 @@
 """Oracles of the round trips and of facts that any right clustering has."""
 
-from oracles.base import with_base
+from oracles.base import rnd, with_base
 from oracles.checks import SQL as CHECKS
 
 TABLES = (
@@ -14,14 +14,20 @@ SQL = {
     "round_trip_csv": "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
     "round_trip_year_folders": with_base(
         """SELECT application_id::BIGINT AS "APPLICATION_ID", full_project_num AS "FULL_PROJECT_NUM", fy::INTEGER AS "YEAR"
-FROM project WHERE fy IN (2000, 2005)"""
+FROM project WHERE fy > (SELECT min(fy) FROM project)"""
     ),
     "round_trip_repaired_years": with_base(
         """SELECT application_id::BIGINT::VARCHAR AS "APPLICATION_ID", full_project_num AS "FULL_PROJECT_NUM"
-FROM project WHERE fy IN (1995, 2000, 2005)"""
+FROM project WHERE fy IS NOT NULL"""
+    ),
+    "repaired_year_report": with_base(
+        """SELECT DISTINCT fy::INTEGER AS year, 'fixed' AS status FROM project WHERE fy IS NOT NULL UNION ALL SELECT 2999, 'failed'"""
+    ),
+    "incremental_unit_cards": with_base(
+        f"""SELECT administering_ic, count(DISTINCT core_project_num) AS awards, count(*) AS projects,
+  {rnd('sum(total_cost)::DOUBLE / 1e9::DOUBLE', 4)} AS funding_billions, min(fy)::INTEGER AS first_year, max(fy)::INTEGER AS last_year
+FROM project GROUP BY 1"""
     ),
-    "repaired_year_report": """SELECT * FROM (VALUES (1995, 'fixed'), (2000, 'fixed'), (2005, 'fixed'), (2010, 'failed'))
-  t(year, status)""",
     "round_trip_wildcard": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'O')",
     "round_trip_points_folders": CHECKS["point_records"],
     "round_trip_snapshot": "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier",
