@@ -9,21 +9,28 @@ from grantloom.functions.names import entries
 
 # Grant-language terms removed before text features are built.
 STOP_TERMS = (
-    "project research study grant core program center development training support service year years aim specific "
-    "aims proposed proposal application data analysis method approach technique tool system model process "
-    "investigation evaluation health disease patient clinical treatment therapy human tissue cell protein gene "
-    "molecular"
-).split()
+    "project", "research", "study", "grant", "core", "program", "center", "development", "training", "support",
+    "service", "year", "years", "aim", "specific", "aims", "proposed", "proposal", "application", "data",
+    "analysis", "method", "approach", "technique", "tool", "system", "model", "process", "investigation",
+    "evaluation", "health", "disease", "patient", "clinical", "treatment", "therapy", "human", "tissue", "cell",
+    "protein", "gene", "molecular",
+)
+# The longer list, for lemmas.
 STOP_LEMMAS = (
-    *STOP_TERMS,
-    *"cells proteins genes biology structure function medicine new novel important major basic translational".split(),
+    "project", "research", "study", "grant", "core", "program", "center", "development", "training", "support",
+    "service", "year", "years", "aim", "specific", "aims", "proposed", "proposal", "application", "data",
+    "analysis", "method", "approach", "technique", "tool", "system", "model", "process", "investigation",
+    "evaluation", "health", "disease", "patient", "clinical", "treatment", "therapy", "human", "tissue", "cell",
+    "cells", "protein", "proteins", "gene", "genes", "molecular", "biology", "structure", "function", "medicine",
+    "new", "novel", "important", "major", "basic", "translational",
 )
 # Generic terms skipped in labels.
 GENERIC_TERMS = (
-    "cell cells protein proteins gene genes expression function regulation activity level development role mechanism "
-    "process system study studies research analysis method data model disease human patient clinical work testing "
-    "base goals test"
-).split()
+    "cell", "cells", "protein", "proteins", "gene", "genes", "expression", "function", "regulation", "activity",
+    "level", "development", "role", "mechanism", "process", "system", "study", "studies", "research", "analysis",
+    "method", "data", "model", "disease", "human", "patient", "clinical", "work", "testing", "base", "goals",
+    "test",
+)
 GENERIC_DOMAIN_TERMS = (*GENERIC_TERMS, "measure")
 # Irregular noun plurals.
 IRREGULAR = {

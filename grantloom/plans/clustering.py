@@ -246,6 +246,31 @@ def weight_search(
     return metrics.fixed_composite(rows.sparkSession.createDataFrame(results, schema))
 
 
+def level_cards(points: DataFrame, level: str, above: str | None = None) -> DataFrame:
+    """``id, parent, label, n_awards, funding, centroid_x, centroid_y`` of every cluster of a level of an award map.
+
+    A cluster is named by the leading words of its titles; null titles and costs count as awards.
+    """
+    parent = F.max(above) if above else F.lit(None).cast("int")
+    totals = points.groupBy(F.col(level).alias("id")).agg(
+        parent.alias("parent"),
+        F.count(F.lit(1)).alias("n_awards"),
+        F.coalesce(F.sum("total_cost"), F.lit(0.0)).alias("funding"),
+        F.avg("umap_x").alias("centroid_x"),
+        F.avg("umap_y").alias("centroid_y"),
+    )
+    titles = points.select(F.col(level).alias("cluster"), F.col("project_title").alias("title"))
+    names = labels.title_labels(titles, "cluster").select(F.col("cluster").alias("id"), "label")
+    return totals.join(names, "id", "left")
+
+
+def hierarchy_cards(points: DataFrame) -> DataFrame:
+    """The cards of all three levels: ``level`` and the columns of ``level_cards``."""
+    levels = (("domain", None), ("topic", "domain"), ("subtopic", "topic"))
+    parts = [level_cards(points, level, above).withColumn("level", F.lit(level)) for level, above in levels]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def best(scores: DataFrame, score: str) -> DataFrame:
     return scores.orderBy(F.desc(score)).limit(1)
 

@@ -1015,6 +1015,31 @@ def award_map_hierarchy(spark, root):
     return clustering.three_levels(rows, 8, "by_award_map")
 
 
+def award_map_cards(spark, root):
+    rows = placed_awards(spark, root)
+    levels = settled(clustering.three_levels(rows.select(F.col("application_id").alias("id"), "vector"), 8, "by_award_map"))
+    return clustering.hierarchy_cards(settled(rows.join(levels, rows["application_id"] == levels["id"]).drop("id", "vector")))
+
+
+@query()
+def award_map_hierarchy_cards(spark, root):
+    """Label, size, funding and centre of every domain, topic and subtopic."""
+    return award_map_cards(spark, root)
+
+
+@query()
+def award_map_hierarchy_card_totals(spark, root):
+    """Per level what cards of any right hierarchy add up to, and whether each has a name, a parent and the published size."""
+    cards, size = award_map_cards(spark, root), F.sum("n_awards")
+    below = (F.col("level") == "domain") | F.col("parent").isNotNull()
+    return cards.groupBy("level").agg(
+        (F.count(F.lit(1)) >= 8).alias("enough"), (F.max("n_awards") < size).alias("divided"), size.alias("n_awards"), rounded(F.sum("funding"), 0).alias("funding"),
+        rounded(F.sum(F.col("centroid_x") * F.col("n_awards")) / size, 4).alias("mean_x"),
+        rounded(F.sum(F.col("centroid_y") * F.col("n_awards")) / size, 4).alias("mean_y"),
+        F.min(below).alias("parents"), F.min(F.length("label") > 0).alias("labels"), (F.count_distinct("centroid_x", "centroid_y") == F.count(F.lit(1))).alias("apart"),
+    )
+
+
 @query()
 def coordinate_hierarchy(spark, root):
     awards = clusters.awards_from_transactions(source.points(spark, root))

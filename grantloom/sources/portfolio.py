@@ -19,10 +19,15 @@ from grantloom.sources.schemas import STAR_TABLES
 
 # Codes given to awards of the star-schema tables.
 ACTIVITY_CODES = (
-    "R01 R01 R01 R21 R03 R15 R33 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5 P01 P30 P50 P60 U01 U19 U54 U43 U44 UL1 "
-    "T32 T34 T35 TL1 K01 K08 K23 K99 R00 F30 F31 F32 R41 R42 R43 R44 G12 G20 S06 C06 N01 Z01 ZIA R25"
-).split()
-UNIT_CODES = "AG AI CA DK GM HD HL MH NS EB ES EY DA RR OD RM FD CD HS VA DOD TR TW XX YY".split()
+    "R01", "R01", "R01", "R21", "R03", "R15", "R33", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5",
+    "P01", "P30", "P50", "P60", "U01", "U19", "U54", "U43", "U44", "UL1", "T32", "T34", "T35", "TL1", "K01", "K08",
+    "K23", "K99", "R00", "F30", "F31", "F32", "R41", "R42", "R43", "R44", "G12", "G20", "S06", "C06", "N01", "Z01",
+    "ZIA", "R25",
+)
+UNIT_CODES = (
+    "AG", "AI", "CA", "DK", "GM", "HD", "HL", "MH", "NS", "EB", "ES", "EY", "DA", "RR", "OD", "RM", "FD", "CD",
+    "HS", "VA", "DOD", "TR", "TW", "XX", "YY",
+)
 DOMAINS = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
 CATEGORIES = (
     "Cancer",

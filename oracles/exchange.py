@@ -42,6 +42,12 @@ FROM information_schema.columns WHERE table_name = 'lineitem'""",
     "award_map_hierarchy_facts": with_base(
         """SELECT count(*) AS rows, true AS within_size, 0::BIGINT AS split_topics, 0::BIGINT AS split_subtopics
 FROM (SELECT DISTINCT application_id FROM point)"""
+    ),
+    "award_map_hierarchy_card_totals": with_base(
+        f"""SELECT level, true AS enough, true AS divided, count(*) AS n_awards, {rnd('sum(total_cost)', 0)} AS funding, {rnd('avg(umap_x)', 4)} AS mean_x,
+  {rnd('avg(umap_y)', 4)} AS mean_y, true AS parents, true AS labels, true AS apart
+FROM (SELECT application_id, {rnd('avg(x)', 6)} AS umap_x, {rnd('avg(y)', 6)} AS umap_y, sum(cost)::DOUBLE AS total_cost FROM point GROUP BY 1),
+  (SELECT unnest(['domain', 'topic', 'subtopic']) AS level) GROUP BY 1"""
     ),
     "vector_k_means_facts": FITTED.format("embeddings", 100),
     "vector_bisecting_facts": FITTED.format("embeddings", 50),

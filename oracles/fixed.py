@@ -18,183 +18,183 @@ class Item(NamedTuple):
     funding: str | None = None
 
 
-def item(count: str, funding: str | None, codes: str = "", prefixes: str = "") -> Item:
-    return Item(Family(tuple(codes.split()), tuple(prefixes.split())), count, funding)
+def item(count: str, funding: str | None, codes: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> Item:
+    return Item(Family(codes, prefixes), count, funding)
 
 
 # Mechanism families of the cards.
 UNIT = (
-    item("rpg_standard_count", "rpg_standard_funding_b", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_count", "high_risk_funding_b", "R35 DP1 DP2 DP5 RF1 RM1"),
-    item("centers_p_count", "centers_p_funding_b", prefixes="P"),
-    item("p01_program_projects", None, "P01"),
-    item("p30_center_core", None, "P30"),
-    item("p50_specialized_centers", None, "P50"),
-    item("coop_agreements_u_count", "coop_agreements_u_funding_b", prefixes="U"),
-    item("u01_research_coop", None, "U01"),
-    item("ul1_ctsa", None, "UL1"),
-    item("u54_specialized_centers", None, "U54"),
-    item("u19_research_programs", None, "U19"),
-    item("training_t_count", "training_t_funding_b", prefixes="T"),
-    item("t32_institutional_training", None, "T32"),
-    item("t35_short_term_training", None, "T35"),
-    item("career_dev_count", "career_dev_funding_b", "R00", prefixes="K"),
-    item("k99_pathway_independence", None, "K99"),
-    item("k01_mentored_scientist", None, "K01"),
-    item("k08_clinical_scientist", None, "K08"),
-    item("k23_patient_oriented", None, "K23"),
-    item("fellowship_count", "fellowship_funding_b", prefixes="F"),
-    item("f31_predoctoral", None, "F31"),
-    item("f32_postdoctoral", None, "F32"),
-    item("f30_md_phd", None, "F30"),
-    item("sbir_sttr_count", "sbir_sttr_funding_b", "R41 R42 R43 R44 U43 U44"),
-    item("infrastructure_count", "infrastructure_funding_b", prefixes="C G S"),
-    item("g12_rcmi_minority", None, "G12"),
-    item("s06_mbrs_minority", None, "S06"),
-    item("c06_construction", None, "C06"),
+    item("rpg_standard_count", "rpg_standard_funding_b", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_count", "high_risk_funding_b", ("R35", "DP1", "DP2", "DP5", "RF1", "RM1")),
+    item("centers_p_count", "centers_p_funding_b", prefixes=("P",)),
+    item("p01_program_projects", None, ("P01",)),
+    item("p30_center_core", None, ("P30",)),
+    item("p50_specialized_centers", None, ("P50",)),
+    item("coop_agreements_u_count", "coop_agreements_u_funding_b", prefixes=("U",)),
+    item("u01_research_coop", None, ("U01",)),
+    item("ul1_ctsa", None, ("UL1",)),
+    item("u54_specialized_centers", None, ("U54",)),
+    item("u19_research_programs", None, ("U19",)),
+    item("training_t_count", "training_t_funding_b", prefixes=("T",)),
+    item("t32_institutional_training", None, ("T32",)),
+    item("t35_short_term_training", None, ("T35",)),
+    item("career_dev_count", "career_dev_funding_b", ("R00",), prefixes=("K",)),
+    item("k99_pathway_independence", None, ("K99",)),
+    item("k01_mentored_scientist", None, ("K01",)),
+    item("k08_clinical_scientist", None, ("K08",)),
+    item("k23_patient_oriented", None, ("K23",)),
+    item("fellowship_count", "fellowship_funding_b", prefixes=("F",)),
+    item("f31_predoctoral", None, ("F31",)),
+    item("f32_postdoctoral", None, ("F32",)),
+    item("f30_md_phd", None, ("F30",)),
+    item("sbir_sttr_count", "sbir_sttr_funding_b", ("R41", "R42", "R43", "R44", "U43", "U44")),
+    item("infrastructure_count", "infrastructure_funding_b", prefixes=("C", "G", "S")),
+    item("g12_rcmi_minority", None, ("G12",)),
+    item("s06_mbrs_minority", None, ("S06",)),
+    item("c06_construction", None, ("C06",)),
 )
 UNIT_ALL_MECHANISMS = (
-    item("rpg_count", "rpg_funding_b", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_count", "high_risk_funding_b", "R35 DP1 DP2 DP5 RF1 RM1"),
-    item("centers_count", "centers_funding_b", prefixes="P"),
-    item("p01_count", None, "P01"),
-    item("p30_count", None, "P30"),
-    item("p50_count", None, "P50"),
-    item("coop_agreements_count", "coop_agreements_funding_b", prefixes="U"),
-    item("u01_count", None, "U01"),
-    item("ul1_ctsa_count", None, "UL1"),
-    item("u54_count", None, "U54"),
-    item("training_count", "training_funding_b", prefixes="T"),
-    item("t32_count", None, "T32"),
-    item("career_count", "career_funding_b", "R00", prefixes="K"),
-    item("fellowship_count", "fellowship_funding_b", prefixes="F"),
-    item("sbir_count", "sbir_funding_b", "R41 R42 R43 R44 U43 U44"),
-    item("infrastructure_count", "infrastructure_funding_b", prefixes="C G S"),
-    item("g12_rcmi_count", None, "G12"),
-    item("s06_mbrs_count", None, "S06"),
-    item("contract_count", "contract_funding_b", prefixes="N"),
-    item("n01_research_contracts", None, "N01"),
-    item("intramural_count", "intramural_funding_b", prefixes="Z"),
-    item("z01_intramural_research", None, "Z01"),
-    item("zia_intramural_research", None, "ZIA"),
+    item("rpg_count", "rpg_funding_b", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_count", "high_risk_funding_b", ("R35", "DP1", "DP2", "DP5", "RF1", "RM1")),
+    item("centers_count", "centers_funding_b", prefixes=("P",)),
+    item("p01_count", None, ("P01",)),
+    item("p30_count", None, ("P30",)),
+    item("p50_count", None, ("P50",)),
+    item("coop_agreements_count", "coop_agreements_funding_b", prefixes=("U",)),
+    item("u01_count", None, ("U01",)),
+    item("ul1_ctsa_count", None, ("UL1",)),
+    item("u54_count", None, ("U54",)),
+    item("training_count", "training_funding_b", prefixes=("T",)),
+    item("t32_count", None, ("T32",)),
+    item("career_count", "career_funding_b", ("R00",), prefixes=("K",)),
+    item("fellowship_count", "fellowship_funding_b", prefixes=("F",)),
+    item("sbir_count", "sbir_funding_b", ("R41", "R42", "R43", "R44", "U43", "U44")),
+    item("infrastructure_count", "infrastructure_funding_b", prefixes=("C", "G", "S")),
+    item("g12_rcmi_count", None, ("G12",)),
+    item("s06_mbrs_count", None, ("S06",)),
+    item("contract_count", "contract_funding_b", prefixes=("N",)),
+    item("n01_research_contracts", None, ("N01",)),
+    item("intramural_count", "intramural_funding_b", prefixes=("Z",)),
+    item("z01_intramural_research", None, ("Z01",)),
+    item("zia_intramural_research", None, ("ZIA",)),
 )
 UNIT_COMPLETE = (
-    item("rpg_total_awards", "rpg_total_funding_b", "R01 R03 R15 R21 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5"),
-    item("center_total_awards", "center_total_funding_b", prefixes="P"),
-    item("fellowship_total_awards", "fellowship_total_funding_b", "F30 F31 F32 F33 K01 K02 K07 K08 K22 K23 K24 K25 K99 R00"),  # noqa: E501
-    item("training_total_awards", "training_total_funding_b", "T32 T34 T35 T36 T37 T90 TL1 TU2"),
-    item("sbir_total_awards", "sbir_total_funding_b", "R41 R42 R43 R44 U43 U44"),
+    item("rpg_total_awards", "rpg_total_funding_b", ("R01", "R03", "R15", "R21", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5")),
+    item("center_total_awards", "center_total_funding_b", prefixes=("P",)),
+    item("fellowship_total_awards", "fellowship_total_funding_b", ("F30", "F31", "F32", "F33", "K01", "K02", "K07", "K08", "K22", "K23", "K24", "K25", "K99", "R00")),  # noqa: E501
+    item("training_total_awards", "training_total_funding_b", ("T32", "T34", "T35", "T36", "T37", "T90", "TL1", "TU2")),
+    item("sbir_total_awards", "sbir_total_funding_b", ("R41", "R42", "R43", "R44", "U43", "U44")),
 )
 UNIT_TREND = (
-    item("rpg_awards", "rpg_funding_m", "R01 R03 R15 R21 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5"),
-    item("center_awards", "center_funding_m", prefixes="P"),
-    item("fellowship_awards", "fellowship_funding_m", "F30 F31 F32 F33 K01 K02 K07 K08 K22 K23 K24 K25 K99 R00"),
-    item("training_awards", "training_funding_m", "T32 T34 T35 T36 T37 T90 TL1 TU2"),
-    item("sbir_awards", "sbir_funding_m", "R41 R42 R43 R44 U43 U44"),
+    item("rpg_awards", "rpg_funding_m", ("R01", "R03", "R15", "R21", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5")),
+    item("center_awards", "center_funding_m", prefixes=("P",)),
+    item("fellowship_awards", "fellowship_funding_m", ("F30", "F31", "F32", "F33", "K01", "K02", "K07", "K08", "K22", "K23", "K24", "K25", "K99", "R00")),
+    item("training_awards", "training_funding_m", ("T32", "T34", "T35", "T36", "T37", "T90", "TL1", "TU2")),
+    item("sbir_awards", "sbir_funding_m", ("R41", "R42", "R43", "R44", "U43", "U44")),
 )
 PERSON_PORTFOLIO = (
-    item("rpg_awards", "rpg_funding_m", "R01 R03 R15 R21 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5"),
-    item("center_awards", "center_funding_m", prefixes="P"),
-    item("fellowship_awards", "fellowship_funding_m", "F30 F31 F32 F33 K01 K02 K07 K08 K22 K23 K24 K25 K99 R00"),
-    item("training_awards", "training_funding_m", "T32 T34 T35 T36 T37 T90 TL1 TU2"),
-    item("sbir_awards", "sbir_funding_m", "R41 R42 R43 R44 U43 U44"),
+    item("rpg_awards", "rpg_funding_m", ("R01", "R03", "R15", "R21", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5")),
+    item("center_awards", "center_funding_m", prefixes=("P",)),
+    item("fellowship_awards", "fellowship_funding_m", ("F30", "F31", "F32", "F33", "K01", "K02", "K07", "K08", "K22", "K23", "K24", "K25", "K99", "R00")),
+    item("training_awards", "training_funding_m", ("T32", "T34", "T35", "T36", "T37", "T90", "TL1", "TU2")),
+    item("sbir_awards", "sbir_funding_m", ("R41", "R42", "R43", "R44", "U43", "U44")),
 )
 PERSON = (
-    item("rpg_awards", "rpg_funding_m", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_awards", "high_risk_funding_m", "R35 DP1 DP2 DP5 RF1"),
-    item("center_awards", "center_funding_m", prefixes="P"),
-    item("coop_agreement_awards", "coop_agreement_funding_m", prefixes="U"),
-    item("training_awards", None, prefixes="T"),
-    item("career_awards", None, "R00", prefixes="K"),
-    item("k99_awards", None, "K99"),
-    item("fellowship_awards", None, prefixes="F"),
-    item("sbir_awards", None, "R41 R42 R43 R44"),
-    item("infrastructure_awards", None, prefixes="C G S"),
+    item("rpg_awards", "rpg_funding_m", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_awards", "high_risk_funding_m", ("R35", "DP1", "DP2", "DP5", "RF1")),
+    item("center_awards", "center_funding_m", prefixes=("P",)),
+    item("coop_agreement_awards", "coop_agreement_funding_m", prefixes=("U",)),
+    item("training_awards", None, prefixes=("T",)),
+    item("career_awards", None, ("R00",), prefixes=("K",)),
+    item("k99_awards", None, ("K99",)),
+    item("fellowship_awards", None, prefixes=("F",)),
+    item("sbir_awards", None, ("R41", "R42", "R43", "R44")),
+    item("infrastructure_awards", None, prefixes=("C", "G", "S")),
 )
 PERSON_ALL_MECHANISMS = (
-    item("rpg_awards", "rpg_funding_m", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_awards", None, "R35 DP1 DP2 DP5 RF1"),
-    item("center_awards", None, prefixes="P"),
-    item("coop_agreement_awards", None, prefixes="U"),
-    item("training_awards", None, prefixes="T"),
-    item("career_awards", None, "R00", prefixes="K"),
-    item("fellowship_awards", None, prefixes="F"),
-    item("sbir_awards", None, "R41 R42 R43 R44"),
-    item("infrastructure_awards", None, prefixes="C G S"),
-    item("contract_awards", None, prefixes="N"),
-    item("intramural_awards", None, prefixes="Z"),
+    item("rpg_awards", "rpg_funding_m", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_awards", None, ("R35", "DP1", "DP2", "DP5", "RF1")),
+    item("center_awards", None, prefixes=("P",)),
+    item("coop_agreement_awards", None, prefixes=("U",)),
+    item("training_awards", None, prefixes=("T",)),
+    item("career_awards", None, ("R00",), prefixes=("K",)),
+    item("fellowship_awards", None, prefixes=("F",)),
+    item("sbir_awards", None, ("R41", "R42", "R43", "R44")),
+    item("infrastructure_awards", None, prefixes=("C", "G", "S")),
+    item("contract_awards", None, prefixes=("N",)),
+    item("intramural_awards", None, prefixes=("Z",)),
 )
 ORGANIZATION_SPECIAL = (
-    item("area_total_awards", "area_total_funding_m", "R15"),
-    item("minority_serving_awards", "minority_serving_funding_m", "G12 U54 S06"),
-    item("ctsa_awards", "ctsa_funding_m", "UL1"),
-    item("specialized_center_awards", "specialized_center_funding_m", "P50 P30 P60"),
-    item("infrastructure_awards", "infrastructure_funding_m", "C06 G20"),
+    item("area_total_awards", "area_total_funding_m", ("R15",)),
+    item("minority_serving_awards", "minority_serving_funding_m", ("G12", "U54", "S06")),
+    item("ctsa_awards", "ctsa_funding_m", ("UL1",)),
+    item("specialized_center_awards", "specialized_center_funding_m", ("P50", "P30", "P60")),
+    item("infrastructure_awards", "infrastructure_funding_m", ("C06", "G20")),
 )
 ORGANIZATION_COMPLETE = (
-    item("rpg_total", "rpg_funding_b", "R01 R03 R15 R21 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5"),
-    item("center_total", "center_funding_b", prefixes="P"),
-    item("fellowship_total", "fellowship_funding_b", "F30 F31 F32 F33 K01 K02 K07 K08 K22 K23 K24 K25 K99 R00"),
-    item("training_total", "training_funding_b", "T32 T34 T35 T36 T37 T90 TL1 TU2"),
-    item("sbir_total", "sbir_funding_b", "R41 R42 R43 R44 U43 U44"),
+    item("rpg_total", "rpg_funding_b", ("R01", "R03", "R15", "R21", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5")),
+    item("center_total", "center_funding_b", prefixes=("P",)),
+    item("fellowship_total", "fellowship_funding_b", ("F30", "F31", "F32", "F33", "K01", "K02", "K07", "K08", "K22", "K23", "K24", "K25", "K99", "R00")),
+    item("training_total", "training_funding_b", ("T32", "T34", "T35", "T36", "T37", "T90", "TL1", "TU2")),
+    item("sbir_total", "sbir_funding_b", ("R41", "R42", "R43", "R44", "U43", "U44")),
 )
 ORGANIZATION = (
-    item("rpg_total", "rpg_funding_b", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_total", None, "R35 DP1 DP2 DP5 RF1"),
-    item("center_total", "center_funding_b", prefixes="P"),
-    item("p30_core_grants", None, "P30"),
-    item("p50_specialized_centers", None, "P50"),
-    item("coop_agreement_total", "coop_agreement_funding_b", prefixes="U"),
-    item("ul1_ctsa_awards", None, "UL1"),
-    item("u54_awards", None, "U54"),
-    item("training_total", None, prefixes="T"),
-    item("t32_awards", None, "T32"),
-    item("career_total", None, "R00", prefixes="K"),
-    item("fellowship_total", None, prefixes="F"),
-    item("sbir_total", None, "R41 R42 R43 R44"),
-    item("infrastructure_total", None, prefixes="C G S"),
-    item("g12_rcmi_awards", None, "G12"),
-    item("s06_mbrs_awards", None, "S06"),
-    item("c06_construction_awards", None, "C06"),
+    item("rpg_total", "rpg_funding_b", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_total", None, ("R35", "DP1", "DP2", "DP5", "RF1")),
+    item("center_total", "center_funding_b", prefixes=("P",)),
+    item("p30_core_grants", None, ("P30",)),
+    item("p50_specialized_centers", None, ("P50",)),
+    item("coop_agreement_total", "coop_agreement_funding_b", prefixes=("U",)),
+    item("ul1_ctsa_awards", None, ("UL1",)),
+    item("u54_awards", None, ("U54",)),
+    item("training_total", None, prefixes=("T",)),
+    item("t32_awards", None, ("T32",)),
+    item("career_total", None, ("R00",), prefixes=("K",)),
+    item("fellowship_total", None, prefixes=("F",)),
+    item("sbir_total", None, ("R41", "R42", "R43", "R44")),
+    item("infrastructure_total", None, prefixes=("C", "G", "S")),
+    item("g12_rcmi_awards", None, ("G12",)),
+    item("s06_mbrs_awards", None, ("S06",)),
+    item("c06_construction_awards", None, ("C06",)),
 )
 ORGANIZATION_ALL_MECHANISMS = (
-    item("rpg_total", "rpg_funding_b", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("high_risk_total", None, "R35 DP1 DP2 DP5 RF1"),
-    item("center_total", "center_funding_b", prefixes="P"),
-    item("p30_core_grants", None, "P30"),
-    item("p50_specialized_centers", None, "P50"),
-    item("coop_agreement_total", "coop_agreement_funding_b", prefixes="U"),
-    item("ul1_ctsa_awards", None, "UL1"),
-    item("u54_awards", None, "U54"),
-    item("training_total", None, prefixes="T"),
-    item("t32_awards", None, "T32"),
-    item("career_total", None, "R00", prefixes="K"),
-    item("fellowship_total", None, prefixes="F"),
-    item("sbir_total", None, "R41 R42 R43 R44"),
-    item("infrastructure_total", None, prefixes="C G S"),
-    item("g12_rcmi_awards", None, "G12"),
-    item("s06_mbrs_awards", None, "S06"),
-    item("c06_construction_awards", None, "C06"),
-    item("contract_total", None, prefixes="N"),
-    item("intramural_total", None, prefixes="Z"),
+    item("rpg_total", "rpg_funding_b", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("high_risk_total", None, ("R35", "DP1", "DP2", "DP5", "RF1")),
+    item("center_total", "center_funding_b", prefixes=("P",)),
+    item("p30_core_grants", None, ("P30",)),
+    item("p50_specialized_centers", None, ("P50",)),
+    item("coop_agreement_total", "coop_agreement_funding_b", prefixes=("U",)),
+    item("ul1_ctsa_awards", None, ("UL1",)),
+    item("u54_awards", None, ("U54",)),
+    item("training_total", None, prefixes=("T",)),
+    item("t32_awards", None, ("T32",)),
+    item("career_total", None, ("R00",), prefixes=("K",)),
+    item("fellowship_total", None, prefixes=("F",)),
+    item("sbir_total", None, ("R41", "R42", "R43", "R44")),
+    item("infrastructure_total", None, prefixes=("C", "G", "S")),
+    item("g12_rcmi_awards", None, ("G12",)),
+    item("s06_mbrs_awards", None, ("S06",)),
+    item("c06_construction_awards", None, ("C06",)),
+    item("contract_total", None, prefixes=("N",)),
+    item("intramural_total", None, prefixes=("Z",)),
 )
 ORGANIZATION_YEARLY = (
-    item("rpg_awards", "rpg_funding_m", "R01 R03 R15 R21 R34 R35 R37 R56 RF1 RM1 DP1 DP2 DP5"),
-    item("center_awards", "center_funding_m", prefixes="P"),
-    item("fellowship_awards", "fellowship_funding_m", "F30 F31 F32 F33 K01 K02 K07 K08 K22 K23 K24 K25 K99 R00"),
-    item("training_awards", "training_funding_m", "T32 T34 T35 T36 T37 T90 TL1 TU2"),
-    item("sbir_awards", "sbir_funding_m", "R41 R42 R43 R44 U43 U44"),
-    item("area_awards", "area_funding_m", "R15"),
-    item("minority_serving_awards", "minority_serving_funding_m", "G12 U54 S06"),
-    item("ctsa_awards", "ctsa_funding_m", "UL1"),
+    item("rpg_awards", "rpg_funding_m", ("R01", "R03", "R15", "R21", "R34", "R35", "R37", "R56", "RF1", "RM1", "DP1", "DP2", "DP5")),
+    item("center_awards", "center_funding_m", prefixes=("P",)),
+    item("fellowship_awards", "fellowship_funding_m", ("F30", "F31", "F32", "F33", "K01", "K02", "K07", "K08", "K22", "K23", "K24", "K25", "K99", "R00")),
+    item("training_awards", "training_funding_m", ("T32", "T34", "T35", "T36", "T37", "T90", "TL1", "TU2")),
+    item("sbir_awards", "sbir_funding_m", ("R41", "R42", "R43", "R44", "U43", "U44")),
+    item("area_awards", "area_funding_m", ("R15",)),
+    item("minority_serving_awards", "minority_serving_funding_m", ("G12", "U54", "S06")),
+    item("ctsa_awards", "ctsa_funding_m", ("UL1",)),
 )
 PORTFOLIO_YEAR = (
-    item("rpg_awards", "rpg_funding_b", "R01 R03 R15 R21 R33 R34 R37 R56"),
-    item("center_awards", "center_funding_b", prefixes="P"),
-    item("coop_agreement_awards", "coop_agreement_funding_b", prefixes="U"),
-    item("training_awards", "training_funding_b", prefixes="T"),
-    item("career_awards", None, "R00", prefixes="K"),
-    item("fellowship_awards", None, prefixes="F"),
+    item("rpg_awards", "rpg_funding_b", ("R01", "R03", "R15", "R21", "R33", "R34", "R37", "R56")),
+    item("center_awards", "center_funding_b", prefixes=("P",)),
+    item("coop_agreement_awards", "coop_agreement_funding_b", prefixes=("U",)),
+    item("training_awards", "training_funding_b", prefixes=("T",)),
+    item("career_awards", None, ("R00",), prefixes=("K",)),
+    item("fellowship_awards", None, prefixes=("F",)),
 )
 ELIGIBLE = Family(("R01", "R21", "R03", "R15", "R35", "U01", "U19", "P01", "P30", "P50", "DP1", "DP2", "DP5"), ())
 # Codes and names given to the star tables.
@@ -278,11 +278,11 @@ STOP_TERMS = (
 )
 STOP_LEMMAS = (
     "project", "research", "study", "grant", "core", "program", "center", "development", "training", "support",
-    "service", "year", "years", "aim", "specific", "aims", "proposed", "proposal", "application", "data", "analysis",
-    "method", "approach", "technique", "tool", "system", "model", "process", "investigation", "evaluation", "health",
-    "disease", "patient", "clinical", "treatment", "therapy", "human", "tissue", "cell", "protein", "gene",
-    "molecular", "cells", "proteins", "genes", "biology", "structure", "function", "medicine", "new", "novel",
-    "important", "major", "basic", "translational",
+    "service", "year", "years", "aim", "specific", "aims", "proposed", "proposal", "application", "data",
+    "analysis", "method", "approach", "technique", "tool", "system", "model", "process", "investigation",
+    "evaluation", "health", "disease", "patient", "clinical", "treatment", "therapy", "human", "tissue", "cell",
+    "cells", "protein", "proteins", "gene", "genes", "molecular", "biology", "structure", "function", "medicine",
+    "new", "novel", "important", "major", "basic", "translational",
 )
 GENERIC_TERMS = (
     "cell", "cells", "protein", "proteins", "gene", "genes", "expression", "function", "regulation", "activity",
