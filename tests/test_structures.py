@@ -9,8 +9,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from grantloom.operators import density, minibatch, neighbors, stacked_kmeans, ward
+from grantloom.operators import density, minibatch, neighbors, sparse_kmeans, stacked_kmeans, truncated_svd, ward
 from grantloom.operators.components import components
+from grantloom.plans import slices
+from grantloom.streaming import incremental
 
 
 def brute_ward(points):
@@ -278,3 +280,75 @@ def test_starved_centres_are_put_on_far_rows(spark):
 
 def minibatch_number(i, batches):
     return int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) % batches
+
+
+def test_block_iteration_finds_the_singular_vectors(spark):
+    """More words than directions, and rows without words."""
+    random = np.random.RandomState(10)
+    dense = (random.rand(300, 150) < 0.06) * random.rand(300, 150)
+    dense[:100] = dense[0]  # a third are copies
+    dense[250:255] = 0.0
+    rows = [(i, [int(j) for j in np.flatnonzero(v)], [float(x) for x in v[v != 0]]) for i, v in enumerate(dense)]
+    sparse = spark.createDataFrame(rows, "id int, __at array<int>, __by array<double>").repartition(3).persist()
+    basis, squares = truncated_svd.directions(sparse, 150, 12, passes=30)
+    _, singular, right = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(squares, singular[:12] ** 2, rtol=1e-4)
+    assert np.allclose(basis.T @ basis, np.eye(12), atol=1e-9)
+    got = {r["id"]: r["small"] for r in truncated_svd.projected(sparse, basis, "small").collect()}
+    error = ((dense - np.array([got[i] for i in range(300)]) @ basis.T) ** 2).sum()
+    assert error == pytest.approx((singular[12:] ** 2).sum(), rel=1e-3)
+
+
+def test_sparse_fits_equal_dense_ones(spark):
+    random = np.random.RandomState(11)
+    dense = (random.rand(240, 20) < 0.2) * random.rand(240, 20).round(3)
+    dense[200:210] = 0.0
+    dense[:80] = dense[3]  # a third of the rows are copies, all in one group
+    groups = np.where(np.arange(240) < 160, 0, 1)
+    rows = [
+        (i, int(groups[i]), 4, 20, [int(j) for j in np.flatnonzero(v)], [float(x) for x in v[v != 0]]) for i, v in enumerate(dense)
+    ]
+    frame = spark.createDataFrame(rows, "id int, group int, k int, width int, __at array<int>, __by array<double>").repartition(3).persist()
+    centres = sparse_kmeans.fit(frame, 4)
+    found = {r["id"]: r["centre"] for r in sparse_kmeans.assign(frame, centres).collect()}
+    for group in (0, 1):
+        members = np.flatnonzero(groups == group)
+        order = sorted(range(len(members)), key=lambda i: hashlib.md5(str(members[i]).encode()).hexdigest())[: 8 * 4]
+        seen = list(dict.fromkeys(tuple(dense[members[i]]) for i in order))
+        own, points = np.array(seen[:4]), dense[members]
+        for _ in range(30):
+            near = np.round(((points[:, None] - own[None]) ** 2).sum(-1), 9).argmin(1)
+            own = np.array([points[near == c].mean(0) if (near == c).any() else own[c] for c in range(len(own))])
+        assert np.allclose(centres[group], own)
+        assert [found[m] for m in members] == np.round(((points[:, None] - own[None]) ** 2).sum(-1), 9).argmin(1).tolist()
+
+
+def test_bitmaps_count_awards_once(spark):
+    rows = [("A", 2000 + i % 3, i % 4, 7 * (i % 50)) for i in range(1000)] + [("B", 2001, 1, i) for i in range(40_000, 75_000, 5)] + [("B", 2001, 1, None)]
+    points = spark.createDataFrame(rows, "ic string, fy int, domain int, award long").repartition(5)
+    held = slices.award_bitmaps(points, "award")
+    own = {(i, f, d, a) for i, f, d, a in rows if a is not None}
+    assert slices.distinct_awards(held, slices.Slice()).first().awards == len({a for *_, a in own})
+    got = {r.domain: r.awards for r in slices.distinct_awards(held, slices.Slice(units=frozenset({"A"}), first_year=2001), "domain").collect()}
+    assert got == {d: len({a for i, f, dd, a in own if i == "A" and f >= 2001 and dd == d}) for d in range(4)}
+    assert slices.distinct_awards(held.limit(0), slices.Slice()).first().awards == 0
+    with pytest.raises(ValueError):
+        slices.distinct_awards(held, slices.Slice(keyword="x"))
+
+
+def test_cards_do_not_depend_on_the_batches(spark, tmp_path):
+    rows = [(f"U{i % 3}" if i % 7 else None, f"P{i % 40}", float(1990 + i % 30), i) for i in range(500)]
+    frame = spark.createDataFrame(rows, "ADMINISTERING_IC string, CORE_PROJECT_NUM string, FY double, TOTAL_COST int").withColumn(
+        "TOTAL_COST", F.col("TOTAL_COST").cast("decimal(18,2)")
+    )
+    whole = incremental.CardState(spark, str(tmp_path / "whole"))
+    whole.add(frame, 0)
+    parts = incremental.CardState(spark, str(tmp_path / "parts"))
+    for number in range(4):
+        part = frame.where(F.col("TOTAL_COST") % 4 == number)
+        parts.add(part, number)
+        parts.add(part, number)  # replayed
+        if number == 1:
+            parts.fold()
+    assert sorted(map(str, parts.unit_cards().collect())) == sorted(map(str, whole.unit_cards().collect()))
+    assert incremental.CardState(spark, str(tmp_path / "none")).unit_cards().count() == 0
