@@ -19,6 +19,7 @@ from grantloom.operators.facets import attached
 from grantloom.operators.ranking import first_rows
 from grantloom.plans.clusters import lead_value
 from grantloom.plans.terms import computed_once, group_term_counts, ranked_terms, term_lists
+from grantloom.session import settled
 
 # Domain categories by keyword in the joined top terms, in order of precedence.
 DOMAIN_KEYWORDS = (
@@ -89,7 +90,8 @@ def title_labels(points: DataFrame, group: str = "cluster") -> DataFrame:
 
 
 def category_ranks(points: DataFrame, group: str, limit: int) -> DataFrame:
-    return ranked_terms(group_term_counts(points, group, entries(F.col("categories"))), group, limit)
+    copies = "copies" if "copies" in points.columns else None
+    return ranked_terms(group_term_counts(points, group, entries(F.col("categories")), copies), group, limit)
 
 
 def category_lists(points: DataFrame, group: str, limit: int) -> DataFrame:
@@ -110,7 +112,11 @@ def domain_category_labels(points: DataFrame) -> DataFrame:
 
 
 def hierarchy_labels(points: DataFrame) -> DataFrame:
-    """Labels of all three levels built from categories: ``parent > category``."""
+    """Labels of all three levels built from categories: ``parent > category``.
+
+    All levels read one roll-up, so the points, and the tables joined to them, are read once.
+    """
+    points = settled(points.groupBy("domain", "topic", "subtopic", "categories").agg(F.count(F.lit(1)).alias("copies")))
     tree = points.select("domain", "topic", "subtopic").distinct()
 
     def child(level: str, parent: Column, size: int) -> Column:

@@ -168,7 +168,10 @@ def strongest_terms(weights: DataFrame, total: Column, limit: int = 20) -> DataF
     )
 
 
-def group_term_counts(rows: DataFrame, group: str, terms: Column) -> DataFrame:
+def group_term_counts(rows: DataFrame, group: str, terms: Column, copies: str | None = None) -> DataFrame:
+    """Occurrences of each term per group; a row counts ``copies`` times if that column is named."""
+    if copies:
+        return rows.select(group, copies, F.explode(terms).alias("term")).groupBy(group, "term").agg(F.sum(copies).alias("n"))
     return exploded(rows, group, terms).groupBy(group, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
