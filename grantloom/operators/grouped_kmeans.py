@@ -1,7 +1,7 @@
 """K-means inside every group of a table at once.
 
 Child levels of a hierarchy would take one fit per parent.  Here all parents share each pass: a row is
-compared with the centres of its own group only, partitions add up their rows per centre, and the merged
+compared with the centres of its own group only, in blocks that are packed once, and the merged
 sums (groups x centres x dimensions numbers) become the next centres.
 """
 
@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from grantloom.operators import blocks
+from grantloom.operators.blocks import closest
 from grantloom.operators.ranking import first_rows
 
 #: Distinct vectors of a group that a start is chosen from, per centre; rounds are a guard, fits end by tolerance.
@@ -36,12 +39,6 @@ def plus_plus(matrix: np.ndarray, k: int, seed: int) -> np.ndarray:
     return matrix[chosen]
 
 
-def closest(matrix: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    gaps = (matrix**2).sum(axis=1)[:, None] - 2 * matrix @ centres.T + (centres**2).sum(axis=1)[None, :]
-    best = gaps.argmin(axis=1)
-    return best, np.maximum(gaps[np.arange(len(best)), best], 0.0)
-
-
 def _by_group(batch: pd.DataFrame, centres: dict[int, np.ndarray]):
     for group, part in batch.groupby("group"):
         matrix = np.stack(part["vector"].to_numpy()).astype(np.float64)
@@ -65,8 +62,8 @@ def fit(
 ) -> dict[int, np.ndarray]:
     """Centres per group, of the start with the least cost.
 
-    ``rows`` has ``(id, group int, k int, vector array<double>)`` and is read once per iteration, so the
-    caller should hold it in a stored or persisted form.  Starting centres come from the distinct vectors of
+    ``rows`` has ``(id, group int, k int, vector array<double>)`` and is read three times, so the caller should
+    hold it in a stored or persisted form; the iterations run over its blocks.  Starting centres come from the distinct vectors of
     each group in digest order, so a group gets fewer than ``k`` centres only if it has fewer distinct
     vectors.  A group has settled when the squared moves of its centres add up to at most ``tolerance`` times
     the mean variance of its coordinates, as in the usual single-machine fit.
@@ -81,13 +78,13 @@ def fit(
     # One number per group; of the distinct vectors, so copies do not shrink it.
     by_group = distinct.groupBy("group").agg(vector_to_array(variances).alias("v")).collect()
     spread = {r["group"]: float(np.mean(r["v"])) for r in by_group}
-    least = None
+    least, packed = None, blocks.packed(rows)
     try:
         for start in range(starts):
             seeds = sample.groupBy("group").applyInPandas(_starting(seed + start), "group int, centre int, vector array<double>")
             centres = _centres(seeds.toPandas())  # groups x centres rows
             for _ in range(iterations):
-                moved, cost = _step(rows, centres)
+                moved, cost = _step(packed, centres)
                 open_groups = [g for g in centres if ((moved[g] - centres[g]) ** 2).sum() > tolerance * spread[g]]
                 centres = moved
                 if not open_groups:
@@ -96,45 +93,18 @@ def fit(
                 found, least = centres, cost
     finally:
         sample.unpersist()
+        packed.unpersist()
     return found
 
 
-def _step(rows: DataFrame, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], float]:
-    """Centres after one pass, and the cost of the centres before it.
-
-    Partitions send one vector sum per (group, centre); the sums meet as vectors, not as one row per
-    dimension.
-    """
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {group: np.zeros_like(found) for group, found in centres.items()}
-        counts = {group: np.zeros(len(found)) for group, found in centres.items()}
-        costs = {group: np.zeros(len(found)) for group, found in centres.items()}
-        for batch in batches:
-            for group, _, matrix, best, gaps in _by_group(batch, centres):
-                np.add.at(sums[group], best, matrix)
-                np.add.at(counts[group], best, 1)
-                np.add.at(costs[group], best, gaps)
-        out = [
-            (group, place, counts[group][place], costs[group][place], sums[group][place])
-            for group in sums
-            for place in np.flatnonzero(counts[group])
-        ]
-        if out:
-            yield pd.DataFrame(out, columns=["group", "centre", "n", "cost", "vector"])
-
-    parts = rows.select("group", "vector").mapInPandas(partial, "group int, centre int, n double, cost double, vector array<double>")
-    merged = (
-        parts.groupBy("group", "centre")
-        .agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), Summarizer.sum(array_to_vector("vector")).alias("total"))
-        .withColumn("vector", vector_to_array("total"))
-        .drop("total")
-        .toPandas()
-    )
-    moved = {group: found.copy() for group, found in centres.items()}
-    for row in merged.itertuples():
-        moved[row.group][row.centre] = np.asarray(row.vector) / row.n
-    return moved, float(merged["cost"].sum())
+def _step(packed: RDD, centres: dict[int, np.ndarray]) -> tuple[dict[int, np.ndarray], float]:
+    """Centres after one pass, and the cost of the centres before it."""
+    moved, cost = {group: found.copy() for group, found in centres.items()}, 0.0
+    for group, (counts, costs, sums) in blocks.step(packed, centres).items():
+        met = counts > 0
+        moved[group][met] = sums[met] / counts[met, None]
+        cost += float(costs.sum())
+    return moved, cost
 
 
 def assign(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:

@@ -132,10 +132,10 @@ def fit_quality(rows: DataFrame, near: float, share: float) -> dict[str, Column]
         for batch in batches:
             if len(batch):
                 matrix = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-                gaps = ((matrix[:, None, :] - centres[None]) ** 2).sum(axis=2)
+                gaps = (matrix**2).sum(axis=1)[:, None] - 2 * matrix @ centres.T + (centres**2).sum(axis=1)[None, :]
                 own = gaps[np.arange(len(matrix)), np.searchsorted(ids, batch["cluster"].to_numpy())]
                 right = int((own <= gaps.min(axis=1) + 1e-9).sum())
-                yield pd.DataFrame({"n": [len(matrix)], "right": [right], "within": [own.sum()], "whole": [((matrix - overall) ** 2).sum()]})
+                yield pd.DataFrame({"n": [len(matrix)], "right": [right], "within": [np.maximum(own, 0.0).sum()], "whole": [((matrix - overall) ** 2).sum()]})
 
     parts = rows.where("cluster is not null").select("vector", "cluster")
     found = parts.mapInPandas(measure, "n bigint, right bigint, within double, whole double")

@@ -1,9 +1,11 @@
 """Steps that were rewritten to scale: the same results, with fewer reads, rounds or bytes."""
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 
-from grantloom.plans import labels
+from grantloom.operators import blocks
+from grantloom.plans import clustering, labels
 
 
 def counted(spark, rows):
@@ -25,3 +27,40 @@ def test_hierarchy_labels_read_the_points_once(spark):
     assert read.value == 400
     assert sorted(found) == list(range(8))
     assert found[5]["domain_label"] == "Aging & Cancer" and found[5]["topic_label"] == "Aging & Cancer > Aging"
+
+
+def plain_sums(matrix, centres):
+    gaps = ((matrix[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    best = gaps.argmin(axis=1)
+    counts = np.bincount(best, minlength=len(centres))
+    sums = np.array([matrix[best == c].sum(axis=0) for c in range(len(centres))])
+    return counts, np.bincount(best, weights=gaps.min(axis=1), minlength=len(centres)), sums
+
+
+def test_blocks_add_up_what_comparing_every_row_does(spark):
+    random = np.random.RandomState(3)
+    rows = [(i % 2, random.uniform(0, 50, 2).tolist()) for i in range(9000)]
+    held = blocks.packed(spark.createDataFrame(rows, "group int, vector array<double>").repartition(3))
+    centres = {0: random.uniform(0, 50, (12, 2)), 1: random.uniform(0, 50, (1, 2))}
+    found = blocks.step(held, centres)
+    held.unpersist()
+    for group, own in centres.items():
+        for got, right in zip(found[group], plain_sums(np.array([v for g, v in rows if g == group]), own), strict=True):
+            assert np.allclose(got, right)
+    wide = np.round(random.normal(size=(700, 64)), 6)
+    block = blocks.Block(wide)
+    counts, costs, sums = np.zeros(9), np.zeros(9), np.zeros((9, 64))
+    block.add(wide[:9], counts, costs, sums)
+    assert all(np.allclose(a, b) for a, b in zip((counts, costs, sums), plain_sums(wide, wide[:9]), strict=True))
+
+
+def test_k_means_has_the_centres_of_mllib_without_its_rounds(spark, monkeypatch):
+    random = np.random.RandomState(5)
+    rows = [(i, (random.normal(size=2) + 6 * (i % 4)).tolist()) for i in range(600)]
+    frame = spark.createDataFrame(rows, "id int, v array<double>").withColumn("features", array_to_vector("v")).repartition(2).persist()
+    right = KMeans(k=4, seed=clustering.SEED, maxIter=300, featuresCol="features").fit(frame).transform(frame)
+    wanted = {r["id"]: r["prediction"] for r in right.collect()}
+    rounds = []
+    monkeypatch.setattr(clustering, "KMeans", lambda **given: rounds.append(given["maxIter"]) or KMeans(**given))
+    assert {r["id"]: r["cluster"] for r in clustering.k_means(frame, "features", 4).collect()} == wanted
+    assert rounds == [0]
