@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 
-from grantloom.operators import blocks
+from grantloom.operators import blocks, minibatch
 from grantloom.plans import clustering, labels
 
 
@@ -64,3 +64,17 @@ def test_k_means_has_the_centres_of_mllib_without_its_rounds(spark, monkeypatch)
     monkeypatch.setattr(clustering, "KMeans", lambda **given: rounds.append(given["maxIter"]) or KMeans(**given))
     assert {r["id"]: r["cluster"] for r in clustering.k_means(frame, "features", 4).collect()} == wanted
     assert rounds == [0]
+
+
+def test_small_batches_are_read_in_windows(spark, monkeypatch):
+    random = np.random.RandomState(7)
+    frame = spark.createDataFrame([(i, random.normal(size=3).tolist()) for i in range(900)], "id int, vector array<double>")
+    passes = []
+    step, window = minibatch._step, minibatch._window
+    monkeypatch.setattr(minibatch, "_step", lambda *a: passes.append("batch") or step(*a))
+    monkeypatch.setattr(minibatch, "_window", lambda *a: passes.append("window") or window(*a))
+    together, read = minibatch.fit(frame, 6, 100)
+    assert passes == ["window"] and len(read) == 9 and sum(read) == 900
+    monkeypatch.setattr(minibatch, "WINDOW_ROWS", 1)
+    single, again = minibatch.fit(frame, 6, 100)
+    assert passes[1:] == ["batch"] * 9 and again == read and np.allclose(together, single)
