@@ -17,6 +17,8 @@ SIMILARITY_DIGITS = 9
 MOST_CELLS, SAMPLE_PER_CELL, PIVOT_ROUNDS = 1024, 8, 5
 #: Cells a query has visited after each round but the last; angle that rounding may hide.
 ROUND_EDGES, SLACK = (1, 8), 1e-7
+#: Queries compared at once; a shelf is answered cell by cell if queries visit one cell in so many; score of other cells.
+SLICE_ROWS, FEW, NOT_VISITED = 512, 8, -3.0
 
 
 def _unit_rows(values: pd.Series) -> np.ndarray:
@@ -25,23 +27,56 @@ def _unit_rows(values: pd.Series) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _visited(part: pd.DataFrame, cells: np.ndarray) -> np.ndarray:
+    """Which of the ``cells`` each query visits."""
+    row, cell = np.repeat(np.arange(len(part)), part["cells"].map(len)), np.concatenate(part["cells"].to_list())
+    at = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    known, out = cells[at] == cell, np.zeros((len(part), len(cells)), dtype=bool)
+    out[row[known], at[known]] = True
+    return out
+
+
 def block_best(queries: pd.DataFrame, references: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The ``k`` most cosine-similar references of each query inside one pair of blocks."""
-    if queries.empty or references.empty:
-        return pd.DataFrame({"query_id": [], "reference_id": [], "similarity": []})
-    references = references.sort_values("reference_id")
-    ids = references["reference_id"].to_numpy()
-    scores = np.round(_unit_rows(queries["vector"]) @ _unit_rows(references["vector"]).T, SIMILARITY_DIGITS)
-    kept = min(k, len(ids))
-    # References are in id order, so a stable sort breaks ties by id.
-    best = np.argsort(-scores, axis=1, kind="stable")[:, :kept]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(queries["query_id"].to_numpy(), kept),
-            "reference_id": ids[best].ravel(),
-            "similarity": np.take_along_axis(scores, best, axis=1).ravel(),
-        }
-    )
+    """The ``k`` most cosine-similar references of each query inside one pair of blocks.
+
+    If the references have a ``cell``, a query is compared with those of its ``cells``; a ``floor`` is a similarity that its
+    neighbours reach. Queries are compared in slices, so that a task holds a slice of the scores.
+    """
+    parts = []
+    if not queries.empty and not references.empty:
+        references = references.sort_values("reference_id")
+        ids, theirs = references["reference_id"].to_numpy(), _unit_rows(references["vector"])
+        kept, step = min(k, len(ids)), 10.0**-SIMILARITY_DIGITS
+        cells, own = np.unique(references["cell"], return_inverse=True) if "cell" in references else (np.zeros(1), None)
+        for start in range(0, len(queries), SLICE_ROWS):
+            part = queries.iloc[start : start + SLICE_ROWS]
+            scores = _unit_rows(part["vector"]) @ theirs.T
+            if len(cells) > 1:
+                scores[~_visited(part, cells)[:, own]] = NOT_VISITED
+            floor = part["floor"].to_numpy().copy() if "floor" in part else np.full(len(part), -2.0)
+            open_ = floor < -1.5
+            floor[open_] = np.partition(scores[open_], len(ids) - kept, axis=1)[:, len(ids) - kept]
+            row, col = np.nonzero(scores >= np.maximum(floor - 2 * step, -1.5)[:, None])
+            found = np.round(scores[row, col], SIMILARITY_DIGITS)
+            # References are in id order, so ties are broken by id.
+            order = np.lexsort((col, -found, row))
+            row, col, found = row[order], col[order], found[order]
+            first = np.arange(len(row)) - np.searchsorted(row, np.arange(len(part)))[row] < kept
+            parts.append((part["query_id"].to_numpy()[row[first]], ids[col[first]], found[first]))
+    names = ("query_id", "reference_id", "similarity")
+    return pd.DataFrame({n: np.concatenate([p[i] for p in parts]) if parts else [] for i, n in enumerate(names)})
+
+
+def shelf_best(queries: pd.DataFrame, references: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The same for references of several cells; cell by cell if queries visit few of them."""
+    cells = references["cell"].unique() if len(references) else []
+    if len(cells) < 2 or queries["cells"].map(len).sum() * FEW >= len(queries) * len(cells):
+        return block_best(queries, references, k)
+    place = np.repeat(np.arange(len(queries)), queries["cells"].map(len))
+    visits = pd.Series(place).groupby(np.concatenate(queries["cells"].to_list())).apply(np.asarray)
+    plain = queries[["query_id", "vector", "floor"]]
+    parts = [block_best(plain.iloc[visits[cell]], own.drop(columns="cell"), k) for cell, own in references.groupby("cell") if cell in visits.index]
+    return pd.concat(parts) if parts else block_best(queries.iloc[:0], references, k)
 
 
 def _angles(vectors: pd.Series, centres: np.ndarray, reference: bool) -> np.ndarray:
@@ -72,7 +107,7 @@ def _in_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
     kind = references.schema["reference_id"].dataType.simpleString()
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             angles = _angles(batch["vector"], centres, True)
             cell = angles.argmin(axis=1)
             yield batch[["reference_id", "vector"]].assign(cell=cell.astype("int32"), angle=angles[np.arange(len(cell)), cell])
@@ -80,48 +115,67 @@ def _in_cells(references: DataFrame, centres: np.ndarray) -> DataFrame:
     return references.mapInPandas(place, f"reference_id {kind}, vector array<double>, cell int, angle double")
 
 
-def _visits(queries: DataFrame, centres: np.ndarray, cells: pd.DataFrame, first: int, last: int) -> DataFrame:
-    """``query_id, vector, cell``: of each query's cells from place ``first`` to ``last``, best bound first, those within reach.
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 512) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
+def _shelves(facts: pd.DataFrame, rows: int) -> np.ndarray:
+    """Neighbouring cells share a shelf of about ``rows`` references, so that a query is sent once for all of them."""
+    before = np.cumsum(facts["n"].to_numpy()) - facts["n"].to_numpy()
+    return np.unique(before // rows, return_inverse=True)[1].astype("int32")
+
+
+def _visits(queries: DataFrame, centres: np.ndarray, facts: pd.DataFrame, shelves: np.ndarray, first: int, last: int) -> DataFrame:
+    """``query_id, vector, floor, shelf, cells``: of each query's cells from place ``first`` to ``last``, best bound first, those within reach.
 
     By the triangle inequality no reference of a cell is nearer than the angle to the centre less the radius of the cell;
     ``floor`` is the similarity of the query's last neighbour so far.
     """
-    known, radius = cells["cell"].to_numpy(), cells["radius"].to_numpy()
+    known, radius = facts["cell"].to_numpy(), facts["radius"].to_numpy()
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             gaps = np.maximum(_angles(batch["vector"], centres, False)[:, known] - radius - SLACK, 0.0)
             order = np.argsort(gaps, axis=1, kind="stable")[:, first:last]
             bound = np.cos(np.take_along_axis(gaps, order, axis=1))
             row, place = np.nonzero(bound >= batch["floor"].to_numpy()[:, None] - 10.0**-SIMILARITY_DIGITS)
-            out = batch[["query_id", "vector"]].iloc[row]
-            yield out.assign(cell=known[order[row, place]].astype("int32"))
-
-    return queries.mapInPandas(reach, f"query_id {kind}, vector array<double>, cell int")
+            at = order[row, place]
+            sort = np.lexsort((at, shelves[at], row))
+            row, at = row[sort], at[sort]
+            starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (shelves[at[1:]] != shelves[at[:-1]])])) if len(row) else row
+            cells = np.split(known[at].astype("int32"), starts[1:])
+            for low in range(0, len(starts), BLOCK_ROWS):
+                own = starts[low : low + BLOCK_ROWS]
+                out = batch[["query_id", "vector", "floor"]].iloc[row[own]]
+                yield out.assign(shelf=shelves[at[own]], cells=cells[low : low + BLOCK_ROWS])
+
+    return queries.select("query_id", "vector", "floor").mapInPandas(
+        reach, f"query_id {kind}, vector array<double>, floor double, shelf int, cells array<int>"
+    )
 
 
 def _blocks(counts: dict[int, int], block_rows: int) -> Column:
-    """Blocks of a cell by its rows; one entry per cell, which ``MOST_CELLS`` bounds."""
-    cells = F.create_map(*[F.lit(x) for cell, n in counts.items() for x in (cell, -(-n // block_rows))])
-    return F.coalesce(F.try_element_at(cells, F.col("cell")), F.lit(0))
+    """Blocks of a shelf by its rows; one entry per shelf, which ``MOST_CELLS`` bounds."""
+    shelves = F.create_map(*[F.lit(x) for shelf, n in counts.items() for x in (shelf, -(-n // block_rows))])
+    return F.coalesce(F.try_element_at(shelves, F.col("shelf")), F.lit(0))
 
 
-def _best_in_cells(visits: DataFrame, placed: DataFrame, counts: dict[int, int], asked: dict[int, int], k: int, block_rows: int) -> DataFrame:
-    """The ``k`` best references of each query in each cell it visits; a task holds one block of either side."""
+def _best_in_shelves(visits: DataFrame, placed: DataFrame, counts: dict[int, int], asked: dict[int, int], k: int, block_rows: int) -> DataFrame:
+    """The ``k`` best references of each query in the cells it visits on each shelf; a task holds one block of either side."""
     mine, theirs = _blocks(asked, block_rows), _blocks(counts, block_rows)
     spread = lambda number: F.explode(F.sequence(F.lit(0).cast("long"), (number - 1).cast("long")))
-    left = visits.select(
-        "query_id", "vector", "cell", F.pmod(F.xxhash64("query_id"), mine).alias("qb"), spread(theirs).alias("rb")
-    )
+    left = visits.select("*", F.pmod(F.xxhash64("query_id"), mine).alias("qb"), spread(theirs).alias("rb"))
     right = placed.where(mine > 0).select(
-        "reference_id", "vector", "cell", F.pmod(F.xxhash64("reference_id"), theirs).alias("rb"), spread(mine).alias("qb")
+        "reference_id", "vector", "cell", "shelf", F.pmod(F.xxhash64("reference_id"), theirs).alias("rb"), spread(mine).alias("qb")
     )
-    keys = ["cell", "qb", "rb"]
+    keys = ["shelf", "qb", "rb"]
     names = {c: f.schema[c].dataType.simpleString() for c, f in (("query_id", visits), ("reference_id", placed))}
 
     def pair(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return block_best(q, r, k)
+        return shelf_best(q, r[["reference_id", "vector", "cell"]], k)
 
     out = ", ".join(f"{c} {kind}" for c, kind in names.items()) + ", similarity double"
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(pair, out)
@@ -140,8 +194,8 @@ def cosine_neighbors(
     Expects ``(query_id, vector)`` and ``(reference_id, vector)``; rows without a vector have no neighbours. References
     are dealt to cells around directions, about ``block_rows`` each but at most ``MOST_CELLS`` of them. A query first
     visits the cell that can hold its nearest reference; the similarity of its ``k``-th best so far then rules out all
-    cells whose bound is lower, and the same again after a few more cells. Crowded cells and cells that many queries
-    visit are cut into blocks, so every task is bounded. ``report`` gets the number of cells and visits of each round.
+    cells whose bound is lower, and the same again after a few more cells. Small cells share shelves, so a query travels once
+    for each shelf; crowded shelves and those that many queries visit are cut into blocks, so every task is bounded. ``report`` gets the number of cells and visits of each round.
     """
     queries, references = queries.where("vector is not null"), references.where("vector is not null")
     total = references.count()
@@ -151,7 +205,11 @@ def cosine_neighbors(
     centres = _pivots(references, cells)
     placed = settled(_in_cells(references, centres))
     facts = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("cell").toPandas()
-    counts = dict(zip(facts["cell"].tolist(), facts["n"].tolist(), strict=True))
+    shelf_rows = max(block_rows, BLOCK_ROWS)
+    shelves = _shelves(facts, shelf_rows)
+    counts = facts.groupby(shelves)["n"].sum().to_dict()
+    shelf_of = F.create_map(*[F.lit(x) for pair in zip(facts["cell"].tolist(), shelves.tolist(), strict=True) for x in pair])
+    placed = placed.withColumn("shelf", shelf_of[F.col("cell")])
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "reference_id")
 
     def merged(found: DataFrame) -> DataFrame:
@@ -164,12 +222,13 @@ def cosine_neighbors(
         else:
             floors = found.where(F.col("place") == k).select("query_id", F.col("similarity").alias("floor"))
             now = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        visits = settled(_visits(now, centres, facts, first, last))
-        asked = {r["cell"]: r["count"] for r in visits.groupBy("cell").count().collect()}
+        visits = settled(_visits(now, centres, facts, shelves, first, last))
+        met = visits.groupBy("shelf").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("cells")).alias("cells")).collect()
+        asked = {r["shelf"]: r["n"] for r in met}
         if report is not None:
-            report.append((len(facts), sum(asked.values())))
+            report.append((len(facts), sum(r["cells"] for r in met)))
         if asked:
-            best = _best_in_cells(visits, placed, counts, asked, k, block_rows)
+            best = _best_in_shelves(visits, placed, counts, asked, k, shelf_rows)
             found = settled(merged(best if found is None else found.drop("place").unionByName(best)))
     return _no_neighbors(queries, references) if found is None else found
 

@@ -1,11 +1,12 @@
 """Steps that were rewritten to scale: the same results, with fewer reads, rounds or bytes."""
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 
-from grantloom.operators import blocks, minibatch
-from grantloom.plans import clustering, labels
+from grantloom.operators import blocks, minibatch, neighbors, stacked_kmeans
+from grantloom.plans import clustering, features, labels, slices
 
 
 def counted(spark, rows):
@@ -78,3 +79,27 @@ def test_small_batches_are_read_in_windows(spark, monkeypatch):
     monkeypatch.setattr(minibatch, "WINDOW_ROWS", 1)
     single, again = minibatch.fit(frame, 6, 100)
     assert passes[1:] == ["batch"] * 9 and again == read and np.allclose(together, single)
+
+
+def test_a_query_travels_once_for_each_shelf(spark, monkeypatch):
+    """Small cells share a shelf, and no task gets a block for every few rows of them."""
+    random = np.random.RandomState(11)
+    vectors = random.normal(size=(600, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "query_id long, vector array<double>")
+    sent = []
+    best = neighbors._best_in_shelves
+    monkeypatch.setattr(neighbors, "_best_in_shelves", lambda visits, *rest: sent.append(visits.count()) or best(visits, *rest))
+    report = []
+    found = neighbors.cosine_neighbors(frame, frame.withColumnRenamed("query_id", "reference_id"), 3, 16, report).collect()
+    assert all(n <= 600 for n in sent) and sum(cells for _, cells in report) > 5 * sum(sent)
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = np.round(units @ units.T, neighbors.SIMILARITY_DIGITS)
+    wanted = {(i, int(j)) for i in range(600) for j in np.lexsort((np.arange(600), -scores[i]))[:3]}
+    assert {(r["query_id"], r["reference_id"]) for r in found} == wanted
+
+
+def test_block_best_breaks_ties_by_id_within_a_floor():
+    queries = pd.DataFrame({"query_id": [1, 2], "vector": [np.array([1.0, 0.0]), np.array([0.0, 1.0])], "floor": [-2.0, 0.9]})
+    references = pd.DataFrame({"reference_id": [9, 3, 5, 7], "vector": [np.array([1.0, 0.0])] * 3 + [np.array([0.0, 2.0])]})
+    found = neighbors.block_best(queries, references, 2)
+    assert list(zip(found["query_id"], found["reference_id"])) == [(1, 3), (1, 5), (2, 7)]
