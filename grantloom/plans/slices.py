@@ -90,21 +90,23 @@ def year_facet(points: DataFrame) -> DataFrame:
 
 
 def award_bitmaps(points: DataFrame, award: str) -> DataFrame:
-    """``ic, fy, domain, bucket, awards``: the awards of every unit, year and domain as bitmaps of 4 KB.
+    """``ic, fy, domain, bucket, awards``: the awards of every unit, year and domain as bitmaps of 64 awards, a number each.
 
     Bitmaps merge by OR, so distinct awards of any slice follow from this roll-up without the rows; an award in many rows,
-    years or units is one bit of each. ``award`` is a number that is not negative.
+    years or units is one bit of each. Awards are spread thinly over units, years and domains, so a bitmap is no wider than
+    a number: a group costs a few bytes, is added up before the shuffle and can be spilled. ``award`` is a number that is
+    not negative.
     """
-    number = F.col(award).cast("bigint") + 1  # the bitmap functions count from one
+    number = F.col(award).cast("bigint")
     held = points.where(F.col(award).isNotNull()).select(
-        "ic", "fy", "domain", F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit")
-    )
-    return held.groupBy("ic", "fy", "domain", "bucket").agg(F.bitmap_construct_agg("bit").alias("awards"))
+        "ic", "fy", "domain", F.shiftright(number, 6).alias("bucket"), number.bitwiseAND(63).cast("int").alias("place")
+    ).withColumn("bit", F.expr("shiftleft(1L, place)"))
+    return held.groupBy("ic", "fy", "domain", "bucket").agg(F.bit_or("bit").alias("awards"))
 
 
 def distinct_awards(bitmaps: DataFrame, choice: Slice, *by: str) -> DataFrame:
     """Distinct awards of a slice by units, years and domains, per value of ``by`` or in all."""
     if choice.keyword or choice.topics:
         raise ValueError("bitmaps know units, years and domains only")
-    merged = selected(bitmaps, choice).groupBy(*by, "bucket").agg(F.bitmap_or_agg("awards").alias("awards"))
-    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bitmap_count("awards")), F.lit(0)).alias("awards"))
+    merged = selected(bitmaps, choice).groupBy(*by, "bucket").agg(F.bit_or("awards").alias("awards"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bit_count("awards")), F.lit(0)).alias("awards"))

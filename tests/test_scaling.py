@@ -103,3 +103,11 @@ def test_block_best_breaks_ties_by_id_within_a_floor():
     references = pd.DataFrame({"reference_id": [9, 3, 5, 7], "vector": [np.array([1.0, 0.0])] * 3 + [np.array([0.0, 2.0])]})
     found = neighbors.block_best(queries, references, 2)
     assert list(zip(found["query_id"], found["reference_id"])) == [(1, 3), (1, 5), (2, 7)]
+
+
+def test_a_bitmap_of_awards_is_a_number(spark):
+    """Thin groups cost a few bytes, not a bitmap of 4 KB each."""
+    points = spark.createDataFrame([("A", 2000, 1, a) for a in (0, 63, 64, 64, 10**12)], "ic string, fy int, domain int, award long")
+    held = slices.award_bitmaps(points, "award")
+    assert held.schema["awards"].dataType.simpleString() == "bigint"
+    assert held.count() == 3 and slices.distinct_awards(held, slices.Slice(), "ic").first()["awards"] == 4
