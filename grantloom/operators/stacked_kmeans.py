@@ -126,9 +126,11 @@ def fit(rows: DataFrame, candidates: list[Candidate], mean: np.ndarray, deviatio
             for i, (scale, centres) in now.items():
                 scaled = matrix * scale
                 near = gaps(scaled, centres).argmin(axis=1)
-                for cluster in np.unique(near):
-                    own = scaled[near == cluster]
-                    yield (i, int(cluster)), [len(own), own.sum(axis=0)]
+                order = np.argsort(near, kind="stable")
+                met, starts, sizes = np.unique(near[order], return_index=True, return_counts=True)
+                sums = np.add.reduceat(scaled[order], starts, axis=0)
+                for cluster, size, total in zip(met.tolist(), sizes.tolist(), sums, strict=True):
+                    yield (i, cluster), [size, total]
 
         found, moving = _totals(rows, ["vector"], "bigint array<double>", of_batch), []
         for i in open_:
@@ -255,8 +257,11 @@ def _purity(rows: DataFrame, candidates: list[Candidate], shape) -> list[float]:
 
 
 def search(rows: DataFrame, candidates: list[Candidate], standardised: bool, plain: int | None = None, rounds: int = MOST_ROUNDS) -> list[dict]:
-    """Fits and scores all candidates over ``(id, vector)``."""
-    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    """Fits and scores all candidates over ``(id, vector)``.
+
+    The rows are dealt to all cores: a pass costs far more than its bytes, by which few partitions would do.
+    """
+    held = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         mean, deviation, _ = moments(held)
         if not standardised:

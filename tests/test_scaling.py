@@ -111,3 +111,13 @@ def test_a_bitmap_of_awards_is_a_number(spark):
     held = slices.award_bitmaps(points, "award")
     assert held.schema["awards"].dataType.simpleString() == "bigint"
     assert held.count() == 3 and slices.distinct_awards(held, slices.Slice(), "ic").first()["awards"] == 4
+
+
+def test_stacked_fits_use_all_cores(spark, monkeypatch):
+    """A table in one partition is dealt out before the passes."""
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 3)]) for i in range(210)], "id int, vector array<double>").coalesce(1)
+    parts, moments = [], stacked_kmeans.moments
+    monkeypatch.setattr(stacked_kmeans, "moments", lambda held: parts.append(held.rdd.getNumPartitions()) or moments(held))
+    found = stacked_kmeans.search(rows, [stacked_kmeans.Candidate((21,), 21, np.ones(2))], False)
+    assert parts == [spark.sparkContext.defaultParallelism]
+    assert found[0]["clusters"] == 21 and found[0]["low"] == found[0]["high"] == 10 and abs(found[0]["cost"]) < 1e-9
