@@ -12,6 +12,7 @@ one set of centres reaches the driver.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,8 +137,10 @@ def packed(rows: DataFrame) -> RDD:
     def opened(row) -> tuple[int, Block]:
         return row["group"], Block(np.frombuffer(row["data"], dtype=np.float64).reshape(-1, row["width"]))
 
-    blocks = rows.select("group", "vector").mapInArrow(pack, "group int, width int, data binary")
-    return blocks.rdd.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
+    found = rows.select("group", "vector").mapInArrow(pack, "group int, width int, data binary").rdd
+    if found.getNumPartitions() < found.context.defaultParallelism:  # few large partitions would leave cores idle
+        found = found.keyBy(lambda row: zlib.crc32(row["data"][:64])).partitionBy(found.context.defaultParallelism).values()
+    return found.map(opened).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def step(blocks: RDD, centres: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from grantloom.functions.wording import ngrams, tokens, words_in
 from grantloom.operators import truncated_svd
 from grantloom.plans.terms import computed_once
+from grantloom.session import settled
 
 # Fixed value: the title of an award without one.
 NO_TITLE = "Unknown Project"
@@ -51,15 +52,15 @@ def text_vectors(
         found = F.filter(found, lambda word: ~F.array_contains(stops, word))
     worded = computed_once(rows, ["*"], "__words", found)
     worded = computed_once(worded, ["*"], "__grams", ngrams(F.col("__words"), longest))
-    counted = CountVectorizer(
-        inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=low, maxDF=high
-    ).fit(worded).transform(worded)
+    counter = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=low, maxDF=high)
+    # Stored: the weights and every later pass read the counts instead of cutting all texts into runs again.
+    counted = settled(counter.fit(worded).transform(worded).drop("__words", "__grams"))
     idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf
     weigh = ElementwiseProduct(
         scalingVec=Vectors.dense(np.asarray(idf.toArray()) + 1.0), inputCol="__tf", outputCol="__raw"
     )
     shaped = Normalizer(inputCol="__raw", outputCol="tfidf").transform(weigh.transform(counted))
-    return shaped.drop("__words", "__grams", "__tf", "__raw")
+    return shaped.drop("__tf", "__raw")
 
 
 def reduced(rows: DataFrame, vector: str, dimensions: int, output: str) -> DataFrame:

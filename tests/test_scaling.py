@@ -121,3 +121,12 @@ def test_stacked_fits_use_all_cores(spark, monkeypatch):
     found = stacked_kmeans.search(rows, [stacked_kmeans.Candidate((21,), 21, np.ones(2))], False)
     assert parts == [spark.sparkContext.defaultParallelism]
     assert found[0]["clusters"] == 21 and found[0]["low"] == found[0]["high"] == 10 and abs(found[0]["cost"]) < 1e-9
+
+
+def test_texts_are_cut_into_runs_twice(spark):
+    """Once for the vocabulary and once for the counts, whatever reads the weights afterwards."""
+    texts, read = counted(spark, spark.createDataFrame([(i, f"alpha beta word{i % 5}") for i in range(60)], "id int, text string"))
+    shaped = features.text_vectors(texts, "text")
+    for _ in range(2):
+        assert shaped.where("id >= 0").select("id", "tfidf").toPandas().shape == (60, 2)
+    assert read.value <= 180  # the vocabulary reads once to count and once to collect
