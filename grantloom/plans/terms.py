@@ -194,9 +194,10 @@ def group_weights(rows: DataFrame, group: str, words: Column) -> DataFrame:
     """``id, group, __at, __by, width``: unit-length TF-IDF of the ``words`` of ``(id, <group>)`` in the vocabulary of its group.
 
     A vocabulary has the most frequent words of the group, ties in alphabetical order; idf is ``ln((1 + n) / (1 + df)) + 1``.
-    Rows without a known word stay, with empty arrays.
+    Rows without a known word stay, with empty arrays. Rows are dealt by id and group once; all steps over the words of
+    a row stay there, and the vocabularies (groups x ``GROUP_WORDS``, which the caller bounds) are sent to them.
     """
-    held = rows.select("id", F.col(group).alias("group"), words.alias("words"))
+    held = rows.select("id", F.col(group).alias("group"), words.alias("words")).repartition("id", "group")
     counts = held.select("id", "group", F.explode("words").alias("term")).groupBy("group", "term", "id").agg(F.count(F.lit(1)).alias("tf"))
     totals = held.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
     known = counts.groupBy("group", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).join(totals, "group")
@@ -204,12 +205,12 @@ def group_weights(rows: DataFrame, group: str, words: Column) -> DataFrame:
     kept = first_rows(known, ["group"], [F.desc("total"), F.col("term")], GROUP_WORDS)
     idf = F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1
     kept = kept.select("group", "term", (F.col("place") - 1).cast("int").alias("at"), idf.alias("idf"))
-    weighed = counts.join(kept, ["group", "term"]).select("id", "group", "at", (F.col("tf") * F.col("idf")).alias("by"))
+    weighed = counts.join(F.broadcast(kept), ["group", "term"]).select("id", "group", "at", (F.col("tf") * F.col("idf")).alias("by"))
     packed = weighed.groupBy("id", "group").agg(
         F.array_sort(F.collect_list(F.struct("at", "by"))).alias("cells"), F.sqrt(F.sum(F.col("by") * F.col("by"))).alias("norm")
     )
     widths = kept.groupBy("group").agg(F.count(F.lit(1)).cast("int").alias("width"))
-    every = held.select("id", "group").join(packed, ["id", "group"], "left").join(widths, "group", "left")
+    every = held.select("id", "group").join(packed, ["id", "group"], "left").join(F.broadcast(widths), "group", "left")
     cells = F.coalesce("cells", F.array().cast("array<struct<at:int,by:double>>"))
     return every.select(
         "id", "group", F.transform(cells, lambda c: c["at"]).alias("__at"),

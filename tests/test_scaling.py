@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 
-from grantloom.operators import blocks, minibatch, neighbors, stacked_kmeans
+from grantloom.operators import blocks, minibatch, neighbors, sparse_kmeans, stacked_kmeans
 from grantloom.plans import assignment, clustering, features, investigator, labels, registry, slices, trends
 
 
@@ -162,3 +162,33 @@ def test_merged_cards_store_the_columns_they_read(spark, root, monkeypatch):
     assert len(written) == 2
     registry.portfolio_cluster_summary(spark, root)
     assert len(written) == 2  # the whole base has what it needs
+
+
+def test_unit_topics_clean_the_terms_once(spark):
+    """However many steps and rounds follow, and for the cards too."""
+    cells = [(f"P{i}", "AB"[i % 2], f"alpha; word{i % 6}; word{i % 7}; beta{i % 5}") for i in range(240)]
+    rows, read = counted(spark, spark.createDataFrame(cells, "id string, unit string, terms string"))
+    words = clustering.unit_words(rows, "unit", "terms")
+    topics = clustering.term_topics(words, "unit")
+    cards = clustering.term_topic_cards(topics, words, "unit").collect()
+    assert read.value == 240
+    assert sum(r["size"] for r in cards) == topics.count() == 240 and {r["unit"] for r in cards} == {"A", "B"}
+
+
+def test_blocks_of_sparse_rows_hold_every_cell(spark, monkeypatch):
+    cells = [(i, i % 3, [j for j in range(i % 5)], [j + i / 8 for j in range(i % 5)]) for i in range(97)]
+    rows = spark.createDataFrame(cells, "id int, group int, __at array<int>, __by array<double>").repartition(2)
+    for most in (1, 50, 2_000_000):
+        monkeypatch.setattr(sparse_kmeans, "HELD_CELLS", most)
+        found = []
+        for group, sizes, at, by in sparse_kmeans.packed(rows).collect():
+            sizes, at, by = np.frombuffer(sizes, "<i4"), np.frombuffer(at, "<i4"), np.frombuffer(by, "<f8")
+            for end, size in zip(np.cumsum(sizes).tolist(), sizes.tolist()):
+                found.append((group, at[end - size : end].tolist(), by[end - size : end].tolist()))
+        assert sorted(found) == sorted((g, a, b) for _, g, a, b in cells)
+    for most in (1, 7, 1000):
+        monkeypatch.setattr(sparse_kmeans, "STEP_CELLS", most)
+        sizes = np.array([0, 3, 0, 5, 1, 0])
+        steps = list(sparse_kmeans._steps(sizes))
+        assert [s[0] for s in steps] == [0, *(s[1] for s in steps)][:-1] and steps[-1][1::2] == (6, 9)
+        assert all(sizes[a:b].sum() == d - c and sizes[:a].sum() == c for a, b, c, d in steps)
