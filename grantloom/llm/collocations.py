@@ -10,10 +10,10 @@ cut, and by the words behind it (suffix order). Merge joins of these streams giv
 the greatest counts of phrases that go on to the right, and to the left, come from the same streams without the last,
 and without the first, word.
 
-Words, and pairs of neighbours, below the threshold cannot be in a phrase that reaches it. They end a window. Which ones
-may reach it is told by two bitmaps of fixed size, made from counters at the hashes of all words, and of all pairs: a
-collision only lets a rare word or pair through, whose phrases the exact counts drop, and a full bitmap only leaves
-longer windows.
+Words, pairs of neighbours, and runs of three words below the threshold cannot be in a phrase that reaches it. They end a
+window. Which ones may reach it is told by three bitmaps of fixed size, made from counters at the hashes of all words, of the
+pairs of words that may, and of the runs of such pairs: a collision only lets a rare run through, whose phrases the exact
+counts drop, and a full bitmap only leaves longer windows.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` and shares that group with rows so named;
 repeated rows count each time; ties are broken by count and then by phrase, so ranks are unique; an empty table gives an
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -104,29 +105,44 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
     return (hashes << np.uint64(1)) ^ np.append(hashes[1:], np.uint64(0))
 
 
+def _triples(hashes: np.ndarray) -> np.ndarray:
+    """A hash for each word and the two behind it."""
+    return (hashes << np.uint64(2)) ^ (np.append(hashes[1:], np.uint64(0)) << np.uint64(1)) ^ np.append(hashes[2:], np.zeros(min(2, len(hashes)), np.uint64))
+
+
+def _linked(ids: np.ndarray, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of known words, of their successors in known pairs, and whether a second known pair follows the first."""
+    ids, follow = _follow(ids, _set(words, hashes))
+    follow = np.where((follow >= 0) & _set(pairs, _pairs(hashes[ids])), follow, -1)
+    return ids, follow, (follow >= 0) & np.append(follow[1:] >= 0, False)
+
+
 def _follow(ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of good words and of their good successors in the piece; the others are -1."""
     ids = np.where((ids >= 0) & good[ids], ids, -1)
     return ids, np.where(ids >= 0, np.append(ids[1:], -1), -1)
 
 
-def reaching(docs: DataFrame, least: int, words: bytes | None = None, counters: int = COUNTERS) -> bytes:
-    """Bits set where a counter reaches ``least``: that of every word, or with a filter of words that of every pair of them.
+def reaching(docs: DataFrame, least: int, known: tuple[Broadcast, ...] = (), counters: int = COUNTERS) -> Broadcast:
+    """Bits set where a counter reaches ``least``: that of every word, with the bits of words that of every pair of them, and
+    with those of pairs too that of every run of three words. They are sent out once, for all later passes.
 
     A task sends the counters that its chunks raise as 16-bit places within a block; a block's counters are added up by one
     task, which holds its blocks only, and stop at ``least``.
     """
-    held = docs.sparkSession.sparkContext.broadcast(words)  # of fixed size
     small, block = np.uint8 if least < 256 else np.uint32, min(BLOCK, counters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = None if held.value is None else np.frombuffer(held.value, dtype=np.uint8)
+        bitmaps = [np.frombuffer(x.value, dtype=np.uint8) for x in known]
         for lang, ids, vocabulary in _groups(batches):
             hashes = _hashes(lang, vocabulary)
-            if bitmap is None:
+            if not bitmaps:
                 found = hashes[ids[ids >= 0]]
+            elif len(bitmaps) == 2:
+                ids, _, twice = _linked(ids, hashes, *bitmaps)
+                found = _triples(hashes[ids])[twice]
             else:
-                ids, follow = _follow(ids, _set(bitmap, hashes))
+                ids, follow = _follow(ids, _set(bitmaps[0], hashes))
                 found = _pairs(hashes[ids])[follow >= 0]
             places, counts = np.unique(found & np.uint64(counters - 1), return_counts=True)
             if not len(places):
@@ -167,26 +183,27 @@ def reaching(docs: DataFrame, least: int, words: bytes | None = None, counters:
     size = max(1, block // 8)
     for row in raised.mapInArrow(add_up, "block int, bits binary").collect():  # a set of fixed size: 4,096 rows of 8 KB at most
         whole[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
-    return bytes(whole)
+    return docs.sparkSession.sparkContext.broadcast(bytes(whole))  # of fixed size
 
 
-def windows(docs: DataFrame, words_known: bytes, pairs_known: bytes, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, c``: the run of known words and pairs that each word opens, up to ``longest`` words, combined per chunk.
+def windows(docs: DataFrame, known: tuple[Broadcast, Broadcast, Broadcast], longest: int = LONGEST) -> DataFrame:
+    """``lang, phrase, c``: the run of known words, pairs and runs of three that each word opens, up to ``longest`` words,
+    combined per chunk.
 
     An empty phrase counts all words.
     """
-    held = docs.sparkSession.sparkContext.broadcast((words_known, pairs_known))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, pairs = (np.frombuffer(x, dtype=np.uint8) for x in held.value)
+        bitmap, pairs, triples = (np.frombuffer(x.value, dtype=np.uint8) for x in known)
         for lang, ids, words in _groups(batches):
             number, hashes = int((ids >= 0).sum()), _hashes(lang, words)
-            ids, follow = _follow(ids, _set(bitmap, hashes))
-            follow = np.where((follow >= 0) & _set(pairs, _pairs(hashes[ids])), follow, -1)
+            ids, follow, twice = _linked(ids, hashes, bitmap, pairs)
+            twice &= _set(triples, _triples(hashes[ids]))
             rows = np.flatnonzero(ids >= 0)
             columns, at = [ids[rows]], rows
-            for _ in range(1, longest):
-                columns.append(np.where(columns[-1] >= 0, follow[np.minimum(at, len(ids) - 1)], -1))
+            for length in range(1, longest):
+                goes_on = (columns[-1] >= 0) & (twice[np.minimum(at - 1, len(ids) - 1)] if length > 1 else True)
+                columns.append(np.where(goes_on, follow[np.minimum(at, len(ids) - 1)], -1))
                 at = at + 1
             # Equal windows get equal codes, one more word at a time.
             code = columns[0]
@@ -347,9 +364,10 @@ def unextended(candidates: DataFrame, phrases: DataFrame, share: int = 100) -> D
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, counters: int = COUNTERS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` candidates by score, count and phrase."""
-    words_known = reaching(docs, least, None, counters)
-    pairs_known = reaching(docs, least, words_known, counters)
-    counted = stored(windows(docs, words_known, pairs_known, longest), "windows")
+    known = ()
+    for _ in range(3):
+        known += (reaching(docs, least, known, counters),)
+    counted = stored(windows(docs, known, longest), "windows")
     counts = stored(phrase_counts(counted, least, longest), "phrase-counts")
     phrases = counts.where(F.instr("phrase", JOIN) > 0)
     kept = unextended(scored(counts, phrases), phrases, share)

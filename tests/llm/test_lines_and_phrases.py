@@ -209,3 +209,13 @@ def test_search_of_odd_rows(spark, odd_docs, no_docs):
     asked = [(1, "word x"), (2, "other")]
     out = ranked.search(long, spark.createDataFrame(asked, "item_id long, text string"))
     assert in_order(map(tuple, out.collect())) == in_order(plain_search([tuple(r) for r in long.collect()], asked))
+
+
+def test_rare_runs_of_three_words_end_a_window(spark):
+    texts = ["aa bb"] * 12 + ["bb cc"] * 12 + ["aa bb cc"] * 2 + ["dd ee ff gg"] * 12
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    known = ()
+    for _ in range(3):
+        known += (collocations.reaching(docs, 10, known),)
+    found = {r["phrase"].replace(collocations.JOIN, " ") for r in collocations.windows(docs, known).collect()}
+    assert found == {"", "aa bb", "bb cc", "bb", "cc", "dd ee ff gg", "ee ff gg", "ff gg", "gg"}
