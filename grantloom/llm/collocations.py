@@ -1,8 +1,9 @@
 """Phrase collocations by sorted count streams.
 
 A phrase is a run of words inside a piece (the text between marks and line ends). Each word that can be in a frequent
-phrase opens one window of up to five words; windows are combined in the task, range-partitioned and sorted word by
-word. In this prefix order every phrase of every length is one run of neighbouring windows, so a scan that keeps one open
+phrase opens one window of up to five words. A task adds up its equal windows and sends them in blocks by their hash; the
+task that gets a block adds them up again, so that each window of the corpus is one row. These are range-partitioned and
+sorted word by word. In this prefix order every phrase of every length is one run of neighbouring windows, so a scan that keeps one open
 run per length counts all lengths at once. Only runs that touch the border of a partition are added up afterwards.
 
 The frequent phrases then form three streams in sorted order: by the phrase itself (prefix order), by the words before a
@@ -10,10 +11,11 @@ cut, and by the words behind it (suffix order). Merge joins of these streams giv
 the greatest counts of phrases that go on to the right, and to the left, come from the same streams without the last,
 and without the first, word.
 
-Words, pairs of neighbours, and runs of three words below the threshold cannot be in a phrase that reaches it. They end a
-window. Which ones may reach it is told by three bitmaps of fixed size, made from counters at the hashes of all words, of the
-pairs of words that may, and of the runs of such pairs: a collision only lets a rare run through, whose phrases the exact
-counts drop, and a full bitmap only leaves longer windows.
+Words, pairs of neighbours, and runs of three or four words below the threshold cannot be in a phrase that reaches it. They
+end a window, and a word that is in no pair which may reach it opens none: no cut of a candidate asks for its count. Which ones
+may reach it is told by four bitmaps of fixed size, made from counters at the hashes of all words, of the pairs of words that
+may, and of the runs of such pairs: a collision only lets a rare run through, whose phrases the exact counts drop, and a full
+bitmap only leaves longer windows.
 
 Defined cases: a null or empty text has no words; a null language is ``und`` and shares that group with rows so named;
 repeated rows count each time; ties are broken by count and then by phrase, so ranks are unique; an empty table gives an
@@ -23,6 +25,8 @@ length; only the text and language columns are read, so other columns cannot cla
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +43,12 @@ from grantloom.llm.common import small_batches, stored, table, text_chunks
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Counters of a filter: its bitmap has 32 MB whatever the corpus. They travel in blocks of 65,536.
 COUNTERS, BLOCK = 1 << 28, 1 << 16
+#: Runs with a filter: words, pairs, runs of three and of four.
+FILTERS = 4
 #: Bytes of text that a task combines at once, and windows that it scans at once.
 CHUNK_BYTES, SCANNED = 12_000_000, 100_000
+#: Different windows that a task holds before it sends them, and blocks of a language that they travel in.
+HELD, SENT = 400_000, 1024
 #: Marks and line ends become one mark, the tab a blank, A-Z lower case.
 MARK = b"."
 _FROM = b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91))
@@ -94,38 +102,41 @@ def _hashes(lang: str, words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(head + w, 42) for w in words.to_pylist()), dtype=np.uint64, count=len(words))
 
 
+def _bitmaps(known: tuple[Broadcast, ...]) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x.value), dtype=np.uint8) for x in known]
+
+
 def _set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bits at the hashes are set; the bitmap has a power of two of them."""
     places = (hashes & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
     return ((bitmap[places >> 3] >> (places & 7)) & 1) > 0
 
 
-def _pairs(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each word and its successor."""
-    return (hashes << np.uint64(1)) ^ np.append(hashes[1:], np.uint64(0))
-
-
-def _triples(hashes: np.ndarray) -> np.ndarray:
-    """A hash for each word and the two behind it."""
-    return (hashes << np.uint64(2)) ^ (np.append(hashes[1:], np.uint64(0)) << np.uint64(1)) ^ np.append(hashes[2:], np.zeros(min(2, len(hashes)), np.uint64))
-
-
-def _linked(ids: np.ndarray, hashes: np.ndarray, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of known words, of their successors in known pairs, and whether a second known pair follows the first."""
-    ids, follow = _follow(ids, _set(words, hashes))
-    follow = np.where((follow >= 0) & _set(pairs, _pairs(hashes[ids])), follow, -1)
-    return ids, follow, (follow >= 0) & np.append(follow[1:] >= 0, False)
-
-
-def _follow(ids: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of good words and of their good successors in the piece; the others are -1."""
+def _known(ids: np.ndarray, hashes: np.ndarray, known: list[np.ndarray]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Ids of the known words, -1 for others, and for two words on, up to one more than the bitmaps tell: the places where a run
+    of so many words begins whose shorter runs are known, and their hashes. All but the last are known themselves.
+    """
+    good = _set(known[0], hashes)
+    for bitmap in known[2:3]:
+        good &= _set(bitmap, hashes)
     ids = np.where((ids >= 0) & good[ids], ids, -1)
-    return ids, np.where(ids >= 0, np.append(ids[1:], -1), -1)
+    runs, begins, codes = [], np.flatnonzero(ids >= 0), hashes[ids[ids >= 0]]
+    for length, bitmap in enumerate([None, *known[1:]], 2):
+        if bitmap is not None:
+            kept = _set(bitmap, codes)
+            begins, codes = begins[kept], codes[kept]
+            runs[-1] = begins, codes
+        on = np.append(np.diff(begins) == 1, False)[: len(begins)]
+        begins, codes = begins[on], codes[on]
+        codes = (codes << np.uint64(1)) ^ hashes[ids[begins + length - 1]]
+        runs.append((begins, codes))
+    return ids, runs
 
 
 def reaching(docs: DataFrame, least: int, known: tuple[Broadcast, ...] = (), counters: int = COUNTERS) -> Broadcast:
-    """Bits set where a counter reaches ``least``: that of every word, with the bits of words that of every pair of them, and
-    with those of pairs too that of every run of three words. They are sent out once, for all later passes.
+    """Bits set where a counter reaches ``least``: that of every word, with the bits of words that of every pair of them, with
+    those of pairs too that of every run of three words, then of four. The third also has the bits of the words that are in a
+    known pair. They are compressed and sent out once, for all later passes.
 
     A task sends the counters that its chunks raise as 16-bit places within a block; a block's counters are added up by one
     task, which holds its blocks only, and stop at ``least``.
@@ -133,23 +144,29 @@ def reaching(docs: DataFrame, least: int, known: tuple[Broadcast, ...] = (), cou
     small, block = np.uint8 if least < 256 else np.uint32, min(BLOCK, counters)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmaps = [np.frombuffer(x.value, dtype=np.uint8) for x in known]
+        bitmaps = _bitmaps(known)
         for lang, ids, vocabulary in _groups(batches):
             hashes = _hashes(lang, vocabulary)
-            if not bitmaps:
-                found = hashes[ids[ids >= 0]]
-            elif len(bitmaps) == 2:
-                ids, _, twice = _linked(ids, hashes, *bitmaps)
-                found = _triples(hashes[ids])[twice]
+            if bitmaps:
+                ids, runs = _known(ids, hashes, bitmaps)
+                found = runs[-1][1]
             else:
-                ids, follow = _follow(ids, _set(bitmaps[0], hashes))
-                found = _pairs(hashes[ids])[follow >= 0]
+                found = hashes[ids[ids >= 0]]
             places, counts = np.unique(found & np.uint64(counters - 1), return_counts=True)
+            counts = np.minimum(counts, least)
+            if len(bitmaps) == 2:
+                begins = runs[0][0]
+                paired = hashes[np.union1d(ids[begins], ids[begins + 1])]
+                every, at = np.unique(np.append(places, paired & np.uint64(counters - 1)), return_inverse=True)
+                sums = np.zeros(len(every), dtype=counts.dtype)
+                sums[at[: len(places)]] = counts
+                sums[at[len(places) :]] = least
+                places, counts = every, sums
             if not len(places):
                 continue
             blocks, starts = np.unique(places // np.uint64(block), return_index=True)
             low = (places % np.uint64(block)).astype("<u2")
-            counts = np.minimum(counts, least).astype(small)
+            counts = counts.astype(small)
             ends = np.append(starts[1:], len(places))
             yield pa.record_batch(
                 [pa.array(blocks.astype(np.int32)), pa.array([low[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
@@ -183,42 +200,103 @@ def reaching(docs: DataFrame, least: int, known: tuple[Broadcast, ...] = (), cou
     size = max(1, block // 8)
     for row in raised.mapInArrow(add_up, "block int, bits binary").collect():  # a set of fixed size: 4,096 rows of 8 KB at most
         whole[row["block"] * size : (row["block"] + 1) * size] = row["bits"]
-    return docs.sparkSession.sparkContext.broadcast(bytes(whole))  # of fixed size
+    return docs.sparkSession.sparkContext.broadcast(zlib.compress(whole, 1))  # of fixed size at most; every executor has a file of it
+
+
+def _opened(ids: np.ndarray, hashes: np.ndarray, words: pa.Array, known: list[np.ndarray], longest: int) -> tuple[pa.Array, np.ndarray]:
+    """The different windows of a chunk, and how often each is met."""
+    ids, runs = _known(ids, hashes, known)
+    rows = np.flatnonzero(ids >= 0)
+    columns, flags = [ids[rows]], []
+    for begins, _ in runs[: len(known) - 1]:
+        flags.append(np.zeros(len(ids), dtype=bool))
+        flags[-1][begins] = True
+    last = len(ids) - 1
+    # Equal windows get equal codes, one more word at a time; those that end keep theirs.
+    code, number = columns[0].copy(), len(words)
+    for length in range(1, longest):
+        back = min(length + 1, len(flags) + 1)  # the longest run with a filter that the next word ends
+        goes_on = (columns[-1] >= 0) & flags[back - 2][np.minimum(rows + length + 1 - back, last)]
+        columns.append(np.where(goes_on, ids[np.minimum(rows + length, last)], -1))
+        live = np.flatnonzero(goes_on)
+        own, inverse = np.unique(code[live] * len(words) + columns[-1][live], return_inverse=True)
+        code[live] = number + inverse
+        number += len(own)
+    counts, first = np.bincount(code, minlength=number), np.zeros(number, dtype=np.int64)
+    first[code] = np.arange(len(code))
+    first, counts = first[counts > 0], counts[counts > 0]
+    parts = [words.take(pa.array(column[first], mask=column[first] < 0)) for column in columns]
+    return pc.binary_join_element_wise(*parts, pa.scalar(JOIN.encode(), pa.binary()), null_handling="skip"), counts
+
+
+def _added(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Equal windows added up."""
+    both = pa.table({"phrase": pa.chunked_array([p for p, _ in parts], pa.binary()), "c": np.concatenate([c for _, c in parts])})
+    both = both.group_by("phrase").aggregate([("c", "sum")]).combine_chunks()
+    return pa.concat_arrays(both["phrase"].chunks), both["c_sum"].to_numpy()
+
+
+def _sent(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each block: its windows with blanks between, which no word holds, and their counts."""
+    blocks = (_hashes(lang, phrases) % np.uint64(SENT)).astype(np.int32)
+    order = np.argsort(blocks, kind="stable")
+    numbers, starts = np.unique(blocks[order], return_index=True)
+    ends = np.append(starts, len(order))
+    own = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), phrases.take(pa.array(order)))
+    counts = counts[order].astype("<i8")
+    return pa.record_batch(
+        [pa.array([lang] * len(numbers), pa.string()), pa.array(numbers), pc.binary_join(own, pa.scalar(b" ", pa.binary())).cast(pa.string()),
+         pa.array([counts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())],
+        names=["lang", "block", "phrases", "counts"],
+    )
 
 
-def windows(docs: DataFrame, known: tuple[Broadcast, Broadcast, Broadcast], longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, c``: the run of known words, pairs and runs of three that each word opens, up to ``longest`` words,
-    combined per chunk.
+def windows(docs: DataFrame, known: tuple[Broadcast, ...], longest: int = LONGEST) -> DataFrame:
+    """``lang, phrase, c``: the different runs of known words, pairs and longer runs that words open, up to ``longest`` words,
+    and how often each is met.
 
-    An empty phrase counts all words.
+    An empty phrase counts all words. A task sends at most a row for each block whenever it holds ``HELD`` different windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, pairs, triples = (np.frombuffer(x.value, dtype=np.uint8) for x in known)
+        bitmaps = _bitmaps(known)
+        held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
+        size = 0
         for lang, ids, words in _groups(batches):
-            number, hashes = int((ids >= 0).sum()), _hashes(lang, words)
-            ids, follow, twice = _linked(ids, hashes, bitmap, pairs)
-            twice &= _set(triples, _triples(hashes[ids]))
-            rows = np.flatnonzero(ids >= 0)
-            columns, at = [ids[rows]], rows
-            for length in range(1, longest):
-                goes_on = (columns[-1] >= 0) & (twice[np.minimum(at - 1, len(ids) - 1)] if length > 1 else True)
-                columns.append(np.where(goes_on, follow[np.minimum(at, len(ids) - 1)], -1))
-                at = at + 1
-            # Equal windows get equal codes, one more word at a time.
-            code = columns[0]
-            for column in columns[1:]:
-                code = np.unique(code * (len(words) + 1) + column + 1, return_inverse=True)[1]
-            _, first, counts = np.unique(code, return_index=True, return_counts=True)
-            parts = [words.take(pa.array(column[first], mask=column[first] < 0)) for column in columns]
-            phrases = pc.binary_join_element_wise(*parts, pa.scalar(JOIN.encode(), pa.binary()), null_handling="skip")
-            yield pa.record_batch(
-                [pa.array([lang] * (len(first) + 1), pa.string()), pa.concat_arrays([phrases.cast(pa.string()), pa.array([""], pa.string())]),
-                 pa.array(np.append(counts, number).astype(np.int64))],
-                names=["lang", "phrase", "c"],
-            )
+            total = pa.array([b""], pa.binary()), np.array([(ids >= 0).sum()], dtype=np.int64)
+            found = _opened(ids, _hashes(lang, words), words, bitmaps, longest)
+            before = held.get(lang, [])
+            held[lang] = [_added([*before, total, found])]
+            size += len(held[lang][0][1]) - sum(len(c) for _, c in before)
+            if size >= HELD:
+                while held:
+                    lang, (own,) = held.popitem()
+                    yield _sent(lang, *own)
+                size = 0
+        while held:
+            lang, (own,) = held.popitem()
+            yield _sent(lang, *own)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks come in order, so one is held at a time."""
+        own, sums = None, Counter()
+        for batch in batches:
+            for lang, block, phrases, counts in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if own != (lang, block) and sums:
+                    yield whole(own[0], sums)
+                    sums = Counter()
+                own = lang, block
+                for phrase, c in zip(phrases.split(" "), np.frombuffer(counts, "<i8").tolist(), strict=True):
+                    sums[phrase] += c
+        if sums:
+            yield whole(own[0], sums)
+
+    def whole(lang: str, sums: Counter) -> pa.RecordBatch:
+        columns = [pa.array([lang] * len(sums), pa.string()), pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())]
+        return pa.record_batch(columns, names=["lang", "phrase", "c"])
 
-    return _texts(docs).mapInArrow(run, "lang string, phrase string, c bigint")
+    sent = _texts(docs).mapInArrow(run, "lang string, block int, phrases string, counts binary")
+    return sent.repartition("lang", "block").sortWithinPartitions("lang", "block").mapInArrow(add_up, "lang string, phrase string, c bigint")
 
 
 def _rows_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -305,7 +383,7 @@ class Runs:
 
 
 def phrase_counts(counted: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """``lang, phrase, a`` of every phrase that reaches ``least``, single words and the count of all words too, from the windows."""
+    """``lang, phrase, a`` of every phrase that reaches ``least``, their words and the count of all words too, from the windows."""
     ordered = counted.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +443,7 @@ def unextended(candidates: DataFrame, phrases: DataFrame, share: int = 100) -> D
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, share: int = 100, counters: int = COUNTERS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top`` candidates by score, count and phrase."""
     known = ()
-    for _ in range(3):
+    for _ in range(FILTERS):
         known += (reaching(docs, least, known, counters),)
     counted = stored(windows(docs, known, longest), "windows")
     counts = stored(phrase_counts(counted, least, longest), "phrase-counts")

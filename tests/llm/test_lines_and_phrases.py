@@ -219,3 +219,45 @@ def test_rare_runs_of_three_words_end_a_window(spark):
         known += (collocations.reaching(docs, 10, known),)
     found = {r["phrase"].replace(collocations.JOIN, " ") for r in collocations.windows(docs, known).collect()}
     assert found == {"", "aa bb", "bb cc", "bb", "cc", "dd ee ff gg", "ee ff gg", "ff gg", "gg"}
+
+
+def test_equal_windows_of_all_tasks_are_one_row(spark):
+    """Also those that a task sends in several turns; words in no pair that reaches the threshold open none, but count in the total."""
+    texts = [("en", "aa bb cc dd. zz"), ("en", "cc\x00 \x01aa. yy aa bb"), (None, "aa bb. zz")] * 20
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(6)
+    known = ()
+    for _ in range(collocations.FILTERS):
+        known += (collocations.reaching(docs, 10, known),)
+    rows = [((r["lang"], *r["phrase"].split(collocations.JOIN)), r["c"]) for r in collocations.windows(docs, known).collect()]
+    expected = {("en", ""): 200, ("en", "aa", "bb", "cc", "dd"): 20, ("en", "aa", "bb"): 20, ("en", "bb", "cc", "dd"): 20, ("en", "bb"): 20,
+                ("en", "cc", "dd"): 20, ("en", "dd"): 20, ("en", "cc\1\1", "\1\2aa"): 20, ("en", "\1\2aa"): 20, ("en", "yy", "aa", "bb"): 20,
+                ("und", ""): 60, ("und", "aa", "bb"): 20, ("und", "bb"): 20}
+    assert len(rows) == len(dict(rows)) and dict(rows) == expected
+
+
+def test_windows_are_sent_in_turns(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    texts = [(["en", None, "de"][i % 3], " ".join(draw.choice(["a", "b", "c", "d", "e"], 60))) for i in range(60)]
+    words = collocations._coded("en", [text.encode() for _, text in texts])
+    hashes = collocations._hashes("en", words[2])
+    every = [np.full(8, 255, dtype=np.uint8)] * 4
+    phrases, counts = collocations._opened(words[1], hashes, words[2], every, 3)
+    expected = Counter()
+    for _, text in texts:
+        own = text.split()
+        expected.update("\0".join(own[i : i + 3]).encode() for i in range(60))
+    assert dict(zip(phrases.to_pylist(), counts.tolist(), strict=True)) == expected
+    packed = collocations._sent("en", phrases, counts).to_pylist()
+    assert len(packed) == len({r["block"] for r in packed}) <= collocations.SENT
+    sent = {p: c for r in packed for p, c in zip(r["phrases"].split(" "), np.frombuffer(r["counts"], "<i8").tolist(), strict=True)}
+    assert {p.encode(): c for p, c in sent.items()} == expected
+
+
+def test_rare_runs_of_four_words_end_a_window(spark):
+    texts = ["aa bb cc"] * 12 + ["bb cc dd"] * 12 + ["aa bb cc dd"] * 2
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    known = ()
+    for _ in range(collocations.FILTERS):
+        known += (collocations.reaching(docs, 10, known),)
+    found = {r["phrase"].replace(collocations.JOIN, " ") for r in collocations.windows(docs, known).collect()}
+    assert found == {"", "aa bb cc", "bb cc", "cc", "bb cc dd", "cc dd", "dd"}
