@@ -79,6 +79,70 @@ def test_seated_tables_follow_the_restaurant_process():
     assert drawn.mean() == pytest.approx(exact, rel=0.02)
 
 
+def test_a_context_is_the_whole_word_before(spark):
+    """Words of one ending are different contexts: what follows one of them is not expected after the other."""
+    learned = ["bring red", "thing blue"] * 30
+    asked = {100: "bring red", 101: "bring blue", 102: "thing blue", 103: "thing red"}
+    rows = [(i, False, text) for i, text in enumerate(learned)] + [(i, True, text) for i, text in asked.items()]
+    scores = {r["doc_id"]: r["score"] for r in pitman_yor.scored(spark.createDataFrame(rows, "doc_id long, held boolean, text string")).collect()}
+    assert scores[100] > scores[101] + 0.8 and scores[102] > scores[103] + 0.8
+
+
+def test_tables_in_a_restaurant_are_added_up_over_all_parts():
+    """What the homes answer are the customers and tables of each context over all parts, and probabilities add up to one."""
+    draw, parts = np.random.default_rng(5), 3
+    words = np.sort(draw.integers(0, 1 << 62, 40)).astype(np.uint64)
+    contexts = np.sort(draw.integers(0, 6, 9) << 40 | np.arange(9) * 7919)
+    cells = [(int(w), int(c)) for w in words for c in contexts if draw.random() < 0.6]
+    blocks = [{cell: int(draw.geometric(0.1)) for cell in cells if draw.random() < 0.7} for _ in range(3)]
+    counts = Counter()
+    for block in blocks:
+        counts.update(block)
+
+    def piece(number, part):
+        own = sorted((w, c, n) for (w, c), n in blocks[number].items() if w % parts == part)
+        runs = Counter(w for w, _, _ in own)
+        arrays = (np.array(sorted(runs), np.uint64), np.array([runs[w] for w in sorted(runs)], np.uint32), np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], np.uint32))
+        return (number, *map(pitman_yor.packed, arrays))
+
+    held = [pitman_yor._gathered(part, [piece(number, part) for number in range(3)], parts) for part in range(parts)]
+
+    def dealt(rows):
+        out = defaultdict(list)
+        for to, row in rows:
+            out[to].append(row)
+        return out
+
+    homes = {home: pitman_yor._home(rows) for home, rows in dealt(x for h in held for x in pitman_yor._rooms(h)).items()}
+    first = dealt(x for home, known in homes.items() for x in pitman_yor._first_answer(home, known))
+    rooms = [pitman_yor.unpacked(h["rooms"], np.int64) for h in held]
+    held = [pitman_yor._met(h, first[h["part"]]) for h in held]
+    rows = first
+    for number in range(3):
+        sums = [[pitman_yor.unpacked(x, np.int64).reshape(4, -1) for x in h["sums"]] for h in held]
+        sums = [sum(level) for level in zip(*sums, strict=True)]
+        assert sums[3].ravel().tolist() == [len({w for w, _ in counts}), sum(counts.values()), *(sum(n == k for n in counts.values()) for k in (1, 2))]
+        totals = pitman_yor.Totals([x[0] for x in sums[:3]], [x[1] for x in sums[:3]], [0.8, 0.7, 0.6, 0.5], *sums[3].ravel()[1::-1].tolist())
+        tables, customers, mass = Counter(), Counter(), Counter()
+        opened = [pitman_yor._opened(h) for h in held]
+        for (leaves, own, _), room in zip(opened, rooms, strict=True):
+            assert ((own <= leaves.counts) & (own >= np.minimum(leaves.counts, 1))).all()
+            for at, n, t in zip(leaves.room, leaves.counts, own, strict=True):
+                customers[int(room[at])] += int(n)
+                tables[int(room[at])] += int(t)
+        assert customers == Counter({c: sum(n for (_, d), n in counts.items() if d == c) for _, c in counts})
+        for h, (leaves, own, state), room in zip(held, opened, rooms, strict=True):
+            customers_in = pitman_yor.unpacked(h["customers in"], np.uint32)
+            tables_in = pitman_yor.unpacked(h["pairs in"], np.uint32) + (pitman_yor._joined(rows[h["part"]], 1) if number else 0)
+            assert customers_in.tolist() == [customers[int(c)] for c in room] and tables_in.tolist() == [tables[int(c)] for c in room]
+            for at, p in zip(leaves.room, leaves.predictive(own, state, totals, customers_in, tables_in), strict=True):
+                mass[int(room[at])] += p
+        assert all(0.3 < mass[c] < 1 for c in customers)  # the rest is for words that do not follow it
+        held = [pitman_yor._advanced(h, rows[h["part"]], totals, number) for h in held]
+        sent = dealt(x for h in held for x in pitman_yor._further(h))
+        rows = dealt(x for home, known in homes.items() for x in pitman_yor._next_answer(home, known, sent[home]))
+
+
 def test_pitman_yor_of_odd_rows(odd_docs, no_docs, spark):
     held = odd_docs.withColumn("held", F.col("doc_id") == 7).fillna(False, ["held"])
     rows = pitman_yor.scored(held).collect()
