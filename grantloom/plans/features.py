@@ -55,6 +55,8 @@ def text_vectors(
     counter = CountVectorizer(inputCol="__grams", outputCol="__tf", vocabSize=features, minDF=low, maxDF=high)
     # Stored: the weights and every later pass read the counts instead of cutting all texts into runs again.
     counted = settled(counter.fit(worded).transform(worded).drop("__words", "__grams"))
+    if not width(counted, "__tf"):  # no term is within the bounds
+        return counted.withColumnRenamed("__tf", "tfidf")
     idf = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf
     weigh = ElementwiseProduct(
         scalingVec=Vectors.dense(np.asarray(idf.toArray()) + 1.0), inputCol="__tf", outputCol="__raw"

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 
-from grantloom.operators import blocks, minibatch, neighbors, sparse_kmeans, stacked_kmeans
+from grantloom.operators import blocks, minibatch, neighbors, sparse_kmeans, stacked_kmeans, truncated_svd
 from grantloom.plans import assignment, clustering, features, investigator, labels, registry, slices, trends
 
 
@@ -192,3 +192,23 @@ def test_blocks_of_sparse_rows_hold_every_cell(spark, monkeypatch):
         steps = list(sparse_kmeans._steps(sizes))
         assert [s[0] for s in steps] == [0, *(s[1] for s in steps)][:-1] and steps[-1][1::2] == (6, 9)
         assert all(sizes[a:b].sum() == d - c and sizes[:a].sum() == c for a, b, c, d in steps)
+
+
+def test_a_pass_of_the_decomposition_gets_no_objects_per_row(spark, monkeypatch):
+    """The product over flat arrays is that of the whole matrix, also for rows without cells and repeated positions."""
+    random = np.random.RandomState(13)
+    matrix, rows = np.zeros((700, 40)), []
+    for i in range(700):
+        at, by = random.randint(0, 40, i % 7).tolist(), random.normal(size=i % 7).tolist()
+        np.add.at(matrix[i], at, by)
+        rows.append((at, by))
+    sparse = spark.createDataFrame(rows, "__at array<int>, __by array<double>").repartition(3)
+    monkeypatch.setattr(truncated_svd, "times", None)
+    block = random.normal(size=(40, 5))
+    assert np.allclose(truncated_svd._pass(sparse, block), matrix.T @ matrix @ block)
+
+
+def test_text_projection_does_not_store_all_awards(spark, root, monkeypatch):
+    monkeypatch.setattr(registry.source, "awards", None)
+    found = registry.text_projection_facts(spark, root).first()
+    assert found["rows"] == spark.read.parquet(f"{root}/orders.parquet").count() and found["mean_x"] == found["mean_y"] == 0
